@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -150,15 +152,15 @@ class PieceCodec:
 
 
 class UnitMemo(dict):
-    """unit -> (number of ids, decimal ids joined by spaces, decoded text); bounded."""
+    """unit -> (number of ids, decimal ids joined by spaces, decoded text, ids as int32 bytes); bounded."""
 
     def __init__(self, codec: PieceCodec, most: int = 500_000):
         super().__init__()
         self.codec, self.most = codec, most
 
-    def __missing__(self, unit: str) -> tuple[int, str, str]:
+    def __missing__(self, unit: str) -> tuple[int, str, str, bytes]:
         ids = self.codec.unit_ids(unit)
-        got = (len(ids), " ".join(map(str, ids)), self.codec.decode_part(ids))
+        got = (len(ids), " ".join(map(str, ids)), self.codec.decode_part(ids), array("i", ids).tobytes())
         if len(unit) <= 48:
             if len(self) >= self.most:
                 self.clear()
@@ -180,14 +182,18 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         units = memo(model)
+        end = array("i", [units.codec.end]).tobytes()
         for b in batches:
-            ids, decoded = [], []
+            packed, sizes, decoded = [], [0], []
             for t in column(b, "text").to_pylist():
-                got = list(map(units.__getitem__, units.codec.units(t)))
-                ids.append([int(i) for g in got for i in g[1].split(" ")] + [units.codec.end])
+                got = list(map(units.__getitem__, units.codec.units(t or "")))
+                packed += [g[3] for g in got]
+                packed.append(end)
+                sizes.append(sum([g[0] for g in got]) + 1)
                 text = "".join([g[2] for g in got])
                 decoded.append(text[1:] if text[:1] == " " else text)
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -106,16 +106,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ranker:
     return fit_pairs(x, rows["label"].to_numpy())
 
 
-def score_texts(docs: DataFrame, ranker: Ranker, extra: list[str]) -> DataFrame:
-    """The columns `extra` of docs, and score."""
+def score_texts(docs: DataFrame, ranker: Ranker, extra: list[str], out: str = "score") -> DataFrame:
+    """The columns `extra` of docs, and the score under the name `out`."""
 
     def run(batches):
         for b in batches:
             s = [ranker.score(features(Texts(raw, offsets))) for _, _, raw, offsets in slices(column(b, "text"))]
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in extra), pa.array(np.concatenate(s) if s else np.zeros(0))], names=[*extra, "score"])
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in extra), pa.array(np.concatenate(s) if s else np.zeros(0))], names=[*extra, out])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*extra, "text"])).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", score double")
+    return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*extra, "text"]))).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in extra) + f", `{out}` double")
 
 
 def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,14 +58,14 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total_rows:
     return w.crossJoin(F.broadcast(sums)).select("mix_source", "mix_null", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total_rows: int | None = None, seed: int = SEED) -> DataFrame:
-    """All columns of docs and `copy` (0, 1, ...), each document by its count, shuffled globally."""
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total_rows: int | None = None, seed: int = SEED, copy: str = "copy") -> DataFrame:
+    """All columns of docs and the number of the copy (0, 1, ...) as `copy`, each document by its count, shuffled globally."""
     r = rates(docs, weights, total_rows).withColumnsRenamed({"mix_source": "__s", "mix_null": "__z", "rate": "__rate", "cdf": "__cdf"})
     match = (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__s")) & (F.col("source").isNull() == F.col("__z"))
     u = uniform(seed, F.col("doc_id"))
     counted = docs.join(r, match).withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= u))).where("__n > 0")
-    copies = counted.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"))
+    copies = counted.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias(copy))
+    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(f"`{copy}`"))
     return copies.repartition(place).sortWithinPartitions(place)
 
 

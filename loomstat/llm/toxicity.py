@@ -124,17 +124,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Classifie
     return fit([np.frombuffer(f, np.uint32) for f in rows["f"]], rows["label"].to_numpy(), lab or 0.0)
 
 
-def score_texts(docs: DataFrame, model: Classifier, extra: list[str]) -> DataFrame:
-    """The columns `extra` of docs, and score."""
+def score_texts(docs: DataFrame, model: Classifier, extra: list[str], out: str = "score") -> DataFrame:
+    """The columns `extra` of docs, and the score under the name `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the corpus
 
     def run(batches):
         for b in batches:
             s = shared.value.score([t or "" for t in column(b, "text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in extra), pa.array(s)], names=[*extra, "score"])
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in extra), pa.array(s)], names=[*extra, out])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*extra, "text"])).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", score double")
+    return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*extra, "text"]))).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in extra) + f", `{out}` double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
