@@ -12,8 +12,9 @@ therefore anchored on shingles first and on pivot documents inside:
    are exact; the members within r = 1 - t of it are linked through it.
 3. *Windows.*  Members not yet connected can only be linked if their distances to the pivot differ
    by at most r (triangle inequality), and if their sizes and the places of the common anchor
-   allow the overlap.  Small regions compare what is left in their windows; larger ones take
-   about sqrt(size) further pivots and recurse, until nothing is left.
+   allow the overlap.  Members outside a region's largest component become pivots in turn and
+   are compared with the members in their windows: all at once in small regions, about
+   sqrt(size) a round in larger ones, which recurse until no two components are left to compare.
 
 Only connections matter, so pairs already connected are not compared; no link between different
 components is skipped.  Equal sets are one class from the start.
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import U64, column, cut, mix, slices, table, texts_of, windows, word_hashes, words
 from .components import components
 
-SHINGLE, PERCENT, LEAF = 5, 75, 24
+SHINGLE, PERCENT, WORK = 5, 75, 1 << 14
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 0x7FFF
 MANY = 0x8000
 KEY_BYTES = 6
@@ -253,31 +254,37 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     far = tested.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
     r = 1 - percent / 100
 
-    # Regions whose members aren't all connected yet, with each member's distance to its pivot.
-    def open_regions(members: DataFrame, comp: DataFrame) -> DataFrame:
-        m = members.join(comp.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
-        left = m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("key", "size")
-        return m.join(left, "key")
-
-    m = member.select("key", "fp", "n", "at", F.col("p.fp").alias("pivot"))
-    opened = cut(open_regions(m, comp).join(far, ["fp", "pivot"], "left").select("key", "fp", "n", "at", "pivot", "c", "size", F.when(F.col("fp") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")))
-    while True:
-        x = opened.select("key", "size", *(F.col(c).alias(f"{c}1") for c in ("fp", "n", "at", "c", "d", "pivot")))
+    def still_open(m: DataFrame) -> DataFrame:
+        """The regions whose members aren't all in one component c yet; main: their largest component."""
+        each = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+        left = each.groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("size"))
+        left = left.where("most.k < size").select("key", "size", F.col("most.c").alias("main"), F.expr("size - most.k").alias("others"))
+        return cut(m.join(left, "key"))
+
+    m = member.select("key", "fp", "n", "at", F.col("p.fp").alias("pivot")).join(comp.select(F.col("id").alias("fp"), "component"), "fp", "left")
+    m = m.join(far, ["fp", "pivot"], "left").select("key", "fp", "n", "at", "pivot", F.coalesce("component", "fp").alias("c"), F.when(F.col("fp") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"))
+    opened, found, turn = still_open(m), False, 0
+    while not opened.isEmpty():
+        # Pivots are members outside the largest component: all of them if that takes up to `work` comparisons, else
+        # about work / size or sqrt(size), whichever is more, by a hash of the set and the round.  First rounds connect
+        # most members with few comparisons; the rest need one with each other member, so later rounds do more.
+        work, turn = WORK * 4 ** min(turn, 6), turn + 1
+        is_pivot = f"c <> main and pmod(xxhash64(fp, {turn}), greatest(1, cast(ceil(others / greatest(sqrt(size), {work} / size)) as long))) = 0"
+        x = opened.where(is_pivot).select("key", *(F.col(c).alias(f"{c}1") for c in ("fp", "n", "at", "c", "d", "pivot")))
         y = opened.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "at", "c", "d")))
-        # a region of up to LEAF members compares its windows; a larger one only with the next pivots
-        chosen = F.pmod(F.xxhash64("key", "fp1"), F.greatest(F.lit(1), F.sqrt("size").cast("long"))) == 0
-        both = x.where((F.col("size") <= LEAF) | chosen).join(y, "key")
         window = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= r + 1e-9, F.lit(True))
-        both = both.where((F.col("c1") != F.col("c2")) & (F.col("fp1") != F.col("pivot1")) & (F.col("fp2") != F.col("pivot1")) & window & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent))
+        met = (F.col("fp1") == F.col("pivot1")) | (F.col("fp2") == F.col("pivot1"))  # compared with the region's first pivot
+        both = x.join(y, "key").where((F.col("c1") != F.col("c2")) & ~met & window & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent))
         pairs = both.select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).distinct()
         more = cut(measure(pairs, sets).where(is_link).select("a", "b"))
-        links = links.unionAll(more)
-        comp = components(links)
-        # the pivots have met every member of their region
-        rest = opened.where((F.col("size") > LEAF) & ~F.expr("pmod(xxhash64(key, fp), greatest(1, cast(sqrt(size) as long))) = 0"))
-        opened = cut(open_regions(rest.drop("c", "size"), comp))
-        if opened.isEmpty():
-            return comp
+        rest = opened.where(f"not ({is_pivot})").drop("size", "main", "others")  # pivots have met every member of their region
+        if not more.isEmpty():
+            links, found = links.unionAll(more), True
+            of = opened.select("fp", "c").distinct()
+            joined = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            rest = rest.join(components(joined).select(F.col("id").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
+        opened = still_open(rest)
+    return components(links) if found else comp
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
