@@ -19,15 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
+        label = label.select("id", "component")
         seen = both.join(label, both.b == label.id).select("a", F.col("component").alias("m"))
         near = label.select(F.col("id").alias("a"), F.col("component").alias("m")).unionAll(seen).groupBy("a").agg(F.min("m").alias("m"))
         # hook: the old label of a vertex also learns what its members found
         hooked = label.join(near, label.id == near.a).select("id", "component", "m")
         parents = hooked.groupBy("component").agg(F.min("m").alias("up"))
-        jumped = hooked.join(parents, "component").select("id", F.least("m", "up").alias("component"))
+        jumped = hooked.join(parents, "component").select("id", F.least("m", "up").alias("component"), F.col("component").alias("was"))
         up = jumped.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        following = cut(jumped.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
-        changed = following.join(label.select("id", F.col("component").alias("was")), "id").where("component <> was").limit(1).count()
-        label = following
-        if not changed:
-            return label
+        label = cut(jumped.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"), "was"))
+        if label.where("component <> was").isEmpty():
+            return label.select("id", "component")

@@ -48,7 +48,7 @@ from .components import components
 SHINGLE, PERCENT, WORK = 5, 75, 1 << 14
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 0x7FFF
 MANY = 0x8000
-KEY_BYTES = 6
+KEY_BYTES, SKETCH_BITS = 6, 512
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -164,7 +164,7 @@ def _candidates(percent: int):
     def home(t: pa.Table) -> pa.Table:
         """The sets of one block that may have links: anchors from rare to frequent, and all shared shingles."""
         own = next((r for r in t.to_pylist() if r["bucket"] < 0), None)
-        out = {"fp": [], "n": [], "own": [], "anchors": [], "keys": []}
+        out = {"fp": [], "n": [], "own": [], "anchors": [], "sketch": [], "keys": []}
         back = [r for r in t.to_pylist() if r["bucket"] >= 0]
         if own is not None and back:
             fps, sizes = np.frombuffer(own["a"], np.int64), np.frombuffer(own["b"], np.int64)
@@ -192,22 +192,24 @@ def _candidates(percent: int):
                 out["n"].append(int(sizes[i]))
                 out["own"].append(int(sizes[i] - shared[i]))
                 out["anchors"].append(k[: anchors[i]].astype(np.int64))
+                odd = np.bincount((mix(k) & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                out["sketch"].append(np.packbits(odd.astype(bool)).view(np.int64))
                 out["keys"].append(np.sort(k).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes())
-        return pa.table({"fp": pa.array(out["fp"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "own": pa.array(out["own"], pa.int32()), "anchors": pa.array(out["anchors"], pa.list_(pa.int64())), "keys": pa.array(out["keys"], pa.binary())})
+        return pa.table({"fp": pa.array(out["fp"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "own": pa.array(out["own"], pa.int32()), "anchors": pa.array(out["anchors"], pa.list_(pa.int64())), "sketch": pa.array(out["sketch"], pa.list_(pa.int64())), "keys": pa.array(out["keys"], pa.binary())})
 
     return home
 
 
 def candidates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(fp, n, own, anchors, keys): the distinct sets that share an anchor's frequency with others.
+    """(fp, n, own, anchors, sketch, keys): the distinct sets that may have links.
 
-    own: shingles that no other set holds; keys: all others, packed and sorted.
+    own: shingles that no other set holds; keys: all others, packed and sorted; sketch: their parities by hash.
     """
     spark = docs.sparkSession
     bits = max(8, min(16, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     shared = shingle_blocks(docs, bits, size).groupBy("bucket").applyInArrow(_shared, PACKED)
-    sets = shared.groupBy("block").applyInArrow(_candidates(percent), "fp long, n int, own int, anchors array<long>, keys binary")
-    return sets.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "own", "anchors", "keys")))
+    sets = shared.groupBy("block").applyInArrow(_candidates(percent), "fp long, n int, own int, anchors array<long>, sketch array<long>, keys binary")
+    return sets.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "own", "anchors", "sketch", "keys")))
 
 
 def _rows_and_keys(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -241,16 +243,22 @@ def _possible(n1, p1, n2, p2, percent: int):
     return (100 * most >= percent * (n1 + n2 - most)) & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
 
 
+def _near_sketches(percent: int):
+    """Whether what is known of two sets allows a link: the parities that differ, and the shingles that
+    each has alone, are a lower bound of the size of their symmetric difference."""
+    differ = " + ".join(f"bit_count(sketch1[{i}] ^ sketch2[{i}])" for i in range(SKETCH_BITS // 64))
+    return F.expr(f"{100 + percent} * (own1 + own2 + {differ}) <= {100 - percent} * (n1 + n2)")
+
+
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, component) over fp, of the sets that have links."""
-    cell = cut(sets.select("fp", "n", F.posexplode("anchors").alias("i", "key"), "own").select("key", "fp", "n", (F.col("own") + F.col("i")).alias("at")))
-    pivot = cell.groupBy("key").agg(F.min(F.struct("fp", "n", "at")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = cell.join(pivot, "key")
+    cell = sets.select("fp", "n", F.posexplode("anchors").alias("i", "key"), "own").select("key", "fp", "n", (F.col("own") + F.col("i")).alias("at"))
+    pivot = cell.groupBy("key").agg(F.min(F.struct("fp", "n", "at")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    member = cut(cell.join(pivot, "key"))
     first = member.where((F.col("fp") != F.col("p.fp")) & _possible(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"), percent))
     tested = cut(measure(first.select(F.col("fp").alias("a"), F.col("p.fp").alias("b")).distinct(), sets))
     is_link = F.expr(f"100 * overlap >= {percent} * (na + nb - overlap)")
-    links = tested.where(is_link).select("a", "b")
-    comp = components(links)
+    comp = components(tested.where(is_link).select("a", "b"))
     far = tested.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
     r = 1 - percent / 100
 
@@ -259,32 +267,38 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         each = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
         left = each.groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("size"))
         left = left.where("most.k < size").select("key", "size", F.col("most.c").alias("main"), F.expr("size - most.k").alias("others"))
-        return cut(m.join(left, "key"))
+        return m.join(left, "key")
 
     m = member.select("key", "fp", "n", "at", F.col("p.fp").alias("pivot")).join(comp.select(F.col("id").alias("fp"), "component"), "fp", "left")
-    m = m.join(far, ["fp", "pivot"], "left").select("key", "fp", "n", "at", "pivot", F.coalesce("component", "fp").alias("c"), F.when(F.col("fp") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"))
-    opened, found, turn = still_open(m), False, 0
+    m = still_open(m.select("key", "fp", "n", "at", "pivot", F.coalesce("component", "fp").alias("c"))).join(far, ["fp", "pivot"], "left")
+    m = m.withColumn("d", F.when(F.col("fp") == F.col("pivot"), 0.0).otherwise(F.col("d"))).join(sets.select("fp", "own", "sketch"), "fp")
+    opened, turn = cut(m), 0
+    kept = ("fp", "n", "at", "c", "d", "own", "sketch")
     while not opened.isEmpty():
         # Pivots are members outside the largest component: all of them if that takes up to `work` comparisons, else
         # about work / size or sqrt(size), whichever is more, by a hash of the set and the round.  First rounds connect
         # most members with few comparisons; the rest need one with each other member, so later rounds do more.
         work, turn = WORK * 4 ** min(turn, 6), turn + 1
         is_pivot = f"c <> main and pmod(xxhash64(fp, {turn}), greatest(1, cast(ceil(others / greatest(sqrt(size), {work} / size)) as long))) = 0"
-        x = opened.where(is_pivot).select("key", *(F.col(c).alias(f"{c}1") for c in ("fp", "n", "at", "c", "d", "pivot")))
-        y = opened.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "at", "c", "d")))
+        x = opened.where(is_pivot).select("key", "pivot", *(F.col(c).alias(f"{c}1") for c in kept))
+        y = opened.select("key", *(F.col(c).alias(f"{c}2") for c in kept))
         window = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= r + 1e-9, F.lit(True))
-        met = (F.col("fp1") == F.col("pivot1")) | (F.col("fp2") == F.col("pivot1"))  # compared with the region's first pivot
-        both = x.join(y, "key").where((F.col("c1") != F.col("c2")) & ~met & window & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent))
-        pairs = both.select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).distinct()
-        more = cut(measure(pairs, sets).where(is_link).select("a", "b"))
+        met = (F.col("fp1") == F.col("pivot")) | (F.col("fp2") == F.col("pivot"))  # compared with the region's first pivot
+        allowed = (F.col("c1") != F.col("c2")) & ~met & window & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent)
+        both = x.join(y, (x.key == y.key) & allowed & _near_sketches(percent))
+        up = F.col("fp1") < F.col("fp2")
+        ends = both.select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b"), F.when(up, F.col("c1")).otherwise(F.col("c2")).alias("ca"), F.when(up, F.col("c2")).otherwise(F.col("c1")).alias("cb"))
+        pairs = cut(ends.distinct())
+        more = measure(pairs, sets).where(is_link).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = components(more)
         rest = opened.where(f"not ({is_pivot})").drop("size", "main", "others")  # pivots have met every member of their region
-        if not more.isEmpty():
-            links, found = links.unionAll(more), True
-            of = opened.select("fp", "c").distinct()
-            joined = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            rest = rest.join(components(joined).select(F.col("id").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
-        opened = still_open(rest)
-    return components(links) if found else comp
+        renamed = merged.select(F.col("id").alias("c"), F.col("component").alias("to"))
+        opened = cut(still_open(rest.join(renamed, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")))
+        # what was linked before moves to the merged components, and sets that had no link join them
+        moved = comp.join(renamed, comp.component == renamed.c, "left").select("id", F.coalesce("to", "component").alias("component"))
+        new = merged.join(comp, "id", "left_anti")
+        comp = cut(moved.unionAll(new))
+    return comp
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
