@@ -82,10 +82,10 @@ def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def merge_moments(states: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, mean, variance) of states merged: m2 of the parts and the spread of their means."""
     s = states.where("n > 0").select(*by, "n", "mean", "m2")
-    total = s.groupBy(*by).agg(F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("M"))
+    total = s.groupBy(*by).agg(F.sum("n").alias("all_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all_mean"))
     both = s.join(total, by) if by else s.crossJoin(F.broadcast(total))
-    spread = F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("M"), 2))
-    return both.groupBy(*by, "N", "M").agg((spread / F.col("N")).alias("variance")).select(*by, F.col("N").alias("n"), F.col("M").alias("mean"), "variance")
+    spread = F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("all_mean"), 2))
+    return both.groupBy(*by, "all_n", "all_mean").agg((spread / F.col("all_n")).alias("variance")).select(*by, F.col("all_n").alias("n"), F.col("all_mean").alias("mean"), "variance")
 
 
 def mode(df: DataFrame, column: str) -> DataFrame:
