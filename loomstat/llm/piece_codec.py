@@ -2,9 +2,9 @@
 
 Merging by score gives one encoding, and a token sequence is that encoding exactly when each
 two neighbours, merged again from characters, stay the same two tokens.  ``PieceCodec.encode``
-walks the text taking the longest vocabulary entry at each place (all matches come from one
-Aho-Corasick pass), checks it against its left neighbour, falls back to shorter entries, and
-steps back when none fits; a bit field remembers places from which no way leads on, so no place
+walks the text taking the longest vocabulary entry at each place (an Aho-Corasick automaton's
+match), checks it against its left neighbour, falls back to shorter entries, and steps back when
+none fits; a bit field remembers places from which no way leads on, so no place
 is tried twice.  Characters outside the vocabulary become byte tokens and part the text.
 
 Entries never hold a space mark after another character, so texts part into units (spaces and
@@ -50,20 +50,35 @@ class PieceCodec:
         for p in self.id:
             self.match.add_word(p, len(p))
         self.match.make_automaton()
+        self.most = max(map(len, self.id))
+        #: for each beginning of an entry, the longest entry that begins it
+        self.longest_entry: dict[str, str] = {}
+        for p in sorted(self.id, key=len):
+            for k in range(1, len(p) + 1):
+                q = p[:k]
+                if q in self.id:
+                    self.longest_entry[q] = q
+                elif q[:-1] in self.longest_entry:
+                    self.longest_entry.setdefault(q, self.longest_entry[q[:-1]])
         self.chars = {p for p in self.id if len(p) == 1}
         self.fits: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Plain merging: the pair of the best score first, of several the leftmost."""
+        parts, none = list(text), float("-inf")
+        gains = [self.score.get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while gains:
+            best = max(gains)
+            if best == none:
+                break
+            i = gains.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i:
+                gains[i - 1] = self.score.get(parts[i - 1] + parts[i], none)
+            if i < len(gains):
+                gains[i] = self.score.get(parts[i] + parts[i + 1], none)
+        return parts
 
     def fit(self, left: str, right: str) -> bool:
         if (ok := self.fits.get((left, right))) is None:
@@ -72,41 +87,36 @@ class PieceCodec:
             ok = self.fits[left, right] = self.merge(left + right) == [left, right]
         return ok
 
+    def longest(self, text: str, at: int) -> str:
+        """The longest entry that begins at a place."""
+        near = text[at : at + self.most]
+        return self.longest_entry[near[: self.match.longest_prefix(near)]]
+
     def known_run(self, text: str) -> list[str]:
         """The encoding of a text all of whose characters are entries."""
-        n = len(text)
-        lengths: list[list[int]] = [[] for _ in range(n)]
-        for last, size in self.match.iter(text):
-            lengths[last - size + 1].append(size)
-        for x in lengths:
-            x.sort()  # the longest is last
+        n, at = len(text), 0
         failed = bytearray(n // 8 + 1)
         tokens: list[str] = []
-        tried = [0] * (n + 1)  # how many of a place's matches were tried
-        at = 0
-        while at < n:
-            sizes, k = lengths[at], tried[at]
-            found = None
-            while k < len(sizes):
-                k += 1
-                end = at + sizes[-k]
-                if failed[end >> 3] >> (end & 7) & 1:
-                    continue
-                token = text[at:end]
-                if not tokens or self.fit(tokens[-1], token):
-                    found = token
+        token: str | None = self.longest(text, 0)
+        while True:
+            while token is not None:
+                end = at + len(token)
+                if not failed[end >> 3] >> (end & 7) & 1 and (not tokens or self.fit(tokens[-1], token)):
                     break
-            tried[at] = k
-            if found is not None:
-                tokens.append(found)
-                at += len(found)
-                tried[at] = 0
+                token = self.longest_entry.get(token[:-1])
+            if token is not None:
+                tokens.append(token)
+                at = end
+                if at == n:
+                    return tokens
+                token = self.longest(text, at)
                 continue
             if not tokens:
                 raise ValueError("the vocabulary can't encode this text")
             failed[at >> 3] |= 1 << (at & 7)
-            at -= len(tokens.pop())
-        return tokens
+            last = tokens.pop()
+            at -= len(last)
+            token = self.longest_entry.get(last[:-1])
 
     def unit_ids(self, unit: str) -> list[int]:
         out: list[int] = []
