@@ -1,32 +1,67 @@
-"""Connected components of an edge table, by rounds of joins.
+"""Connected components of an edge table, by rounds of union inside tasks and one shuffle.
 
-Each round points every vertex at the smallest label among itself and its neighbours, then
-follows the pointers twice, so chains shrink by a constant factor a round.  A vertex with very
-many neighbours is only ever aggregated (combined before the shuffle) or joined, never gathered.
+Each task reduces its edges to stars: rows (id, root) for every vertex it has seen, the root of a
+star being its smallest vertex and having a row of its own.  Rows are dealt by id, so that all roots
+an id was given meet, and are united there again.  A root that met a smaller one is torn; rows that
+still name it are then pointed at what it met.  When no id is torn, the stars are the components.  A
+vertex has at most one row a task after the first round, however many edges it has, so no task gets
+a hot vertex's edges; torn roots are few, and joined by size as Spark decides.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Rows that a task unites: as many tasks are made as they need, so a small graph needs one and no shuffle.
+ROWS_A_TASK = 1 << 18
+STARS = "id long, root long, own boolean, torn boolean"
+
+
+def union(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest vertex of the component of each of n vertices, of edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = a[apart], b[apart]
+
+
+def _stars(batches):
+    """own: the vertex was the first column of a row here; torn: it was there with different roots."""
+    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    ia, ib = at[: len(a)], at[len(a) :]
+    root = union(ia, ib, len(names))
+    low, high = np.full(len(names), len(names)), np.full(len(names), -1)
+    np.minimum.at(low, ia, ib)
+    np.maximum.at(high, ia, ib)
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root]), pa.array(high >= 0), pa.array((high >= 0) & (low != high))], names=["id", "root", "own", "torn"])
+
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id of its component, for each id in edges (a, b)."""
-    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = cut(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+def components(edges: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """(id, component): the smallest id of its component, for each id in edges (a, b) between different ids."""
+    stars = edges.where("a <> b").select(F.col("a").cast("long").alias("id"), F.col("b").cast("long").alias("root"))
+    tasks = math.ceil(stars.count() / rows_a_task)
+    if tasks > 1:
+        stars = stars.mapInArrow(_stars, STARS).select("id", "root")
     while True:
-        label = label.select("id", "component")
-        seen = both.join(label, both.b == label.id).select("a", F.col("component").alias("m"))
-        near = label.select(F.col("id").alias("a"), F.col("component").alias("m")).unionAll(seen).groupBy("a").agg(F.min("m").alias("m"))
-        # hook: the old label of a vertex also learns what its members found
-        hooked = label.join(near, label.id == near.a).select("id", "component", "m")
-        parents = hooked.groupBy("component").agg(F.min("m").alias("up"))
-        jumped = hooked.join(parents, "component").select("id", F.least("m", "up").alias("component"), F.col("component").alias("was"))
-        up = jumped.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        label = cut(jumped.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"), "was"))
-        if label.where("component <> was").isEmpty():
-            return label.select("id", "component")
+        met = cut((stars.repartition("id") if tasks > 1 else stars).coalesce(max(1, tasks)).mapInArrow(_stars, STARS))
+        torn = cut(met.where("torn").select(F.col("id").alias("old"), F.col("root").alias("new"))) if tasks > 1 else None
+        if torn is None or torn.isEmpty():
+            return met.where("own" if tasks > 1 else "true").select("id", F.col("root").alias("component"))
+        stars = met.join(torn, met.root == torn.old, "left").select("id", F.coalesce("new", "root").alias("root"))

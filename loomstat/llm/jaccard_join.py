@@ -221,7 +221,8 @@ def _rows_and_keys(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, overlap) of distinct pairs of sets."""
+    """The columns of pairs (a, b and others, all long), and na, nb and overlap, of distinct pairs of sets."""
+    extra = [c for c in pairs.columns if c not in ("a", "b")]
 
     def run(batches):
         for batch in batches:
@@ -231,10 +232,10 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = np.sort(np.concatenate((ra << U64(48) | ka, rb << U64(48) | kb)))
                 hit = both[1:][both[1:] == both[:-1]] >> U64(48)
                 n = np.bincount(hit.astype(np.int64), minlength=b.num_rows)
-                yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("a", "b", "na", "nb")), pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
+                yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("a", "b", *extra, "na", "nb")), pa.array(n, pa.int64())], names=["a", "b", *extra, "na", "nb", "overlap"])
 
     side = lambda k: sets.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("keys").alias(f"k{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long, na int, nb int, overlap long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *extra, "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long, " + "".join(f"{c} long, " for c in extra) + "na int, nb int, overlap long")
 
 
 def _possible(n1, p1, n2, p2, percent: int):
@@ -250,8 +251,8 @@ def _near_sketches(percent: int):
     return F.expr(f"{100 + percent} * (own1 + own2 + {differ}) <= {100 - percent} * (n1 + n2)")
 
 
-def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, component) over fp, of the sets that have links."""
+def link_classes(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
+    """Tables (id, component), to be applied to fp one after the other: each names what a component is part of."""
     cell = sets.select("fp", "n", F.posexplode("anchors").alias("i", "key"), "own").select("key", "fp", "n", (F.col("own") + F.col("i")).alias("at"))
     pivot = cell.groupBy("key").agg(F.min(F.struct("fp", "n", "at")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     member = cut(cell.join(pivot, "key"))
@@ -259,6 +260,7 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     tested = cut(measure(first.select(F.col("fp").alias("a"), F.col("p.fp").alias("b")).distinct(), sets))
     is_link = F.expr(f"100 * overlap >= {percent} * (na + nb - overlap)")
     comp = components(tested.where(is_link).select("a", "b"))
+    steps = [comp]
     far = tested.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
     r = 1 - percent / 100
 
@@ -288,24 +290,22 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         both = x.join(y, (x.key == y.key) & allowed & _near_sketches(percent))
         up = F.col("fp1") < F.col("fp2")
         ends = both.select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b"), F.when(up, F.col("c1")).otherwise(F.col("c2")).alias("ca"), F.when(up, F.col("c2")).otherwise(F.col("c1")).alias("cb"))
-        pairs = cut(ends.distinct())
-        more = measure(pairs, sets).where(is_link).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        merged = components(more)
+        # the two components of a pair are the same wherever the pair is met
+        more = cut(measure(ends.distinct(), sets).where(is_link).select("ca", "cb"))
+        steps.append(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        renamed = steps[-1].select(F.col("id").alias("c"), F.col("component").alias("to"))
         rest = opened.where(f"not ({is_pivot})").drop("size", "main", "others")  # pivots have met every member of their region
-        renamed = merged.select(F.col("id").alias("c"), F.col("component").alias("to"))
         opened = cut(still_open(rest.join(renamed, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")))
-        # what was linked before moves to the merged components, and sets that had no link join them
-        moved = comp.join(renamed, comp.component == renamed.c, "left").select("id", F.coalesce("to", "component").alias("component"))
-        new = merged.join(comp, "id", "left_anti")
-        comp = cut(moved.unionAll(new))
-    return comp
+    return steps
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
     of = cut(set_table(docs, size))
-    comp = link_classes(cut(candidates(docs, percent, size)), percent)
-    rooted = of.join(comp.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    rooted = of.withColumnRenamed("fp", "root")
+    for step in link_classes(cut(candidates(docs, percent, size)), percent):
+        rooted = rooted.join(step.select(F.col("id").alias("root"), "component"), "root", "left").select("doc_id", "n_shingles", F.coalesce("component", "root").alias("root"))
+    rooted = cut(rooted)
     least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     some = rooted.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     return some.unionAll(of.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
