@@ -221,7 +221,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 1 << 16) ->
 
     m = chunked.mapInArrow(maps, "row long, doc_id long, n_bytes long, n_chunks int, chunk int, head string, body long, tail string")
 
-    def fold(key, t: pa.Table) -> pa.Table:
+    def fold(key, t):
         counts = counter(tokenizer)
         t = t.sort_by("chunk")
         whole = None
