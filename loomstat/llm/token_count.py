@@ -67,7 +67,8 @@ class Transducer:
         self.number = {first: 0}
         self.states = [first]
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
-        self.fits.clear()
+        if len(self.fits) > self.most_states:
+            self.fits.clear()
 
     def _merge(self, symbols: tuple) -> list[tuple]:
         """Plain merging, used to test single tokens and adjacent pairs."""
@@ -77,11 +78,19 @@ class Transducer:
                 parts[-1] += (s,)
             else:
                 parts.append((s,))
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
+        never = len(self.rank)
+        ranks = [self.rank.get(p, never) for p in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == never:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            i = ranks.index(best)  # of equal pairs the leftmost
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.rank.get((parts[i - 1], parts[i]), never)
+            if i < len(ranks):
+                ranks[i] = self.rank.get((parts[i], parts[i + 1]), never)
         return parts
 
     def _fit(self, left: tuple | None, right: tuple) -> bool:
