@@ -23,6 +23,7 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import column, table, texts_of
@@ -82,7 +83,7 @@ class PieceCodec:
 
     def fit(self, left: str, right: str) -> bool:
         if (ok := self.fits.get((left, right))) is None:
-            if len(self.fits) >= 500_000:
+            if len(self.fits) >= 200_000:
                 self.fits.clear()
             ok = self.fits[left, right] = self.merge(left + right) == [left, right]
         return ok
@@ -164,7 +165,7 @@ class PieceCodec:
 class UnitMemo(dict):
     """unit -> (number of ids, decimal ids joined by spaces, decoded text, ids as int32 bytes); bounded."""
 
-    def __init__(self, codec: PieceCodec, most: int = 500_000):
+    def __init__(self, codec: PieceCodec, most: int = 200_000):
         super().__init__()
         self.codec, self.most = codec, most
 
@@ -187,25 +188,43 @@ def memo(path: str) -> UnitMemo:
     return _MEMOS[path]
 
 
-def encode_texts(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids, decoded) of each row of (doc_id, text): ids with the end id, and their decoding."""
+#: Texts of a batch are encoded in runs of about so many characters, each sent on when it is done.
+RUN_CHARS = 1 << 20
+
+
+def _runs(batch: pa.RecordBatch):
+    """(first row, row after the last, texts) of runs of whole texts."""
+    texts, start, size = column(batch, "text"), 0, 0
+    for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
+        if size and size + (n or 0) > RUN_CHARS:
+            yield start, i, texts.slice(start, i - start).to_pylist()
+            start, size = i, 0
+        size += n or 0
+    if start < len(texts):
+        yield start, len(texts), texts.slice(start).to_pylist()
+
+
+def encode_texts(docs: DataFrame, model: str, decoded: bool = True) -> DataFrame:
+    """(doc_id, ids, decoded) of each row of (doc_id, text): ids with the end id, and their decoding, or its sha256."""
 
     def run(batches):
         units = memo(model)
         end = array("i", [units.codec.end]).tobytes()
         for b in batches:
-            packed, sizes, decoded = [], [0], []
-            for t in column(b, "text").to_pylist():
-                got = list(map(units.__getitem__, units.codec.units(t or "")))
-                packed += [g[3] for g in got]
-                packed.append(end)
-                sizes.append(sum([g[0] for g in got]) + 1)
-                text = "".join([g[2] for g in got])
-                decoded.append(text[1:] if text[:1] == " " else text)
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+            for i, j, texts in _runs(b):
+                packed, sizes, shown = [], [0], []
+                for t in texts:
+                    got = list(map(units.__getitem__, units.codec.units(t or "")))
+                    packed.append(b"".join([g[3] for g in got]))
+                    packed.append(end)
+                    sizes.append(sum([g[0] for g in got]) + 1)
+                    text = "".join([g[2] for g in got])
+                    text = text[1:] if text[:1] == " " else text
+                    shown.append(text if decoded else hashlib.sha256(text.encode()).hexdigest())
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id").slice(i, j - i), ids, pa.array(shown, pa.string())], names=["doc_id", "ids", "decoded" if decoded else "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, ids array<int>, {'decoded' if decoded else 'decoded_sha256'} string")
 
 
 def digest_texts(docs: DataFrame, model: str) -> DataFrame:
@@ -215,14 +234,15 @@ def digest_texts(docs: DataFrame, model: str) -> DataFrame:
         units = memo(model)
         end, sha = str(units.codec.end), hashlib.sha256
         for b in batches:
-            n, i_sha, d_sha = [], [], []
-            for t in column(b, "text").to_pylist():
-                got = list(map(units.__getitem__, units.codec.units(t)))
-                n.append(sum([g[0] for g in got]) + 1)
-                i_sha.append(sha(" ".join([*[g[1] for g in got], end]).encode()).hexdigest())
-                text = "".join([g[2] for g in got])
-                d_sha.append(sha((text[1:] if text[:1] == " " else text).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n, pa.int64()), pa.array(i_sha), pa.array(d_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for i, j, texts in _runs(b):
+                n, i_sha, d_sha = [], [], []
+                for t in texts:
+                    got = list(map(units.__getitem__, units.codec.units(t or "")))
+                    n.append(sum([g[0] for g in got]) + 1)
+                    i_sha.append(sha(" ".join([*[g[1] for g in got], end]).encode()).hexdigest())
+                    text = "".join([g[2] for g in got])
+                    d_sha.append(sha((text[1:] if text[:1] == " " else text).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(i_sha), pa.array(d_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
