@@ -7,8 +7,9 @@ Documents are exploded by their counts and dealt to partitions, and ordered ther
 a global shuffle without a sort of all rows.
 
 Only DataFrame functions; the cumulative distribution of a source is an array whose length
-follows its rate (up to 12 standard deviations above the mean, where it is 1 in doubles), and the
-rates are joined by source, which Spark broadcasts only if they are small.
+follows its rate (up to 12 standard deviations above the mean, where it is 1 in doubles).  The
+distributions are broadcast if they are ``MOST_NUMBERS`` numbers at most; beyond that they are joined
+by source and salt, each source ``SALTS`` times, so that no task gets all rows of a hot source.
 
 Defined results: a null source is a source of its own; sources that are not in `weights` get
 weight 0; without `weights` all sources weigh the same; equal ids draw equal counts; null text is
@@ -20,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
-SEED = 20240
+SEED, MOST_NUMBERS, SALTS = 20240, 1 << 20, 64
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -58,12 +59,17 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total_rows:
     return w.crossJoin(F.broadcast(sums)).select("mix_source", "mix_null", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total_rows: int | None = None, seed: int = SEED, copy: str = "copy") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total_rows: int | None = None, seed: int = SEED, copy: str = "copy", most_numbers: int = MOST_NUMBERS) -> DataFrame:
     """All columns of docs and the number of the copy (0, 1, ...) as `copy`, each document by its count, shuffled globally."""
-    r = rates(docs, weights, total_rows).withColumnsRenamed({"mix_source": "__s", "mix_null": "__z", "rate": "__rate", "cdf": "__cdf"})
+    r = cut(rates(docs, weights, total_rows).withColumnsRenamed({"mix_source": "__s", "mix_null": "__z", "rate": "__rate", "cdf": "__cdf"}))
     match = (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__s")) & (F.col("source").isNull() == F.col("__z"))
+    if (r.agg(F.sum(F.size("__cdf"))).first()[0] or 0) <= most_numbers:
+        joined = docs.join(F.broadcast(r), match)
+    else:
+        salted = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(r.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), match & (F.col("__salt") == F.col("__to")))
     u = uniform(seed, F.col("doc_id"))
-    counted = docs.join(r, match).withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= u))).where("__n > 0")
+    counted = joined.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= u))).where("__n > 0")
     copies = counted.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias(copy))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(f"`{copy}`"))
     return copies.repartition(place).sortWithinPartitions(place)

@@ -230,8 +230,9 @@ def test_weights(spark):
     assert set(n) == {"a", "b", None} and abs(n["a"] - 2000) < 200 and abs(n["b"] - 4000) < 300 and abs(n[None] - 2000) < 200
     assert out.columns == [*d.columns, "copy"]
     again = source_mix.mix_sources(d.repartition(7), {"a": 1.0, "b": 2.0, None: 1.0}, total_rows=8000)
+    salted = source_mix.mix_sources(d, {"a": 1.0, "b": 2.0, None: 1.0}, total_rows=8000, most_numbers=0)
     rows = lambda x: sorted((r.doc_id, r["copy"]) for r in x.collect())
-    assert rows(out) == rows(again)
+    assert rows(out) == rows(again) == rows(salted)
 
 
 def test_mix_edge_cases(spark):
