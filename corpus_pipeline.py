@@ -55,8 +55,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    e = piece_codec.encode_texts(d, public_tokenizers.path("piece_bpe_32k.model"))
-    return e.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    e = piece_codec.encode_texts(d, public_tokenizers.path("piece_bpe_32k.model"), decoded=False)
+    return e.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", one_of_each), ("source_mix", mix), ("encode", encode)]
