@@ -65,7 +65,7 @@ def merge_numbers(states: DataFrame, by: list[str | Column]) -> DataFrame:
 def finished_numbers(states: DataFrame) -> DataFrame:
     """mean and population variance from the state."""
     mean = F.try_divide("sum", "n")
-    variance = F.greatest(F.try_divide("sum_squares", "n") - mean * mean, F.lit(0.0))
+    variance = F.when(F.col("n") > 0, F.greatest(F.try_divide("sum_squares", "n") - mean * mean, F.lit(0.0)))
     return states.withColumn("mean", mean).withColumn("variance", variance).drop("sum", "sum_squares")
 
 
@@ -230,3 +230,36 @@ def page(df: DataFrame, date: str, key: str, size: int = 10, before: str | None
     d = df if before is None else df.where(F.col(date) < F.expr(f"timestamp_ntz'{before}'"))
     return d.orderBy(F.desc(date), F.desc(key)).limit(size)
 
+
+
+def metrics_report(production: DataFrame, training: DataFrame, names: list[str]) -> DataFrame:
+    """(model_id, metric, training, production, difference) of metrics held in columns of both tables."""
+
+    def long(df, side):
+        return df.select("model_id", F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias(side)) for n in names))))
+
+    j = long(training, "training").join(long(production, "production"), ["model_id", "metric"], "left")
+    return j.withColumn("difference", F.col("production") - F.col("training"))
+
+
+def class_shares(df: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
+    """(by, class, n, fraction) of predicted classes; classes that aren't known count for nothing, those not seen are 0."""
+    known = df.where(F.col("prediction").isin(*classes))
+    counts = known.groupBy(*by).agg(*(F.count_if(F.col("prediction") == c).alias(f"n{i}") for i, c in enumerate(classes)), F.count(F.lit(1)).alias("every"))
+    each = F.array(*(F.struct(F.lit(c).alias("class"), F.col(f"n{i}").alias("n")) for i, c in enumerate(classes)))
+    return counts.select(*by, "every", F.inline(each)).select(*by, "class", "n", F.try_divide("n", "every").alias("fraction"))
+
+
+def defaults(df: DataFrame, numbers: list[str], enums: list[str]) -> DataFrame:
+    """One row of typical values to begin a form with: means of numbers, most frequent values of enums."""
+    means = df.agg(*(F.avg(n).alias(n) for n in numbers)) if numbers else df.sparkSession.range(1).select()
+    for e in enums:
+        counts = df.where(F.col(e).isNotNull()).groupBy(e).agg(F.count(F.lit(1)).alias("n"))
+        means = means.crossJoin(F.broadcast(counts.agg(F.max_by(e, F.struct("n", e)).alias(e))))  # one row each
+    return means
+
+
+def existing(df: DataFrame, date: str, key: str, first: str, last: str) -> DataFrame:
+    """(newer, older): whether there are rows beyond the times a page shows."""
+    beyond = lambda op, at, name: df.where(F.expr(f"{date} {op} timestamp_ntz'{at}'")).select(key).limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
+    return beyond(">", last, "newer").crossJoin(beyond("<", first, "older"))
