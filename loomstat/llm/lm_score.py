@@ -4,9 +4,9 @@ Vocabulary and counts come from all training texts: blocks of texts send their w
 ranges, as packed arrays, one entry a word and block) to the tasks that own the ranges, which add
 the counts up and send each block its words' totals.
 
-The model predicts one of 64 classes from the two classes before: the ``HEAD`` most frequent
-words, one class for all other words, and the end of a text (which also stands before its
-beginning).  A context is the sum of its classes' vectors, each through the matrix of its
+The model is a product of two log-bilinear models.  The first predicts one of 64 classes from the
+two classes before: the ``HEAD`` most frequent words, one class for all other words, and the end of
+a text (which also stands before its beginning).  A context is the sum of its classes' vectors, each through the matrix of its
 position; a class's score is the product of that sum with the class's vector, plus its bias.
 Counts of class triples over all training texts are sufficient for training, which is done in
 numpy on that table of fixed size (64 * 64 * 64), by noise-contrastive estimation against the class
@@ -15,14 +15,25 @@ Normalised log-probabilities of all contexts are one batched matrix product.  A
 head has the probability of its class times its smoothed share (c + 1) in it, words that training
 texts don't hold together counting as one more word.
 
+The second multiplies that probability by exp(q . t + b), where t and b are the word's own, and q is
+the sum of the own vectors of the two words before, one table for each position.  Every word that
+training texts hold at least ``LEAST`` times has vectors (only above ``MOST_WORDS`` such words, what
+a task holds in memory, the most frequent of them); rarer words share one entry.  Its vectors are
+learned by noise-contrastive estimation over all tokens of all training texts: each task goes
+through its texts with noise words sampled by frequency, and sends the changes of the entries it
+touched to the tasks that average them, weighted by how often each was touched; that ``PASSES``
+times.  The product starts normalised and noise-contrastive estimation keeps it close to that; it
+isn't normalised again for scores.
+
 Defined results: null text is empty; an empty text is its end alone; a null id is held out or not as
 the fold of null (never held out, never learned from); without training texts N = V = 0 and the
-model is uniform over classes; equal rows are scored each.
+model is uniform over classes, without vectors; equal rows are scored each.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +46,8 @@ from .common import U64, column, cut, fold_of, slices, table, texts_of, word_has
 HEAD, WIDTH, NOISE, STEPS = 62, 16, 10, 400
 OTHER, END, CLASSES = HEAD, HEAD + 1, HEAD + 2
 BLOCK_BYTES = 8 << 20
+LEAST, MOST_WORDS, PASSES = 5, 1 << 19, 1
+BATCH, RUN, SAMPLED, RATE = 2048, 16, 16, 0.1
 _EMPTY = np.zeros(0, U64)
 
 
@@ -60,7 +73,7 @@ def _blocks(batches):
 
 def word_totals(docs: DataFrame, bits: int) -> DataFrame:
     """Rows (block, bucket, totals) for each block and hash range, in order of the block's word hashes;
-    and a row of each range (block null): n tokens and v words that training texts hold, its most frequent words."""
+    and a row of each range (block null): n tokens and v words that training texts hold, and its words that may get vectors (``known`` and ``known_counts``, packed)."""
 
     def send(batches):
         for block, _, flags, hashes, counts in _blocks(batches):
@@ -75,18 +88,19 @@ def word_totals(docs: DataFrame, bits: int) -> DataFrame:
         sizes = [len(k) for k in keys]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         c = np.bincount(inverse, np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t["counts"]]), len(distinct)).astype(np.int64)
-        top = np.lexsort((distinct, -c))[:HEAD]
+        top = np.lexsort((distinct, -c))
+        top = top[: min(MOST_WORDS, max(HEAD, int((c >= LEAST).sum())))]
         top = top[c[top] > 0]
         back = [x.astype(np.int64).tobytes() for x in np.split(c[inverse], np.cumsum(sizes)[:-1])]
         k = len(back)
         return pa.table({
             "block": pa.array([*t["block"].to_pylist(), None], pa.int64()), "bucket": pa.array([*t["bucket"].to_pylist(), None], pa.int32()), "totals": pa.array([*back, None], pa.binary()),
             "n": pa.array([None] * k + [int(c.sum())], pa.int64()), "v": pa.array([None] * k + [int((c > 0).sum())], pa.int64()),
-            "head": pa.array([None] * k + [[{"word": int(w), "count": int(x)} for w, x in zip(distinct[top].astype(np.int64), c[top], strict=True)]], pa.list_(pa.struct([("word", pa.int64()), ("count", pa.int64())]))),
+            "known": pa.array([None] * k + [distinct[top].tobytes()], pa.binary()), "known_counts": pa.array([None] * k + [c[top].tobytes()], pa.binary()),
         })
 
     sent = docs.mapInArrow(send, "block long, bucket int, words binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "block long, bucket int, totals binary, n long, v long, head array<struct<word:long,count:long>>")
+    return sent.groupBy("bucket").applyInArrow(add, "block long, bucket int, totals binary, n long, v long, known binary, known_counts binary")
 
 
 def _class_of(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -108,15 +122,15 @@ def _with_ends(values: np.ndarray, counts: np.ndarray, end) -> tuple[np.ndarray,
     return out, ends
 
 
-def _contexts(classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class before each token and the one before that; END before the first."""
-    one, two = np.full(len(classes), END), np.full(len(classes), END)
+def _contexts(classes: np.ndarray, ends: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """The class before the one before each token, and the one before it; `end` before the first."""
+    one, two = np.full(len(classes), end), np.full(len(classes), end)
     one[1:] = classes[:-1]
     two[2:] = classes[:-2]
     starts = np.concatenate(([0], ends[:-1] + 1))
-    two[starts] = END
+    two[starts] = end
     after = starts[starts + 1 < len(classes)] + 1
-    two[after] = END
+    two[after] = end
     return two, one
 
 
@@ -174,6 +188,128 @@ def train_nce(triples: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps
     return (s - np.log(np.exp(s).sum(1, keepdims=True))).reshape(c, c, c)
 
 
+@dataclass
+class Vectors:
+    """Words by falling frequency, then the entry of all other words, then that of the end of a text."""
+
+    words: np.ndarray  # sorted hashes
+    entry: np.ndarray  # of each of them
+    classes: np.ndarray  # of each entry, in the class model
+    share: np.ndarray  # log of each entry's share of its class
+    noise: np.ndarray  # log of SAMPLED times each entry's frequency
+    below: np.ndarray  # sums of the frequencies of entries up to each
+    p: np.ndarray  # rows of each entry: vector two places before, one place before, as target, and its bias
+
+    def entries(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(hashes), len(self.classes) - 2, np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.entry[at], len(self.classes) - 2)
+
+    def gain(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log of what each token's class probability is multiplied by."""
+        out = np.zeros(len(target))
+        for i in range(0, len(target), 1 << 16):
+            a, b, t = (x[i : i + (1 << 16)] for x in (two, one, target))
+            p = self.p[t]
+            out[i : i + len(t)] = np.einsum("ij,ij->i", self.p[a, :WIDTH] + self.p[b, WIDTH : 2 * WIDTH], p[:, 2 * WIDTH : 3 * WIDTH]) + p[:, -1]
+        return out
+
+
+def vectors(words: np.ndarray, counts: np.ndarray, head: int, others: int, rest: int, ends: int, seed: int = 5) -> Vectors:
+    """Untrained vectors; words come by falling count, `others` tokens aren't of them, and rest is the sum of (c + 1) outside the head."""
+    order, n = np.argsort(words), len(words)
+    c = np.concatenate((counts, [others, ends])).astype(float)
+    classes = np.concatenate((np.arange(head), np.full(n + 1 - head, OTHER), [END]))
+    inside = (c[head:n] + 1) / max(rest, 1)
+    share = np.log(np.concatenate((np.ones(head), inside, [max(1 - inside.sum(), 1 / max(rest, 1)), 1.0])))
+    f = (c + 1) / (c + 1).sum()
+    p = np.zeros((n + 2, 3 * WIDTH + 1), np.float32)
+    p[:, : 2 * WIDTH] = np.random.default_rng(seed).normal(0, 0.3, (n + 2, 2 * WIDTH))
+    return Vectors(words[order], order, classes, share.astype(np.float32), np.log(SAMPLED * f).astype(np.float32), np.cumsum(f), p)
+
+
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of `at`, the sum of each one's rows, and their number."""
+    order = np.argsort(at, kind="stable")
+    s = at[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    return s[first], np.add.reduceat(rows[order], first), np.diff(first, append=len(s))
+
+
+def learn(m: Vectors, p: np.ndarray, square: np.ndarray, touched: np.ndarray, table_: np.ndarray, two: np.ndarray, one: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
+    """Changes p by one batch; square and touched hold sums of each entry's three parts.
+
+    RUN tokens share SAMPLED noise words: steps are scaled by the size of gradients, so that a word's
+    noise must come in as small portions as its occurrences for both to keep their balance.
+    """
+    w, size = WIDTH, min(RUN, len(target))
+    two, one, target = (x[: len(x) // size * size] for x in (two, one, target))  # a last run that isn't full is left to the next pass
+    sampled = np.minimum(np.searchsorted(m.below, rng.random((len(target) // size, SAMPLED))), len(m.below) - 1)
+    q = p[two, :w] + p[one, w : 2 * w]
+    t, n = p[target, 2 * w :], p[sampled, 2 * w :]
+    context = m.classes[two] * CLASSES + m.classes[one]
+    real = np.einsum("ij,ij->i", q, t[:, :w]) + t[:, w] + table_[context, m.classes[target]] + m.share[target] - m.noise[target]
+    runs = q.reshape(-1, size, w)
+    false = runs @ n[:, :, :w].transpose(0, 2, 1) + (n[:, :, w] + m.share[sampled] - m.noise[sampled])[:, None, :] + table_[context.reshape(-1, size, 1), m.classes[sampled][:, None, :]]
+    e = -1 / (1 + np.exp(np.clip(real, -30, 30)))
+    f = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
+    gq = e[:, None] * t[:, :w] + (f @ n[:, :, :w]).reshape(-1, w)
+    qb = np.column_stack((q, np.ones(len(q), np.float32)))
+    gn = f.transpose(0, 2, 1) @ qb.reshape(-1, size, w + 1)
+    for part, (low, high), at, g in ((0, (0, w), two, gq), (1, (w, 2 * w), one, gq), (2, (2 * w, 3 * w + 1), np.concatenate((target, sampled.ravel())), np.concatenate((e[:, None] * qb, gn.reshape(-1, w + 1))))):
+        row, g, k = _sum_rows(at, g)
+        square[row, part] += (g * g).mean(1)
+        touched[row, part] += k
+        p[row, low:high] -= RATE * g / np.sqrt(square[row, part, None] + 1e-6)
+
+
+def train_pass(docs: DataFrame, m: Vectors, table_: np.ndarray, bits: int, number: int) -> np.ndarray:
+    """The vectors after one pass of all tasks over their training texts from m's."""
+    shared = docs.sparkSession.sparkContext.broadcast((m, table_.reshape(CLASSES * CLASSES, CLASSES).astype(np.float32)))
+    parts = np.repeat([0, 1, 2], [WIDTH, WIDTH, WIDTH + 1])
+
+    def run(batches):
+        m, table_ = shared.value
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng((number, part))
+        p, square, touched = m.p.copy(), np.zeros((len(m.p), 3), np.float32), np.zeros((len(m.p), 3), np.float32)
+        for _, _, flags, hashes, counts in _blocks(batches):
+            distinct, inverse = np.unique(hashes[np.repeat(flags, counts)], return_inverse=True)
+            tokens, ends = _with_ends(m.entries(distinct)[inverse], counts[flags], len(m.p) - 1)
+            if not len(tokens):
+                continue
+            two, one = _contexts(tokens, ends, len(m.p) - 1)
+            order = rng.permutation(len(tokens))
+            for i in range(0, len(order), BATCH):
+                at = order[i : i + BATCH]
+                learn(m, p, square, touched, table_, two[at], one[at], tokens[at], rng)
+        hit = np.flatnonzero(touched.any(1))
+        bucket = hit & ((1 << bits) - 1)
+        for k in np.unique(bucket):
+            at = hit[bucket == k]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (k, pa.int32()), (at.astype(np.uint32).tobytes(), pa.binary()), ((p[at] - m.p[at]).tobytes(), pa.binary()), (touched[at].tobytes(), pa.binary()))], names=["part", "bucket", "at", "change", "touched"])
+
+    def average(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        at = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["at"]]
+        row = np.unique(np.concatenate(at))
+        total, weight = np.zeros((len(row), 3 * WIDTH + 1)), np.zeros((len(row), 3))
+        for a, change, touched in zip(at, t["change"], t["touched"], strict=True):
+            k, n = np.searchsorted(row, a), np.frombuffer(touched.as_buffer(), np.float32).reshape(-1, 3)
+            total[k] += np.frombuffer(change.as_buffer(), np.float32).reshape(len(a), -1) * n[:, parts]
+            weight[k] += n
+        return pa.table({"at": pa.array([row.tobytes()], pa.binary()), "change": pa.array([(total / np.maximum(weight, 1)[:, parts]).astype(np.float32).tobytes()], pa.binary())})
+
+    sent = docs.mapInArrow(run, "part int, bucket int, at binary, change binary, touched binary")
+    out = m.p.copy()
+    for r in sent.groupBy("bucket").applyInArrow(average, "at binary, change binary").toLocalIterator():
+        at = np.frombuffer(r["at"], np.uint32)
+        out[at] += np.frombuffer(r["change"], np.float32).reshape(len(at), -1)
+    shared.unpersist()
+    return out
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of (doc_id, text, train)."""
     spark = docs.sparkSession
@@ -183,39 +319,47 @@ def score_texts(docs: DataFrame) -> DataFrame:
     row = totals.where("block is null").agg(F.sum("n"), F.sum("v")).first()
     n_docs = d.where("train").count()
     n, v = (row[0] or 0) + n_docs, (row[1] or 0) + (n_docs > 0)
-    top = totals.where("block is null").select(F.explode("head").alias("h")).select("h.word", "h.count").orderBy(F.desc("count"), "word").limit(HEAD).collect()
-    head = np.array([r["word"] for r in top], np.int64).astype(U64)
-    head_count = sum(r["count"] for r in top)
-    model = train_nce(class_triples(d, head)) / math.log(10)
+    known = totals.where("block is null and known is not null").select("known", "known_counts").collect()  # at most 16 bytes a word with vectors, as MOST_WORDS allows
+    word, count = (np.concatenate([np.frombuffer(r[k], t) for r in known] or [np.zeros(0, t)]) for k, t in (("known", U64), ("known_counts", np.int64)))
+    top = np.lexsort((word, -count))
+    top = top[: min(MOST_WORDS, max(HEAD, int((count >= LEAST).sum())))]
+    word, count = word[top], count[top]
+    head, head_count = word[:HEAD], int(count[:HEAD].sum())
+    natural = train_nce(class_triples(d, head))
+    model = natural / math.log(10)
     # the share of a word in the class of all other words: (c + 1) / rest, one share left for unknown words
-    rest = (n - n_docs - head_count) + (v - (n_docs > 0) - len(top)) + 1
+    rest = (n - n_docs - head_count) + (v - (n_docs > 0) - len(head)) + 1
     log_all, log_rest = math.log10(n + v + 1), math.log10(max(rest, 1))
-    shared = spark.sparkContext.broadcast((model.astype(np.float64), head))  # 2 MB, whatever the corpus
+    m = vectors(word, count, len(head), n - n_docs - int(count.sum()), rest, n_docs)
+    for number in range(PASSES if n else 0):
+        m.p = train_pass(d.where("train"), m, natural, bits, number)
+    shared = spark.sparkContext.broadcast((model.astype(np.float64), m))  # 2 MB, and 216 bytes a word with vectors
 
     def tokens(batches):
         for block, ids, _, hashes, counts in _blocks(batches):
             distinct, inverse = np.unique(hashes, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([inverse.astype(np.uint32).tobytes()], pa.binary()), pa.array([_class_of(distinct, shared.value[1]).astype(np.uint8).tobytes()], pa.binary())],
-                names=["block", "ids", "counts", "tokens", "classes"],
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([inverse.astype(np.uint32).tobytes()], pa.binary()), pa.array([shared.value[1].entries(distinct).astype(np.uint32).tobytes()], pa.binary())],
+                names=["block", "ids", "counts", "tokens", "entries"],
             )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        table_, _ = shared.value
+        table_, m = shared.value
         out = {k: [] for k in ("doc_id", "n_tokens", "n_known", "base_score", "score")}
         right = right.sort_by("bucket")
         total = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in right["totals"]]) if len(right) else np.zeros(0, np.int64)
         for k in range(len(left)):
             ids, counts = left["ids"][k].as_py(), np.asarray(left["counts"][k].values, np.int64)
-            of, classes = np.frombuffer(left["tokens"][k].as_buffer(), np.uint32), np.frombuffer(left["classes"][k].as_buffer(), np.uint8).astype(np.int64)
+            of, entries = np.frombuffer(left["tokens"][k].as_buffer(), np.uint32), np.frombuffer(left["entries"][k].as_buffer(), np.uint32).astype(np.int64)
+            classes = m.classes[entries]
             if len(total) != len(classes):
                 raise RuntimeError("a block's words differ between two reads of its input")
-            token_class, ends = _with_ends(classes[of], counts, END)
-            two, one = _contexts(token_class, ends)
+            token, ends = _with_ends(entries[of], counts, len(m.classes) - 1)
+            two, one = _contexts(token, ends, len(m.classes) - 1)
             base, _ = _with_ends((np.log10(total + 1) - log_all)[of], counts, math.log10(n_docs + 1) - log_all)
             inner, _ = _with_ends(np.where(classes == OTHER, np.log10(total + 1) - log_rest, 0.0)[of], counts, 0.0)
             known, _ = _with_ends((total > 0).astype(np.int64)[of], counts, int(n_docs > 0))
-            full = table_[two, one, token_class] + inner
+            full = table_[m.classes[two], m.classes[one], m.classes[token]] + inner + m.gain(two, one, token) / math.log(10)
             starts = np.concatenate(([0], ends[:-1] + 1))
             out["doc_id"] += ids
             out["n_tokens"].append(counts + 1)
@@ -223,7 +367,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 out[name].append(np.add.reduceat(x, starts))
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), **{k: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64 if k.startswith("n_") else float)) for k, x in out.items() if k != "doc_id"}})
 
-    blocks = d.mapInArrow(tokens, "block long, ids array<long>, counts array<long>, tokens binary, classes binary")
+    blocks = d.mapInArrow(tokens, "block long, ids array<long>, counts array<long>, tokens binary, entries binary")
     back = totals.where("block is not null").select("block", "bucket", "totals")
     s = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return s.withColumn("train_tokens", F.lit(int(n)).cast("long"))

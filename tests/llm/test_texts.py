@@ -154,6 +154,16 @@ def test_model_is_normalised():
     assert np.allclose(np.exp(lm_score.train_nce(np.zeros((4, 4, 4)))), 0.25)
 
 
+def test_content_words_have_their_own_contexts(spark):
+    rng, n = random.Random(6), 200  # y7 only ever follows x7; all words are about as frequent
+    rows = [(i, " ".join(f"x{k} y{k}" for k in rng.choices(range(n), k=40))) for i in range(1500)]
+    right, wrong = (" ".join(f"x{k} y{(k + d) % n}" for k in range(n)) for d in (0, 1))
+    docs = frame(spark, [*rows, (9001, right), (9002, wrong)]).withColumn("train", F.col("doc_id") < 9000)
+    got = {r.doc_id: r for r in lm_score.score_texts(docs).where("doc_id > 9000").collect()}
+    assert math.isclose(got[9001].base_score, got[9002].base_score, rel_tol=1e-9)
+    assert got[9001].score - got[9002].score > 0.5 * n
+
+
 def test_scores_without_training_texts(spark):
     docs = frame(spark, [(1, "a b"), (2, "")]).withColumn("train", F.lit(False))
     got = {r.doc_id: r for r in lm_score.score_texts(docs).collect()}
