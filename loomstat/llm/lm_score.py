@@ -267,7 +267,7 @@ def learn(m: Vectors, p: np.ndarray, square: np.ndarray, touched: np.ndarray, ta
 def train_pass(docs: DataFrame, m: Vectors, table_: np.ndarray, bits: int, number: int) -> np.ndarray:
     """The vectors after one pass of all tasks over their training texts from m's."""
     shared = docs.sparkSession.sparkContext.broadcast((m, table_.reshape(CLASSES * CLASSES, CLASSES).astype(np.float32)))
-    parts = np.repeat([0, 1, 2], [WIDTH, WIDTH, WIDTH + 1])
+    ends_of = ((0, WIDTH), (WIDTH, 2 * WIDTH), (2 * WIDTH, 3 * WIDTH + 1))
 
     def run(batches):
         m, table_ = shared.value
@@ -284,29 +284,31 @@ def train_pass(docs: DataFrame, m: Vectors, table_: np.ndarray, bits: int, numbe
             for i in range(0, len(order), BATCH):
                 at = order[i : i + BATCH]
                 learn(m, p, square, touched, table_, two[at], one[at], tokens[at], rng)
-        hit = np.flatnonzero(touched.any(1))
-        bucket = hit & ((1 << bits) - 1)
-        for k in np.unique(bucket):
-            at = hit[bucket == k]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (k, pa.int32()), (at.astype(np.uint32).tobytes(), pa.binary()), ((p[at] - m.p[at]).tobytes(), pa.binary()), (touched[at].tobytes(), pa.binary()))], names=["part", "bucket", "at", "change", "touched"])
+        for kind, (low, high) in enumerate(ends_of):
+            hit = np.flatnonzero(touched[:, kind])
+            bucket = hit & ((1 << bits) - 1)
+            for k in np.unique(bucket):
+                at = hit[bucket == k]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (k, pa.int32()), (kind, pa.int32()), (at.astype(np.uint32).tobytes(), pa.binary()), ((p[at, low:high] - m.p[at, low:high]).astype(np.float16).tobytes(), pa.binary()), (touched[at, kind].tobytes(), pa.binary()))], names=["part", "bucket", "kind", "at", "change", "touched"])
 
     def average(t: pa.Table) -> pa.Table:
         t = t.sort_by("part")
         at = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["at"]]
         row = np.unique(np.concatenate(at))
-        total, weight = np.zeros((len(row), 3 * WIDTH + 1)), np.zeros((len(row), 3))
+        kind = t["kind"][0].as_py()
+        total, weight = np.zeros((len(row), ends_of[kind][1] - ends_of[kind][0])), np.zeros((len(row), 1))
         for a, change, touched in zip(at, t["change"], t["touched"], strict=True):
-            k, n = np.searchsorted(row, a), np.frombuffer(touched.as_buffer(), np.float32).reshape(-1, 3)
-            total[k] += np.frombuffer(change.as_buffer(), np.float32).reshape(len(a), -1) * n[:, parts]
+            k, n = np.searchsorted(row, a), np.frombuffer(touched.as_buffer(), np.float32)[:, None]
+            total[k] += np.frombuffer(change.as_buffer(), np.float16).reshape(len(a), -1) * n
             weight[k] += n
-        return pa.table({"at": pa.array([row.tobytes()], pa.binary()), "change": pa.array([(total / np.maximum(weight, 1)[:, parts]).astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"kind": pa.array([kind], pa.int32()), "at": pa.array([row.tobytes()], pa.binary()), "change": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
-    sent = docs.mapInArrow(run, "part int, bucket int, at binary, change binary, touched binary")
+    sent = docs.mapInArrow(run, "part int, bucket int, kind int, at binary, change binary, touched binary")
     out = m.p.copy()
-    for r in sent.groupBy("bucket").applyInArrow(average, "at binary, change binary").toLocalIterator():
-        at = np.frombuffer(r["at"], np.uint32)
-        out[at] += np.frombuffer(r["change"], np.float32).reshape(len(at), -1)
-    shared.unpersist()
+    for r in sent.groupBy("bucket", "kind").applyInArrow(average, "kind int, at binary, change binary").collect():  # at most 4 bytes a number of MOST_WORDS entries
+        at, (low, high) = np.frombuffer(r["at"], np.uint32), ends_of[r["kind"]]
+        out[at, low:high] += np.frombuffer(r["change"], np.float32).reshape(len(at), -1)
+    shared.destroy()
     return out
 
 
