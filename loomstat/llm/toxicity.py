@@ -3,8 +3,8 @@
 A text's features are the hashed character n-grams (4 and 5 characters, A-Z as a-z, with the
 text's ends padded) that it holds at least once.  On labelled texts each n-gram gets the ratio
 r = ln(p / q) of its smoothed shares in toxic and clean texts; a logistic regression is then
-trained on features scaled by r.  N-grams whose r is less than ``SURE`` standard errors from 0
-count as 0, and so do all but the ``KEPT`` surest.
+trained on features scaled by r.  All n-grams of the labelled texts count; the L2 penalty holds weak
+ones down.  Training rows are sparse: memory follows the labelled texts, not rows times n-grams.
 
 Training takes at most ``MOST_ROWS`` labelled texts of each label, chosen by hash of the id.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import column, fold_of, table, texts_of
 from .quality_rank import bounded_labels
 
-MOST_ROWS, KEPT, SURE, BITS, SIZES = 1500, 2048, 4.0, 20, (4, 5)
+MOST_ROWS, BITS, SIZES = 1500, 20, (4, 5)
 SLICE_CHARS = 1 << 18
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
@@ -57,7 +57,7 @@ def runs(texts: list[str]):
 
 @dataclass(frozen=True)
 class Classifier:
-    weights: np.ndarray  # by bucket, 0 for n-grams that aren't kept
+    weights: np.ndarray  # by bucket, 0 for n-grams that no labelled text holds
     intercept: float
 
     def margin(self, texts: list[str]) -> np.ndarray:
@@ -85,28 +85,28 @@ def fit(features: list[np.ndarray], label: np.ndarray, base_rate: float, smoothi
     for f, y in zip(features, label, strict=True):
         count[int(y)][f] += 1
     r = np.log((count[1] + smoothing) / (toxic + 2 * smoothing)) - np.log((count[0] + smoothing) / (clean + 2 * smoothing))
-    sure = np.abs(r) / np.sqrt(1 / (count[1] + smoothing) + 1 / (count[0] + smoothing))
-    kept = np.sort(np.argsort(-sure, kind="stable")[:KEPT])
-    kept = kept[sure[kept] >= SURE]
-    place = np.full(size, -1)
-    place[kept] = np.arange(len(kept))
-    x = np.zeros((len(label), len(kept)), np.float32)
-    for i, f in enumerate(features):
-        at = place[f]
-        x[i, at[at >= 0]] = 1
-    x *= r[kept].astype(np.float32)
+    place = np.flatnonzero(count[0] + count[1])
+    lookup = np.zeros(size, np.int32)
+    lookup[place] = np.arange(len(place))
+    some = [range(i, min(i + 64, len(features))) for i in range(0, len(features), 64)]  # temporaries of a step stay small
+    rows = [(k.start, k.stop, np.repeat(np.arange(len(k), dtype=np.int32), [len(features[i]) for i in k]), np.concatenate([lookup[features[i]] for i in k])) for k in some]
+    scale = r[place]
     y = label.astype(np.float32)
     weight = np.where(y == 1, 0.5 / toxic, 0.5 / clean).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    w, b = np.zeros(len(place), np.float32), 0.0
+    m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
     for t in range(1, steps + 1):  # Adam on the whole (bounded) sample
-        e = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * weight
-        g = np.append(x.T @ e + l2 * w, e.sum())
+        g, scaled = np.zeros(len(place) + 1), w * scale
+        for i, j, row, at in rows:
+            e = (1 / (1 + np.exp(-np.clip(np.bincount(row, scaled[at], j - i) + b, -30, 30))) - y[i:j]) * weight[i:j]
+            g[:-1] += np.bincount(at, e[row], len(place))
+            g[-1] += e.sum()
+        g[:-1] = g[:-1] * scale + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     full = np.zeros(size, np.float32)
-    full[kept] = w * r[kept]
+    full[place] = w * scale
     rate = min(max(base_rate, 1e-4), 1 - 1e-4)
     return Classifier(full, float(b + np.log(rate / (1 - rate)) / 2))
 

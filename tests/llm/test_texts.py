@@ -155,8 +155,9 @@ def test_model_is_normalised():
 
 
 def test_content_words_have_their_own_contexts(spark):
-    rng, n = random.Random(6), 200  # y7 only ever follows x7; all words are about as frequent
-    rows = [(i, " ".join(f"x{k} y{k}" for k in rng.choices(range(n), k=40))) for i in range(1500)]
+    rng, n = random.Random(6), 200  # y7 only ever follows x7
+    often = " ".join(f"f{k}" for k in range(lm_score.HEAD))  # these alone are the most frequent words
+    rows = [(i, often + " " + " ".join(f"x{k} y{k}" for k in rng.choices(range(n), k=40))) for i in range(1500)]
     right, wrong = (" ".join(f"x{k} y{(k + d) % n}" for k in range(n)) for d in (0, 1))
     docs = frame(spark, [*rows, (9001, right), (9002, wrong)]).withColumn("train", F.col("doc_id") < 9000)
     got = {r.doc_id: r for r in lm_score.score_texts(docs).where("doc_id > 9000").collect()}
@@ -196,6 +197,18 @@ def test_classifiers_on_odd_tables(spark):
     assert toxicity.score_texts(empty, toxicity.train(empty, lab), ["doc_id"]).count() == 0
 
 
+def test_toxic_words_of_few_texts_count():
+    rng = random.Random(8)  # each toxic text holds one of 40 toxic words, so that a word is in 2.5 % of them
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    plain, toxic = [word() for _ in range(300)], [word() for _ in range(40)]
+    text = lambda extra: " ".join([*rng.choices(plain, k=20), *extra])
+    texts = [text([toxic[i % 40]] if i < 400 else []) for i in range(800)]
+    found = [np.unique(np.concatenate([toxicity.grams([t], s)[0] for s in toxicity.SIZES])) for t in texts]
+    model = toxicity.fit(found, np.array([1] * 400 + [0] * 400), 0.5)
+    bad, good = model.score([text([t]) for t in toxic]), model.score([text([]) for _ in range(40)])
+    assert (bad >= 0.7).mean() >= 0.9 and (good < 0.7).mean() >= 0.9
+
+
 def test_pairwise_loss_orders_scores():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400)
