@@ -9,17 +9,22 @@ of the token count.  Transitions are compiled when first met and kept.
 A text is cut into chunks.  Every token ends where white space begins, so whatever state a
 chunk is entered in, the state after its first white space is the same: its state map is the
 triple (text before the first white space, tokens between, text after the last).  ``compose``
-is associative, so the maps of a text's chunks fold by a prefix scan in any bracketing.
+is associative, so the maps of a text's chunks compose in any bracketing: by a tree of groups of
+``fan`` neighbours, each level in parallel, so that no group grows with the text.
 
 Defined results: null text is empty, an empty text has 0 tokens, equal rows are counted each,
-null ids are kept.
+null ids are kept, and columns besides doc_id and text are not read.  Of a text of any length only
+the maps of its chunks move; a chunk without white space is its own map, so a text without any is
+put together and counted as the one word it is, by one task.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
+from functools import reduce
 
 import pyarrow as pa
 import regex
@@ -191,6 +196,10 @@ class SegmentCounts(dict):
             return (a[0], a[1], a[2] + b[0])
         return (a[0], a[1] + self[a[2] + b[0]] + b[1], b[2])
 
+    def count(self, text: str) -> int:
+        """Tokens of a whole text."""
+        return self.total(self.state_map(text))
+
     def total(self, m: tuple) -> int:
         return self[m[0]] + m[1] + (self[m[2]] if m[2] is not None else 0)
 
@@ -205,43 +214,48 @@ def counter(path: str) -> SegmentCounts:
     return _COUNTERS[path]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 1 << 16) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 1 << 16, fan: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of each row of (doc_id, text), any length of text.
 
-    `tokenizer` is the path of a vocabulary file, there on every executor.
+    `tokenizer` is the path of a vocabulary file, there on every executor.  Texts of one chunk are
+    counted where they lie; the state maps of longer texts are composed `fan` neighbours at a time.
     """
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.length("text") / chunk_chars)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda k: F.substr("text", k * chunk_chars + 1, F.lit(chunk_chars)))
-    chunked = d.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), n_chunks.alias("n_chunks"), F.posexplode(F.when(n_chunks > 1, chunks).otherwise(F.array("text"))).alias("chunk", "part"))
+    d = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.ceil(F.length("text") / chunk_chars).alias("n_chunks"))
+
+    def whole(batches):
+        counts = counter(tokenizer)
+        for b in batches:
+            n = list(map(counts.count, column(b, "text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    names, kinds = ["row", "doc_id", "n_bytes", "chunk", "head", "body", "tail"], "row long, doc_id long, n_bytes long, chunk long, head string, body long, tail string"
 
     def maps(batches):
         counts = counter(tokenizer)
         for b in batches:
-            out = []
-            for part, n in zip(column(b, "part").to_pylist(), column(b, "n_chunks").to_pylist(), strict=True):
-                m = counts.state_map(part)
-                out.append(m if n > 1 else ("", counts.total(m), ""))  # a whole text: its final count
-            yield pa.RecordBatch.from_arrays(
-                [column(b, c) for c in ("row", "doc_id", "n_bytes", "n_chunks", "chunk")]
-                + [pa.array([m[0] for m in out], pa.string()), pa.array([m[1] for m in out], pa.int64()), pa.array([m[2] for m in out], pa.string())],
-                names=["row", "doc_id", "n_bytes", "n_chunks", "chunk", "head", "body", "tail"],
-            )
-
-    m = chunked.mapInArrow(maps, "row long, doc_id long, n_bytes long, n_chunks int, chunk int, head string, body long, tail string")
-
-    def fold(key, t):
+            head, body, tail = zip(*map(counts.state_map, column(b, "part").to_pylist()), strict=True) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names[:4]), pa.array(head, pa.string()), pa.array(body, pa.int64()), pa.array(tail, pa.string())], names=names)
+
+    def compose(t):
+        counts, t = counter(tokenizer), t.sort_by("chunk")
+        m = reduce(counts.compose, zip(*(t[c].to_pylist() for c in ("head", "body", "tail")), strict=True))
+        first = t.slice(0, 1).select(names[:3])
+        return pa.table([*first.columns, pa.array([t["chunk"][0].as_py() // fan]), pa.array(m[:1], pa.string()), pa.array(m[1:2], pa.int64()), pa.array(m[2:], pa.string())], names=names)
+
+    def totals(batches):
         counts = counter(tokenizer)
-        t = t.sort_by("chunk")
-        whole = None
-        for x in zip(t["head"].to_pylist(), t["body"].to_pylist(), t["tail"].to_pylist(), strict=True):
-            whole = x if whole is None else counts.compose(whole, x)
-        return pa.table({"doc_id": t["doc_id"][:1], "n_bytes": t["n_bytes"][:1], "n_tokens": pa.array([counts.total(whole)], pa.int64())})
-
-    # Each map is (at most) three short values, so texts never move between tasks.  Texts of one
-    # chunk are done; only the maps of longer texts meet to be composed.
-    long_ones = m.where("n_chunks > 1").groupBy("row").applyInArrow(fold, "doc_id long, n_bytes long, n_tokens long")
-    return m.where("n_chunks = 1").select("doc_id", "n_bytes", F.col("body").alias("n_tokens")).unionAll(long_ones)
+        for b in batches:
+            n = [counts.total(m) for m in zip(*(column(b, c).to_pylist() for c in ("head", "body", "tail")), strict=True)]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    counted = "doc_id long, n_bytes long, n_tokens long"
+    cuts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1), lambda k: F.substr("text", (k * chunk_chars + 1).cast("int"), F.lit(chunk_chars)))
+    m = d.where("n_chunks > 1").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "n_bytes", F.posexplode(cuts).alias("chunk", "part"))
+    m = m.withColumn("chunk", F.col("chunk").cast("long")).mapInArrow(maps, kinds)
+    most = math.ceil((1 << 31) / chunk_chars)  # no text is longer
+    while most > 1:
+        m, most = m.groupBy("row", F.floor(F.col("chunk") / fan)).applyInArrow(compose, kinds), math.ceil(most / fan)
+    return d.where("n_chunks <= 1").mapInArrow(whole, counted).unionAll(m.mapInArrow(totals, counted))
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
