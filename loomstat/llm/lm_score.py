@@ -4,30 +4,29 @@ Vocabulary and counts come from all training texts: blocks of texts send their w
 ranges, as packed arrays, one entry a word and block) to the tasks that own the ranges, which add
 the counts up and send each block its words' totals.
 
-The model is a product of two log-bilinear models.  The first predicts one of 64 classes from the
-two classes before: the ``HEAD`` most frequent words, one class for all other words, and the end of
-a text (which also stands before its beginning).  A context is the sum of its classes' vectors, each through the matrix of its
-position; a class's score is the product of that sum with the class's vector, plus its bias.
-Counts of class triples over all training texts are sufficient for training, which is done in
-numpy on that table of fixed size (64 * 64 * 64), by noise-contrastive estimation against the class
-frequencies: the loss telling data from noise, its noise expectation taken over all classes.
-Normalised log-probabilities of all contexts are one batched matrix product.  A word outside the
-head has the probability of its class times its smoothed share (c + 1) in it, words that training
-texts don't hold together counting as one more word.
-
-The second multiplies that probability by exp(q . t + b), where t and b are the word's own, and q is
-the sum of the own vectors of the two words before, one table for each position.  Every word that
-training texts hold at least ``LEAST`` times has vectors (only above ``MOST_WORDS`` such words, what
-a task holds in memory, the most frequent of them); rarer words share one entry.  Its vectors are
-learned by noise-contrastive estimation over all tokens of all training texts: each task goes
-through its texts with noise words sampled by frequency, and sends the changes of the entries it
-touched to the tasks that average them, weighted by how often each was touched; that ``PASSES``
-times.  The product starts normalised and noise-contrastive estimation keeps it close to that; it
-isn't normalised again for scores.
+Every word that training texts hold at least ``LEAST`` times is an entry with vectors of its own (only
+above ``MOST_WORDS`` such words, what a task holds in memory, those above a higher count); all other
+words share one entry, and the end of a text, which also stands before its beginning, is one.  The
+entry of rank r by frequency is in class floor(sqrt(r)), so classes grow in number and in size with
+the vocabulary.  A context q is the sum of the vectors of the two entries before, a table for each
+position.  The probability of an entry is
+
+    softmax over classes of (q . u + a)  *  softmax over the class's entries of (q . t + b)
+
+with vectors u, t and biases a, b: log-bilinear twice, and normalised exactly by batched matrix products
+whose cost is as the square root of the vocabulary.  A word of the shared entry has its smoothed share
+(c + 1) of it, words that training texts don't hold together counting as one more word.
+
+Vectors are learned by noise-contrastive estimation over all tokens of all training texts, with noise
+classes drawn by frequency and noise words drawn within the class.  Tasks that each take about
+``SHARD_TOKENS`` tokens go through their texts and send the changes of the entries they touched to the
+tasks that average them, weighted by how often each was touched; that ``PASSES`` times.
 
 Defined results: null text is empty; an empty text is its end alone; a null id is held out or not as
 the fold of null (never held out, never learned from); without training texts N = V = 0 and the
-model is uniform over classes, without vectors; equal rows are scored each.
+model is uniform over its two entries; equal rows are scored each; columns besides doc_id, text and
+train are not read; a text of any length is scored whole, in the block that holds it.  The table must read
+the same twice, as written tables do: a block is the same rows of the same partition.
 """
 
 from __future__ import annotations
@@ -37,33 +36,37 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, column, cut, fold_of, slices, table, texts_of, word_hashes, words
 
-HEAD, WIDTH, NOISE, STEPS = 62, 16, 10, 400
-OTHER, END, CLASSES = HEAD, HEAD + 1, HEAD + 2
-BLOCK_BYTES = 8 << 20
-LEAST, MOST_WORDS, PASSES = 5, 1 << 19, 1
-BATCH, RUN, SAMPLED, RATE = 2048, 16, 16, 0.1
-_EMPTY = np.zeros(0, U64)
+WIDTH, LEAST, MOST_WORDS, PASSES = 16, 5, 1 << 17, 1
+BLOCK_BYTES, BUCKET_BYTES, SHARD_TOKENS = 8 << 20, 32 << 20, 1 << 23
+#: Tokens of a training step, tokens that share noise classes, their number, noise words of a token, step size.
+BATCH, RUN, SAMPLED, DRAWN, RATE = 4096, 16, 16, 4, 0.1
+LEVELS = 256
 
 
 def _blocks(batches):
-    """(block, ids, training flags, word hashes, words of each text) of runs of about BLOCK_BYTES."""
+    """(block, ids, training flags, word hashes, words of each text) of rows up to the one that makes BLOCK_BYTES full."""
     part, number, held = TaskContext.get().partitionId(), 0, 0
     ids, flags, hashes, counts = [], [], [], []
     for b in batches:
-        b_ids, b_flags = column(b, "doc_id"), column(b, "train").to_numpy(zero_copy_only=False).astype(bool)
-        for i, j, raw, offsets in slices(column(b, "text")):
-            starts, ends, first = words(raw, offsets)
-            ids += b_ids[i:j].to_pylist()
-            flags.append(b_flags[i:j])
-            hashes.append(word_hashes(raw, starts, ends))
-            counts.append(np.diff(first))
-            held += len(raw)
+        texts, b_ids, b_flags = column(b, "text"), column(b, "doc_id"), column(b, "train").to_numpy(zero_copy_only=False).astype(bool)
+        upto, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while first < len(texts):
+            begun = upto[first - 1] if first else 0
+            stop = min(int(np.searchsorted(upto, begun + BLOCK_BYTES - held)) + 1, len(texts))
+            for _, _, raw, offsets in slices(texts.slice(first, stop - first)):
+                starts, ends, at = words(raw, offsets)
+                hashes.append(word_hashes(raw, starts, ends))
+                counts.append(np.diff(at))
+            ids += b_ids[first:stop].to_pylist()
+            flags.append(b_flags[first:stop])
+            held, first = held + upto[stop - 1] - begun, stop
             if held >= BLOCK_BYTES:
                 yield part << 24 | number, ids, np.concatenate(flags), np.concatenate(hashes), np.concatenate(counts)
                 number, held, ids, flags, hashes, counts = number + 1, 0, [], [], [], []
@@ -71,16 +74,21 @@ def _blocks(batches):
         yield part << 24 | number, ids, np.concatenate(flags), np.concatenate(hashes), np.concatenate(counts)
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(4 * np.log2(counts), LEVELS - 1).astype(np.int64)
+
+
 def word_totals(docs: DataFrame, bits: int) -> DataFrame:
     """Rows (block, bucket, totals) for each block and hash range, in order of the block's word hashes;
-    and a row of each range (block null): n tokens and v words that training texts hold, and its words that may get vectors (``known`` and ``known_counts``, packed)."""
+    and a row of each range (block null): n tokens and v words that training texts hold, its words of
+    LEAST tokens (``known`` and ``known_counts``, packed), and how many of them are at each level of counts."""
 
     def send(batches):
         for block, _, flags, hashes, counts in _blocks(batches):
             distinct, inverse = np.unique(hashes, return_inverse=True)
             train = np.bincount(inverse[np.repeat(flags, counts)], minlength=len(distinct))
-            cuts = np.searchsorted(distinct >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
-            rows = [(block, k, distinct[i:j].tobytes(), train[i:j].astype(np.uint32).tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff((distinct >> U64(64 - bits)).astype(np.int64))) + 1, [len(distinct)])) if len(distinct) else np.zeros(1, np.int64)
+            rows = [(block, int(distinct[i] >> U64(64 - bits)), distinct[i:j].tobytes(), train[i:j].astype(np.uint32).tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "bucket", "words", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
@@ -88,28 +96,39 @@ def word_totals(docs: DataFrame, bits: int) -> DataFrame:
         sizes = [len(k) for k in keys]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         c = np.bincount(inverse, np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t["counts"]]), len(distinct)).astype(np.int64)
-        top = np.lexsort((distinct, -c))
-        top = top[: min(MOST_WORDS, max(HEAD, int((c >= LEAST).sum())))]
-        top = top[c[top] > 0]
+        often = c >= LEAST
         back = [x.astype(np.int64).tobytes() for x in np.split(c[inverse], np.cumsum(sizes)[:-1])]
         k = len(back)
         return pa.table({
             "block": pa.array([*t["block"].to_pylist(), None], pa.int64()), "bucket": pa.array([*t["bucket"].to_pylist(), None], pa.int32()), "totals": pa.array([*back, None], pa.binary()),
             "n": pa.array([None] * k + [int(c.sum())], pa.int64()), "v": pa.array([None] * k + [int((c > 0).sum())], pa.int64()),
-            "known": pa.array([None] * k + [distinct[top].tobytes()], pa.binary()), "known_counts": pa.array([None] * k + [c[top].tobytes()], pa.binary()),
+            "known": pa.array([None] * k + [distinct[often].tobytes()], pa.binary()), "known_counts": pa.array([None] * k + [c[often].tobytes()], pa.binary()),
+            "levels": pa.array([None] * k + [np.bincount(_level(c[often]), minlength=LEVELS).tolist()], pa.list_(pa.int64())),
         })
 
     sent = docs.mapInArrow(send, "block long, bucket int, words binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "block long, bucket int, totals binary, n long, v long, known binary, known_counts binary")
-
-
-def _class_of(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Class of each word; head holds the hashes of classes 0, 1, ..."""
-    order = np.argsort(head)
-    if not len(head):
-        return np.full(len(hashes), OTHER, np.int64)
-    at = np.minimum(np.searchsorted(head[order], hashes), len(head) - 1)
-    return np.where(head[order][at] == hashes, order[at], OTHER)
+    return sent.groupBy("bucket").applyInArrow(add, "block long, bucket int, totals binary, n long, v long, known binary, known_counts binary, levels array<long>")
+
+
+def vocabulary(totals: DataFrame, most: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the words with vectors, by falling count."""
+    ranges = totals.where("block is null")
+    by_level = {r["level"]: r["words"] for r in ranges.select(F.posexplode("levels").alias("level", "words")).groupBy("level").agg(F.sum("words").alias("words")).collect()}  # LEVELS rows
+    lowest, n = LEVELS, 0
+    while lowest > 0 and n + by_level.get(lowest - 1, 0) <= most:
+        lowest, n = lowest - 1, n + by_level.get(lowest - 1, 0)
+
+    def often(batches):
+        for b in batches:
+            for w, c in zip(column(b, "known"), column(b, "known_counts"), strict=True):
+                w, c = np.frombuffer(w.as_buffer(), U64), np.frombuffer(c.as_buffer(), np.int64)
+                keep = _level(c) >= lowest
+                yield pa.RecordBatch.from_arrays([pa.array([w[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], names=["known", "known_counts"])
+
+    rows = ranges.select("known", "known_counts").mapInArrow(often, "known binary, known_counts binary").collect()  # 16 bytes a word, `most` words at most
+    word, count = (np.concatenate([np.frombuffer(r[k], t) for r in rows] or [np.zeros(0, t)]) for k, t in (("known", U64), ("known_counts", np.int64)))
+    top = np.lexsort((word, -count))
+    return word[top], count[top]
 
 
 def _with_ends(values: np.ndarray, counts: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +141,8 @@ def _with_ends(values: np.ndarray, counts: np.ndarray, end) -> tuple[np.ndarray,
     return out, ends
 
 
-def _contexts(classes: np.ndarray, ends: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-    """The class before the one before each token, and the one before it; `end` before the first."""
+def _contexts(classes: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entry two places before each token, and the one before it; `end` before the first."""
     one, two = np.full(len(classes), end), np.full(len(classes), end)
     one[1:] = classes[:-1]
     two[2:] = classes[:-2]
@@ -134,179 +153,176 @@ def _contexts(classes: np.ndarray, ends: np.ndarray, end: int = END) -> tuple[np
     return two, one
 
 
-def class_triples(docs: DataFrame, head: np.ndarray) -> np.ndarray:
-    """How often each class follows each two classes, over all training texts."""
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
-    def run(batches):
-        total = np.zeros(CLASSES**3, np.int64)
-        for _, _, flags, hashes, counts in _blocks(batches):
-            keep = np.repeat(flags, counts)
-            classes, ends = _with_ends(_class_of(hashes[keep], head), counts[flags], END)
-            if len(classes):
-                two, one = _contexts(classes, ends)
-                total += np.bincount((two * CLASSES + one) * CLASSES + classes, minlength=CLASSES**3)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
-
-    rows = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most 64^3 rows
-    out = np.zeros(CLASSES**3)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"]
-    return out.reshape(CLASSES, CLASSES, CLASSES)
-
-
-def train_nce(triples: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int = STEPS, seed: int = 3) -> np.ndarray:
-    """Normalised natural-log probabilities [class two before, class before, class]."""
-    c = triples.shape[0]
-    total = triples.sum()
-    if not total:
-        return np.full(triples.shape, -math.log(c))
-    rng = np.random.default_rng(seed)
-    unigram = (triples.sum((0, 1)) + 1) / (total + c)
-    data = triples.reshape(c * c, c) / total  # rows: contexts
-    against = data.sum(1, keepdims=True) * noise * unigram  # expected noise in the same contexts
-    shift = np.log(noise * unigram)
-    # one-hot contexts through vectors R and position matrices: for two positions, tables A and B of width `width`
-    p = {"r": rng.normal(0, 0.1, (c, width)), "two": np.eye(width) * 0.5, "one": np.eye(width), "t": rng.normal(0, 0.1, (c, width)), "b": np.log(unigram)}
-    m = {k: np.zeros_like(x) for k, x in p.items()}
-    v = {k: np.zeros_like(x) for k, x in p.items()}
-    for step in range(1, steps + 1):
-        two, one = p["r"] @ p["two"], p["r"] @ p["one"]
-        q = (two[:, None, :] + one[None, :, :]).reshape(c * c, width)
-        real = 1 / (1 + np.exp(np.clip(shift - (q @ p["t"].T + p["b"]), -40, 40)))  # probability of being data
-        e = real * (data + against) - data
-        gq = (e @ p["t"]).reshape(c, c, width)
-        g_two, g_one = gq.sum(1), gq.sum(0)
-        g = {"r": g_two @ p["two"].T + g_one @ p["one"].T, "two": p["r"].T @ g_two, "one": p["r"].T @ g_one, "t": e.T @ q, "b": e.sum(0)}
-        rate = 0.05 * (1 - step / (steps + 1)) + 0.001
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-10)
-    q = ((p["r"] @ p["two"])[:, None, :] + (p["r"] @ p["one"])[None, :, :]).reshape(c * c, width)
-    s = q @ p["t"].T + p["b"]
-    s -= s.max(1, keepdims=True)
-    return (s - np.log(np.exp(s).sum(1, keepdims=True))).reshape(c, c, c)
+
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of `at`, the sum of each one's rows, and their number."""
+    order = np.argsort(at, kind="stable")
+    s = at[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    return s[first], np.add.reduceat(rows[order], first), np.diff(first, append=len(s))
+
+
+#: Columns of each part of a row of Model.p: two places before, one place before, as target with its bias.
+PARTS = ((0, WIDTH), (WIDTH, 2 * WIDTH), (2 * WIDTH, 3 * WIDTH + 1))
 
 
 @dataclass
-class Vectors:
-    """Words by falling frequency, then the entry of all other words, then that of the end of a text."""
+class Model:
+    """Entries are words by falling frequency, then all other words, then the end of a text."""
 
     words: np.ndarray  # sorted hashes
     entry: np.ndarray  # of each of them
-    classes: np.ndarray  # of each entry, in the class model
-    share: np.ndarray  # log of each entry's share of its class
-    noise: np.ndarray  # log of SAMPLED times each entry's frequency
+    class_of: np.ndarray  # of each entry
+    low: np.ndarray  # first entry of each class, and the number of entries behind
     below: np.ndarray  # sums of the frequencies of entries up to each
-    p: np.ndarray  # rows of each entry: vector two places before, one place before, as target, and its bias
+    class_below: np.ndarray  # and of classes
+    noise: np.ndarray  # log of DRAWN times each entry's share of its class
+    class_noise: np.ndarray  # log of SAMPLED times each class's frequency
+    p: np.ndarray  # a row for each entry and, behind them, each class (only as target)
+
+    @property
+    def other(self) -> int:
+        return len(self.class_of) - 2
+
+    @property
+    def end(self) -> int:
+        return len(self.class_of) - 1
 
     def entries(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
-            return np.full(len(hashes), len(self.classes) - 2, np.int64)
+            return np.full(len(hashes), self.other, np.int64)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.entry[at], len(self.classes) - 2)
+        return np.where(self.words[at] == hashes, self.entry[at], self.other)
+
+    def contexts(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return self.p[two, :WIDTH] + self.p[one, WIDTH : 2 * WIDTH]
 
-    def gain(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log of what each token's class probability is multiplied by."""
-        out = np.zeros(len(target))
+    def log_probability(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Normalised natural log of the probability of each target entry after the two before it."""
+        out, w, classes = np.zeros(len(target)), WIDTH, self.p[len(self.class_of) :, 2 * WIDTH :]
         for i in range(0, len(target), 1 << 16):
-            a, b, t = (x[i : i + (1 << 16)] for x in (two, one, target))
-            p = self.p[t]
-            out[i : i + len(t)] = np.einsum("ij,ij->i", self.p[a, :WIDTH] + self.p[b, WIDTH : 2 * WIDTH], p[:, 2 * WIDTH : 3 * WIDTH]) + p[:, -1]
+            t = target[i : i + (1 << 16)]
+            c, q, got = self.class_of[t], self.contexts(two[i : i + len(t)], one[i : i + len(t)]), np.zeros(len(t))
+            for k in range(0, len(t), 1 << 12):
+                got[k : k + (1 << 12)] = _log_softmax(q[k : k + (1 << 12)] @ classes[:, :w].T + classes[:, w], c[k : k + (1 << 12)])
+            order = np.argsort(c, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], c[order][1:] != c[order][:-1])))
+            for rows in np.split(order, first[1:]):
+                a, z = self.low[c[rows[0]]], self.low[c[rows[0]] + 1]
+                if z - a > 1:
+                    of = self.p[a:z, 2 * w :]
+                    for k in range(0, len(rows), 1 << 12):
+                        r = rows[k : k + (1 << 12)]
+                        got[r] += _log_softmax(q[r] @ of[:, :w].T + of[:, w], t[r] - a)
+            out[i : i + len(t)] = got
         return out
 
 
-def vectors(words: np.ndarray, counts: np.ndarray, head: int, others: int, rest: int, ends: int, seed: int = 5) -> Vectors:
-    """Untrained vectors; words come by falling count, `others` tokens aren't of them, and rest is the sum of (c + 1) outside the head."""
-    order, n = np.argsort(words), len(words)
-    c = np.concatenate((counts, [others, ends])).astype(float)
-    classes = np.concatenate((np.arange(head), np.full(n + 1 - head, OTHER), [END]))
-    inside = (c[head:n] + 1) / max(rest, 1)
-    share = np.log(np.concatenate((np.ones(head), inside, [max(1 - inside.sum(), 1 / max(rest, 1)), 1.0])))
-    f = (c + 1) / (c + 1).sum()
-    p = np.zeros((n + 2, 3 * WIDTH + 1), np.float32)
-    p[:, : 2 * WIDTH] = np.random.default_rng(seed).normal(0, 0.3, (n + 2, 2 * WIDTH))
-    return Vectors(words[order], order, classes, share.astype(np.float32), np.log(SAMPLED * f).astype(np.float32), np.cumsum(f), p)
+def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row, the log of the softmax at one place."""
+    top = s.max(1, keepdims=True)
+    return (s[np.arange(len(s)), at] - top[:, 0]).astype(float) - np.log(np.exp(s - top).sum(1, dtype=float))
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values of `at`, the sum of each one's rows, and their number."""
-    order = np.argsort(at, kind="stable")
-    s = at[order]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    return s[first], np.add.reduceat(rows[order], first), np.diff(first, append=len(s))
-
-
-def learn(m: Vectors, p: np.ndarray, square: np.ndarray, touched: np.ndarray, table_: np.ndarray, two: np.ndarray, one: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-    """Changes p by one batch; square and touched hold sums of each entry's three parts.
-
-    RUN tokens share SAMPLED noise words: steps are scaled by the size of gradients, so that a word's
-    noise must come in as small portions as its occurrences for both to keep their balance.
+def untrained(words: np.ndarray, counts: np.ndarray, others: int, ends: int, seed: int = 5) -> Model:
+    """The model whose probabilities are smoothed frequencies, in any context; words come by falling count."""
+    order, n = np.argsort(words), len(words)
+    class_of = np.append(np.sqrt(np.arange(n)).astype(np.int64), [0, 0])
+    class_of[n:] = (class_of[n - 1] if n else -1) + np.array([1, 2])
+    low = np.searchsorted(class_of, np.arange(class_of[-1] + 2))
+    f = np.concatenate((counts, [others, ends])) + 1.0
+    f /= f.sum()
+    of_class = np.add.reduceat(f, low[:-1])
+    share = f / of_class[class_of]
+    p = np.zeros((n + 2 + len(of_class), 3 * WIDTH + 1), np.float32)
+    p[: n + 2, : 2 * WIDTH] = np.random.default_rng(seed).normal(0, 0.3, (n + 2, 2 * WIDTH))
+    p[:, -1] = np.log(np.concatenate((share, of_class)))
+    return Model(words[order], order, class_of, low, np.cumsum(f), np.cumsum(of_class), np.log(DRAWN * share).astype(np.float32), np.log(SAMPLED * of_class).astype(np.float32), p)
+
+
+def learn(m: Model, p: np.ndarray, square: np.ndarray, touched: np.ndarray, two: np.ndarray, one: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
+    """Changes p by one batch; square and touched hold sums of each row's three parts.
+
+    RUN tokens share SAMPLED noise classes, and each token has DRAWN noise words of its class: steps are
+    scaled by the size of gradients, so noise must come in as small portions as occurrences do.
     """
     w, size = WIDTH, min(RUN, len(target))
     two, one, target = (x[: len(x) // size * size] for x in (two, one, target))  # a last run that isn't full is left to the next pass
-    sampled = np.minimum(np.searchsorted(m.below, rng.random((len(target) // size, SAMPLED))), len(m.below) - 1)
-    q = p[two, :w] + p[one, w : 2 * w]
-    t, n = p[target, 2 * w :], p[sampled, 2 * w :]
-    context = m.classes[two] * CLASSES + m.classes[one]
-    real = np.einsum("ij,ij->i", q, t[:, :w]) + t[:, w] + table_[context, m.classes[target]] + m.share[target] - m.noise[target]
-    runs = q.reshape(-1, size, w)
-    false = runs @ n[:, :, :w].transpose(0, 2, 1) + (n[:, :, w] + m.share[sampled] - m.noise[sampled])[:, None, :] + table_[context.reshape(-1, size, 1), m.classes[sampled][:, None, :]]
-    e = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-    f = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
+    qb = np.column_stack((p[two, :w] + p[one, w : 2 * w], np.ones(len(two), np.float32)))
+    c, first_class = m.class_of[target], len(m.class_of)
+    drawn = np.minimum(np.searchsorted(m.class_below, rng.random((len(target) // size, SAMPLED))), len(m.class_below) - 1)
+    t, n = p[first_class + c, 2 * w :], p[first_class + drawn, 2 * w :]
+    runs = qb.reshape(-1, size, w + 1)
+    e = -_sigmoid(m.class_noise[c] - np.einsum("ij,ij->i", qb, t))
+    f = _sigmoid(runs @ n.transpose(0, 2, 1) - m.class_noise[drawn][:, None, :])
     gq = e[:, None] * t[:, :w] + (f @ n[:, :, :w]).reshape(-1, w)
-    qb = np.column_stack((q, np.ones(len(q), np.float32)))
-    gn = f.transpose(0, 2, 1) @ qb.reshape(-1, size, w + 1)
-    for part, (low, high), at, g in ((0, (0, w), two, gq), (1, (w, 2 * w), one, gq), (2, (2 * w, 3 * w + 1), np.concatenate((target, sampled.ravel())), np.concatenate((e[:, None] * qb, gn.reshape(-1, w + 1))))):
-        row, g, k = _sum_rows(at, g)
-        square[row, part] += (g * g).mean(1)
+    at, g = [first_class + c, first_class + drawn.ravel()], [e[:, None] * qb, (f.transpose(0, 2, 1) @ runs).reshape(-1, w + 1)]
+    some = np.flatnonzero(m.low[c + 1] - m.low[c] > 1)
+    if len(some):
+        target, qb, c = target[some], qb[some], c[some]
+        a, z = m.low[c], m.low[c + 1] - 1
+        from_, to = np.where(a > 0, m.below[a - 1], 0.0), m.below[z]
+        words_ = np.searchsorted(m.below, from_[:, None] + (to - from_)[:, None] * rng.random((len(c), DRAWN)))
+        words_ = np.clip(words_, a[:, None], z[:, None])
+        t, n = p[target, 2 * w :], p[words_, 2 * w :]
+        e = -_sigmoid(m.noise[target] - np.einsum("ij,ij->i", qb, t))
+        f = _sigmoid((n @ qb[:, :, None])[:, :, 0] - m.noise[words_])
+        gq[some] += e[:, None] * t[:, :w] + (f[:, None, :] @ n[:, :, :w])[:, 0]
+        at += [target, words_.ravel()]
+        g += [e[:, None] * qb, (f[:, :, None] * qb[:, None, :]).reshape(-1, w + 1)]
+    for part, rows, change in ((0, two, gq), (1, one, gq), (2, np.concatenate(at), np.concatenate(g))):
+        low, high = PARTS[part]
+        row, change, k = _sum_rows(rows, change)
+        square[row, part] += (change * change).mean(1)
         touched[row, part] += k
-        p[row, low:high] -= RATE * g / np.sqrt(square[row, part, None] + 1e-6)
+        p[row, low:high] -= RATE * change / np.sqrt(square[row, part, None] + 1e-6)
 
 
-def train_pass(docs: DataFrame, m: Vectors, table_: np.ndarray, bits: int, number: int) -> np.ndarray:
-    """The vectors after one pass of all tasks over their training texts from m's."""
-    shared = docs.sparkSession.sparkContext.broadcast((m, table_.reshape(CLASSES * CLASSES, CLASSES).astype(np.float32)))
-    ends_of = ((0, WIDTH), (WIDTH, 2 * WIDTH), (2 * WIDTH, 3 * WIDTH + 1))
+def train_pass(docs: DataFrame, m: Model, shards: int, bits: int, number: int) -> np.ndarray:
+    """The vectors after one pass of `shards` tasks over their training texts from m's."""
+    shared = docs.sparkSession.sparkContext.broadcast(m)  # 220 bytes an entry, MOST_WORDS entries
 
     def run(batches):
-        m, table_ = shared.value
-        part = TaskContext.get().partitionId()
+        m, part = shared.value, TaskContext.get().partitionId()
         rng = np.random.default_rng((number, part))
         p, square, touched = m.p.copy(), np.zeros((len(m.p), 3), np.float32), np.zeros((len(m.p), 3), np.float32)
         for _, _, flags, hashes, counts in _blocks(batches):
             distinct, inverse = np.unique(hashes[np.repeat(flags, counts)], return_inverse=True)
-            tokens, ends = _with_ends(m.entries(distinct)[inverse], counts[flags], len(m.p) - 1)
+            tokens, ends = _with_ends(m.entries(distinct)[inverse], counts[flags], m.end)
             if not len(tokens):
                 continue
-            two, one = _contexts(tokens, ends, len(m.p) - 1)
+            two, one = _contexts(tokens, ends, m.end)
             order = rng.permutation(len(tokens))
             for i in range(0, len(order), BATCH):
                 at = order[i : i + BATCH]
-                learn(m, p, square, touched, table_, two[at], one[at], tokens[at], rng)
-        for kind, (low, high) in enumerate(ends_of):
+                learn(m, p, square, touched, two[at], one[at], tokens[at], rng)
+        for kind, (low, high) in enumerate(PARTS):
             hit = np.flatnonzero(touched[:, kind])
             bucket = hit & ((1 << bits) - 1)
             for k in np.unique(bucket):
                 at = hit[bucket == k]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (k, pa.int32()), (kind, pa.int32()), (at.astype(np.uint32).tobytes(), pa.binary()), ((p[at, low:high] - m.p[at, low:high]).astype(np.float16).tobytes(), pa.binary()), (touched[at, kind].tobytes(), pa.binary()))], names=["part", "bucket", "kind", "at", "change", "touched"])
+                change = (p[at, low:high] - m.p[at, low:high]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (k, pa.int32()), (kind, pa.int32()), (at.astype(np.uint32).tobytes(), pa.binary()), (change.tobytes(), pa.binary()), (touched[at, kind].tobytes(), pa.binary()))], names=["part", "bucket", "kind", "at", "change", "touched"])
 
     def average(t: pa.Table) -> pa.Table:
         t = t.sort_by("part")
         at = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["at"]]
         row = np.unique(np.concatenate(at))
         kind = t["kind"][0].as_py()
-        total, weight = np.zeros((len(row), ends_of[kind][1] - ends_of[kind][0])), np.zeros((len(row), 1))
+        total, weight = np.zeros((len(row), PARTS[kind][1] - PARTS[kind][0])), np.zeros((len(row), 1))
         for a, change, touched in zip(at, t["change"], t["touched"], strict=True):
             k, n = np.searchsorted(row, a), np.frombuffer(touched.as_buffer(), np.float32)[:, None]
             total[k] += np.frombuffer(change.as_buffer(), np.float16).reshape(len(a), -1) * n
             weight[k] += n
         return pa.table({"kind": pa.array([kind], pa.int32()), "at": pa.array([row.tobytes()], pa.binary()), "change": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
-    sent = docs.mapInArrow(run, "part int, bucket int, kind int, at binary, change binary, touched binary")
+    sent = docs.coalesce(shards).mapInArrow(run, "part int, bucket int, kind int, at binary, change binary, touched binary")
     out = m.p.copy()
     for r in sent.groupBy("bucket", "kind").applyInArrow(average, "kind int, at binary, change binary").collect():  # at most 4 bytes a number of MOST_WORDS entries
-        at, (low, high) = np.frombuffer(r["at"], np.uint32), ends_of[r["kind"]]
+        at, (low, high) = np.frombuffer(r["at"], np.uint32), PARTS[r["kind"]]
         out[at, low:high] += np.frombuffer(r["change"], np.float32).reshape(len(at), -1)
     shared.destroy()
     return out
@@ -316,52 +332,46 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of (doc_id, text, train)."""
     spark = docs.sparkSession
     d = docs.select("doc_id", "text", "train")
-    bits = max(6, min(16, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    size = d.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
+    n_docs = size[1] or 0
+    bits = max(5, min(22, math.ceil(math.log2((size[0] or 0) / BUCKET_BYTES + 1))))
     totals = cut(word_totals(d, bits))
     row = totals.where("block is null").agg(F.sum("n"), F.sum("v")).first()
-    n_docs = d.where("train").count()
     n, v = (row[0] or 0) + n_docs, (row[1] or 0) + (n_docs > 0)
-    known = totals.where("block is null and known is not null").select("known", "known_counts").collect()  # at most 16 bytes a word with vectors, as MOST_WORDS allows
-    word, count = (np.concatenate([np.frombuffer(r[k], t) for r in known] or [np.zeros(0, t)]) for k, t in (("known", U64), ("known_counts", np.int64)))
-    top = np.lexsort((word, -count))
-    top = top[: min(MOST_WORDS, max(HEAD, int((count >= LEAST).sum())))]
-    word, count = word[top], count[top]
-    head, head_count = word[:HEAD], int(count[:HEAD].sum())
-    natural = train_nce(class_triples(d, head))
-    model = natural / math.log(10)
-    # the share of a word in the class of all other words: (c + 1) / rest, one share left for unknown words
-    rest = (n - n_docs - head_count) + (v - (n_docs > 0) - len(head)) + 1
+    word, count = vocabulary(totals)
+    others = n - n_docs - int(count.sum())
+    # the share of a word in the entry of all other words: (c + 1) / rest, one share left for unknown words
+    rest = others + (v - (n_docs > 0) - len(word)) + 1
     log_all, log_rest = math.log10(n + v + 1), math.log10(max(rest, 1))
-    m = vectors(word, count, len(head), n - n_docs - int(count.sum()), rest, n_docs)
+    m = untrained(word, count, others, n_docs)
     for number in range(PASSES if n else 0):
-        m.p = train_pass(d.where("train"), m, natural, bits, number)
-    shared = spark.sparkContext.broadcast((model.astype(np.float64), m))  # 2 MB, and 216 bytes a word with vectors
+        m.p = train_pass(d.where("train"), m, math.ceil(n / SHARD_TOKENS), 5, number)
+    shared = spark.sparkContext.broadcast(m)  # 220 bytes an entry, MOST_WORDS entries
 
     def tokens(batches):
         for block, ids, _, hashes, counts in _blocks(batches):
             distinct, inverse = np.unique(hashes, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([inverse.astype(np.uint32).tobytes()], pa.binary()), pa.array([shared.value[1].entries(distinct).astype(np.uint32).tobytes()], pa.binary())],
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([inverse.astype(np.uint32).tobytes()], pa.binary()), pa.array([shared.value.entries(distinct).astype(np.uint32).tobytes()], pa.binary())],
                 names=["block", "ids", "counts", "tokens", "entries"],
             )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        table_, m = shared.value
+        m = shared.value
         out = {k: [] for k in ("doc_id", "n_tokens", "n_known", "base_score", "score")}
         right = right.sort_by("bucket")
         total = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in right["totals"]]) if len(right) else np.zeros(0, np.int64)
         for k in range(len(left)):
             ids, counts = left["ids"][k].as_py(), np.asarray(left["counts"][k].values, np.int64)
             of, entries = np.frombuffer(left["tokens"][k].as_buffer(), np.uint32), np.frombuffer(left["entries"][k].as_buffer(), np.uint32).astype(np.int64)
-            classes = m.classes[entries]
-            if len(total) != len(classes):
-                raise RuntimeError("a block's words differ between two reads of its input")
-            token, ends = _with_ends(entries[of], counts, len(m.classes) - 1)
-            two, one = _contexts(token, ends, len(m.classes) - 1)
+            if len(total) != len(entries):
+                raise RuntimeError("the table changed between two reads")
+            token, ends = _with_ends(entries[of], counts, m.end)
+            two, one = _contexts(token, ends, m.end)
             base, _ = _with_ends((np.log10(total + 1) - log_all)[of], counts, math.log10(n_docs + 1) - log_all)
-            inner, _ = _with_ends(np.where(classes == OTHER, np.log10(total + 1) - log_rest, 0.0)[of], counts, 0.0)
+            inner, _ = _with_ends(np.where(entries == m.other, np.log10(total + 1) - log_rest, 0.0)[of], counts, 0.0)
             known, _ = _with_ends((total > 0).astype(np.int64)[of], counts, int(n_docs > 0))
-            full = table_[m.classes[two], m.classes[one], m.classes[token]] + inner + m.gain(two, one, token) / math.log(10)
+            full = m.log_probability(two, one, token) / math.log(10) + inner
             starts = np.concatenate(([0], ends[:-1] + 1))
             out["doc_id"] += ids
             out["n_tokens"].append(counts + 1)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from yardsticks import WORD, fold, rules, sha, unigram
@@ -93,6 +94,16 @@ def test_token_counts_of_documents(spark, sf_dir, bpe):
     assert got == {d: (bpe(t), bpe(t) > 2048) for d, t in documents(spark, sf_dir)}
 
 
+def test_long_texts_by_many_chunks(spark):
+    import tokenizers
+
+    lib, rng = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")), random.Random(2)
+    texts = ["".join(rng.choice(["ab", "cd's ", "\n", "é", "12", "x y "]) for _ in range(n)) for n in (0, 3, 40, 700, 2500)] + ["q" * 900, None]
+    rows = list(enumerate(texts))
+    got = token_count.count_tokens(frame(spark, rows), P.path("word_bpe_49k.json"), chunk_chars=5, fan=3).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == [(i, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+
+
 def test_state_maps_compose_in_any_order():
     c = token_count.counter(P.path("word_bpe_49k.json"))
     text = "one two  three four five-six'll seven"
@@ -149,14 +160,40 @@ def test_scores(spark, sf_dir):
 
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
-    p = lm_score.train_nce(rng.integers(0, 5, (8, 8, 8)).astype(float), steps=50)
-    assert np.allclose(np.exp(p).sum(2), 1)
-    assert np.allclose(np.exp(lm_score.train_nce(np.zeros((4, 4, 4)))), 0.25)
+    m = lm_score.untrained(rng.integers(1, 1 << 60, 40).astype(np.uint64), np.arange(40, 0, -1), 7, 3)
+    m.p = rng.normal(0, 1, m.p.shape).astype(np.float32)
+    n = len(m.class_of)
+    for two, one in ((0, 1), (5, m.end), (m.other, 17)):
+        p = np.exp(m.log_probability(np.full(n, two), np.full(n, one), np.arange(n)))
+        assert math.isclose(p.sum(), 1, rel_tol=1e-5)
+        q = m.p[two, : lm_score.WIDTH] + m.p[one, lm_score.WIDTH : 2 * lm_score.WIDTH]
+        for e in (0, 3, 20, m.other):  # the two softmaxes, written out
+            value = lambda row: math.exp(float(q @ m.p[row, 2 * lm_score.WIDTH : -1] + m.p[row, -1]))  # noqa: B023, E731
+            c = m.class_of[e]
+            want = value(n + c) / sum(value(n + k) for k in range(m.class_of[-1] + 1)) * value(e) / sum(value(k) for k in range(n) if m.class_of[k] == c)
+            assert math.isclose(p[e], want, rel_tol=1e-4)
+
+
+def test_untrained_model_is_smoothed_frequencies():
+    m = lm_score.untrained(np.arange(1, 31, dtype=np.uint64), np.arange(60, 30, -1), 9, 4)
+    p = np.exp(m.log_probability(*(np.full(32, 0) for _ in range(2)), np.arange(32)))
+    assert np.allclose(p, (np.append(np.arange(60, 30, -1), [9, 4]) + 1) / (sum(range(31, 61)) + 9 + 4 + 32), rtol=1e-5)
+
+
+def test_blocks_do_not_depend_on_batches(monkeypatch):
+    rng = random.Random(8)
+    texts = ["w " * rng.randrange(0, 90) for _ in range(500)] + ["long " * 9000]  # one text longer than a block
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(lm_score.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(501)), "text": texts, "train": [True] * 501})
+    shape = lambda size: [(b, ids, n.tolist()) for b, ids, _, _, n in lm_score._blocks(batch.slice(i, size) for i in range(0, 501, size))]
+    assert shape(501) == shape(7) == shape(100)
+    assert [i for _, ids, _ in shape(7) for i in ids] == list(range(501))
 
 
 def test_content_words_have_their_own_contexts(spark):
     rng, n = random.Random(6), 200  # y7 only ever follows x7
-    often = " ".join(f"f{k}" for k in range(lm_score.HEAD))  # these alone are the most frequent words
+    often = " ".join(f"f{k}" for k in range(62))  # these alone are the most frequent words
     rows = [(i, often + " " + " ".join(f"x{k} y{k}" for k in rng.choices(range(n), k=40))) for i in range(1500)]
     right, wrong = (" ".join(f"x{k} y{(k + d) % n}" for k in range(n)) for d in (0, 1))
     docs = frame(spark, [*rows, (9001, right), (9002, wrong)]).withColumn("train", F.col("doc_id") < 9000)
