@@ -33,9 +33,9 @@ class Texts:
         total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
-    def subset(self, keep: np.ndarray) -> Texts:
-        """The kept texts, with what is known of them."""
-        if keep.all():
+    def subset(self, keep: np.ndarray, copy: bool = False) -> Texts:
+        """The kept texts, with the counts known of them; `copy`: a new object even if all are kept."""
+        if keep.all() and not copy:
             return self
         sizes = np.diff(self.offsets)
         out = Texts(self.raw[np.repeat(keep, sizes)], np.concatenate(([0], np.cumsum(sizes[keep]))))
