@@ -2,11 +2,10 @@
 
 Vectors of length 1 with cosine >= t lie within eps = sqrt(2 - 2 t) of each other.  They are
 turned to principal axes; the grid cells of width eps on the leading ``DIMS`` axes order them
-(epsilon grid order), vectors within eps being at most one cell apart on every axis.  Each label's
-ordered vectors are dealt to blocks of up to ``BLOCK`` rows.  Two blocks are joined only if their
-boxes of cells touch, and inside a join both sequences are halved again and again, halves whose
-boxes are more than eps apart being skipped, until small intervals are compared by one matrix
-product in double precision.
+(epsilon grid order).  Each label's ordered vectors are dealt to blocks of up to ``BLOCK`` rows.  Two
+blocks are joined only if the boxes around them on all those axes are within eps of each other, and
+inside a join both sequences are halved again and again, halves whose boxes are more than eps apart
+being skipped, until small intervals are compared by one matrix product in double precision.
 
 Equal vectors of a label are one vector with a multiplicity.  Within a block join, links are counted
 per vector and reduced to a spanning forest, so what leaves a task is as long as its blocks however
@@ -14,8 +13,8 @@ many links there are.
 
 Defined results: null labels, null vectors, vectors with null or non-finite components and zero
 vectors have no links and are their own component; vectors of different lengths are never linked;
-rows with equal vec_id count as different rows of one component; an empty table gives an empty
-result.
+rows with equal vec_id count as different rows of one component; columns besides vec_id, embedding and
+label are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,16 +27,24 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .components import components
 
-THRESHOLD, DIMS, BLOCK, LEAF = 0.98, 3, 512, 64
+THRESHOLD, DIMS, BLOCK, LEAF = 0.98, 12, 512, 64
+#: A vector of more than 1 / HOT of all rows is a hot one.
+HOT = 1000
+#: Room for rounding when distances of boxes are compared with eps.
+SLACK = 1e-6
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """(label, size, e, rep, copies): the distinct usable vectors of each label, as arrays of doubles."""
-    v = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+def marked(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, e, ok, digest): whether the vector may have links, and the same digest for equal vectors of a label."""
+    v = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("e"))  # -0.0 and 0.0 are one value
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    # -0.0 and 0.0 are one value
-    v = v.where(F.col("label").isNotNull() & F.col("e").isNotNull()).where(finite).withColumn("e", F.transform("e", lambda x: x + F.lit(0.0)))
-    return v.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("label", F.size("e").alias("size"), "e", "rep", "copies")
+    v = v.withColumn("ok", F.coalesce(F.col("label").isNotNull() & F.col("e").isNotNull() & finite, F.lit(False)))
+    return v.withColumn("digest", F.struct(F.xxhash64("label", "e").alias("a"), F.xxhash64(F.lit(1), "label", "e").alias("b")))
+
+
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """(label, e, rep, copies, digest, size): the distinct usable vectors of each label, as arrays of doubles."""
+    return marked(vectors).where("ok").groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("digest").alias("digest")).withColumn("size", F.size("e"))
 
 
 def _matrix(col: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -73,33 +80,34 @@ def principal_axes(units: DataFrame, dims: int = DIMS) -> dict[int, np.ndarray]:
 
 
 def grid(units: DataFrame, axes: dict[int, np.ndarray], eps: float, dims: int = DIMS) -> DataFrame:
-    """Adds g, the cells on the leading axes, and the vector normalised and turned (as bytes)."""
+    """Adds the cells on the leading axes (g0, g1, ...), and as bytes the places there and the vector normalised."""
 
     def run(batches):
         for b in batches:
             sizes = b.column(1).to_numpy()
-            cells = np.zeros((b.num_rows, dims), np.int32)
+            places = np.zeros((b.num_rows, dims))
             packed: list[bytes] = [b""] * b.num_rows
             for n in np.unique(sizes):
                 at = np.flatnonzero(sizes == n)
                 m = _matrix(b.column(2).filter(pa.array(sizes == n)), int(n))
                 m = m / np.linalg.norm(m, axis=1, keepdims=True)
                 p = m @ axes[int(n)]
-                cells[at, : p.shape[1]] = np.floor(p / eps)
+                places[at, : p.shape[1]] = p
                 for i, row in zip(at, m, strict=True):
                     packed[i] = row.tobytes()
+            cells = np.floor(places / eps).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), b.column(4), *(pa.array(cells[:, k]) for k in range(dims)), pa.array(packed, pa.binary())],
-                names=["label", "size", "rep", "copies", *(f"g{k}" for k in range(dims)), "v"],
+                [b.column(0), b.column(1), b.column(3), b.column(4), *(pa.array(cells[:, k]) for k in range(dims)), pa.array([x.tobytes() for x in places], pa.binary()), pa.array(packed, pa.binary())],
+                names=["label", "size", "rep", "copies", *(f"g{k}" for k in range(dims)), "p", "v"],
             )
 
     kind = dict(units.dtypes)
-    schema = f"label {kind['label']}, size int, rep {kind['rep']}, copies long, " + ", ".join(f"g{k} int" for k in range(dims)) + ", v binary"
+    schema = f"label {kind['label']}, size int, rep {kind['rep']}, copies long, " + ", ".join(f"g{k} int" for k in range(dims)) + ", p binary, v binary"
     return units.select("label", "size", "e", "rep", "copies").mapInArrow(run, schema)
 
 
 def blocks(gridded: DataFrame, dims: int = DIMS, block: int = BLOCK) -> DataFrame:
-    """One row for each run of up to `block` vectors of a label in grid order, with its box of cells."""
+    """One row for each run of up to `block` vectors of a label in grid order, with the box around it."""
     order = ["label", "size", *(f"g{k}" for k in range(dims)), "rep"]
     label_kind, rep_kind = dict(gridded.dtypes)["label"], dict(gridded.dtypes)["rep"]
 
@@ -117,14 +125,15 @@ def blocks(gridded: DataFrame, dims: int = DIMS, block: int = BLOCK) -> DataFram
                     if j == len(key) and not last and j - i < block:
                         return done
                     s = t.slice(i, j - i)
-                    g = np.column_stack([s[f"g{k}"].to_numpy() for k in range(dims)])
-                    out.append((s["label"][0].as_py(), s["size"][0].as_py(), s["rep"].to_numpy().min(), g.min(0).tolist(), g.max(0).tolist(), j - i, np.asarray(s["rep"].to_numpy(), np.int64).tobytes(), np.asarray(s["copies"].to_numpy(), np.int64).tobytes(), g.astype(np.int32).tobytes(), b"".join(s["v"].to_pylist())))
+                    places = b"".join(s["p"].to_pylist())
+                    p = np.frombuffer(places).reshape(-1, dims)
+                    out.append((s["label"][0].as_py(), s["size"][0].as_py(), s["rep"].to_numpy().min(), p.min(0).tolist(), p.max(0).tolist(), j - i, np.asarray(s["rep"].to_numpy(), np.int64).tobytes(), np.asarray(s["copies"].to_numpy(), np.int64).tobytes(), places, b"".join(s["v"].to_pylist())))
                     done = j
             return done
 
         def emit():
             cols = list(zip(*out, strict=True))
-            kinds = [None, pa.int32(), None, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), *[pa.binary()] * 4]
+            kinds = [None, pa.int32(), None, pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), *[pa.binary()] * 4]
             types = [schema_label, *kinds[1:2], pa.int64(), *kinds[3:]]
             b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=names)
             out.clear()
@@ -148,12 +157,12 @@ def blocks(gridded: DataFrame, dims: int = DIMS, block: int = BLOCK) -> DataFram
             if out:
                 yield emit()
 
-    names = ["label", "size", "block", "low", "high", "n", "reps", "copies", "g", "v"]
+    names = ["label", "size", "block", "low", "high", "n", "reps", "copies", "p", "v"]
     ranged = gridded.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.mapInArrow(pack, f"label {label_kind}, size int, block long, low array<int>, high array<int>, n int, reps binary, copies binary, g binary, v binary")
+    return ranged.mapInArrow(pack, f"label {label_kind}, size int, block long, low array<double>, high array<double>, n int, reps binary, copies binary, p binary, v binary")
 
 
-def _compare(a: dict, b: dict, same: bool, threshold: float):
+def _compare(a: dict, b: dict, same: bool, threshold: float, eps: float):
     """Links between two sequences: counts on both sides, and a spanning forest of the links."""
     na, nb = len(a["reps"]), len(b["reps"])
     count_a, count_b = np.zeros(na, np.int64), np.zeros(nb, np.int64)
@@ -169,8 +178,9 @@ def _compare(a: dict, b: dict, same: bool, threshold: float):
     def interval(i0: int, i1: int, j0: int, j1: int) -> None:
         if same and j1 <= i0:
             return
-        ga, gb = a["g"][i0:i1], b["g"][j0:j1]
-        if (ga.min(0) > gb.max(0) + 1).any() or (gb.min(0) > ga.max(0) + 1).any():
+        p, q = a["p"][i0:i1], b["p"][j0:j1]
+        apart = np.maximum(np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)), 0)
+        if apart @ apart > (eps + SLACK) ** 2:
             return
         if max(i1 - i0, j1 - j0) > LEAF:
             if i1 - i0 >= j1 - j0:
@@ -203,23 +213,25 @@ def _compare(a: dict, b: dict, same: bool, threshold: float):
     return reps[at], reps[[find(int(x)) for x in at]], counts[at]
 
 
-def join_blocks(blocks_: DataFrame, threshold: float) -> DataFrame:
+def join_blocks(blocks_: DataFrame, threshold: float, eps: float) -> DataFrame:
     """(rep, other, n): links of rep to vectors of block joins, and one vector they join it to."""
-    meta = blocks_.select("label", "size", "block", "low", "high", "n")
-    low = meta.select("label", "size", F.col("block").alias("b1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(F.sequence(F.col("low")[0], F.col("high")[0])).alias("c"))
-    high = meta.select("label", "size", F.col("block").alias("b2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(F.col("low")[0] - 1, F.col("high")[0] + 1)).alias("c"))
-    near = F.forall(F.arrays_zip("low1", "high1", "low2", "high2"), lambda x: (x["low1"] <= x["high2"] + 1) & (x["low2"] <= x["high1"] + 1))
-    pairs = low.join(high, ["label", "size", "c"]).where((F.col("b1") <= F.col("b2")) & near).select("label", "size", "b1", "b2").distinct()
-    side = lambda k: blocks_.select("label", "size", F.col("block").alias(f"b{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("reps", "copies", "g", "v")))
+    meta = blocks_.select("label", "size", "block", "low", "high")
+    cell = lambda x: F.floor(x / F.lit(eps)).cast("int")
+    low = meta.select("label", "size", F.col("block").alias("b1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]))).alias("c"))
+    high = meta.select("label", "size", F.col("block").alias("b2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(cell(F.col("low")[0]) - 1, cell(F.col("high")[0]) + 1)).alias("c"))
+    gap = lambda x: F.greatest(x["low1"] - x["high2"], x["low2"] - x["high1"], F.lit(0.0))
+    apart = F.aggregate(F.arrays_zip("low1", "high1", "low2", "high2"), F.lit(0.0), lambda s, x: s + gap(x) * gap(x))
+    pairs = low.join(high, ["label", "size", "c"]).where((F.col("b1") <= F.col("b2")) & (apart <= (eps + SLACK) ** 2)).select("label", "size", "b1", "b2").distinct()
+    side = lambda k: blocks_.select("label", "size", F.col("block").alias(f"b{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("reps", "copies", "p", "v")))
     both = pairs.join(side(1), ["label", "size", "b1"]).join(side(2), ["label", "size", "b2"])
-    cols = ["size", "b1", "b2", *(f"{c}{k}" for k in (1, 2) for c in ("reps", "copies", "g", "v"))]
+    cols = ["size", "b1", "b2", *(f"{c}{k}" for k in (1, 2) for c in ("reps", "copies", "p", "v"))]
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {c: batch.column(i)[r].as_py() for i, c in enumerate(cols)}
-                s = [{"reps": np.frombuffer(x[f"reps{k}"], np.int64), "copies": np.frombuffer(x[f"copies{k}"], np.int64), "g": np.frombuffer(x[f"g{k}"], np.int32).reshape(-1, DIMS), "v": np.frombuffer(x[f"v{k}"], np.float64).reshape(-1, x["size"])} for k in (1, 2)]
-                rep, other, n = _compare(s[0], s[1], x["b1"] == x["b2"], threshold)
+                s = [{"reps": np.frombuffer(x[f"reps{k}"], np.int64), "copies": np.frombuffer(x[f"copies{k}"], np.int64), "p": np.frombuffer(x[f"p{k}"]).reshape(-1, DIMS), "v": np.frombuffer(x[f"v{k}"], np.float64).reshape(-1, x["size"])} for k in (1, 2)]
+                rep, other, n = _compare(s[0], s[1], x["b1"] == x["b2"], threshold, eps)
                 if len(rep):
                     yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(other), pa.array(n)], names=["rep", "other", "n"])
 
@@ -231,14 +243,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     units = cut(unit_vectors(v))
     eps = float(np.sqrt(2 - 2 * threshold)) * (1 + 1e-9)
-    links = cut(join_blocks(cut(blocks(grid(units, principal_axes(units), eps))), threshold))
+    links = cut(join_blocks(cut(blocks(grid(units, principal_axes(units), eps))), threshold, eps))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     # copies of one vector are linked with each other
     comp = components(links.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    e = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
-    of = units.join(counts, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "label", "e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    return v.withColumn("e", e).join(of, ["label", "e"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of = cut(units.join(counts, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+        F.col("digest").alias("of"), "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    # Rows find their vector by its digest.  A vector of more than 1 / HOT of all rows is sent to every task instead: there are fewer than HOT of them.
+    many = F.broadcast(of.where(F.col("copies") > (of.agg(F.sum("copies")).first()[0] or 0) / HOT).drop("copies"))
+    first = marked(v).select("vec_id", "ok", "digest").join(many, F.col("ok") & (F.col("digest") == F.col("of")), "left")
+    done = ~F.col("ok") | F.col("of").isNotNull()
+    rest = first.where(~done).select("vec_id", "digest").join(of, F.col("digest") == F.col("of")).select("vec_id", "n_links", "component_id")
+    return first.where(done).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).unionAll(rest)
 
 
 def op8_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
