@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from yardsticks import WORD, fold, rules, sha, unigram
+from yardsticks import WORD, fold, kept, rules, sha, unigram
 
 from loomstat.llm import chat_format, common, lm_score, piece_codec, quality_rank, quality_rules, queries, source_mix, token_count, toxicity
 
@@ -258,16 +258,15 @@ def test_pairwise_loss_orders_scores():
 # ---- rules ----
 
 def test_rules(spark, sf_dir):
-    rows = odd_rows() + [(1000 + d, t) for d, t in documents(spark, sf_dir)] + [(5000, "same line here\n" * 60), (5001, " ".join(f"w{i}" for i in range(80))), (5002, "a b c\x1c " * 30)]
+    extra = ["same line here\n" * 60, " ".join(f"w{i}" for i in range(80)), "a b c\x1c " * 30, " ".join(f"{i}" for i in range(80)), " ".join(f"a{i}#" for i in range(80)), " ".join(f"x{i:030d}" for i in range(60)), " ".join(f"w{i}" for i in range(50)), "".join(f"l{i // 2} v w{i // 2}\n" for i in range(90)), "é " + " ".join(f"ö{i}" for i in range(70)), "many words " * 200_000]
+    rows = odd_rows() + [(1000 + d, t) for d, t in documents(spark, sf_dir)] + list(enumerate(extra, 5000))
     docs = frame(spark, rows)
     order = quality_rules.plan_order(docs)
-    out = quality_rules.judge(docs, order).collect()
-    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out), key=str)
-    assert got == sorted(((d, *rules(t)) for d, t in rows), key=str)
-    assert not any(r.kept and r.base_failed for r in out)
-    again = quality_rules.judge(docs, order[::-1]).collect()
-    key = lambda r: (str(r.doc_id), r.n_words, r.word_chars)
-    assert sorted(map(key, filter(lambda r: r.kept, out))) == sorted(map(key, filter(lambda r: r.kept, again)))
+    assert sorted(order) == sorted(r.name for r in quality_rules.RULES)
+    for names in (order, order[::-1]):  # the order changes no verdict
+        out = quality_rules.judge(docs, names).collect()
+        got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in out), key=str)
+        assert got == sorted(((d, *rules(t), kept(t)) for d, t in rows), key=str)
 
 
 def test_rules_of_nothing(spark):
@@ -302,14 +301,25 @@ def test_mix_edge_cases(spark):
     assert {r.source for r in got} == {None, "s"} and all(r["count"] > 5 for r in got)
 
 
-def test_poisson_cdf(spark):
-    rate = 3.5
-    cdf = spark.range(1).select(source_mix.poisson_cdf(F.lit(rate)).alias("c")).first().c
-    total = 0.0
-    for k in range(12):
-        total += math.exp(-rate) * rate**k / math.factorial(k)
-        assert math.isclose(cdf[k], total, rel_tol=1e-9)
-    assert math.isclose(cdf[-1], 1.0, rel_tol=1e-9)
+def test_distributions(spark):
+    rated = spark.createDataFrame([("a", False, 3.5), ("", True, 0.01), ("big", False, 20000.0)], "mix_source string, mix_null boolean, rate double")
+    got = {r.mix_source: r.cdf for r in source_mix.distributions(rated).collect()}
+    for name, rate in (("a", 3.5), ("", 0.01)):
+        total = 0.0
+        for k in range(12):
+            total += math.exp(-rate) * rate**k / math.factorial(k)
+            assert math.isclose(got[name][k], total, rel_tol=1e-9)
+        assert math.isclose(got[name][-1], 1.0, rel_tol=1e-9)
+    big = np.array(got["big"])
+    assert (np.diff(big) >= 0).all() and abs(big[20000] - 0.5) < 0.01 and math.isclose(big[-1], 1.0, rel_tol=1e-6)
+
+
+def test_rows_without_ids_are_drawn_one_by_one(spark):
+    d = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"), F.lit(7).alias("copy"), F.lit(8).alias("mix_n"), F.lit(9).alias("mix_rate"))
+    out = source_mix.mix_sources(d)
+    assert out.columns == [*d.columns, "copy_"]
+    rows = out.collect()
+    assert 300 < len(rows) < 500 and 0.5 < len({r.text for r in rows}) / 400 < 0.75 and {(r["copy"], r.mix_n, r.mix_rate) for r in rows} == {(7, 8, 9)}
 
 
 def test_word_hashes_agree_with_words():

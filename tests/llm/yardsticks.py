@@ -58,6 +58,17 @@ def rules(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
 
 
+def kept(text):
+    """The verdict of all rules, each asked of every text."""
+    n, chars, symbols, dup, _, failed = rules(text)
+    w = WORD.findall(text or "")
+    lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    lettered = sum(any(c.isascii() and c.isalpha() or not c.isascii() for c in x) for x in w)
+    digits = sum(c in "0123456789" for x in w for c in x)
+    bad = [failed, 100 * symbols > 30 * n, 100 * dup > 50 * lines, chars < 2 * n or chars > 20 * n, 100 * lettered < 70 * n, 100 * digits > 30 * chars]
+    return not any(bad)
+
+
 def fold(doc_id, n):
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
 
