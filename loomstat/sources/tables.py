@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from loomstat.schema import ColumnType, infer_types, typed_load
 
@@ -14,18 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, types: dict[str, ColumnType] | None = None, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, types: dict[str, ColumnType] | None = None, multi_line: bool = True, **options) -> DataFrame:
     """A CSV file with a header as a typed table; columns without a configured type are inferred.
 
-    All columns are read as strings and typed by `infer_types`, never by the reader.
+    All columns are read as strings and typed by `infer_types`, never by the reader.  multi_line: quoted
+    values may hold line breaks; Spark then reads a file in one piece, so give large data as many files,
+    or say False where no value holds one.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"')
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     return typed_load(raw, infer_types(raw, configured=types, **options))
 
 
 def csv_from_lines(spark: SparkSession, lines: list[str], types: dict[str, ColumnType] | None = None, **options) -> DataFrame:
     """The same from lines in memory (standard input, a request)."""
-    raw = spark.read.csv(spark.createDataFrame([(x,) for x in lines], "value string").rdd.map(lambda r: r.value), header=True, inferSchema=False, escape='"')
+    header, *rows = csv.reader(io.StringIO("\n".join(lines)))
+    raw = spark.createDataFrame([tuple(v if v != "" else None for v in r) for r in rows if r], T.StructType([T.StructField(c, T.StringType()) for c in header]))
     return typed_load(raw, infer_types(raw, configured=types, **options))
 
 
@@ -40,10 +46,14 @@ def read_config(spark: SparkSession, path: str) -> dict:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one in /tmp where none is named, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir.  Where none is named, one in /tmp for a local
+    master, whose driver and tasks share it; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -52,3 +62,10 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that `written` made and that is no longer needed."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
