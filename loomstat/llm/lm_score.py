@@ -18,7 +18,8 @@ whose cost is as the square root of the vocabulary.  A word of the shared entry
 (c + 1) of it, words that training texts don't hold together counting as one more word.
 
 Vectors are learned by noise-contrastive estimation over all tokens of all training texts, with noise
-classes drawn by frequency and noise words drawn within the class.  Tasks that each take about
+classes drawn by frequency and noise words drawn from the class, all alike (its words are about equally
+frequent).  Tasks that each take about
 ``SHARD_TOKENS`` tokens go through their texts and send the changes of the entries they touched to the
 tasks that average them, weighted by how often each was touched; that ``PASSES`` times.
 
@@ -43,11 +44,13 @@ from pyspark.sql import functions as F
 
 from .common import U64, column, cut, fold_of, slices, table, texts_of, word_hashes, words
 
-WIDTH, LEAST, MOST_WORDS, PASSES = 16, 5, 1 << 17, 1
+WIDTH, LEAST, MOST_WORDS, PASSES = 16, 5, 1 << 16, 1
 BLOCK_BYTES, BUCKET_BYTES, SHARD_TOKENS = 8 << 20, 32 << 20, 1 << 23
 #: Tokens of a training step, tokens that share noise classes, their number, noise words of a token, step size.
-BATCH, RUN, SAMPLED, DRAWN, RATE = 4096, 16, 16, 4, 0.1
+BATCH, RUN, SAMPLED, DRAWN, RATE = 4096, 64, 16, 2, 0.1
 LEVELS = 256
+#: Contexts that one matrix product scores: what it makes stays in a core's cache.
+ROWS = 512
 
 
 def _blocks(batches):
@@ -177,10 +180,9 @@ class Model:
     entry: np.ndarray  # of each of them
     class_of: np.ndarray  # of each entry
     low: np.ndarray  # first entry of each class, and the number of entries behind
-    below: np.ndarray  # sums of the frequencies of entries up to each
-    class_below: np.ndarray  # and of classes
-    noise: np.ndarray  # log of DRAWN times each entry's share of its class
+    class_below: np.ndarray  # sums of the frequencies of classes up to each
     class_noise: np.ndarray  # log of SAMPLED times each class's frequency
+    noise: np.ndarray  # log of DRAWN over each class's number of entries
     p: np.ndarray  # a row for each entry and, behind them, each class (only as target)
 
     @property
@@ -203,28 +205,30 @@ class Model:
     def log_probability(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised natural log of the probability of each target entry after the two before it."""
         out, w, classes = np.zeros(len(target)), WIDTH, self.p[len(self.class_of) :, 2 * WIDTH :]
+        u = np.ascontiguousarray(classes[:, :w].T)
         for i in range(0, len(target), 1 << 16):
             t = target[i : i + (1 << 16)]
             c, q, got = self.class_of[t], self.contexts(two[i : i + len(t)], one[i : i + len(t)]), np.zeros(len(t))
-            for k in range(0, len(t), 1 << 12):
-                got[k : k + (1 << 12)] = _log_softmax(q[k : k + (1 << 12)] @ classes[:, :w].T + classes[:, w], c[k : k + (1 << 12)])
+            for k in range(0, len(t), ROWS):
+                got[k : k + ROWS] = _log_softmax(q[k : k + ROWS] @ u + classes[:, w], c[k : k + ROWS])
             order = np.argsort(c, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], c[order][1:] != c[order][:-1])))
             for rows in np.split(order, first[1:]):
                 a, z = self.low[c[rows[0]]], self.low[c[rows[0]] + 1]
                 if z - a > 1:
                     of = self.p[a:z, 2 * w :]
-                    for k in range(0, len(rows), 1 << 12):
-                        r = rows[k : k + (1 << 12)]
+                    for k in range(0, len(rows), ROWS):
+                        r = rows[k : k + ROWS]
                         got[r] += _log_softmax(q[r] @ of[:, :w].T + of[:, w], t[r] - a)
             out[i : i + len(t)] = got
         return out
 
 
 def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row, the log of the softmax at one place."""
-    top = s.max(1, keepdims=True)
-    return (s[np.arange(len(s)), at] - top[:, 0]).astype(float) - np.log(np.exp(s - top).sum(1, dtype=float))
+    """Of each row, the log of the softmax at one place; s is used up."""
+    s -= s.max(1, keepdims=True)
+    own = s[np.arange(len(s)), at].astype(float)
+    return own - np.log(np.exp(s, out=s).sum(1))
 
 
 def untrained(words: np.ndarray, counts: np.ndarray, others: int, ends: int, seed: int = 5) -> Model:
@@ -240,14 +244,14 @@ def untrained(words: np.ndarray, counts: np.ndarray, others: int, ends: int, see
     p = np.zeros((n + 2 + len(of_class), 3 * WIDTH + 1), np.float32)
     p[: n + 2, : 2 * WIDTH] = np.random.default_rng(seed).normal(0, 0.3, (n + 2, 2 * WIDTH))
     p[:, -1] = np.log(np.concatenate((share, of_class)))
-    return Model(words[order], order, class_of, low, np.cumsum(f), np.cumsum(of_class), np.log(DRAWN * share).astype(np.float32), np.log(SAMPLED * of_class).astype(np.float32), p)
+    return Model(words[order], order, class_of, low, np.cumsum(of_class), np.log(SAMPLED * of_class).astype(np.float32), np.log(DRAWN / np.diff(low)).astype(np.float32), p)
 
 
 def learn(m: Model, p: np.ndarray, square: np.ndarray, touched: np.ndarray, two: np.ndarray, one: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
     """Changes p by one batch; square and touched hold sums of each row's three parts.
 
-    RUN tokens share SAMPLED noise classes, and each token has DRAWN noise words of its class: steps are
-    scaled by the size of gradients, so noise must come in as small portions as occurrences do.
+    RUN tokens share SAMPLED noise classes, and each token has DRAWN noise words of its class.  Steps are
+    scaled by the size of gradients, so noise must not come in much larger portions than occurrences do.
     """
     w, size = WIDTH, min(RUN, len(target))
     two, one, target = (x[: len(x) // size * size] for x in (two, one, target))  # a last run that isn't full is left to the next pass
@@ -263,14 +267,11 @@ def learn(m: Model, p: np.ndarray, square: np.ndarray, touched: np.ndarray, two:
     some = np.flatnonzero(m.low[c + 1] - m.low[c] > 1)
     if len(some):
         target, qb, c = target[some], qb[some], c[some]
-        a, z = m.low[c], m.low[c + 1] - 1
-        from_, to = np.where(a > 0, m.below[a - 1], 0.0), m.below[z]
-        words_ = np.searchsorted(m.below, from_[:, None] + (to - from_)[:, None] * rng.random((len(c), DRAWN)))
-        words_ = np.clip(words_, a[:, None], z[:, None])
+        words_ = m.low[c][:, None] + (rng.random((len(c), DRAWN), np.float32) * (m.low[c + 1] - m.low[c])[:, None]).astype(np.int64)
         t, n = p[target, 2 * w :], p[words_, 2 * w :]
-        e = -_sigmoid(m.noise[target] - np.einsum("ij,ij->i", qb, t))
-        f = _sigmoid((n @ qb[:, :, None])[:, :, 0] - m.noise[words_])
-        gq[some] += e[:, None] * t[:, :w] + (f[:, None, :] @ n[:, :, :w])[:, 0]
+        e = -_sigmoid(m.noise[c] - np.einsum("ij,ij->i", qb, t))
+        f = _sigmoid(np.einsum("ikj,ij->ik", n, qb) - m.noise[c][:, None])
+        gq[some] += e[:, None] * t[:, :w] + np.einsum("ik,ikj->ij", f, n[:, :, :w])
         at += [target, words_.ravel()]
         g += [e[:, None] * qb, (f[:, :, None] * qb[:, None, :]).reshape(-1, w + 1)]
     for part, rows, change in ((0, two, gq), (1, one, gq), (2, np.concatenate(at), np.concatenate(g))):
