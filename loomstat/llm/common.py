@@ -53,6 +53,23 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key that holds more than one in so many rows is hot.
+HOT = 1000
+
+
+def joined(rows: DataFrame, key: str, of: DataFrame, n: str) -> DataFrame:
+    """rows, and the columns of `of` (one row a key, its number of rows as `n`, which is left out) where the key is there.
+
+    The rows of a hot key don't meet in one task: what belongs to hot keys, fewer than HOT, is broadcast.
+    """
+    of = of.withColumnRenamed(key, "__of")
+    many = F.broadcast(of.where(F.col(n) > (of.agg(F.sum(n)).first()[0] or 0) / HOT).drop(n))
+    first = rows.join(many, F.col(key) == F.col("__of"), "left")
+    found = F.col("__of").isNotNull()
+    rest = rows.join(many.select("__of"), F.col(key) == F.col("__of"), "left_anti").join(of.drop(n), F.col(key) == F.col("__of"), "left")
+    return first.where(found).unionByName(rest).drop("__of")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

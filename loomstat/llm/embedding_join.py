@@ -24,12 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, joined, table
 from .components import components
 
 THRESHOLD, DIMS, BLOCK, LEAF = 0.98, 12, 512, 64
-#: A vector of more than 1 / HOT of all rows is a hot one.
-HOT = 1000
 #: Room for rounding when distances of boxes are compared with eps.
 SLACK = 1e-6
 
@@ -248,13 +246,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # copies of one vector are linked with each other
     comp = components(links.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of = cut(units.join(counts, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        F.col("digest").alias("of"), "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    # Rows find their vector by its digest.  A vector of more than 1 / HOT of all rows is sent to every task instead: there are fewer than HOT of them.
-    many = F.broadcast(of.where(F.col("copies") > (of.agg(F.sum("copies")).first()[0] or 0) / HOT).drop("copies"))
-    first = marked(v).select("vec_id", "ok", "digest").join(many, F.col("ok") & (F.col("digest") == F.col("of")), "left")
-    done = ~F.col("ok") | F.col("of").isNotNull()
-    rest = first.where(~done).select("vec_id", "digest").join(of, F.col("digest") == F.col("of")).select("vec_id", "n_links", "component_id")
-    return first.where(done).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).unionAll(rest)
+        "digest", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    m = marked(v).select("vec_id", "ok", "digest")
+    alone = m.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return joined(m.where("ok").drop("ok"), "digest", of, "copies").select("vec_id", "n_links", "component_id").unionAll(alone)
 
 
 def op8_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,35 +1,38 @@
 """Exact Jaccard similarity join of word-shingle sets, in the metric space of Jaccard distance.
 
 d = 1 - J is a metric, and texts without a common shingle are at distance exactly 1.  In a corpus
-nearly all pairs are, so document pivots alone would see every text as equally far.  Regions are
-therefore anchored on shingles first and on pivot documents inside:
+nearly all pairs are, so pivots alone would see every text as equally far.  Regions therefore begin
+as the sets that share a rare shingle, and pivots divide those:
 
 1. *Anchors.*  Shingles are ordered from rare to frequent over the whole corpus.  Sets with
-   J >= t share one of the first  n - ceil(t n) + 1  shingles of either, so each set is replicated
-   to the regions of those only, and a set that has so many shingles of its own that none of these
-   is shared has no link at all.
-2. *Pivots.*  Each region takes its smallest member as pivot.  Distances of members to the pivot
-   are exact; the members within r = 1 - t of it are linked through it.
-3. *Windows.*  Members not yet connected can only be linked if their distances to the pivot differ
-   by at most r (triangle inequality), and if their sizes and the places of the common anchor
-   allow the overlap.  Members outside a region's largest component become pivots in turn and
-   are compared with the members in their windows: all at once in small regions, about
-   sqrt(size) a round in larger ones, which recurse until no two components are left to compare.
+   J >= t share one of the first  n - ceil(t n) + 1  shingles of either, so each set is a member
+   of the regions of those only, and a set that has so many shingles of its own that none of these
+   is shared has no link at all.  Of regions with the same members only the first in order stays.
+2. *Pivots.*  Each region's first pivot is its smallest member, later ones are chosen among the
+   members outside the region's largest component.  A pivot is compared with all members of its region
+   that sketches, sizes and the place of the common anchor allow to be within r = 1 - t.
+3. *Voronoi regions and windows.*  A member within r of pivots goes from its region to that of the
+   nearest.  Whatever is within r of such a member is within 2 r of the pivot (triangle inequality), so
+   all members that may be that near are replicated to the pivot's region as its boundary; only pairs
+   with a member that isn't boundary are compared there.  The others stay in the region they are in.
+4. *Recursion.*  Pivots, which have met every member, go; regions whose members are all in one
+   component are done; the others get new pivots, all outside the largest component at once in small
+   regions, about sqrt(size) a round in larger ones.
 
 Only connections matter, so pairs already connected are not compared; no link between different
 components is skipped.  Equal sets are one class from the start.
 
-Rare-to-frequent order needs the exact number of sets that hold each shingle.  Blocks of texts
-send their shingles (hash ranges, as packed arrays) to the tasks that own the ranges and get back
-only those that others have too, with the power of two of their frequency.  A shingle that
-several texts of a block share is sent once, with its count, so frequent shingles cost a row a block.
-
-Shingles are compared by 64-bit hash within a text and by at least 40 bits between texts (more
-with more shuffle partitions).
+Rare-to-frequent order needs the number of sets that hold each shingle.  Blocks of texts send their
+shingles (hash ranges, as packed arrays) to the tasks that own the ranges and get back those that
+others have too, with the power of two of their frequency.  A shingle that several texts of a block
+share is sent once, with its count, so frequent shingles cost a row a block.  Ranges are as many as
+the corpus needs for BUCKET_BYTES each.  On the way 32 bits and the range stand for a shingle, which may
+only make one look shared; sets are compared by all 64 bits of their shingles' hashes.
 
 Defined results: null text is empty; a text without words has no shingles, no links and is its own
 component; a text of fewer words than a shingle is one shingle; equal rows are linked; rows with
-equal ids count as rows of one component each.
+equal ids count as rows of one component each; columns besides doc_id and text are not read; a text of
+any length is shingled whole, in the block that holds it.
 """
 
 from __future__ import annotations
@@ -42,13 +45,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, column, cut, mix, slices, table, texts_of, windows, word_hashes, words
+from .common import U64, column, cut, forget, joined, mix, slices, table, texts_of, windows, word_hashes, words
 from .components import components
 
 SHINGLE, PERCENT, WORK = 5, 75, 1 << 14
-BLOCK_BYTES, BLOCK_SETS = 8 << 20, 0x7FFF
+BLOCK_BYTES, BLOCK_SETS, BUCKET_BYTES = 8 << 20, 0x7FFF, 16 << 20
 MANY = 0x8000
-KEY_BYTES, SKETCH_BITS = 6, 512
+SKETCH_BITS = 512
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -74,113 +77,125 @@ def fingerprint(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s + U64(len(s))).sum(dtype=U64)]))[0].view(np.int64)) if len(s) else 0
 
 
-def set_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, fp) of every row."""
-
-    def run(batches):
-        for b in batches:
-            sets = [s for _, _, raw, offsets in slices(column(b, "text")) for s in shingle_sets(raw, offsets, size)]
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "fp"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp long")
-
-
-PACKED = "block long, bucket long, a binary, b binary, c binary, d binary, e binary"
+PARTS = "abcdefg"
+PACKED = "block long, bucket long, " + ", ".join(f"{p} binary" for p in PARTS)
 
 
 def _row(block: int, bucket: int, *parts: np.ndarray) -> tuple:
-    return (block, bucket, *(p.tobytes() for p in parts), *[None] * (5 - len(parts)))
+    return (block, bucket, *(p.tobytes() for p in parts), *[None] * (len(PARTS) - len(parts)))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=["block", "bucket", "a", "b", "c", "d", "e"])
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * len(PARTS)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=["block", "bucket", *PARTS])
 
 
-def _block_rows(block: int, sets: dict[int, np.ndarray], bits: int) -> list[tuple]:
+def _block_rows(block: int, docs: list[tuple[int | None, int, int]], sets: dict[int, np.ndarray], bits: int) -> list[tuple]:
     """What a block of texts sends: its own row (bucket < 0), and its shingles by hash range."""
+    ids = np.array([0 if d is None else d for d, _, _ in docs], np.int64)
+    rest = np.array([(d is None, n, fp) for d, n, fp in docs], np.int64)
     fps = np.fromiter(sets, np.int64, len(sets))
     sizes = np.fromiter((len(s) for s in sets.values()), np.int64, len(sets))
-    keys = np.concatenate(list(sets.values())) >> U64(32 - bits)
+    full = np.concatenate([*sets.values(), np.zeros(0, U64)])
     owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    count = np.diff(np.append(first, len(keys)))
+    order = np.argsort(full, kind="stable")
+    full, owner = full[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], full[1:] != full[:-1]))) if len(full) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(full)))
     many = count > 1
     inside = np.repeat(many, count)
-    home = _row(block, -1 - block, fps, sizes, keys[first[many]], count[many].astype(np.int32), owner[inside].astype(np.uint16))
-    keys = keys[first]
+    full = full[first]
     value = np.where(many, MANY | np.minimum(count, MANY - 1), owner[first]).astype(np.uint16)
-    cuts = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=U64) << U64(32))
-    return [home] + [_row(block, k, keys[i:j].astype(np.uint32), value[i:j]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+    below = np.ascontiguousarray(full.view(np.uint8).reshape(-1, 8)[:, : (32 - bits + 7) // 8])  # what the range and 32 bits don't tell
+    home = _row(block, -1 - block, ids, rest, fps, sizes, below, count[many].astype(np.int32), owner[inside].astype(np.uint16))
+    bucket = (full >> U64(64 - bits)).astype(np.int64)
+    keys = (full >> U64(32 - bits)).astype(np.uint32)
+    cuts = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(full)]))
+    return [home] + [_row(block, int(bucket[i]), keys[i:j], value[i:j], np.array([i], np.int64)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def shingle_blocks(docs: DataFrame, bits: int, size: int = SHINGLE) -> DataFrame:
     def run(batches):
-        part, number, held, sets = TaskContext.get().partitionId(), 0, 0, {}
+        part, number, held, ids, sets = TaskContext.get().partitionId(), 0, 0, [], {}
         for b in batches:
-            for _, _, raw, offsets in slices(column(b, "text")):
-                for s in shingle_sets(raw, offsets, size):
+            doc_id = column(b, "doc_id").to_pylist()
+            for first, last, raw, offsets in slices(column(b, "text")):
+                for d, s in zip(doc_id[first:last], shingle_sets(raw, offsets, size), strict=True):
+                    fp = fingerprint(s)
+                    ids.append((d, len(s), fp))
                     if len(s):
-                        sets[fingerprint(s)] = s
-                        if len(sets) >= BLOCK_SETS:
-                            yield _batch(_block_rows(part << 24 | number, sets, bits))
-                            number, held, sets = number + 1, 0, {}
+                        sets[fp] = s
+                    if len(ids) >= BLOCK_SETS:
+                        yield _batch(_block_rows(part << 24 | number, ids, sets, bits))
+                        number, held, ids, sets = number + 1, 0, [], {}
                 held += len(raw)
-                if held >= BLOCK_BYTES and sets:
-                    yield _batch(_block_rows(part << 24 | number, sets, bits))
-                    number, held, sets = number + 1, 0, {}
-        if sets:
-            yield _batch(_block_rows(part << 24 | number, sets, bits))
+                if held >= BLOCK_BYTES and ids:
+                    yield _batch(_block_rows(part << 24 | number, ids, sets, bits))
+                    number, held, ids, sets = number + 1, 0, [], {}
+        if ids:
+            yield _batch(_block_rows(part << 24 | number, ids, sets, bits))
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
 def _shared(t: pa.Table) -> pa.Table:
     """Of one hash range: for each block its shingles that more than one set holds, with log2 of how many."""
     if t["bucket"][0].as_py() < 0:
-        return t.select(["block", "bucket", "a", "b", "c", "d", "e"])
+        return t.select(["block", "bucket", *PARTS])
     blocks, bucket = t["block"].to_pylist(), t["bucket"][0].as_py()
     keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["a"]]
     values = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in t["b"]])
     row = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(k) for k in keys])
+    place = np.concatenate([np.arange(len(k)) + np.frombuffer(x.as_buffer(), np.int64)[0] for k, x in zip(keys, t["c"], strict=True)]).astype(np.uint32)
     keys = np.concatenate(keys)
     order = np.argsort(keys, kind="stable")
-    keys, values, row = keys[order], values[order], row[order]
+    keys, values, row, place = keys[order], values[order], row[order], place[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     held = np.add.reduceat(np.where(values & MANY, values & (MANY - 1), 1).astype(np.int64), first)
     total = np.repeat(held, np.diff(np.append(first, len(keys))))
     keep = total > 1
-    keys, values, row = keys[keep], values[keep], row[keep]
+    keys, values, row, place = keys[keep], values[keep], row[keep], place[keep]
     level = np.log2(total[keep]).astype(np.uint8)
     order = np.argsort(row, kind="stable")
     cuts = np.searchsorted(row[order], np.arange(len(blocks) + 1))
-    rows = [_row(b, bucket, keys[o], values[o], level[o]) for b, i, j in zip(blocks, cuts[:-1], cuts[1:], strict=True) if j > i and (o := order[i:j]) is not None]
+    rows = [_row(b, bucket, keys[o], values[o], level[o], place[o]) for b, i, j in zip(blocks, cuts[:-1], cuts[1:], strict=True) if j > i and (o := order[i:j]) is not None]
     return pa.Table.from_batches([_batch(rows)])
 
 
-def _candidates(percent: int):
+SETS = "doc_id long, n_shingles long, fp long, own int, anchors array<long>, sketch array<long>, keys binary"
+
+
+def _candidates(percent: int, bits: int):
     def home(t: pa.Table) -> pa.Table:
-        """The sets of one block that may have links: anchors from rare to frequent, and all shared shingles."""
-        own = next((r for r in t.to_pylist() if r["bucket"] < 0), None)
-        out = {"fp": [], "n": [], "own": [], "anchors": [], "sketch": [], "keys": []}
+        """Rows (doc_id, n_shingles, fp) of a block's texts, and with no doc_id but the other columns those of
+        its sets that may have links: anchors from rare to frequent, and all shared shingles."""
+        own = next(r for r in t.to_pylist() if r["bucket"] < 0)
+        ids, rest = np.frombuffer(own["a"], np.int64), np.frombuffer(own["b"], np.int64).reshape(-1, 3)
+        out = {"fp": [], "n_shingles": [], "own": [], "anchors": [], "sketch": [], "keys": []}
         back = [r for r in t.to_pylist() if r["bucket"] >= 0]
-        if own is not None and back:
-            fps, sizes = np.frombuffer(own["a"], np.int64), np.frombuffer(own["b"], np.int64)
-            m_keys, m_count, m_owner = np.frombuffer(own["c"], U64), np.frombuffer(own["d"], np.int32), np.frombuffer(own["e"], np.uint16)
-            keys = np.concatenate([np.frombuffer(r["a"], np.uint32).astype(U64) | (U64(r["bucket"]) << U64(32)) for r in back])
+        if back:
+            fps, sizes, m_count, m_owner = (np.frombuffer(own[k], kind) for k, kind in (("c", np.int64), ("d", np.int64), ("f", np.int32), ("g", np.uint16)))
+            place = np.concatenate([np.frombuffer(r["d"], np.uint32) for r in back]).astype(np.int64)
+            keys = np.concatenate([np.frombuffer(r["a"], np.uint32).astype(U64) << U64(32 - bits) | (U64(r["bucket"]) << U64(64 - bits)) for r in back])
+            width = (32 - bits + 7) // 8
+            below = np.zeros((len(place), 8), np.uint8)
+            below[:, :width] = np.frombuffer(own["e"], np.uint8).reshape(-1, width)[place]
+            keys |= below.view(U64).ravel() & U64((1 << (32 - bits)) - 1)
             values = np.concatenate([np.frombuffer(r["b"], np.uint16) for r in back])
-            level = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in back]).astype(U64)
-            many = (values & MANY) > 0
-            at = np.searchsorted(m_keys, keys[many])
-            n = m_count[at]
-            begin = (np.concatenate(([0], np.cumsum(m_count)))[:-1])[at]
-            where = np.repeat(begin - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
-            owner = np.concatenate((values[~many].astype(np.int64), m_owner[where].astype(np.int64)))
-            keys = np.concatenate((keys[~many], np.repeat(keys[many], n)))
-            level = np.concatenate((level[~many], np.repeat(level[many], n)))
-            order = np.argsort(owner.astype(U64) << U64(48) | level << U64(42) | mix(keys) >> U64(22))
+            level = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in back])
+            # a shingle of several sets of the block comes back to all of them; home has counted those by place
+            many = np.flatnonzero(values & MANY)
+            spread = np.concatenate(([0], np.cumsum(m_count)))
+            rank = np.searchsorted(np.sort(place[many]), place[many])
+            if len(many) != len(m_count):
+                raise RuntimeError("shared shingles of a block are missing")
+            n = m_count[rank]
+            where = np.repeat(spread[rank] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
+            one = np.flatnonzero(values & MANY == 0)
+            owner = np.concatenate((values[one].astype(np.int64), m_owner[where].astype(np.int64)))
+            level = np.concatenate((level[one], np.repeat(level[many], n)))
+            keys = np.concatenate((keys[one], np.repeat(keys[many], n)))
+            order = np.lexsort((mix(keys), level, owner))
             owner, keys = owner[order], keys[order]
             cuts = np.searchsorted(owner, np.arange(len(fps) + 1))
             shared = np.diff(cuts)
@@ -189,35 +204,29 @@ def _candidates(percent: int):
             for i in np.flatnonzero((anchors > 0) & (100 * shared >= percent * sizes)):
                 k = keys[cuts[i] : cuts[i + 1]]
                 out["fp"].append(int(fps[i]))
-                out["n"].append(int(sizes[i]))
+                out["n_shingles"].append(int(sizes[i]))
                 out["own"].append(int(sizes[i] - shared[i]))
                 out["anchors"].append(k[: anchors[i]].astype(np.int64))
                 odd = np.bincount((mix(k) & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
                 out["sketch"].append(np.packbits(odd.astype(bool)).view(np.int64))
-                out["keys"].append(np.sort(k).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes())
-        return pa.table({"fp": pa.array(out["fp"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "own": pa.array(out["own"], pa.int32()), "anchors": pa.array(out["anchors"], pa.list_(pa.int64())), "sketch": pa.array(out["sketch"], pa.list_(pa.int64())), "keys": pa.array(out["keys"], pa.binary())})
+                out["keys"].append(np.sort(k).tobytes())
+        none = [None] * len(ids)
+        return pa.table({
+            "doc_id": pa.array(np.concatenate((ids, np.zeros(len(out["fp"]), np.int64))), mask=np.concatenate((rest[:, 0] == 1, np.zeros(len(out["fp"]), bool)))),
+            "n_shingles": pa.array([*rest[:, 1].tolist(), *out["n_shingles"]], pa.int64()), "fp": pa.array([*rest[:, 2].tolist(), *out["fp"]], pa.int64()), "own": pa.array([*none, *out["own"]], pa.int32()),
+            "anchors": pa.array([*none, *out["anchors"]], pa.list_(pa.int64())), "sketch": pa.array([*none, *out["sketch"]], pa.list_(pa.int64())), "keys": pa.array([*none, *out["keys"]], pa.binary()),
+        })
 
     return home
 
 
-def candidates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(fp, n, own, anchors, sketch, keys): the distinct sets that may have links.
-
-    own: shingles that no other set holds; keys: all others, packed and sorted; sketch: their parities by hash.
-    """
-    spark = docs.sparkSession
-    bits = max(8, min(16, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+def texts_and_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """Columns SETS.  A row of each text: doc_id, n_shingles and fp.  And rows with keys, of sets that may have links:
+    own, shingles that no other set holds; keys, all others, packed and sorted; sketch, their parities by hash."""
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(8, min(24, math.ceil(math.log2(text_bytes / BUCKET_BYTES + 1))))  # a shingle takes about as many bytes as its word
     shared = shingle_blocks(docs, bits, size).groupBy("bucket").applyInArrow(_shared, PACKED)
-    sets = shared.groupBy("block").applyInArrow(_candidates(percent), "fp long, n int, own int, anchors array<long>, sketch array<long>, keys binary")
-    return sets.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "own", "anchors", "sketch", "keys")))
-
-
-def _rows_and_keys(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x.as_buffer()) // KEY_BYTES for x in col], np.int64)
-    packed = np.frombuffer(b"".join(x.as_buffer() for x in col), np.uint8).reshape(-1, KEY_BYTES)
-    wide = np.zeros((len(packed), 8), np.uint8)
-    wide[:, :KEY_BYTES] = packed
-    return np.repeat(np.arange(len(col), dtype=U64), sizes), wide.view(U64).ravel()
+    return shared.groupBy("block").applyInArrow(_candidates(percent, bits), SETS)
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -225,17 +234,17 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     extra = [c for c in pairs.columns if c not in ("a", "b")]
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                b = batch.slice(i, 1024)
-                (ra, ka), (rb, kb) = _rows_and_keys(column(b, "ka")), _rows_and_keys(column(b, "kb"))
-                both = np.sort(np.concatenate((ra << U64(48) | ka, rb << U64(48) | kb)))
-                hit = both[1:][both[1:] == both[:-1]] >> U64(48)
-                n = np.bincount(hit.astype(np.int64), minlength=b.num_rows)
-                yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("a", "b", *extra, "na", "nb")), pa.array(n, pa.int64())], names=["a", "b", *extra, "na", "nb", "overlap"])
+        for b in batches:
+            both = zip(column(b, "ka"), column(b, "kb"), strict=True)
+            n = []
+            for x, y in both:
+                k = np.concatenate((np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)))
+                k.sort()
+                n.append(int((k[1:] == k[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("a", "b", *extra, "na", "nb")), pa.array(n, pa.int64())], names=["a", "b", *extra, "na", "nb", "overlap"])
 
     side = lambda k: sets.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("keys").alias(f"k{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *extra, "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long, " + "".join(f"{c} long, " for c in extra) + "na int, nb int, overlap long")
+    return pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", *extra, "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long, " + "".join(f"{c} long, " for c in extra) + "na int, nb int, overlap long")
 
 
 def _possible(n1, p1, n2, p2, percent: int):
@@ -244,70 +253,90 @@ def _possible(n1, p1, n2, p2, percent: int):
     return (100 * most >= percent * (n1 + n2 - most)) & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
 
 
-def _near_sketches(percent: int):
-    """Whether what is known of two sets allows a link: the parities that differ, and the shingles that
-    each has alone, are a lower bound of the size of their symmetric difference."""
+def _within(percent: int, times: int = 1):
+    """Whether what is known of two sets allows a distance of `times` (1 or 2) r: the parities that differ, and the
+    shingles that each has alone, are a lower bound of the size of their symmetric difference."""
     differ = " + ".join(f"bit_count(sketch1[{i}] ^ sketch2[{i}])" for i in range(SKETCH_BITS // 64))
-    return F.expr(f"{100 + percent} * (own1 + own2 + {differ}) <= {100 - percent} * (n1 + n2)")
+    return F.expr(f"{100 + percent if times == 1 else percent} * (own1 + own2 + {differ}) <= {100 - percent} * (n1 + n2)")
+
+
+def _still_open(m: DataFrame) -> DataFrame:
+    """The regions whose members aren't all in one component c yet; main: their largest component."""
+    each = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+    left = each.groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("size"))
+    left = left.where("most.k < size").select("key", "size", F.col("most.c").alias("main"), F.expr("size - most.k").alias("others"))
+    return m.join(left, "key")
 
 
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
     """Tables (id, component), to be applied to fp one after the other: each names what a component is part of."""
     cell = sets.select("fp", "n", F.posexplode("anchors").alias("i", "key"), "own").select("key", "fp", "n", (F.col("own") + F.col("i")).alias("at"))
-    pivot = cell.groupBy("key").agg(F.min(F.struct("fp", "n", "at")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    member = cut(cell.join(pivot, "key"))
+    # regions with the same members are one, and of their anchors the first in order counts: all members have it at the least place
+    same = (F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"))
+    keyed = cell.groupBy("key").agg(F.min(F.struct("fp", "n", "at")).alias("p"), F.sum("at").alias("places"), *same).where("size > 1")
+    pivot = keyed.groupBy("x", "y", "size").agg(F.min_by(F.struct("key", "p"), F.struct("places", "key")).alias("k")).select("k.key", "k.p")
+    member = cut(cell.join(pivot.hint("merge"), "key"))
+    side = lambda k: sets.select(F.col("fp").alias(f"fp{k}"), F.col("own").alias(f"own{k}"), F.col("sketch").alias(f"sketch{k}")).hint("merge")
     first = member.where((F.col("fp") != F.col("p.fp")) & _possible(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"), percent))
-    tested = cut(measure(first.select(F.col("fp").alias("a"), F.col("p.fp").alias("b")).distinct(), sets))
+    first = first.select(F.col("fp").alias("fp1"), F.col("n").alias("n1"), F.col("p.fp").alias("fp2"), F.col("p.n").alias("n2")).distinct()
+    first = first.join(side(1), "fp1").join(side(2), "fp2").where(_within(percent))
     is_link = F.expr(f"100 * overlap >= {percent} * (na + nb - overlap)")
-    comp = components(tested.where(is_link).select("a", "b"))
-    steps = [comp]
-    far = tested.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
-    r = 1 - percent / 100
-
-    def still_open(m: DataFrame) -> DataFrame:
-        """The regions whose members aren't all in one component c yet; main: their largest component."""
-        each = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-        left = each.groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("size"))
-        left = left.where("most.k < size").select("key", "size", F.col("most.c").alias("main"), F.expr("size - most.k").alias("others"))
-        return m.join(left, "key")
-
-    m = member.select("key", "fp", "n", "at", F.col("p.fp").alias("pivot")).join(comp.select(F.col("id").alias("fp"), "component"), "fp", "left")
-    m = still_open(m.select("key", "fp", "n", "at", "pivot", F.coalesce("component", "fp").alias("c"))).join(far, ["fp", "pivot"], "left")
-    m = m.withColumn("d", F.when(F.col("fp") == F.col("pivot"), 0.0).otherwise(F.col("d"))).join(sets.select("fp", "own", "sketch"), "fp")
-    opened, turn = cut(m), 0
-    kept = ("fp", "n", "at", "c", "d", "own", "sketch")
+    links = cut(measure(first.select(F.col("fp1").alias("a"), F.col("fp2").alias("b")), sets).where(is_link).select("a", "b"))
+    steps = [components(links)]
+    m = member.select("key", "fp", "n", "at", F.col("p.fp").alias("pivot")).join(steps[0].select(F.col("id").alias("fp"), "component"), "fp", "left")
+    m = cut(m.select("key", "fp", "n", "at", "pivot", F.coalesce("component", "fp").alias("c")))
+    m = _still_open(m).where("fp <> pivot").drop("pivot").join(sets.select("fp", "own", "sketch").hint("merge"), "fp")  # first pivots have met all members
+    opened, turn = cut(m.withColumn("boundary", F.lit(False))), 0
+    forget(member, links)
+    kept = ("fp", "n", "at", "c", "own", "sketch", "boundary")
     while not opened.isEmpty():
         # Pivots are members outside the largest component: all of them if that takes up to `work` comparisons, else
         # about work / size or sqrt(size), whichever is more, by a hash of the set and the round.  First rounds connect
         # most members with few comparisons; the rest need one with each other member, so later rounds do more.
         work, turn = WORK * 4 ** min(turn, 6), turn + 1
         is_pivot = f"c <> main and pmod(xxhash64(fp, {turn}), greatest(1, cast(ceil(others / greatest(sqrt(size), {work} / size)) as long))) = 0"
-        x = opened.where(is_pivot).select("key", "pivot", *(F.col(c).alias(f"{c}1") for c in kept))
-        y = opened.select("key", *(F.col(c).alias(f"{c}2") for c in kept))
-        window = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= r + 1e-9, F.lit(True))
-        met = (F.col("fp1") == F.col("pivot")) | (F.col("fp2") == F.col("pivot"))  # compared with the region's first pivot
-        allowed = (F.col("c1") != F.col("c2")) & ~met & window & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent)
-        both = x.join(y, (x.key == y.key) & allowed & _near_sketches(percent))
+        x = opened.where(is_pivot).select("key", *(F.col(c).alias(f"{c}1") for c in kept))
+        y = opened.select(F.col("key").alias("k2"), *(F.col(c).alias(f"{c}2") for c in kept))
+        near = _within(percent) & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent) & (F.col("c1") != F.col("c2")) & ~(F.col("boundary1") & F.col("boundary2"))
+        met = x.join(y, (F.col("key") == F.col("k2")) & (F.col("fp1") != F.col("fp2")) & _within(percent, 2))
+        met = cut(met.select("key", "fp1", "fp2", "c1", "c2", "boundary2", near.alias("near")))
         up = F.col("fp1") < F.col("fp2")
-        ends = both.select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b"), F.when(up, F.col("c1")).otherwise(F.col("c2")).alias("ca"), F.when(up, F.col("c2")).otherwise(F.col("c1")).alias("cb"))
+        ends = met.where("near").select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b"), F.when(up, F.col("c1")).otherwise(F.col("c2")).alias("ca"), F.when(up, F.col("c2")).otherwise(F.col("c1")).alias("cb"))
         # the two components of a pair are the same wherever the pair is met
-        more = cut(measure(ends.distinct(), sets).where(is_link).select("ca", "cb"))
-        steps.append(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-        renamed = steps[-1].select(F.col("id").alias("c"), F.col("component").alias("to"))
-        rest = opened.where(f"not ({is_pivot})").drop("size", "main", "others")  # pivots have met every member of their region
-        opened = cut(still_open(rest.join(renamed, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")))
+        links = cut(measure(ends.distinct(), sets).where(is_link))
+        steps.append(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        d = links.select("a", "b", (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
+        # Members within r of pivots go to the nearest one's region, and all that may be within 2 r of it are its boundary.
+        # Boundary members stay where they are: their partners that leave take them along as boundary.
+        paired = met.where("near and not boundary2").select("key", "fp1", "fp2", F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).join(d, ["a", "b"])
+        nearest = cut(paired.groupBy("key", F.col("fp2").alias("fp")).agg(F.min_by("fp1", F.struct("d", "fp1")).alias("to")))
+        region = F.xxhash64("key", F.col("to"))
+        rest = opened.where(f"not ({is_pivot})").drop("size", "main", "others")
+        stay = rest.join(nearest, ["key", "fp"], "left_anti")
+        inside = met.join(nearest.groupBy("key", F.col("to").alias("fp1")).agg(F.count(F.lit(1)).alias("ball")), ["key", "fp1"]).select("key", F.col("fp1").alias("to"), F.col("fp2").alias("fp"))
+        moved = rest.join(inside, ["key", "fp"]).join(nearest.withColumn("own_region", F.lit(True)), ["key", "fp", "to"], "left")
+        moved = moved.select(region.alias("key"), "fp", "n", "at", "c", "own", "sketch", F.col("own_region").isNull().alias("boundary"))
+        renamed = steps[-1].select(F.col("id").alias("c"), F.col("component").alias("now"))
+        after = cut(stay.unionByName(moved).join(renamed, "c", "left").withColumn("c", F.coalesce("now", "c")).drop("now"))
+        before, opened = opened, cut(_still_open(after))
+        forget(before, after, met, links, nearest)
     return steps
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
-    of = cut(set_table(docs, size))
-    rooted = of.withColumnRenamed("fp", "root")
-    for step in link_classes(cut(candidates(docs, percent, size)), percent):
-        rooted = rooted.join(step.select(F.col("id").alias("root"), "component"), "root", "left").select("doc_id", "n_shingles", F.coalesce("component", "root").alias("root"))
-    rooted = cut(rooted)
-    least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    some = rooted.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    every = cut(texts_and_sets(docs, percent, size))
+    of = every.where("keys is null").select("doc_id", "n_shingles", "fp")
+    sets = cut(every.where("keys is not null").groupBy("fp").agg(F.first("n_shingles").cast("int").alias("n"), *(F.first(c).alias(c) for c in ("own", "anchors", "sketch", "keys"))))
+    root = sets.select("fp", F.col("fp").alias("root"))
+    for step in link_classes(sets, percent):
+        root = root.join(step.select(F.col("id").alias("root"), "component"), "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
+    classes = of.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    classes = cut(classes.join(root, "fp", "left").select("fp", "rows", "least", F.coalesce("root", "fp").alias("root")))
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = cut(classes.join(least, "root").select("fp", "rows", "component_id"))
+    some = joined(of.where("n_shingles > 0"), "fp", classes, "rows").select("doc_id", "n_shingles", "component_id")
+    forget(sets)
     return some.unionAll(of.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

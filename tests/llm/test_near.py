@@ -77,6 +77,21 @@ def test_one_large_group_of_near_copies(spark):
     assert near(spark, rows) == jaccard(rows)
 
 
+def test_few_pivots_a_round(spark, monkeypatch):
+    """Regions of members that share a passage, with clusters of near copies inside, by as few pivots as there can be."""
+    monkeypatch.setattr(jaccard_join, "WORK", 1)
+    rng, rows = random.Random(9), []
+    passage = [f"p{i}" for i in range(30)]
+    for g in range(10):
+        centre = [f"g{g}x{i}" for i in range(25)]
+        for _ in range(rng.choice((1, 3, 9))):
+            text = passage + centre
+            for _ in range(rng.choice((0, 1, 2, 3))):
+                text[rng.randrange(len(text))] = f"r{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    assert near(spark, rows) == jaccard(rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_components(spark, seed):
     rng = random.Random(seed)
