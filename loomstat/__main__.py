@@ -34,7 +34,8 @@ def main(argv: list[str] | None = None) -> None:
     model = t.load(spark, a.model)
     known = {}
     for g in model.groups:
-        known[g.column] = ColumnType("enum", g.variants) if g.variants else ColumnType("text") if g.kind == "bag_of_words" else ColumnType("number")
+        for c in filter(None, (g.column, g.other)):
+            known[c] = ColumnType("enum", g.variants) if g.variants else ColumnType("text") if g.kind in ("bag_of_words", "bag_of_words_cosine", "word_embedding") else ColumnType("number")
     out = t.predict(read_csv(spark, a.file, known), model, a.threshold)
     if model.task == "regression":
         out = out.select(F.col("prediction").alias(model.target))

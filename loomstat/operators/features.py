@@ -5,21 +5,28 @@ Dense features end in one array column; bag-of-words features stay sparse, a row
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import ngrams, tokens
-from loomstat.operators.profile import merge_counts, ngram_counts, top_ngrams
+from loomstat.operators.profile import TOP_NGRAMS, merge_counts, ngram_counts, top_ngrams
 from loomstat.schema import ColumnType
 
 
+#: Bytes of dense features that a task makes at a time.
+BATCH_BYTES = 32 << 20
+
+
 @dataclass(frozen=True)
 class Group:
     """kind: identity, normalized, one_hot, bag_of_words, bag_of_words_cosine or word_embedding.
 
-    mean and variance belong to normalized, vocabulary (n-gram, idf) and strategy to words.
+    mean and variance belong to normalized; vocabulary (n-gram, idf), sizes of n-grams and strategy to words;
+    other is the second column of a cosine similarity; vectors (word, numbers) belong to word_embedding.
     """
 
     kind: str
@@ -30,6 +37,8 @@ class Group:
     vocabulary: tuple[tuple[str, float], ...] = ()
     strategy: str = "present"
     other: str = ""
+    sizes: tuple[int, ...] = (1, 2)
+    vectors: tuple[tuple[str, tuple[float, ...]], ...] = ()
 
     @property
     def names(self) -> list[str]:
@@ -37,38 +46,62 @@ class Group:
             return [f"{self.column} = {v}" for v in ("(invalid)", *self.variants)]
         if self.kind == "bag_of_words":
             return [f"{self.column}: {g}" for g, _ in self.vocabulary]
+        if self.kind == "word_embedding":
+            return [f"{self.column}[{i}]" for i in range(len(self.vectors[0][1]) if self.vectors else 0)]
         return [self.column if not self.other else f"{self.column} ~ {self.other}"]
 
 
-def plan(types: dict[str, ColumnType], target: str, linear: bool, exclude: tuple[str, ...] = ()) -> list[tuple[str, str]]:
-    """(kind, column): linear models get numbers normalised and enums one-hot, trees both as they are."""
+def plan(types: dict[str, ColumnType], target: str, linear: bool, exclude: tuple[str, ...] = ()) -> list[Group]:
+    """Groups that haven't learned anything yet: linear models get numbers normalised and enums one-hot, trees both as they are."""
     out = []
     for name, t in types.items():
         if name == target or name in exclude or t.kind == "unknown":
             continue
         kind = {"number": "normalized" if linear else "identity", "enum": "one_hot" if linear else "identity", "text": "bag_of_words"}[t.kind]
-        out.append((kind, name))
+        out.append(Group(kind, name))
+    return out
+
+
+def included(groups: list[dict]) -> list[Group]:
+    """Groups of a configuration: type, source_column (or source_column_a and _b), and for words strategy and ngram sizes."""
+    out = []
+    for g in groups:
+        kind = {"one_hot_encoded": "one_hot", "bag_of_words_cosine_similarity": "bag_of_words_cosine"}.get(g["type"], g["type"])
+        if kind not in NEEDS or set(g) - {"type", "source_column", "source_column_a", "source_column_b", "strategy", "ngrams"}:
+            raise ValueError(f"no such feature group: {g}")
+        cosine = kind == "bag_of_words_cosine"
+        strategy = g.get("strategy", "tfidf" if cosine else "present")
+        if strategy not in ("present", "count", "tfidf"):
+            raise ValueError(f"no such strategy: {strategy}")
+        out.append(Group(kind, g["source_column_a" if cosine else "source_column"], other=g["source_column_b"] if cosine else "", strategy=strategy, sizes=tuple(g.get("ngrams", (1, 2)))))
     return out
 
 
-def fit(df: DataFrame, kinds: list[tuple[str, str]], types: dict[str, ColumnType], max_vocabulary: int = 1000) -> list[Group]:
-    """Groups with what they learn from df: one aggregate for all moments, one job per text column."""
-    for kind, name in kinds:
-        need = {"normalized": ("number", "enum"), "identity": ("number", "enum"), "one_hot": ("enum",), "bag_of_words": ("text",)}[kind]
-        if types[name].kind not in need:
-            raise ValueError(f"{kind} can't be made of the {types[name].kind} column {name}")
-    numbers = [n for k, n in kinds if k == "normalized"]
+#: Types of columns that each kind can be made of.
+NEEDS = {"identity": ("number", "enum"), "normalized": ("number", "enum"), "one_hot": ("enum",), "bag_of_words": ("text",), "bag_of_words_cosine": ("text",)}
+
+
+def fit(df: DataFrame, groups: list[Group | tuple[str, str]], types: dict[str, ColumnType], max_vocabulary: int = TOP_NGRAMS) -> list[Group]:
+    """Groups with what they learn from df: one aggregate for all moments, one job per text column or pair."""
+    groups = [g if isinstance(g, Group) else Group(*g) for g in groups]
+    for g in groups:
+        for name in filter(None, (g.column, g.other)):
+            if name not in types or types[name].kind not in NEEDS[g.kind]:
+                raise ValueError(f"{g.kind} can't be made of the {types[name].kind if name in types else 'missing'} column {name}")
+    numbers = [g.column for g in groups if g.kind == "normalized"]
     seen = df.agg(*(f(F.col(f"`{n}`").cast("double")).alias(f"{a}{i}") for i, n in enumerate(numbers) for a, f in (("m", F.avg), ("v", F.var_pop)))).first() if numbers else {}
     out = []
-    for kind, name in kinds:
-        if kind == "normalized":
-            i = numbers.index(name)
-            out.append(Group(kind, name, mean=seen[f"m{i}"] or 0.0, variance=seen[f"v{i}"] or 0.0))
-        elif kind == "bag_of_words":
-            top = top_ngrams(ngram_counts(df, name), df.count(), max_vocabulary).collect()  # at most max_vocabulary rows
-            out.append(Group(kind, name, vocabulary=tuple((r.ngram, r.idf) for r in top)))
+    for g in groups:
+        if g.kind == "normalized":
+            i = numbers.index(g.column)
+            out.append(replace(g, mean=seen[f"m{i}"] or 0.0, variance=seen[f"v{i}"] or 0.0))
+        elif g.kind in ("bag_of_words", "bag_of_words_cosine"):
+            sides = [ngram_counts(df, c, g.sizes) for c in filter(None, (g.column, g.other))]
+            counts = sides[0] if len(sides) == 1 else merge_counts(sides, ["ngram"], ["row_count", "occurrence_count"])
+            top = top_ngrams(counts, len(sides) * df.count(), max_vocabulary).collect()  # at most max_vocabulary rows
+            out.append(replace(g, vocabulary=tuple((r.ngram, r.idf) for r in top)))
         else:
-            out.append(Group(kind, name, variants=types[name].variants))
+            out.append(replace(g, variants=types[g.column].variants))
     return out
 
 
@@ -96,18 +129,70 @@ def dense(g: Group) -> Column:
         return F.array(normalized(c, g.mean, g.variance))
     if g.kind == "one_hot":
         return one_hot(c, len(g.variants))
-    if g.kind == "bag_of_words":
-        grams = ngrams(c)
-        words = [F.lit(w) for w, _ in g.vocabulary]
-        if g.strategy == "count":
-            return F.transform(F.array(*words), lambda w: F.size(F.filter(grams, lambda x: x == w)).cast("double"))
-        held = F.array_distinct(grams)
-        return F.transform(F.array(*words), lambda w: F.array_contains(held, w).cast("double"))
     raise ValueError(g.kind)
 
 
+def _values(g: Group, place: dict[str, int], grams: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of one text's n-grams in the vocabulary."""
+    at, n = np.unique([place[x] for x in grams if x in place], return_counts=True)
+    at = at.astype(np.int64)
+    v = np.ones(len(at)) if g.strategy == "present" else n.astype(float) if g.strategy == "count" else n * weight[at]
+    if (g.strategy == "tfidf" or g.kind == "bag_of_words_cosine") and len(v):
+        v = v / (np.sqrt(v @ v) or 1.0)
+    return at, v
+
+
 def with_features(df: DataFrame, groups: list[Group], name: str = "features") -> DataFrame:
-    return df.withColumn(name, F.concat(*(dense(g) for g in groups)) if groups else F.array().cast("array<double>"))
+    """df with the groups' features, in their order, as an array of doubles.
+
+    Numbers and enums are column expressions.  Texts are cut to n-grams once each, and one pass over the
+    rows looks those up in the vocabularies, whatever their size, BATCH_BYTES of features at a time.
+    """
+    words = [g for g in groups if g.kind in ("bag_of_words", "bag_of_words_cosine", "word_embedding")]
+    if not words:
+        return df.withColumn(name, F.concat(*(dense(g) for g in groups)) if groups else F.array().cast("array<double>"))
+    texts: dict[str, Column] = {}
+    for g in words:
+        for c in filter(None, (g.column, g.other)):
+            key = f"__text_{c}_{g.kind == 'word_embedding'}_{g.sizes}"
+            texts[key] = tokens(F.col(f"`{c}`")) if g.kind == "word_embedding" else ngrams(F.col(f"`{c}`"), g.sizes)
+    of = {g: [list(texts).index(f"__text_{c}_{g.kind == 'word_embedding'}_{g.sizes}") for c in filter(None, (g.column, g.other))] for g in words}
+    plain = [g for g in groups if g not in words]
+    packed = df.select("*", F.array(*texts.values()).alias("__texts"), (F.concat(*(dense(g) for g in plain)) if plain else F.array().cast("array<double>")).alias("__plain"))
+    n, width = len(df.columns), sum(len(g.names) for g in groups)
+    first, starts, i = {}, [], 0
+    for k, g in enumerate(groups):
+        first[k] = i
+        starts += list(range(i, i + len(g.names))) if g in plain else []
+        i += len(g.names)
+    out_schema = df.withColumn(name, F.lit(None).cast("array<double>")).schema
+
+    def run(batches):
+        place = {k: {w: j for j, (w, _) in enumerate(g.vocabulary)} for k, g in enumerate(groups) if g in words}
+        weight = {k: np.array([x for _, x in g.vocabulary]) for k, g in enumerate(groups) if g in words}
+        vectors = {k: {w: np.array(v) for w, v in g.vectors} for k, g in enumerate(groups) if g.kind == "word_embedding"}
+        step = max(1, BATCH_BYTES // (8 * max(width, 1)))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                x = np.zeros((b.num_rows, width))
+                x[:, starts] = np.asarray(b.column(n + 1).flatten(), float).reshape(b.num_rows, len(starts))
+                for row, t in enumerate(b.column(n).to_pylist()):
+                    for k, g in enumerate(groups):
+                        if g.kind == "bag_of_words":
+                            at, v = _values(g, place[k], t[of[g][0]], weight[k])
+                            x[row, first[k] + at] = v
+                        elif g.kind == "bag_of_words_cosine":
+                            (a, va), (c, vc) = (_values(g, place[k], t[j], weight[k]) for j in of[g])
+                            both, ia, ic = np.intersect1d(a, c, assume_unique=True, return_indices=True)
+                            x[row, first[k]] = va[ia] @ vc[ic] if len(both) else 0.0
+                        elif g.kind == "word_embedding":
+                            found = [vectors[k][w] for w in t[of[g][0]] if w in vectors[k]]
+                            if found:
+                                x[row, first[k] : first[k] + len(g.names)] = np.mean(found, axis=0)
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(list(x), pa.list_(pa.float64()))], names=[*b.schema.names[:n], name])
+
+    return packed.mapInArrow(run, out_schema)
 
 
 def bag_of_words(df: DataFrame, row_id: str, text: str, vocabulary: DataFrame, strategy: str = "present", normalise: bool | None = None) -> DataFrame:
@@ -129,7 +214,7 @@ def unit_rows(sparse: DataFrame) -> DataFrame:
 
 
 def cosine_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(row_id, similarity) of two sparse tables with unit rows; rows without a common n-gram are left out (0)."""
+    """(row_id, similarity) of two sparse tables with unit rows; rows without a common n-gram (similarity 0) are left out."""
     both = a.select("row_id", "ngram", F.col("value").alias("x")).join(b.select("row_id", "ngram", F.col("value").alias("y")), ["row_id", "ngram"])
     return both.groupBy("row_id").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
 

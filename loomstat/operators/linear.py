@@ -7,6 +7,7 @@ partitioning only, not on timing.  Features come as an array column.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -79,9 +80,10 @@ def _loss(kind: str, p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train_linear(
-    df: DataFrame, features: str, label: str, kind: str, n_classes: int = 1, learning_rate: float = 0.1, epochs: int = 100, batch: int = 32, l2: float = 0.0, stopping: EarlyStopping | None = None, watch: DataFrame | None = None,
+    df: DataFrame, features: str, label: str, kind: str, n_classes: int = 1, learning_rate: float = 0.1, epochs: int = 100, batch: int = 32, l2: float = 0.0, stopping: EarlyStopping | None = None, watch: DataFrame | None = None, deadline: float | None = None,
 ) -> LinearModel:
-    """label: a number, 0/1, or a class index from 0.  watch: rows whose loss decides on stopping."""
+    """label: a number, 0/1, or a class index from 0.  watch: rows whose loss decides on stopping; deadline: a
+    time of time.monotonic() after which no further epoch begins."""
     outputs = n_classes if kind == "multiclass" else 1
     data = df.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y")).persist()
     if watch is not None:
@@ -97,6 +99,8 @@ def train_linear(
         w = np.zeros((outputs, k + 1))
         losses = []
         for _ in range(epochs):
+            if losses and deadline is not None and time.monotonic() > deadline:
+                break
             now = w.copy()
 
             def epoch(batches, now=now):

@@ -114,3 +114,15 @@ def baseline(train: DataFrame, test: DataFrame, target: str, kind: str) -> DataF
     counts = train.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
     guess = counts.agg(F.max_by(target, F.struct("n", target)).alias("__guess"))
     return overall_class_metrics(class_metrics(confusion(test.crossJoin(F.broadcast(guess)), "__guess", target)))
+
+
+def threshold_baseline(share: float, positives: int, negatives: int, n_thresholds: int = 99) -> list[dict]:
+    """Metrics, per threshold, of giving every row the probability `share`: all rows positive up to it, none above."""
+    out = []
+    for k in range(1, n_thresholds + 1):
+        t = k / (n_thresholds + 1)
+        tp, fp = (positives, negatives) if share >= t else (0, 0)
+        tn, fn = negatives - fp, positives - tp
+        ratio = lambda a, b: a / b if b else None
+        out.append({"threshold": t, "tp": tp, "fp": fp, "tn": tn, "fn": fn, "accuracy": ratio(tp + tn, positives + negatives), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+    return out

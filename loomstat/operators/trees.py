@@ -1,26 +1,36 @@
 """Gradient boosted trees on Spark.
 
-The binned rows are a table whose current scores are written with it after each tree.  Bin sums of
-many tree nodes come from one pass: tasks walk their rows through the tree so far (numpy) and send
-one partial sum per (node, feature, bin); split search is a window over these sums.  Trees grow best
-first.  The splits of all children that could be popped next are found in one job, and pops are then
-replayed in order of gain, so trees equal those grown one split at a time.
+Rows are binned once, into a table of packed bins, labels and scores.  Bin sums of many tree nodes come
+from one pass: tasks walk their rows through the trees since the scores were written and the tree so
+far (numpy), add up a dense array by node and bin of each feature, and send it in rows of CHUNK bins;
+those are added up by node and chunk.  Only the smaller child of each split is summed: the larger one is its
+parent less that.  Split search over the sums (nodes * features * bins numbers) is numpy on the driver.
+Trees grow best first.  The sums of all children that could be popped next come from one job, and pops
+are then replayed in order of gain, so trees equal those grown one split at a time.
 """
 
 from __future__ import annotations
 
 import heapq
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.operators.binning import best_splits, bin_of, bin_thresholds, leaf_value, splits
+from loomstat.operators.binning import bin_thresholds, leaf_value
 from loomstat.operators.linear import EarlyStopping
 from loomstat.operators.ranks import value_counts
-from loomstat.sources.tables import written
+from loomstat.sources.tables import dropped, written
+
+#: Scores are written anew after so many rounds; between, tasks apply the trees since.
+ROUNDS_A_TABLE = 10
+#: Bytes of bin sums that a task holds; nodes beyond are summed in further passes.
+SUM_BYTES = 256 << 20
+#: Bins that one row of sums holds.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -62,13 +72,13 @@ class Trees:
     trees: list[list[list[Node]]] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
 
-    def bins(self, features: Column) -> Column:
-        """Bins of an array column of features (numbers as they are, enum codes, NaN for invalid)."""
-        each = []
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        """Bins of rows of features (numbers as they are, enum codes, NaN for invalid): 0 for invalid numbers, which so go left."""
+        out = np.empty(x.shape, np.int32)
         for i, t in enumerate(self.thresholds):
-            x = F.get(features, i)
-            each.append(F.coalesce(F.when(~F.isnan(x), x), F.lit(0)).cast("int") if i in self.enums else bin_of(x, t))
-        return F.array(*each)
+            v = x[:, i]
+            out[:, i] = np.nan_to_num(v, nan=0.0) if i in self.enums else np.where(np.isnan(v), 0, 1 + np.searchsorted(t, v))
+        return out
 
     @property
     def importances(self) -> list[float]:
@@ -102,11 +112,6 @@ def scores(model: Trees, bins: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(col: pa.Array, kind=np.int32) -> np.ndarray:
-    n = len(col)
-    return np.asarray(col.flatten(), kind).reshape(n, -1) if n else np.zeros((0, 0), kind)
-
-
 def _gradients(kind: str, s: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if kind == "regression":
         return s[:, 0] - y, np.ones(len(y))
@@ -118,99 +123,210 @@ def _gradients(kind: str, s: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndar
     return p - (y == k), p * (1 - p)
 
 
-def _sums_of_nodes(data: DataFrame, kind: str, k: int, nodes: list[Node], wanted: set[int], virtual: dict[int, tuple]) -> DataFrame:
-    """Bin sums of the wanted nodes; virtual: splits tried on leaves (leaf: (split row, left id, right id))."""
+def _matrix(col: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(col.flatten(), float).reshape(-1, width) if len(col) else np.zeros((0, width))
 
-    def run(batches):
-        total: dict[int, list[np.ndarray]] = {}
-        width = 0
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in rows], pa.binary())
+
+
+@dataclass
+class _Reader:
+    """Reads packed rows inside tasks; since: trees that the stored scores don't hold yet."""
+
+    kind: str
+    width: int
+    bin_type: str
+    since: list = field(default_factory=list)
+
+    def __call__(self, batches):
+        """(bins, scores, labels) of each batch that has rows."""
         for b in batches:
-            bins, s, y = _rows(b.column(0)), _rows(b.column(1), float), np.asarray(b.column(2), float)
-            if not len(y):
-                continue
-            g, h = _gradients(kind, s, y, k)
-            at = walk(nodes, bins)
-            for leaf, (x, left, right) in virtual.items():
-                here = np.flatnonzero(at == leaf)
-                v = bins[here, x["feature"]]
-                at[here] = np.where(np.isin(v, x["left"]) if x["kind"] == "enum" else v <= x["bin"], left, right)
-            width = max(width, int(bins.max()) + 1)
-            for node in wanted:
-                here = at == node
-                if not here.any():
-                    continue
-                flat = (bins[here] + np.arange(bins.shape[1]) * (1 << 16)).ravel()
-                ids, inverse = np.unique(flat, return_inverse=True)
-                f = bins.shape[1]
-                part = [ids, *(np.bincount(inverse, np.repeat(v, f)) for v in (g[here], h[here], np.ones(here.sum())))]
-                held = total.get(node)
-                if held is not None:
-                    ids, inverse = np.unique(np.concatenate((held[0], part[0])), return_inverse=True)
-                    part = [ids, *(np.bincount(inverse, np.concatenate((held[i], part[i]))) for i in (1, 2, 3))]
-                total[node] = part
-        for node, (ids, g, h, n) in total.items():
-            yield pa.RecordBatch.from_pydict({"node": np.full(len(ids), node), "feature": ids >> 16, "bin": ids & 0xFFFF, "g": g, "h": h, "n": n.astype(np.int64)})
-
-    parts = data.select("bins", "score", "y").mapInArrow(run, "node long, feature long, bin long, g double, h double, n long")
-    return parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-
-
-def grow(data: DataFrame, kind: str, k: int, enums: list[int], thresholds: list[list[float]], o: TreeOptions) -> list[Node]:
-    """One tree on rows (bins, score, y)."""
-    found: dict[int, dict] = {}
+            if b.num_rows:
+                bins = np.frombuffer(b"".join(b.column(0).to_pylist()), self.bin_type).reshape(b.num_rows, self.width)
+                s = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(b.num_rows, -1).copy()
+                for made in self.since:
+                    for k, nodes in enumerate(made):
+                        s[:, k] += np.array([x.value for x in nodes])[walk(nodes, bins)]
+                yield bins, s, np.asarray(b.column(2), float)
 
-    def search(nodes, wanted, virtual):
-        s = splits(_sums_of_nodes(data, kind, k, nodes, wanted, virtual), enums, o.l2_number, o.l2_enum, o.smoothing, o.min_rows, o.min_hessian)
-        got = {r["node"]: r.asDict() for r in best_splits(s).collect()}  # a row per node
-        return {n: got.get(n) for n in wanted}
+    def losses(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if self.kind == "regression":
+            return (s[:, 0] - y) ** 2
+        if self.kind == "binary":
+            return np.logaddexp(0, s[:, 0]) - s[:, 0] * y
+        return np.logaddexp.reduce(s, axis=1) - s[np.arange(len(y)), y.astype(int)]
+
+
+class _Rows:
+    """The rows that a model learns from or is watched by, as a table of packed bins, scores and labels."""
+
+    SCHEMA = "bins binary, score binary, y double"
+
+    def __init__(self, rows: DataFrame, model: Trees):
+        width, start = len(model.thresholds), np.array(model.biases)
+        self.read = _Reader(model.kind, width, "uint16" if model.enums or max(map(len, model.thresholds), default=0) > 253 else "uint8")
+        kind = self.read.bin_type
 
-    def total():
         def run(batches):
-            g = h = n = 0.0
             for b in batches:
-                if b.num_rows:
-                    x, y = _gradients(kind, _rows(b.column(0), float), np.asarray(b.column(1), float), k)
-                    g, h, n = g + x.sum(), h + y.sum(), n + len(x)
-            yield pa.RecordBatch.from_pydict({"g": [g], "h": [h], "n": [n]})
+                bins = model.binned(_matrix(b.column(0), width)).astype(kind)
+                yield pa.RecordBatch.from_arrays([_packed(bins), _packed(np.tile(start, (b.num_rows, 1))), b.column(1)], names=["bins", "score", "y"])
+
+        self.data = written(rows.mapInArrow(run, self.SCHEMA), "boosting")
+
+    def advance(self, made: list[list[Node]]) -> None:
+        self.read.since.append(made)
+        if len(self.read.since) >= ROUNDS_A_TABLE:
+            read = self.read
+
+            def run(batches):
+                for bins, s, y in read(batches):
+                    yield pa.RecordBatch.from_arrays([_packed(bins), _packed(s), pa.array(y)], names=["bins", "score", "y"])
+
+            before, self.data = self.data, written(self.data.mapInArrow(run, self.SCHEMA), "boosting")
+            self.read = _Reader(read.kind, read.width, read.bin_type)
+            dropped(before)
+
+    def loss(self) -> float:
+        """The mean loss of the scores so far."""
+        read = self.read
+
+        def run(batches):
+            total, n = 0.0, 0
+            for _, s, y in read(batches):
+                total, n = total + float(read.losses(s, y).sum()), n + len(y)
+            yield pa.RecordBatch.from_pydict({"loss": [total], "n": [n]})
 
-        return data.select("score", "y").mapInArrow(run, "g double, h double, n double").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).first()
+        r = self.data.mapInArrow(run, "loss double, n long").agg(F.sum("loss").alias("a"), F.sum("n").alias("n")).first()
+        return r.a / r.n if r.n else 0.0
 
-    t = total()
-    nodes, depth = [Node(leaf_value(t.g, t.h, o.learning_rate, o.l2_number), 1.0)], {0: 0}
+    def sums(self, k: int, nodes: list[Node], wanted: list[int], virtual: dict[int, tuple], first: np.ndarray) -> dict[int, np.ndarray]:
+        """Bin sums [g, h, n; bin] of the wanted nodes, all features' bins end to end, first[f] being the first of feature f.
+
+        virtual: splits tried on leaves (leaf: (split, left id, right id)).
+        """
+        room, out = max(1, SUM_BYTES // (24 * int(first[-1]))), {}
+        for i in range(0, len(wanted), room):
+            out |= self._sums(k, nodes, wanted[i : i + room], virtual, first)
+        return out
+
+    def _sums(self, k: int, nodes: list[Node], wanted: list[int], virtual: dict[int, tuple], first: np.ndarray) -> dict[int, np.ndarray]:
+        read, width, n_bins = self.read, self.read.width, int(first[-1])
+
+        def run(batches):
+            total = np.zeros((3, len(wanted), n_bins))
+            for bins, s, y in read(batches):
+                g, h = _gradients(read.kind, s, y, k)
+                at, slot = walk(nodes, bins), np.full(len(y), -1)
+                for leaf, (x, left, right) in virtual.items():
+                    here = np.flatnonzero(at == leaf)
+                    v = bins[here, x["feature"]]
+                    at[here] = np.where(np.isin(v, x["left"]) if x["left"] is not None else v <= x["bin"], left, right)
+                for i, node in enumerate(wanted):
+                    slot[at == node] = i
+                here = np.flatnonzero(slot >= 0)
+                flat = (slot[here, None] * n_bins + first[:-1] + bins[here]).ravel()
+                for part, v in zip(total, (g[here], h[here], None), strict=True):
+                    part += np.bincount(flat, None if v is None else np.repeat(v, width), part.size).reshape(part.shape)
+            for i in np.flatnonzero(total[2].any(axis=1)):
+                for c in range(0, n_bins, CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array([wanted[i]]), pa.array([c]), pa.array([total[:, i, c : c + CHUNK].tobytes()], pa.binary())], names=["node", "chunk", "sums"])
+
+        def add(t: pa.Table) -> pa.Table:
+            s = np.sum([np.frombuffer(x.as_buffer()) for x in t["sums"]], axis=0)
+            return pa.table([t["node"].slice(0, 1), t["chunk"].slice(0, 1), pa.array([s.tobytes()], pa.binary())], names=["node", "chunk", "sums"])
+
+        kind = "node long, chunk long, sums binary"
+        out: dict[int, np.ndarray] = {}
+        for r in self.data.mapInArrow(run, kind).groupBy("node", "chunk").applyInArrow(add, kind).collect():  # SUM_BYTES at most
+            out.setdefault(r["node"], np.zeros((3, n_bins)))[:, r["chunk"] : r["chunk"] + CHUNK] = np.frombuffer(r["sums"]).reshape(3, -1)
+        return out
+
+
+def best_split_of(sums: np.ndarray, first: np.ndarray, enums: list[int], o: TreeOptions) -> dict | None:
+    """The split of the largest gain by a node's bin sums [g, h, n; bin]; ties by the smallest feature and bin.
+
+    Numbers split after a bin.  Enum bins are put in the order of g / (h + smoothing), and those of a prefix go left.
+    """
+    best = None
+    for f in range(len(first) - 1):
+        own = sums[:, first[f] : first[f + 1]]
+        g, h, n = own
+        bins = np.flatnonzero(n)
+        l2 = o.l2_number
+        if f in enums:
+            bins, l2 = bins[np.lexsort((bins, g[bins] / (h[bins] + o.smoothing)))], o.l2_enum
+        if len(bins) < 2:
+            continue
+        left = np.cumsum(own[:, bins], axis=1)
+        right = left[:, -1:] - left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left[0] ** 2 / (left[1] + l2) + right[0] ** 2 / (right[1] + l2) - left[0, -1] ** 2 / (left[1, -1] + l2)
+        allowed = (np.minimum(left[2], right[2]) >= max(o.min_rows, 1)) & (np.minimum(left[1], right[1]) >= o.min_hessian) & np.isfinite(gain)
+        if not allowed.any():
+            continue
+        gain = np.where(allowed, gain, -np.inf)
+        i = min(np.flatnonzero(gain == gain.max()), key=lambda j: bins[j])
+        if best is None or gain[i] > best["gain"]:
+            enum = f in enums
+            best = {"feature": f, "bin": int(bins[i]), "left": sorted(bins[: i + 1].tolist()) if enum else None, "gain": float(gain[i]), **{f"{side}{c}": float(v[j, i]) for side, v in (("l", left), ("r", right)) for j, c in enumerate("ghn")}}
+    return best
+
+
+def grow(rows: _Rows, k: int, enums: list[int], thresholds: list[list[float]], o: TreeOptions, first: np.ndarray) -> list[Node]:
+    """One tree."""
+    found: dict[int, dict] = {}
+    sums = rows.sums(k, [Node(0.0, 1.0)], [0], {}, first)  # of leaves whose children aren't known yet
+    g, h, _ = sums[0][:, : first[1]].sum(axis=1)
+    nodes, depth = [Node(leaf_value(g, h, o.learning_rate, o.l2_number), 1.0)], {0: 0}
     heap: list[tuple] = []
 
-    def push(i, x):
+    def push(i: int) -> None:
+        x = best_split_of(sums[i], first, enums, o)
         if x is not None and x["gain"] > o.min_gain and depth[i] < o.max_depth:
             heapq.heappush(heap, (-x["gain"], i))
             found[i] = x
 
-    push(0, search(nodes, {0}, {})[0])
+    push(0)
     leaves = 1
-    ahead: dict[int, tuple] = {}  # leaf: what its two children would split by
+    ahead: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # leaf: the sums of its two children
     while heap and leaves < o.max_leaves:
         if heap[0][1] not in ahead and leaves + 1 < o.max_leaves:
-            # all leaves that may be popped within the leaves left
+            # all leaves that may be popped within the leaves left; of each the smaller child is summed
             next_up = [i for _, i in heapq.nsmallest(o.max_leaves - leaves - 1, heap) if i not in ahead]
             ids = {i: (-2 * j - 1, -2 * j - 2) for j, i in enumerate(next_up)}
-            got = search(nodes, {n for p in ids.values() for n in p}, {i: (found[i], *p) for i, p in ids.items()})
-            ahead |= {i: (got[p[0]], got[p[1]]) for i, p in ids.items()}
+            small = {i: ids[i][0] if found[i]["ln"] <= found[i]["rn"] else ids[i][1] for i in next_up}
+            got = rows.sums(k, nodes, list(small.values()), {i: (found[i], *p) for i, p in ids.items()}, first)
+            for i in next_up:
+                less = got[small[i]]
+                ahead[i] = (less, sums[i] - less) if small[i] == ids[i][0] else (sums[i] - less, less)
         _, i = heapq.heappop(heap)
         x, a = found[i], len(nodes)
-        n = x["ln"] + x["rn"]
-        p = nodes[i]
-        enum = x["kind"] == "enum"
-        nodes[i] = Node(p.value, p.share, x["feature"], 0.0 if enum else thresholds[x["feature"]][min(max(x["bin"] - 1, 0), len(thresholds[x["feature"]]) - 1)], x["left"] if enum else None, -1 if enum else x["bin"], (a, a + 1))
+        n, p = x["ln"] + x["rn"], nodes[i]
+        enum = x["left"] is not None
+        nodes[i] = Node(p.value, p.share, x["feature"], 0.0 if enum else thresholds[x["feature"]][min(max(x["bin"] - 1, 0), len(thresholds[x["feature"]]) - 1)], x["left"], -1 if enum else x["bin"], (a, a + 1))
         for side in "lr":
             nodes.append(Node(leaf_value(x[f"{side}g"], x[f"{side}h"], o.learning_rate, o.l2_number), p.share * x[f"{side}n"] / n))
         leaves += 1
-        for child, s in zip((a, a + 1), ahead.pop(i, (None, None)), strict=True):
-            depth[child] = depth[i] + 1
-            push(child, s)
+        del sums[i]
+        depth[a] = depth[a + 1] = depth[i] + 1
+        if i in ahead:
+            sums[a], sums[a + 1] = ahead.pop(i)
+            push(a)
+            push(a + 1)
     return nodes
 
 
-def train_trees(df: DataFrame, features: str, label: str, kind: str, n_classes: int = 1, enums: list[int] | None = None, options: TreeOptions | None = None, stopping: EarlyStopping | None = None) -> Trees:
-    """features: array column; label: a number, 0/1, or a class index from 0; enums: features that hold codes."""
+def train_trees(
+    df: DataFrame, features: str, label: str, kind: str, n_classes: int = 1, enums: list[int] | None = None, options: TreeOptions | None = None, stopping: EarlyStopping | None = None, watch: DataFrame | None = None, deadline: float | None = None,
+) -> Trees:
+    """features: array column; label: a number, 0/1, or a class index from 0; enums: features that hold codes.
+
+    watch: rows whose loss decides on stopping, those of df if there are none; deadline: a time of
+    time.monotonic() after which no further round begins.
+    """
     o, enums = options or TreeOptions(), enums or []
     outputs = n_classes if kind == "multiclass" else 1
     src = df.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y")).where("y is not null")
@@ -218,8 +334,9 @@ def train_trees(df: DataFrame, features: str, label: str, kind: str, n_classes:
     if first is None:
         raise ValueError("no rows to train on")
     n_features = len(first["x"])
-    long = src.select(F.posexplode("x").alias("feature", "value")).where(~F.col("feature").isin(*enums) if enums else F.lit(True))
-    counts = value_counts(long.withColumn("value", F.when(~F.isnan("value"), F.col("value"))), ["feature"], "value")
+    long = src.select(F.posexplode("x").alias("feature", "value"))
+    codes = {r["feature"]: r["top"] for r in long.where(F.col("feature").isin(*enums)).groupBy("feature").agg(F.max(F.when(~F.isnan("value"), F.col("value"))).cast("int").alias("top")).collect()} if enums else {}  # a row an enum
+    counts = value_counts(long.where(~F.col("feature").isin(*enums) if enums else F.lit(True)).withColumn("value", F.when(~F.isnan("value"), F.col("value"))), ["feature"], "value")
     thresholds: list[list[float]] = [[] for _ in range(n_features)]
     for r in bin_thresholds(counts, ["feature"], "value", o.max_bins).orderBy("feature", "threshold").collect():  # max_bins a feature
         thresholds[r["feature"]].append(r["threshold"])
@@ -229,56 +346,43 @@ def train_trees(df: DataFrame, features: str, label: str, kind: str, n_classes:
         n = sum(share.values())
         model.biases = [float(np.log(max(share.get(c, 0) / n, 1e-7))) for c in range(outputs)]
     else:
-        mean = min(max(src.agg(F.avg("y").alias("m")).first()["m"], 1e-7), 1 - 1e-7) if kind == "binary" else src.agg(F.avg("y").alias("m")).first()["m"]
+        mean = src.agg(F.avg("y").alias("m")).first()["m"]
+        mean = min(max(mean, 1e-7), 1 - 1e-7) if kind == "binary" else mean
         model.biases = [float(np.log(mean / (1 - mean))) if kind == "binary" else float(mean)]
-    start = F.array(*(F.lit(b) for b in model.biases))
-    data = written(src.select(model.bins(F.col("x")).alias("bins"), start.alias("score"), "y"), "boosting")
-    for _ in range(o.rounds):
-        made = [grow(data, kind, k, enums, thresholds, o) for k in range(outputs)]
+    bins_first = np.cumsum([0, *(int(codes.get(f) or 0) + 1 if f in enums else len(t) + 2 for f, t in enumerate(thresholds))])
+    rows = _Rows(src, model)
+    watched = _Rows(watch.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y")).where("y is not null"), model) if watch is not None else rows
+    for _ in range(o.rounds if n_features else 0):
+        if deadline is not None and time.monotonic() > deadline:
+            break
+        made = [grow(rows, k, enums, thresholds, o, bins_first) for k in range(outputs)]
         if all(len(nodes) == 1 for nodes in made):
             break
         model.trees.append(made)
-        data = written(_advance(data, made), "boosting")
+        rows.advance(made)
+        if watched is not rows:
+            watched.advance(made)
         if stopping:
-            model.losses.append(_loss_of(data, kind))
+            model.losses.append(watched.loss())
             if stopping.stop(model.losses[-1]):
                 break
+    dropped(rows.data)
+    if watched is not rows:
+        dropped(watched.data)
     return model
 
 
-def _advance(data: DataFrame, made: list[list[Node]]) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            bins, s = _rows(b.column(0)), _rows(b.column(1), float).copy()
-            for k, nodes in enumerate(made if b.num_rows else []):
-                s[:, k] += np.array([x.value for x in nodes])[walk(nodes, bins)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(s), pa.list_(pa.float64())), b.column(2)], names=["bins", "score", "y"])
-
-    return data.mapInArrow(run, data.schema)
-
-
-def _loss_of(data: DataFrame, kind: str) -> float:
-    s, y = F.col("score"), F.col("y")
-    if kind == "regression":
-        return data.agg(F.avg(F.pow(s[0] - y, 2)).alias("l")).first()["l"]
-    if kind == "binary":
-        return data.agg(F.avg(F.log1p(F.exp(-F.abs(s[0]))) + F.greatest(s[0], F.lit(0.0)) - s[0] * y).alias("l")).first()["l"]
-    top = F.array_max(s)
-    return data.agg(F.avg(top + F.ln(F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - top))) - F.get(s, y.cast("int"))).alias("l")).first()["l"]
-
-
 def with_scores(df: DataFrame, model: Trees, features: str, name: str = "score") -> DataFrame:
     """df with the summed tree values per output, before any link function.  Invalid numbers go left, as in training."""
-    n = len(df.columns)
-    binned = df.withColumn("__bins", model.bins(F.col(features)))
+    n, at = len(df.columns), df.columns.index(features)
     schema = df.withColumn(name, F.lit(None).cast("array<double>")).schema
 
     def run(batches):
         for b in batches:
-            s = scores(model, _rows(b.column(n))) if b.num_rows else np.zeros((0, 1))
+            s = scores(model, model.binned(_matrix(b.column(at), len(model.thresholds))))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(list(s), pa.list_(pa.float64()))], names=[*b.schema.names[:n], name])
 
-    return binned.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def path_weights(one: list[np.ndarray], zero: list[float]) -> list[np.ndarray]:
@@ -332,16 +436,15 @@ def tree_contributions(nodes: list[Node], bins: np.ndarray, out: np.ndarray) ->
 
 def with_contributions(df: DataFrame, model: Trees, features: str, output: int = 0) -> DataFrame:
     """df with `contributions` (per feature) and `baseline`: they add up to the score of that output."""
-    n = len(df.columns)
-    binned = df.withColumn("__bins", model.bins(F.col(features)))
+    n, at = len(df.columns), df.columns.index(features)
     schema = df.withColumn("contributions", F.lit(None).cast("array<double>")).withColumn("baseline", F.lit(None).cast("double")).schema
 
     def run(batches):
         for b in batches:
-            bins = _rows(b.column(n))
+            bins = model.binned(_matrix(b.column(at), len(model.thresholds)))
             out, base = np.zeros((b.num_rows, len(model.thresholds))), model.biases[output]
             for r in model.trees if b.num_rows else []:
                 base += tree_contributions(r[output], bins, out)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(list(out), pa.list_(pa.float64())), pa.array(np.full(b.num_rows, base))], names=[*b.schema.names[:n], "contributions", "baseline"])
 
-    return binned.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomstat.operators import features as feat
 from loomstat.operators import metrics, profile
 from loomstat.operators.linear import EarlyStopping, LinearModel, train_linear
-from loomstat.operators.split import drop_invalid_target, split
+from loomstat.operators.split import drop_invalid_target, early_stopping_split, split
 from loomstat.operators.trees import Node, TreeOptions, Trees, train_trees, with_contributions, with_scores
 from loomstat.schema import ColumnType, types_of
 from loomstat.sources.tables import written
@@ -27,7 +27,9 @@ HIGHER_IS_BETTER = {"r2", "auc", "accuracy", "f1"}
 
 @dataclass(frozen=True)
 class Config:
-    """comparison_metric None: the first one of the task.  budget_seconds: no further model is begun after it."""
+    """comparison_metric None: the first one of the task.  include: feature groups besides those that auto chooses.
+    stopping_fraction of the training rows is held out for early stopping.  budget_seconds: no further model, epoch or
+    round is begun after it."""
 
     comparison_fraction: float = 0.1
     test_fraction: float = 0.2
@@ -36,8 +38,12 @@ class Config:
     comparison_metric: str | None = None
     grid: tuple[dict, ...] | None = None
     model_types: tuple[str, ...] = ("linear", "tree")
-    max_vocabulary: int = 1000
+    max_vocabulary: int = profile.TOP_NGRAMS
     budget_seconds: float | None = None
+    include: tuple[dict, ...] = ()
+    auto: bool = True
+    shuffle: bool = True
+    stopping_fraction: float = 0.1
 
     @staticmethod
     def of(d: dict) -> Config:
@@ -47,10 +53,14 @@ class Config:
             if part not in known or set(x) - known[part]:
                 raise ValueError(f"unknown configuration: {part}: {sorted(set(x) - known.get(part, set()))}")
         data, fs, tr = (d.get(k, {}) for k in ("dataset", "features", "train"))
-        grid = tr.get("grid")
+        shuffle, auto = (x if isinstance(x, dict) else {"enable": bool(x)} for x in (data.get("shuffle", {}), fs.get("auto", {})))
+        if set(shuffle) - {"enable", "seed"} or set(auto) - {"enable", "exclude_columns"}:
+            raise ValueError(f"unknown configuration: {sorted({*shuffle, *auto} - {'enable', 'seed', 'exclude_columns'})}")
+        include, grid = tuple(fs.get("include", ())), tr.get("grid")
+        feat.included(list(include))  # errors now, not after the split
         return Config(
-            data.get("comparison_fraction", 0.1), data.get("test_fraction", 0.2), (data.get("shuffle") or {}).get("seed", 42), tuple((fs.get("auto") or {}).get("exclude_columns", ())),
-            tr.get("comparison_metric"), tuple(grid) if grid else None, tuple((tr.get("autogrid") or {}).get("model_types", ("linear", "tree"))),
+            data.get("comparison_fraction", 0.1), data.get("test_fraction", 0.2), shuffle.get("seed", 42), tuple(auto.get("exclude_columns", ())), tr.get("comparison_metric"),
+            tuple(grid) if grid else None, tuple((tr.get("autogrid") or {}).get("model_types", ("linear", "tree"))), include=include, auto=auto.get("enable", True), shuffle=shuffle.get("enable", True),
         )
 
 
@@ -71,6 +81,7 @@ class Model:
     baseline: dict = field(default_factory=dict)
     stats: list[dict] = field(default_factory=list)
     tried: list[dict] = field(default_factory=list)
+    importances: list[dict] = field(default_factory=list)
 
     @property
     def feature_names(self) -> list[str]:
@@ -136,7 +147,7 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
     metric = c.comparison_metric or COMPARISONS[task][0]
     if metric not in COMPARISONS[task]:
         raise ValueError(f"{metric} doesn't compare models of {task}; use one of {COMPARISONS[task]}")
-    rows = written(split(drop_invalid_target(df, target), c.comparison_fraction, c.test_fraction, c.seed), "dataset")
+    rows = written(split(drop_invalid_target(df, target), c.comparison_fraction, c.test_fraction, c.seed if c.shuffle else None), "dataset")
     part = {p: rows.where(F.col("part") == p) for p in FEW_ROWS}
     sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # three rows
     if not sizes.get("train"):
@@ -146,22 +157,29 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
     label = F.col(f"`{target}`") if task == "regression" else F.col(f"`{target}`") - 1
     best, score, tried = None, math.nan, []
     groups: dict[str, list[feat.Group]] = {}
+    sets: dict[str, tuple[DataFrame, DataFrame]] = {}  # rows to learn from and rows to watch
+    deadline = None if c.budget_seconds is None else began + c.budget_seconds
     for g in c.grid or default_grid(c.model_types):
-        if best is not None and c.budget_seconds is not None and time.monotonic() - began > c.budget_seconds:
+        if best is not None and deadline is not None and time.monotonic() > deadline:
             break
         g = dict(g)
         kind = g.pop("model")
         if kind not in groups:
-            groups[kind] = feat.fit(part["train"], feat.plan(types, target, kind == "linear", c.exclude_columns), types, c.max_vocabulary)
-        learn = feat.with_features(part["train"], groups[kind], "__features").withColumn("__label", label.cast("double"))
+            asked = (feat.plan(types, target, kind == "linear", c.exclude_columns) if c.auto else []) + feat.included(list(c.include))
+            groups[kind] = feat.fit(part["train"], asked, types, c.max_vocabulary)
+            featured = feat.with_features(part["train"], groups[kind], "__features").withColumn("__label", label.cast("double"))
+            sets[kind] = early_stopping_split(written(featured.select("__features", "__label", "row_number"), "features"), c.stopping_fraction, last=kind == "linear")
+        learn, watch = sets[kind]
+        if watch.isEmpty():
+            watch = None
         if kind == "linear":
-            m = train_linear(learn, "__features", "__label", task, len(classes), stopping=EarlyStopping(), **g)
+            m = train_linear(learn, "__features", "__label", task, len(classes), stopping=EarlyStopping(), watch=watch, deadline=deadline, **g)
         else:
             enums, i = [], 0
             for group in groups[kind]:
                 enums += [i] if group.kind == "identity" and types[group.column].kind == "enum" else []
                 i += len(group.names)
-            m = train_trees(learn, "__features", "__label", task, len(classes), enums, TreeOptions(**g), EarlyStopping())
+            m = train_trees(learn, "__features", "__label", task, len(classes), enums, TreeOptions(**g), EarlyStopping(), watch, deadline)
         model = Model(task, target, classes, groups[kind], kind, m)
         got = evaluate(model, part["comparison"] if sizes.get("comparison") else part["train"])[metric]
         tried.append({"model": kind, **g, metric: got})
@@ -172,6 +190,12 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
     test = part["test"] if sizes.get("test") else part["train"]
     best.metrics = evaluate(best, test) | {"warnings": warnings}
     best.baseline = metrics.baseline(part["train"], test, target, types[target].kind).first().asDict()
+    if task == "binary":
+        share = part["train"].agg(F.avg((F.col(f"`{target}`") == 2).cast("double")).alias("s")).first()["s"]
+        n = test.agg(F.count_if(F.col(f"`{target}`") == 2).alias("p"), F.count_if(F.col(f"`{target}`") != 2).alias("n")).first()
+        best.baseline["thresholds"] = metrics.threshold_baseline(share, n["p"], n["n"])
+    order = sorted(zip(best.feature_names, best.model.importances, strict=True), key=lambda x: (-x[1], x[0]))
+    best.importances = [{"feature": f, "importance": float(v)} for f, v in order]
     numbers = [n for n, t in types.items() if t.kind == "number" and n != target]
     if numbers:
         best.stats = [r.asDict() for r in profile.number_stats(part["train"], numbers).collect()]  # a row per column
@@ -180,7 +204,7 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
 
 def predict(df: DataFrame, model: Model, threshold: float = 0.5, contributions: bool = False) -> DataFrame:
     """df with `prediction`: a value, or (class_name, probability, probabilities); and with
-    `contributions` (feature, value) and `baseline` of the value, or of the predicted class's score."""
+    `contributions` (feature, feature_value, value) and `baseline` of the value, or of the predicted class's score."""
     d = model.outputs(df)
     if model.task == "regression":
         d = d.withColumn("prediction", F.col("__output"))
@@ -203,7 +227,8 @@ def predict(df: DataFrame, model: Model, threshold: float = 0.5, contributions:
                 d = with_contributions(d, model.model, "__features", k).withColumnRenamed("contributions", f"__c{k}").withColumnRenamed("baseline", f"__b{k}")
                 each.append((F.col(f"__c{k}"), F.col(f"__b{k}")))
         at = F.array_position(F.array(*(F.lit(c) for c in model.classes)), F.col("prediction.class_name")).cast("int") if outputs > 1 else F.lit(1)
-        pair = F.zip_with(names, F.element_at(F.array(*(e for e, _ in each)), at), lambda n, v: F.struct(n.alias("feature"), v.alias("value")))
+        known = F.zip_with(names, F.col("__features"), lambda n, x: F.struct(n.alias("feature"), x.alias("feature_value")))
+        pair = F.zip_with(known, F.element_at(F.array(*(e for e, _ in each)), at), lambda k, v: F.struct(k["feature"].alias("feature"), k["feature_value"].alias("feature_value"), v.alias("value")))
         d = d.withColumn("contributions", pair).withColumn("baseline", F.element_at(F.array(*(b for _, b in each)), at))
     return d.drop("__output", "__features", *(f"__{x}{k}" for x in "cb" for k in range(len(model.classes) + 1)))
 
@@ -219,8 +244,8 @@ def load(spark: SparkSession, path: str) -> Model:
     if doc["revision"] != REVISION:
         raise ValueError(f"the model's revision {doc['revision']} is too {'new' if doc['revision'] > REVISION else 'old'}; this library reads {REVISION}")
     del doc["revision"]
-    tuples = lambda g: {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in g.items()}
-    doc["groups"] = [feat.Group(**tuples(g)) for g in doc["groups"]]
+    whole = lambda v: tuple(map(whole, v)) if isinstance(v, list) else v
+    doc["groups"] = [feat.Group(**{k: whole(v) for k, v in g.items()}) for g in doc["groups"]]
     m = doc["model"]
     if doc["kind"] == "linear":
         doc["model"] = LinearModel(**m)

@@ -163,7 +163,7 @@ GRID = ({"model": "linear", "learning_rate": 0.05, "epochs": 20}, {"model": "tre
 
 
 def test_clinic(spark, tmp_path, clinic):
-    df = read_csv(spark, clinic)
+    df = read_csv(spark, clinic, {"note": ColumnType("text")})
     assert df.count() == 303 and df.where("note like 'seen%once%'").count() > 40 and df.where('cholesterol is null').count() == 18
     m = t.train(df, "diagnosis", t.Config(grid=GRID))
     assert m.task == "binary" and m.metrics["auc"] > 0.8 and len(m.metrics["thresholds"]) == 99 and not t.worse_than_baseline(m)
@@ -174,13 +174,15 @@ def test_clinic(spark, tmp_path, clinic):
     assert [r.prediction for r in a] == [r.prediction for r in b] and len(a) == 303
     p = a[0].prediction.probabilities
     assert math.isclose(sum(p.values()), 1.0) and a[0].prediction.class_name == max(p, key=p.get)
+    assert sorted((x["importance"] for x in m.importances), reverse=True) == [x["importance"] for x in m.importances] and {x["feature"] for x in m.importances} == set(m.feature_names) and again.importances == m.importances
+    assert len(m.baseline["thresholds"]) == 99 and {c.feature: c.feature_value for c in a[0].contributions}.keys() == set(m.feature_names)
     score = sum(c.value for c in a[0].contributions) + a[0].baseline
     assert math.isclose(1 / (1 + math.exp(-score)), p["Positive"], rel_tol=1e-9)
     assert math.isclose(t.evaluate(again, df)["auc"], t.evaluate(m, df)["auc"])
 
 
 def test_regression_and_errors(spark, clinic):
-    df = read_csv(spark, clinic, {"age": ColumnType("number")})
+    df = read_csv(spark, clinic, {"age": ColumnType("number"), "note": ColumnType("text")})
     m = t.train(df, "age", t.Config(grid=GRID[1:], exclude_columns=("diagnosis",)))
     assert m.task == "regression" and m.metrics["rmse"] < 13.9 and not any("diagnosis" in n for n in m.feature_names)
     with pytest.raises(ValueError, match="compare"):
@@ -194,8 +196,95 @@ def test_regression_and_errors(spark, clinic):
 def test_command_line(spark, tmp_path, clinic):
     from loomstat.__main__ import main
 
-    (tmp_path / "c.json").write_text('{"train": {"grid": [{"model": "linear", "epochs": 5}]}}')
+    (tmp_path / "c.json").write_text('{"train": {"grid": [{"model": "linear", "epochs": 5}]}, "dataset": {"columns": [{"name": "note", "type": "text"}]}}')
     main(["train", "--file", clinic, "--target", "diagnosis", "--output", str(tmp_path / "m"), "--config", str(tmp_path / "c.json")])
     main(["predict", "--file", clinic, "--model", str(tmp_path / "m"), "--output", str(tmp_path / "p"), "--probabilities"])
     out = spark.read.csv(str(tmp_path / "p"), header=True)
     assert out.columns == ["diagnosis", "Negative", "Positive"] and out.count() == 303
+
+
+def test_stopping_watches_rows_that_taught_nothing(spark, clinic, monkeypatch):
+    seen = {}
+    for name in ("train_linear", "train_trees"):
+        real = getattr(t, name)
+
+        def spy(learn, *a, name=name, real=real, **k):
+            watch = k.get("watch", a[7] if len(a) > 7 else None)
+            seen[name] = [{r.row_number for r in d.collect()} for d in (learn, watch)]
+            return real(learn, *a, **k)
+
+        monkeypatch.setattr(t, name, spy)
+    t.train(read_csv(spark, clinic, {"note": ColumnType("text")}), "diagnosis", t.Config(grid=({"model": "linear", "epochs": 2}, {"model": "tree", "rounds": 1, "max_leaves": 3})))
+    (learn, watch), (tree_learn, tree_watch) = seen["train_linear"], seen["train_trees"]
+    assert learn | watch == tree_learn | tree_watch and not learn & watch and not tree_learn & tree_watch and len(watch) == len(tree_watch) == 21
+    assert min(watch) > max(learn) and max(tree_watch) < min(tree_learn)
+
+
+@pytest.mark.parametrize("group", [
+    {"type": "identity", "source_column": "age"}, {"type": "normalized", "source_column": "age"}, {"type": "one_hot_encoded", "source_column": "gender"}, {"type": "bag_of_words", "source_column": "note", "strategy": "tfidf"},
+    {"type": "bag_of_words", "source_column": "note", "strategy": "count", "ngrams": [1]}, {"type": "bag_of_words_cosine_similarity", "source_column_a": "note", "source_column_b": "other"},
+], ids=lambda g: "-".join(map(str, g.values())))
+def test_configured_groups(spark, group):
+    rows = [(float(i % 40), 1 + i % 2, ["a b", "a a c", "", "b b b"][i % 4], ["a", "c a", "b", "b"][i % 4], 1 + int(i % 4 > 1)) for i in range(120)]
+    types = {"age": ColumnType("number"), "gender": ColumnType("enum", ("f", "m")), "note": ColumnType("text"), "other": ColumnType("text"), "y": ColumnType("enum", ("no", "yes"))}
+    df = spark.createDataFrame(rows, "age double, gender int, note string, other string, y int")
+    df = df.select(*(F.col(n).alias(n, metadata={"ltype": x.kind, "variants": list(x.variants)}) for n, x in types.items()))
+    c = t.Config.of({"features": {"auto": {"enable": False}, "include": [group]}, "train": {"grid": [{"model": "linear", "epochs": 1}]}})
+    m = t.train(df, "y", c)
+    assert [g.kind for g in m.groups] == [t.feat.included([group])[0].kind]
+    got = t.feat.with_features(df, m.groups, "f").select("f", "age", "gender", "note", "other").collect()
+    assert {len(r.f) for r in got} == {len(m.feature_names)}
+    idf = dict(m.groups[0].vocabulary)
+
+    def words(text):
+        k = text.split()
+        k += [f"{a} {b}" for a, b in zip(k, k[1:], strict=False)] if m.groups[0].sizes == (1, 2) else []
+        return [k.count(g) for g in idf]
+
+    def unit(x):
+        n = math.sqrt(sum(v * v for v in x))
+        return [v / n if n else 0.0 for v in x]
+
+    for r in got[:8]:
+        kind = m.groups[0].kind
+        if kind == "identity":
+            want = [r.age]
+        elif kind == "normalized":
+            want = [(r.age - m.groups[0].mean) / math.sqrt(m.groups[0].variance)]
+        elif kind == "one_hot":
+            want = [0.0, float(r.gender == 1), float(r.gender == 2)]
+        elif kind == "bag_of_words":
+            want = words(r.note) if group["strategy"] == "count" else unit([n * w for n, w in zip(words(r.note), idf.values(), strict=True)])
+        else:
+            sides = (unit([n * w for n, w in zip(words(x), idf.values(), strict=True)]) for x in (r.note, r.other))
+            want = [sum(a * b for a, b in zip(*sides, strict=True))]
+        assert np.allclose(r.f, want)
+
+
+def test_word_embeddings_as_features(spark):
+    g = t.feat.Group("word_embedding", "s", vectors=(("a", (1.0, 0.0)), ("b", (0.0, 2.0))))
+    df = spark.createDataFrame([("a B x",), ("",), (None,), ("b",)], "s string")
+    assert [r.f for r in t.feat.with_features(df, [g], "f").collect()] == [[0.5, 1.0], [0.0, 0.0], [0.0, 0.0], [0.0, 2.0]] and len(g.names) == 2
+
+
+def test_configuration_errors():
+    for bad in ({"features": {"include": [{"type": "nothing", "source_column": "a"}]}}, {"features": {"auto": {"what": 1}}}, {"dataset": {"shuffle": {"sed": 1}}}, {"features": {"include": [{"type": "bag_of_words", "source_column": "a", "strategy": "no"}]}}):
+        with pytest.raises(ValueError):
+            t.Config.of(bad)
+
+
+def test_deadline_ends_training(spark):
+    d = rows_for_trees(spark)
+    assert len(train_trees(d, "x", "y", "regression", enums=[2], options=TreeOptions(rounds=50), deadline=0.0).trees) == 0
+    assert len(train_linear(d.where("not isnan(x[1])"), "x", "y", "regression", epochs=50, learning_rate=1e-4, deadline=0.0).losses) == 1
+
+
+def test_scores_are_written_anew_between_rounds(spark, monkeypatch):
+    from loomstat.operators import trees
+
+    d, o = rows_for_trees(spark), TreeOptions(rounds=5, max_leaves=4)
+    often = []
+    for k in (1, 2, 10):
+        monkeypatch.setattr(trees, "ROUNDS_A_TABLE", k)
+        often.append([[(n.feature, n.bin, round(n.value, 9)) for n in r[0]] for r in train_trees(d, "x", "y", "regression", enums=[2], options=o).trees])
+    assert often[0] == often[1] == often[2]
