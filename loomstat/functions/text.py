@@ -32,6 +32,12 @@ def ngrams(text: str | Column, sizes: tuple[int, ...] = (1, 2)) -> Column:
     return F.concat(*(parts[n] for n in sizes))
 
 
+def row_ngrams(toks: list[str], sizes: tuple[int, ...] = (1, 2)) -> list[str]:
+    """The same of one row's tokens, inside a task."""
+    parts = {1: lambda: toks, 2: lambda: [f"{a} {b}" for a, b in zip(toks, toks[1:], strict=False)]}
+    return [g for n in sizes for g in parts[n]()]
+
+
 def idf(n_rows: Column, n_with: Column) -> Column:
     """ln((1 + rows) / (1 + rows that hold it)) + 1."""
     return F.ln((1 + n_rows) / (1 + n_with)) + 1

@@ -5,6 +5,8 @@ Dense features end in one array column; bag-of-words features stay sparse, a row
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.functions.text import ngrams, tokens
+from loomstat.functions.text import ngrams, row_ngrams, tokens
 from loomstat.operators.profile import TOP_NGRAMS, merge_counts, ngram_counts, top_ngrams
 from loomstat.schema import ColumnType
 
@@ -196,16 +198,31 @@ def with_features(df: DataFrame, groups: list[Group], name: str = "features") ->
 
 
 def bag_of_words(df: DataFrame, row_id: str, text: str, vocabulary: DataFrame, strategy: str = "present", normalise: bool | None = None) -> DataFrame:
-    """Sparse (row_id, ngram, value) over the n-grams of vocabulary (ngram, idf).
+    """Sparse (row_id, ngram, value) over the n-grams of vocabulary (ngram, idf), in one pass over the rows without a shuffle.
 
     present: 1; count: occurrences; tfidf: occurrences * idf, scaled to length 1 per row unless
-    normalise is False.  The vocabulary is broadcast only by Spark's own size check.
+    normalise is False.  vocabulary is a bounded table, as top_ngrams makes it; every task gets it.
     """
-    e = df.select(F.col(row_id).alias("row_id"), F.explode(ngrams(text)).alias("ngram"))
-    e = e.join(vocabulary.select("ngram", "idf"), "ngram").groupBy("row_id", "ngram").agg(F.count(F.lit(1)).alias("n"), F.first("idf").alias("idf"))
-    value = {"present": F.lit(1.0), "count": F.col("n").cast("double"), "tfidf": F.col("n") * F.col("idf")}[strategy]
-    out = e.select("row_id", "ngram", value.alias("value"))
-    return unit_rows(out) if (strategy == "tfidf" if normalise is None else normalise) else out
+    known = {r["ngram"]: r["idf"] for r in vocabulary.select("ngram", "idf").collect()}  # as many as top_ngrams was asked for
+    scaled = strategy == "tfidf" if normalise is None else normalise
+
+    def run(batches):
+        for b in batches:
+            lengths, names, values = [], [], []
+            for t in b.column(1).to_pylist():
+                n = Counter(g for g in row_ngrams(t) if g in known)
+                v = [1.0] * len(n) if strategy == "present" else [float(k) for k in n.values()] if strategy == "count" else [k * known[g] for g, k in n.items()]
+                if scaled and v:
+                    length = math.sqrt(sum(x * x for x in v))
+                    v = [x / length if length else None for x in v]
+                lengths.append(len(v))
+                names += n
+                values += v
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), lengths)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["row_id", "ngram", "value"])
+
+    rows = df.select(F.col(row_id).alias("row_id"), tokens(text).alias("t"))
+    return rows.mapInArrow(run, f"row_id {dict(rows.dtypes)['row_id']}, ngram string, value double")
 
 
 def unit_rows(sparse: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.numbers import difference, hour_start, parse_float
-from loomstat.functions.text import ngrams
 from loomstat.operators.metrics import class_metrics, confusion, rates, regression_sums
+from loomstat.operators.profile import ngram_counts
 
 ABSENT_WARNING = INVALID_WARNING = 0.1
 MIN_HOURS = 100
@@ -175,10 +175,11 @@ def drift_text(training: DataFrame, production: DataFrame, most: int = 100) -> D
 
 
 def tracked_ngrams(df: DataFrame, text: str, vocabulary: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(ngram, n): occurrences of the vocabulary's n-grams, and under null those of all others."""
-    counts = df.select(F.explode(ngrams(text, sizes)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
+    """(ngram, rows, n): rows that hold each of the vocabulary's n-grams and their occurrences, and under null those of all others."""
+    counts = ngram_counts(df, text, sizes)
     known = vocabulary.select("ngram", F.lit(True).alias("known"))
-    return counts.join(known, "ngram", "left").groupBy(F.when(F.col("known"), F.col("ngram")).alias("ngram")).agg(F.sum("n").alias("n"))
+    by = F.when(F.col("known"), F.col("ngram")).alias("ngram")
+    return counts.join(known, "ngram", "left").groupBy(by).agg(F.sum(F.when(F.col("known"), F.col("row_count"))).alias("rows"), F.sum("occurrence_count").alias("n"))
 
 
 def latest(metrics: DataFrame, by: list[str], metric: str, hour: str = "hour") -> DataFrame:

@@ -193,13 +193,13 @@ def identity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VOCABULARY = _GRAMS + """, g AS (SELECT ngram, count(DISTINCT doc_id) AS row_count FROM (SELECT * FROM u UNION ALL SELECT * FROM b) GROUP BY ngram),
-v AS (SELECT ngram, ln((1 + (SELECT count(*) FROM documents)) / (1 + row_count)) + 1 AS idf FROM g ORDER BY row_count DESC, ngram LIMIT 200),
+v AS (SELECT ngram, ln((1 + (SELECT count(*) FROM documents)) / (1 + row_count)) + 1 AS idf FROM g ORDER BY row_count DESC, ngram LIMIT 20000),
 w AS (SELECT doc_id AS row_id, ngram, count(*)::DOUBLE AS n, any_value(idf) AS idf FROM (SELECT * FROM u UNION ALL SELECT * FROM b) JOIN v USING (ngram) GROUP BY ALL)"""
 
 
 def _words(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    v = profile.top_ngrams(profile.ngram_counts(d, "text"), d.count(), 200)
+    v = profile.top_ngrams(profile.ngram_counts(d, "text"), d.count())
     return rounded(features.bag_of_words(d, "doc_id", "text", v, strategy))
 
 
@@ -218,25 +218,25 @@ def bag_of_words_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir, "tfidf")
 
 
-_PAIR_SQL = rf"""WITH p AS (SELECT d.doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+_PAIR_SQL = rf"""WITH p AS (SELECT d.doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 ka AS (SELECT doc_id, {TOKENS_SQL.replace('text', 'a')} AS k FROM p), kb AS (SELECT doc_id, {TOKENS_SQL.replace('text', 'b')} AS k FROM p),
 ua AS (SELECT doc_id, unnest(k || list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS ngram FROM ka),
 ub AS (SELECT doc_id, unnest(k || list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS ngram FROM kb),
 c AS (SELECT ngram, sum(r)::BIGINT AS row_count FROM (SELECT ngram, count(DISTINCT doc_id) AS r FROM ua GROUP BY 1 UNION ALL SELECT ngram, count(DISTINCT doc_id) FROM ub GROUP BY 1) GROUP BY 1),
-v AS (SELECT ngram, ln((1 + 2 * (SELECT count(*) FROM p)) / (1 + row_count)) + 1 AS idf FROM c ORDER BY row_count DESC, ngram LIMIT 2000),
+v AS (SELECT ngram, ln((1 + 2 * (SELECT count(*) FROM p)) / (1 + row_count)) + 1 AS idf FROM c ORDER BY row_count DESC, ngram LIMIT 20000),
 wa AS (SELECT doc_id, ngram, count(*) * any_value(idf) AS x FROM ua JOIN v USING (ngram) GROUP BY ALL), wb AS (SELECT doc_id, ngram, count(*) * any_value(idf) AS x FROM ub JOIN v USING (ngram) GROUP BY ALL),
-na AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM wa GROUP BY 1), nb AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM wb GROUP BY 1)
-SELECT wa.doc_id AS row_id, round(sum(wa.x * wb.x) / (any_value(na.l) * any_value(nb.l)), 6) AS similarity
-FROM wa JOIN wb USING (doc_id, ngram) JOIN na USING (doc_id) JOIN nb USING (doc_id) GROUP BY wa.doc_id"""
+na AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM wa GROUP BY 1), nb AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM wb GROUP BY 1),
+s AS (SELECT wa.doc_id, sum(wa.x * wb.x) / (any_value(na.l) * any_value(nb.l)) AS similarity FROM wa JOIN wb USING (doc_id, ngram) JOIN na USING (doc_id) JOIN nb USING (doc_id) GROUP BY wa.doc_id)
+SELECT p.doc_id AS row_id, round(coalesce(similarity, 0), 6) AS similarity FROM p LEFT JOIN s USING (doc_id)"""
 
 
 @query(_PAIR_SQL)
 def bow_cosine_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document beside one item, all items in turn."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    p = d.join(b.select("item_id", F.col("text").alias("b")), F.col("item_id") == F.col("doc_id") % 40).select("doc_id", F.col("text").alias("a"), "b")
-    v = features.shared_vocabulary(p, "a", p, "b", 2000)
-    sides = (features.bag_of_words(p, "doc_id", c, v, "tfidf") for c in ("a", "b"))
-    return rounded(features.cosine_similarity(*sides))
+    p = d.join(b.select("item_id", F.col("text").alias("b")), F.col("item_id") == F.col("doc_id") % b.count()).select("doc_id", F.col("text").alias("a"), "b")
+    groups = features.fit(p, [features.Group("bag_of_words_cosine", "a", other="b", strategy="tfidf")], {c: ColumnType("text") for c in "ab"})
+    return features.with_features(p, groups).select(F.col("doc_id").alias("row_id"), r(F.col("features")[0], 6, "similarity"))
 
 
 @query("SELECT label, i - 1 AS i, round(avg(embedding[i]::DOUBLE), 5) AS x FROM embeddings, range(1, 65) t(i) WHERE len(embedding) >= i GROUP BY ALL")
@@ -494,12 +494,12 @@ def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("column_kind", monitoring.alert_message(F.col("absent_count"), F.col("invalid_count"), F.col("row_count")).alias("message"))
 
 
-@query(_GRAMS + """, g AS (SELECT ngram, count(DISTINCT doc_id) AS n FROM u WHERE doc_id % 2 = 0 GROUP BY 1 ORDER BY n DESC, ngram LIMIT 100)
-SELECT CASE WHEN g.ngram IS NOT NULL THEN u.ngram END AS ngram, count(*) AS n FROM u LEFT JOIN g ON g.ngram = u.ngram WHERE doc_id % 2 = 1 GROUP BY 1""")
+@query(_GRAMS + """, g AS (SELECT ngram, count(DISTINCT doc_id) AS n FROM u WHERE doc_id % 2 = 0 GROUP BY 1 ORDER BY n DESC, ngram LIMIT 20000)
+SELECT CASE WHEN g.ngram IS NOT NULL THEN u.ngram END AS ngram, CASE WHEN any_value(g.ngram) IS NOT NULL THEN count(DISTINCT doc_id) END AS rows, count(*) AS n FROM u LEFT JOIN g ON g.ngram = u.ngram WHERE doc_id % 2 = 1 GROUP BY 1""")
 def tracked_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     seen = d.where("doc_id % 2 = 0")
-    v = profile.top_ngrams(profile.ngram_counts(seen, "text", (1,)), 1, 100)
+    v = profile.top_ngrams(profile.ngram_counts(seen, "text", (1,)), 1)
     return monitoring.tracked_ngrams(d.where("doc_id % 2 = 1"), "text", v, (1,))
 
 
