@@ -126,3 +126,13 @@ def threshold_baseline(share: float, positives: int, negatives: int, n_threshold
         ratio = lambda a, b: a / b if b else None
         out.append({"threshold": t, "tp": tp, "fp": fp, "tn": tn, "fn": fn, "accuracy": ratio(tp + tn, positives + negatives), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
     return out
+
+
+def roc_points(thresholds: DataFrame) -> DataFrame:
+    """(threshold, fpr, tpr) of threshold metrics."""
+    return thresholds.select("threshold", "fpr", "tpr")
+
+
+def precision_recall_points(thresholds: DataFrame) -> DataFrame:
+    """(threshold, recall, precision) of threshold metrics; precision is null where nothing is positive."""
+    return thresholds.select("threshold", "recall", "precision")

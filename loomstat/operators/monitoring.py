@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomstat.functions.numbers import difference, hour_start, parse_float
 from loomstat.operators.metrics import class_metrics, confusion, rates, regression_sums
 from loomstat.operators.profile import ngram_counts
+from loomstat.operators.ranks import quantiles, value_counts
 
 ABSENT_WARNING = INVALID_WARNING = 0.1
 MIN_HOURS = 100
@@ -103,6 +104,32 @@ def rolled_up(states: DataFrame, start: str, end: str, unit: str, zone: str = "U
     return finished_numbers(out.na.fill(0, ["row_count", "n"]))
 
 
+def rolled_up_metrics(hourly: DataFrame, start: str, end: str, unit: str, zone: str = "UTC") -> DataFrame:
+    """Hourly confusion counts (hour, tp, fp, tn, fn) added up per interval of a window, with rates; intervals without any are there."""
+    s = hourly.withColumn("interval_start", interval_start(F.col("hour"), unit, zone))
+    merged = s.groupBy("interval_start").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")))
+    out = F.broadcast(calendar(hourly, start, end, unit)).join(merged, "interval_start", "left").na.fill(0, ["tp", "fp", "tn", "fn"])
+    return out.select("*", *rates()[:4])
+
+
+def hourly_value_counts(df: DataFrame, by: list[str], date: str, value: str) -> DataFrame:
+    """(by, hour, value, n): a state of a number column whose merged quantiles are exact."""
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, hour_start(F.col(date)).alias("hour"), v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_quantiles(states: DataFrame, by: list[str], at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(by, at, quantile) of hourly value counts merged."""
+    return quantiles(states.groupBy(*by, "value").agg(F.sum("n").alias("n")), by, "value", at)
+
+
+def hourly_columns(df: DataFrame, by: list[str], date: str) -> DataFrame:
+    """One mergeable state per column and hour of (by, date, column_name, validity, value): counts by validity, and number sums of what is valid."""
+    v = F.when(F.col("validity") == "valid", F.col("value").try_cast("double"))
+    each = (F.count_if(F.col("validity") == k).alias(f"{k}_count") for k in ("absent", "invalid", "valid"))
+    return df.groupBy(*by, "column_name", hour_start(F.col(date)).alias("hour")).agg(F.count(F.lit(1)).alias("row_count"), *each, *number_state(v))
+
+
 def overall(states: DataFrame, by: list[str] | None = None) -> DataFrame:
     return finished_numbers(merge_numbers(states, by or []))
 
@@ -146,16 +173,33 @@ def regression_production(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def drift_numbers(training: DataFrame, production: DataFrame, value: str) -> DataFrame:
-    """One row: moments and quartiles of a column in training and in production."""
+    """One row: moments and exact quartiles of a column in training and in production."""
 
     def side(df, name):
         v = F.col(value).cast("double")
-        q = F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
-        return df.agg(F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"), F.avg(v).alias(f"{name}_mean"), F.stddev_pop(v).alias(f"{name}_std"), q.alias(f"{name}_quartiles"))
+        counts = value_counts(df.select(v.alias("value")).where("not isnan(value)"), [], "value")
+        q = quantiles(counts, [], "value", (0.25, 0.5, 0.75)).agg(*(F.max(F.when(F.col("at") == k, F.col("quantile"))).alias(f"{name}_p{round(100 * k)}") for k in (0.25, 0.5, 0.75)))
+        return df.agg(F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"), F.avg(v).alias(f"{name}_mean"), F.stddev_pop(v).alias(f"{name}_std")).crossJoin(F.broadcast(q))  # one row each
 
     return side(training, "training").crossJoin(F.broadcast(side(production, "production")))
 
 
+def drift_invalid(training: DataFrame, production: DataFrame) -> DataFrame:
+    """(column_name, absent and invalid counts and shares in training and production) of validity counts."""
+
+    def side(df, name):
+        each = (x for k in ("absent", "invalid") for x in (F.col(f"{k}_count").alias(f"{name}_{k}_count"), F.try_divide(f"{k}_count", "row_count").alias(f"{name}_{k}_fraction")))
+        return df.select("column_name", F.col("row_count").alias(f"{name}_count"), *each)
+
+    return side(training, "training").join(side(production, "production"), "column_name", "left").na.fill(0)
+
+
+def drift_classes(training: DataFrame, production: DataFrame, names: tuple[str, ...] = ("precision", "recall", "f1")) -> DataFrame:
+    """(class, each metric in training and production, and their difference) of class metrics; classes of either."""
+    t, q = (df.select("class", *(F.col(n).alias(f"{side}_{n}") for n in names)) for df, side in ((training, "training"), (production, "production")))
+    return t.join(q, "class", "full").select("*", *((F.col(f"production_{n}") - F.col(f"training_{n}")).alias(f"difference_{n}") for n in names))
+
+
 def drift_enum(training: DataFrame, production: DataFrame, column: str) -> DataFrame:
     """(variant, counts and fractions in training and production) of the variants seen in training."""
 
@@ -223,6 +267,40 @@ def alert_sends(alerts: DataFrame) -> DataFrame:
     return alerts.select("alert_id", F.explode("methods").alias("method"), F.lit("unsent").alias("status"), F.lit(0).alias("attempt_count"))
 
 
+#: Attempts before a send is given up, seconds before the second one (doubled each time), and of a heartbeat.
+MOST_ATTEMPTS, FIRST_WAIT, HEARTBEAT = 10, 60, 10
+
+
+def sends_due(sends: DataFrame, now: str) -> DataFrame:
+    """Rows of sends (attempt_count, status, last_attempt, ...) to be tried at `now`: unsent ones whose wait of
+    FIRST_WAIT * 2^(attempts - 1) seconds is over, and those left `sending` for more than a heartbeat."""
+    at = F.expr(f"timestamp_ntz'{now}'")
+    after = lambda seconds: F.timestamp_add("SECOND", F.coalesce(seconds, F.lit(0)).cast("int"), F.col("last_attempt"))
+    waited = F.col("last_attempt").isNull() | (after(FIRST_WAIT * F.pow(F.lit(2.0), F.col("attempt_count") - 1)) <= at)
+    stale = (F.col("status") == "sending") & (after(F.lit(HEARTBEAT)) < at)
+    return sends.where((F.col("attempt_count") < MOST_ATTEMPTS) & ((F.col("status") == "unsent") & waited | stale))
+
+
+def after_attempts(sends: DataFrame, outcomes: DataFrame, now: str) -> DataFrame:
+    """sends after the attempts of outcomes (alert_id, method, ok): sent, unsent again, or failed after MOST_ATTEMPTS."""
+    j = sends.join(outcomes.select("alert_id", "method", "ok"), ["alert_id", "method"], "left")
+    tried, n = F.col("ok").isNotNull(), F.col("attempt_count") + F.col("ok").isNotNull().cast("int")
+    status = F.when(~tried, F.col("status")).when(F.col("ok"), "sent").when(n >= MOST_ATTEMPTS, "failed").otherwise("unsent")
+    return j.select(*(c for c in sends.columns if c not in ("status", "attempt_count", "last_attempt")), status.alias("status"), n.alias("attempt_count"), F.when(tried, F.expr(f"timestamp_ntz'{now}'")).otherwise(F.col("last_attempt")).alias("last_attempt"))
+
+
+def alert_history(monitors: DataFrame, alerts: DataFrame, model_id: str | None = None) -> DataFrame:
+    """Alerts beside their monitors, of one model or of all."""
+    m = monitors if model_id is None else monitors.where(F.col("model_id") == model_id)
+    return alerts.join(m, "monitor_id")
+
+
+def upsert(held: DataFrame, new: DataFrame, keys: list[str], update: bool = True) -> DataFrame:
+    """held with the rows of new; where both have a key, new's row (update) or held's stays."""
+    keep, add = (held.join(new.select(*keys).distinct(), keys, "left_anti"), new) if update else (held, new.join(held.select(*keys).distinct(), keys, "left_anti"))
+    return keep.unionByName(add)
+
+
 def page(df: DataFrame, date: str, key: str, size: int = 10, before: str | None = None, after: str | None = None) -> DataFrame:
     """The newest rows, or the newest before a time, or the next after one; newest first."""
     if after is not None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions.text import idf, row_ngrams, tokens
 from loomstat.operators.ranks import quantiles, value_counts
+from loomstat.schema import ColumnType
 
 KEPT_DISTINCT = 100
 TOP_NGRAMS = 20_000
@@ -55,6 +56,20 @@ def number_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
 
 
+def table_stats(df: DataFrame, types: dict[str, ColumnType]) -> DataFrame:
+    """(column_name, kind, row_count, valid_count, invalid_count) of columns of any kind, in one aggregate.
+
+    Invalid are numbers that aren't finite or are null, enum codes that are 0 or null and null texts; of an unknown column, all rows.
+    """
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, (name, t) in enumerate(types.items()):
+        c = F.col(f"`{name}`")
+        valid = {"number": lambda c=c: _finite(c).isNotNull(), "enum": lambda c=c: c.isNotNull() & (c != 0), "text": lambda c=c: c.isNotNull(), "unknown": lambda: F.lit(False)}[t.kind]()
+        aggs.append(F.count_if(valid).alias(f"v{i}"))
+    rows = F.array(*(F.struct(F.lit(name).alias("column_name"), F.lit(t.kind).alias("kind"), F.col("n").alias("row_count"), F.col(f"v{i}").alias("valid_count"), (F.col("n") - F.col(f"v{i}")).alias("invalid_count")) for i, (name, t) in enumerate(types.items())))
+    return df.agg(*aggs).select(F.inline(rows))
+
+
 def kept_histogram(df: DataFrame, columns: list[str], most: int = KEPT_DISTINCT) -> DataFrame:
     """number_histogram of the columns with at most `most` distinct values."""
     h = number_histogram(df, columns)

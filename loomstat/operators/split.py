@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.operators.ranks import numbered
@@ -31,13 +31,23 @@ def early_stopping_split(train: DataFrame, fraction: float, last: bool) -> tuple
     return train.where(~watch), train.where(watch)
 
 
-def drop_invalid_target(df: DataFrame, target: str) -> DataFrame:
-    """Rows whose target is null, not a number, or the invalid code 0 of an enum column go."""
-    c = F.col(target)
+def _valid_target(df: DataFrame, target: str) -> Column:
+    c = F.col(f"`{target}`")
     kind = df.schema[target]
     good = c.isNotNull()
     if kind.dataType.typeName() in ("float", "double"):
         good = good & ~F.isnan(c)
     if (kind.metadata or {}).get("ltype") == "enum":
         good = good & (c != 0)
-    return df.where(good)
+    return good
+
+
+def drop_invalid_target(df: DataFrame, target: str) -> DataFrame:
+    """Rows whose target is null, not a number, or the invalid code 0 of an enum column go."""
+    return df.where(_valid_target(df, target))
+
+
+def invalid_targets(df: DataFrame, target: str, most: int = 20) -> list[int]:
+    """Up to `most` row numbers, in the order of the whole table's shuffle, of rows that drop_invalid_target drops: for a warning."""
+    r = shuffled(df).where(~_valid_target(df, target))
+    return [x["row_number"] for x in r.select("row_number").orderBy("row_number").limit(most).collect()]

@@ -90,6 +90,13 @@ def number_stats_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s, 4).withColumn("variance", F.round("variance", 2))
 
 
+@query("""SELECT 'value' AS column_name, 'number' AS kind, count(*) AS row_count, count(value) AS valid_count, count(*) - count(value) AS invalid_count FROM events UNION ALL
+SELECT 'event_type', 'enum', count(*), count_if(event_type IN ('view', 'click')), count_if(event_type NOT IN ('view', 'click')) FROM events UNION ALL SELECT 'user_id', 'text', count(*), count(user_id), 0 FROM events UNION ALL SELECT 'ts', 'unknown', count(*), 0, count(*) FROM events""")
+def table_stats_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("value", features.enum_code(F.col("event_type"), ["view", "click"]).alias("event_type"), F.col("user_id").cast("string").alias("user_id"), "ts")
+    return profile.table_stats(e, {"value": ColumnType("number"), "event_type": ColumnType("enum", ("view", "click")), "user_id": ColumnType("text"), "ts": ColumnType("unknown")})
+
+
 @query("SELECT 'l_quantity' AS column_name, l_quantity AS value, count(*) AS n FROM lineitem GROUP BY l_quantity")
 def number_histogram_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.number_histogram(table(spark, sf_dir, "lineitem"), ["l_quantity"])
@@ -282,6 +289,16 @@ def binary_metrics_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.threshold_metrics(_scored(spark, sf_dir), "p", "y"))
 
 
+@query(_THRESHOLDS + "SELECT round(threshold, 6) AS threshold, round(tp / nullif(tp + fn, 0), 6) AS tpr, round(fp / nullif(fp + tn, 0), 6) AS fpr FROM c")
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.roc_points(metrics.threshold_metrics(_scored(spark, sf_dir), "p", "y")))
+
+
+@query(_THRESHOLDS + "SELECT round(threshold, 6) AS threshold, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c")
+def precision_recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.precision_recall_points(metrics.threshold_metrics(_scored(spark, sf_dir), "p", "y")))
+
+
 @query(_THRESHOLDS + """, x AS (SELECT threshold, tp / (tp + fn) AS tpr, fp / (fp + tn) AS fpr FROM c UNION ALL SELECT 2, 0, 0 UNION ALL SELECT -1, 1, 1),
 w AS (SELECT (lag(fpr) OVER o - fpr) * (lag(tpr) OVER o + tpr) / 2 AS a FROM x WINDOW o AS (ORDER BY threshold)) SELECT round(sum(a), 6) AS auc FROM w""")
 def auc_roc_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +392,7 @@ def binned_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gradient_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source"), "doc_id").where("quality is not null")
     g, h = binning.gradients("binary", F.col("n_chars") / 5000 - 1, F.col("quality").cast("double"))
-    bins = F.array(binning.bin_of(F.col("n_chars").cast("double"), [500.0, 1000.0, 2000.0, 4000.0, 8000.0]), (1 + F.crc32(F.col("source").cast("binary")) % 5).cast("int"))
+    bins = F.array(binning.bin_of(F.col("n_chars").cast("double"), [500.0, 1000.0, 2000.0, 4000.0, 8000.0]), F.expr(_SOURCE_CODE))
     return d.select("doc_id", (F.col("doc_id") % 2).alias("node"), bins.alias("bins"), g.alias("g"), h.alias("h"))
 
 
@@ -387,21 +404,24 @@ def gradients_hessians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gradient_rows(spark, sf_dir).select("doc_id", r("g"), r("h"))
 
 
-_BINS = _GRADIENTS + """, b AS (SELECT node, 0 AS feature, 1 + (n_chars > 500)::INT + (n_chars > 1000)::INT + (n_chars > 2000)::INT + (n_chars > 4000)::INT + (n_chars > 8000)::INT AS bin, p - quality AS g, p * (1 - p) AS h FROM s),
+_SOURCE_CODE = "coalesce(1 + cast(substr(source, 4) AS int) % 5, 0)"
+_BINS = _GRADIENTS + f""", b AS (SELECT node, 0 AS feature, 1 + (n_chars > 500)::INT + (n_chars > 1000)::INT + (n_chars > 2000)::INT + (n_chars > 4000)::INT + (n_chars > 8000)::INT AS bin, p - quality AS g, p * (1 - p) AS h FROM s
+UNION ALL SELECT node, 1, {_SOURCE_CODE}, p - quality, p * (1 - p) FROM s),
 q AS (SELECT node, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM b GROUP BY ALL)"""
 
 
 @query(_BINS + "SELECT node, feature, bin, round(g, 5) AS g, round(h, 5) AS h, n FROM q")
 def bin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(binning.bin_sums(_gradient_rows(spark, sf_dir), "node", "bins", "g", "h").where("feature = 0"), 5)
+    return rounded(binning.bin_sums(_gradient_rows(spark, sf_dir), "node", "bins", "g", "h"), 5)
 
 
-@query(_BINS + """, c AS (SELECT node, feature, bin, sum(g) OVER u AS lg, sum(h) OVER u AS lh, sum(n) OVER u AS ln, sum(g) OVER w AS tg, sum(h) OVER w AS th, sum(n) OVER w AS tn FROM q WINDOW w AS (PARTITION BY node, feature), u AS (PARTITION BY node, feature ORDER BY bin)),
-x AS (SELECT *, lg * lg / lh + (tg - lg) * (tg - lg) / nullif(th - lh, 0) - tg * tg / th AS gain FROM c WHERE least(ln, tn - ln) >= 20)
-SELECT node, feature, bin, round(gain, 5) AS gain, ln::BIGINT AS ln FROM x QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, bin) = 1""")
+@query(_BINS + """, p AS (SELECT *, CASE feature WHEN 1 THEN g / (h + 10) ELSE bin END AS place, feature * 10.0 AS l2 FROM q),
+c AS (SELECT node, feature, bin, l2, sum(g) OVER u AS lg, sum(h) OVER u AS lh, sum(n) OVER u AS ln, sum(g) OVER w AS tg, sum(h) OVER w AS th, sum(n) OVER w AS tn FROM p WINDOW w AS (PARTITION BY node, feature), u AS (PARTITION BY node, feature ORDER BY place, bin)),
+x AS (SELECT *, lg * lg / (lh + l2) + (tg - lg) * (tg - lg) / nullif(th - lh + l2, 0) - tg * tg / (th + l2) AS gain FROM c WHERE least(ln, tn - ln) >= 20 AND least(lh, th - lh) >= 0.001)
+SELECT node, feature, bin, CASE feature WHEN 1 THEN 'enum' ELSE 'number' END AS kind, round(gain, 5) AS gain, ln::BIGINT AS ln FROM x QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) = 1""")
 def best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = binning.bin_sums(_gradient_rows(spark, sf_dir), "node", "bins", "g", "h").where("feature = 0")
-    return binning.best_splits(binning.splits(s, [])).select("node", "feature", "bin", r("gain", 5), "ln")
+    s = binning.bin_sums(_gradient_rows(spark, sf_dir), "node", "bins", "g", "h")
+    return binning.best_splits(binning.splits(s, [1])).select("node", "feature", "bin", "kind", r("gain", 5), "ln")
 
 
 # ---- monitoring --------------------------------------------------------------------------------
@@ -506,11 +526,15 @@ def tracked_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HALF = "2024-01-16 00:00:00"
 
 
-@query(f"SELECT round(min(value) FILTER (ts < '{_HALF}'), 4) AS training_min, round(max(value) FILTER (ts < '{_HALF}'), 4) AS training_max, round(avg(value) FILTER (ts < '{_HALF}'), 4) AS training_mean, round(stddev_pop(value) FILTER (ts < '{_HALF}'), 4) AS training_std, round(min(value) FILTER (ts >= '{_HALF}'), 4) AS production_min, round(max(value) FILTER (ts >= '{_HALF}'), 4) AS production_max, round(avg(value) FILTER (ts >= '{_HALF}'), 4) AS production_mean, round(stddev_pop(value) FILTER (ts >= '{_HALF}'), 4) AS production_std FROM events")
+_DRIFT = ", ".join(f"{f} FILTER (ts {op} '{_HALF}'), 4) AS {side}_{name}" for side, op in (("training", "<"), ("production", ">=")) for name, f in (
+    ("min", "round(min(value)"), ("max", "round(max(value)"), ("mean", "round(avg(value)"), ("std", "round(stddev_pop(value)"), ("p25", "round(quantile_cont(value, 0.25)"), ("p50", "round(quantile_cont(value, 0.5)"), ("p75", "round(quantile_cont(value, 0.75)")))
+
+
+@query(f"SELECT {_DRIFT} FROM events")
 def drift_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     half = F.expr(f"timestamp_ntz'{_HALF}'")
-    return rounded(monitoring.drift_numbers(e.where(F.col("ts") < half), e.where(F.col("ts") >= half), "value").drop("training_quartiles", "production_quartiles"), 4)
+    return rounded(monitoring.drift_numbers(e.where(F.col("ts") < half), e.where(F.col("ts") >= half), "value"), 4)
 
 
 @query(f"""WITH t AS (SELECT event_type AS variant, count(*) AS n FROM events WHERE ts < '{_HALF}' GROUP BY 1), p AS (SELECT event_type AS variant, count(*) AS n FROM events WHERE ts >= '{_HALF}' GROUP BY 1)
@@ -662,6 +686,96 @@ def predictions_page_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.existing(table(spark, sf_dir, "events"), "ts", "event_id", "2023-01-01", "2024-01-20")
 
 
+@query(_BINARY + """, d AS (SELECT date_trunc('day', epoch_ms(hour * 1000)) AS interval_start, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM c GROUP BY 1),
+k AS (SELECT unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-11', INTERVAL 1 DAY)) AS interval_start), z AS (SELECT interval_start, coalesce(tp, 0)::BIGINT AS tp, coalesce(fp, 0)::BIGINT AS fp, coalesce(tn, 0)::BIGINT AS tn, coalesce(fn, 0)::BIGINT AS fn FROM k LEFT JOIN d USING (interval_start))
+SELECT *, round((tp + tn) / nullif(tp + fp + tn + fn, 0), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM z""")
+def production_metrics_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hourly = monitoring.binary_production(true_value_join(spark, sf_dir), ["model_id", "hour"], "view")
+    return rounded(monitoring.rolled_up_metrics(hourly, "2024-01-01 00:00:00", "2024-02-11 00:00:00", "day"))
+
+
+@query("SELECT 'm' || (user_id % 3) AS model_id, k / 4 AS at, round(quantile_cont(value, k / 4), 4) AS quantile FROM events, (VALUES (1), (2), (3)) q(k) GROUP BY 1, k".replace("quantile_cont(value, k / 4)", "CASE k WHEN 1 THEN quantile_cont(value, 0.25) WHEN 2 THEN quantile_cont(value, 0.5) ELSE quantile_cont(value, 0.75) END"))
+def production_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of all hours, from hourly states."""
+    return rounded(monitoring.merged_quantiles(monitoring.hourly_value_counts(_predictions(spark, sf_dir), ["model_id"], "date", "value"), ["model_id"]), 4)
+
+
+@query(f"SELECT 'm' || (user_id % 3) AS model_id, 'value' AS column_name, {_HOUR} AS hour, count(*) AS row_count, count_if(event_id % 7 = 0) AS absent_count, count_if(event_id % 7 > 0 AND event_id % 11 = 0) AS invalid_count, count_if(event_id % 7 > 0 AND event_id % 11 > 0) AS valid_count, round(sum(value) FILTER (event_id % 7 > 0 AND event_id % 11 > 0), 4) AS sum FROM events GROUP BY ALL")
+def hourly_column_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _predictions(spark, sf_dir).withColumn("id", F.col("identifier").cast("long"))
+    state = F.when(F.col("id") % 7 == 0, "absent").when(F.col("id") % 11 == 0, "invalid").otherwise("valid")
+    h = monitoring.hourly_columns(e.select("model_id", "date", F.lit("value").alias("column_name"), state.alias("validity"), F.col("value").cast("string").alias("value")), ["model_id"], "date")
+    return h.select("model_id", "column_name", "hour", "row_count", "absent_count", "invalid_count", "valid_count", r("sum", 4))
+
+
+_HALVES = "SELECT event_id % 2 AS half, count(*) AS n, count_if(event_id % 7 = 0) AS a, count_if(event_id % 7 > 0 AND event_id % 11 = 0) AS i FROM events GROUP BY 1"
+
+
+@query(f"WITH h AS ({_HALVES}) SELECT 'value' AS column_name, t.n AS training_count, t.a AS training_absent_count, round(t.a / t.n, 6) AS training_absent_fraction, t.i AS training_invalid_count, round(t.i / t.n, 6) AS training_invalid_fraction, p.n AS production_count, p.a AS production_absent_count, round(p.a / p.n, 6) AS production_absent_fraction, p.i AS production_invalid_count, round(p.i / p.n, 6) AS production_invalid_fraction FROM h t, h p WHERE t.half = 0 AND p.half = 1")
+def drift_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even events as training, odd ones as production."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 2).alias("half"), F.lit("value").alias("column_name"), F.when(F.col("event_id") % 7 == 0, "absent").when(F.col("event_id") % 11 == 0, "invalid").otherwise("valid").alias("validity"))
+    t, p = (monitoring.validity_counts(e.where(F.col("half") == k), ["column_name"]) for k in (0, 1))
+    return rounded(monitoring.drift_invalid(t, p))
+
+
+_BY_HALF = f"""WITH e AS (SELECT event_id % 2 AS half, {_GUESS} AS p, event_type AS y FROM events), k AS (SELECT half, p AS class FROM e UNION SELECT half, y FROM e),
+c AS (SELECT k.half, class, count_if(p = class AND y = class) AS tp, count_if(p = class AND y <> class) AS fp, count_if(p <> class AND y = class) AS fn FROM e JOIN k ON e.half = k.half GROUP BY ALL),
+m AS (SELECT half, class, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c)"""
+
+
+@query(_BY_HALF + "SELECT coalesce(t.class, q.class) AS class, " + ", ".join(f"round(t.{n}, 6) AS training_{n}, round(q.{n}, 6) AS production_{n}, round(q.{n} - t.{n}, 6) AS difference_{n}" for n in ("precision", "recall", "f1")) + " FROM (SELECT * FROM m WHERE half = 0) t FULL JOIN (SELECT * FROM m WHERE half = 1) q ON t.class = q.class")
+def drift_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("guess", F.expr(_GUESS))
+    t, p = (metrics.class_metrics(metrics.confusion(e.where(F.col("event_id") % 2 == k), "guess", "event_type")) for k in (0, 1))
+    return rounded(monitoring.drift_classes(t, p))
+
+
+@query("SELECT event_id AS alert_id, user_id % 9 AS monitor_id, 'm' || (user_id % 3) AS model_id, CASE WHEN user_id % 9 < 3 THEN 'daily' ELSE 'weekly' END AS cadence, value FROM events WHERE event_type = 'error' AND user_id % 3 = 1")
+def alerts_of_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as alerts of nine monitors of three models."""
+    m = spark.range(9).select(F.col("id").alias("monitor_id"), F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model_id"), F.when(F.col("id") < 3, "daily").otherwise("weekly").alias("cadence"))
+    a = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("alert_id"), (F.col("user_id") % 9).alias("monitor_id"), "value")
+    return monitoring.alert_history(m, a, "m1").select("alert_id", "monitor_id", "model_id", "cadence", "value")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'held' END AS status FROM orders")
+def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders held (but for every sixth), and new rows of every third."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    held, new = o.where("o_orderkey % 6 <> 0").withColumn("status", F.lit("held")), o.where("o_orderkey % 3 = 0").withColumn("status", F.lit("new"))
+    return monitoring.upsert(held, new, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'new' ELSE 'held' END AS status FROM orders")
+def insert_missing_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    held, new = o.where("o_orderkey % 6 <> 0").withColumn("status", F.lit("held")), o.where("o_orderkey % 3 = 0").withColumn("status", F.lit("new"))
+    return monitoring.upsert(held, new, ["o_orderkey"], update=False)
+
+
+_SENDS = "SELECT event_id AS alert_id, 'webhook' AS method, CASE WHEN event_id % 5 = 0 THEN 'sending' WHEN event_id % 7 = 0 THEN 'sent' ELSE 'unsent' END AS status, (event_id % 12)::INT AS attempt_count, CASE WHEN event_id % 12 > 0 THEN ts END AS last_attempt FROM events"
+_SENDS_NOW = "2024-01-15 12:00:00"
+
+
+def _sends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(i.alias("alert_id"), F.lit("webhook").alias("method"), F.when(i % 5 == 0, "sending").when(i % 7 == 0, "sent").otherwise("unsent").alias("status"), (i % 12).cast("int").alias("attempt_count"), F.when(i % 12 > 0, F.col("ts").cast("timestamp_ntz")).alias("last_attempt"))
+
+
+@query(f"""WITH s AS ({_SENDS}) SELECT alert_id, attempt_count FROM s WHERE attempt_count < 10 AND (status = 'unsent' AND (last_attempt IS NULL OR last_attempt + to_seconds((60 * pow(2, attempt_count - 1))::INT) <= TIMESTAMP '{_SENDS_NOW}')
+OR status = 'sending' AND last_attempt + INTERVAL 10 SECOND < TIMESTAMP '{_SENDS_NOW}')""")
+def alert_sends_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitoring.sends_due(_sends(spark, sf_dir), _SENDS_NOW).select("alert_id", "attempt_count")
+
+
+@query(f"""WITH s AS ({_SENDS}) SELECT alert_id, CASE WHEN alert_id % 4 > 1 THEN status WHEN alert_id % 4 = 0 THEN 'sent' WHEN attempt_count + 1 >= 10 THEN 'failed' ELSE 'unsent' END AS status, attempt_count + (alert_id % 4 < 2)::INT AS attempt_count FROM s""")
+def alert_sends_after_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _sends(spark, sf_dir)
+    outcomes = s.where("alert_id % 4 < 2").select("alert_id", "method", (F.col("alert_id") % 4 == 0).alias("ok"))
+    return monitoring.after_attempts(s, outcomes, _SENDS_NOW).select("alert_id", "status", "attempt_count")
+
+
 # ---- joins -------------------------------------------------------------------------------------
 
 
@@ -730,6 +844,26 @@ def tree_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_scores(li, m, "features").select("l_orderkey", "l_partkey", "l_linenumber", "y", F.col("score")[0].alias("value"))
 
 
+_STUMP = """WITH t AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_discount, l_extendedprice - avg(l_extendedprice) OVER () AS e, avg(l_extendedprice) OVER () AS bias FROM lineitem),
+v AS (SELECT 0 AS f, l_quantity AS x, sum(e) AS s, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 1, l_discount, sum(e), count(*) FROM t GROUP BY 2),
+c AS (SELECT f, x, lead(x) OVER (PARTITION BY f ORDER BY x) AS y, sum(s) OVER u AS ls, sum(n) OVER u AS ln, sum(s) OVER (PARTITION BY f) AS s, sum(n) OVER (PARTITION BY f) AS n FROM v WINDOW u AS (PARTITION BY f ORDER BY x)),
+b AS (SELECT f, (x + y) / 2 AS cut_at, 0.1 * ls / ln AS low, 0.1 * (s - ls) / (n - ln) AS high, ln / n AS share FROM c WHERE least(ln, n - ln) >= 20 ORDER BY ls * ls / ln + (s - ls) * (s - ls) / (n - ln) DESC, f, x LIMIT 1),
+p AS (SELECT t.*, b.*, CASE WHEN (CASE f WHEN 0 THEN l_quantity ELSE l_discount END) <= cut_at THEN low ELSE high END AS leaf, share * low + (1 - share) * high AS mean FROM t, b)
+SELECT l_orderkey, l_partkey, l_linenumber, round(bias + leaf, 4) AS value, round(CASE f WHEN 0 THEN leaf - mean ELSE 0 END, 4) AS quantity, round(CASE f WHEN 1 THEN leaf - mean ELSE 0 END, 4) AS discount, round(bias + mean, 4) AS baseline FROM p"""
+
+
+@query(_STUMP)
+def tree_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and contributions of one tree of one split, which SQL can find by itself."""
+    from loomstat.operators.trees import TreeOptions, train_trees, with_contributions, with_scores
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_extendedprice").alias("y"), F.array("l_quantity", "l_discount").alias("features"))
+    m = train_trees(li, "features", "y", "regression", options=TreeOptions(rounds=1, max_leaves=2))
+    d = with_contributions(with_scores(li, m, "features"), m, "features")
+    c = F.col("contributions")
+    return d.select("l_orderkey", "l_partkey", "l_linenumber", r(F.col("score")[0], 4, "value"), r(c[0] + 0.0, 4, "quantity"), r(c[1] + 0.0, 4, "discount"), r("baseline", 4))
+
+
 @query()
 def tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions of each feature; with the baseline they add up to the value."""

@@ -153,6 +153,8 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
     if not sizes.get("train"):
         raise ValueError("no rows to train on")
     warnings = [f"{p} has only {sizes.get(p, 0)} rows" for p, few in FEW_ROWS.items() if sizes.get(p, 0) < few]
+    if lost := df.count() - sum(sizes.values()):
+        warnings.append(f"{lost} rows have no valid target and were dropped")
     classes = list(types[target].variants)
     label = F.col(f"`{target}`") if task == "regression" else F.col(f"`{target}`") - 1
     best, score, tried = None, math.nan, []
