@@ -25,7 +25,7 @@ from .common import column, fold_of, table, texts_of
 from .quality_rank import bounded_labels
 
 MOST_ROWS, BITS, SIZES = 1500, 20, (4, 5)
-SLICE_CHARS = 1 << 18
+SLICE_CHARS, STEPS, RATE = 1 << 18, 80, 0.02
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -76,7 +76,8 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.margin(texts), -30, 30)))
 
 
-def fit(features: list[np.ndarray], label: np.ndarray, base_rate: float, smoothing: float = 0.5, l2: float = 2e-3, steps: int = 300) -> Classifier:
+def fit(features: list[np.ndarray], label: np.ndarray, base_rate: float, smoothing: float = 0.5, l2: float = 2e-3, steps: int = STEPS, rate: float = RATE) -> Classifier:
+    """Logistic loss of both labels in equal shares plus the L2 penalty, by Adam on all rows."""
     size = 1 << BITS
     toxic, clean = int((label == 1).sum()), int((label == 0).sum())
     if not toxic or not clean:
@@ -88,27 +89,28 @@ def fit(features: list[np.ndarray], label: np.ndarray, base_rate: float, smoothi
     place = np.flatnonzero(count[0] + count[1])
     lookup = np.zeros(size, np.int32)
     lookup[place] = np.arange(len(place))
-    some = [range(i, min(i + 64, len(features))) for i in range(0, len(features), 64)]  # temporaries of a step stay small
-    rows = [(k.start, k.stop, np.repeat(np.arange(len(k), dtype=np.int32), [len(features[i]) for i in k]), np.concatenate([lookup[features[i]] for i in k])) for k in some]
-    scale = r[place]
-    y = label.astype(np.float32)
+    some = [features[i : i + 64] for i in range(0, len(features), 64)]  # temporaries of a step stay small
+    rows = [(64 * i, 64 * i + len(k), np.array([len(f) for f in k]), lookup[np.concatenate(k)]) for i, k in enumerate(some)]
+    scale, y = r[place].astype(np.float32), label.astype(np.float32)
     weight = np.where(y == 1, 0.5 / toxic, 0.5 / clean).astype(np.float32)
     w, b = np.zeros(len(place), np.float32), 0.0
-    m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
-    for t in range(1, steps + 1):  # Adam on the whole (bounded) sample
-        g, scaled = np.zeros(len(place) + 1), w * scale
-        for i, j, row, at in rows:
-            e = (1 / (1 + np.exp(-np.clip(np.bincount(row, scaled[at], j - i) + b, -30, 30))) - y[i:j]) * weight[i:j]
-            g[:-1] += np.bincount(at, e[row], len(place))
-            g[-1] += e.sum()
-        g[:-1] = g[:-1] * scale + l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
+    m, v, b_m, b_v = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    for t in range(1, steps + 1):
+        g, b_g, scaled = np.zeros_like(w), 0.0, w * scale
+        for i, j, n, at in rows:
+            sums = np.concatenate(([0.0], np.cumsum(scaled[at], dtype=float)))[np.concatenate(([0], np.cumsum(n)))]
+            e = (1 / (1 + np.exp(-np.clip(np.diff(sums) + b, -30, 30))) - y[i:j]) * weight[i:j]
+            g += np.bincount(at, np.repeat(e, n), len(place)).astype(np.float32)
+            b_g += float(e.sum())
+        g = g * scale + np.float32(l2) * w
+        m, v = np.float32(0.9) * m + np.float32(0.1) * g, np.float32(0.99) * v + np.float32(0.01) * g * g
+        b_m, b_v = 0.9 * b_m + 0.1 * b_g, 0.99 * b_v + 0.01 * b_g * b_g
+        w -= np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-9))
+        b -= rate * (b_m / (1 - 0.9**t)) / (np.sqrt(b_v / (1 - 0.99**t)) + 1e-9)
     full = np.zeros(size, np.float32)
     full[place] = w * scale
-    rate = min(max(base_rate, 1e-4), 1 - 1e-4)
-    return Classifier(full, float(b + np.log(rate / (1 - rate)) / 2))
+    base = min(max(base_rate, 1e-4), 1 - 1e-4)
+    return Classifier(full, float(b + np.log(base / (1 - base)) / 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Classifier:
