@@ -887,3 +887,22 @@ def streaming_hourly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.select(F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model_id"), F.col("event_id").cast("string").alias("identifier"), F.col("ts").alias("date"), "value")
     track.start(e, folder).awaitTermination()
     return track.hourly(spark, folder).select("model_id", "hour", "n", r("sum", 4), "min", "max")
+
+
+@query(_JOINED + "SELECT model_id, hour, prediction, true_value AS label, count(*) AS n FROM j GROUP BY ALL")
+def streaming_true_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table replayed as a stream of predictions, and of true values of every second one."""
+    import uuid
+
+    from loomstat.sources.tables import shared_folder
+    from loomstat.streaming import track
+
+    folder = f"{shared_folder(spark)}/track-{uuid.uuid4().hex}"
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    none = lambda kind: F.lit(None).cast(kind)
+    common = [F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model_id"), F.col("event_id").cast("string").alias("identifier"), F.col("ts").cast("timestamp_ntz").alias("date"), none("string").alias("input"), F.lit("multiclass").alias("output_kind"), none("double").alias("value")]
+    rest = [none("double").alias("probability"), none("map<string,double>").alias("probabilities")]
+    p = e.select(F.lit("prediction").alias("kind"), *common, F.expr(_GUESS).alias("class_name"), *rest, none("string").alias("true_value"), none("string").alias("line"))
+    t = e.where("event_id % 2 = 0").select(F.lit("true_value").alias("kind"), *common, none("string").alias("class_name"), *rest, F.col("event_type").alias("true_value"), none("string").alias("line"))
+    track.track_events(p.unionByName(t), folder).awaitTermination()
+    return track.hourly_counts(spark, folder, "confusion").select("model_id", "hour", "prediction", "label", "n")

@@ -16,19 +16,18 @@ EVENT = T.StructType([
 
 
 def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(kind, model_id, date, identifier, input, output_kind, value, class_name, probability, probabilities, true_value) of JSON lines.
+    """(kind, model_id, date, identifier, input, output_kind, value, class_name, probability, probabilities, true_value, line) of JSON lines.
 
-    A line that isn't an event has kind null.
+    A line that isn't an event has kind null; `line` is what was read.
     """
-    e = F.from_json(F.col(column), EVENT)
-    x = lines.select(F.inline(F.array(e)))
+    x = lines.select(F.col(column).alias("line"), F.from_json(F.col(column), EVENT).alias("e")).select("line", "e.*")
     kind = F.when(F.col("type") == "prediction", "prediction").when(F.col("type").isin("true_value", "trueValue"), "true_value")
     out = F.when(F.col("output.value").isNotNull(), "regression").when(F.col("output.probability").isNotNull(), "binary").when(F.col("output.probabilities").isNotNull(), "multiclass")
     model = F.coalesce("model_id", "modelId")
     good = kind.isNotNull() & model.isNotNull() & F.col("identifier").isNotNull() & F.col("date").try_cast("timestamp_ntz").isNotNull()
     return x.select(
         F.when(good, kind).alias("kind"), model.alias("model_id"), F.col("date").try_cast("timestamp_ntz").alias("date"), "identifier", "input", out.alias("output_kind"),
-        F.col("output.value").alias("value"), F.col("output.class_name").alias("class_name"), F.col("output.probability").alias("probability"), F.col("output.probabilities").alias("probabilities"), F.coalesce("true_value", "trueValue").alias("true_value"),
+        F.col("output.value").alias("value"), F.col("output.class_name").alias("class_name"), F.col("output.probability").alias("probability"), F.col("output.probabilities").alias("probabilities"), F.coalesce("true_value", "trueValue").alias("true_value"), "line",
     )
 
 

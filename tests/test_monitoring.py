@@ -67,3 +67,39 @@ def test_new_monitors(spark):
 def test_month_ends(spark):
     d = spark.createDataFrame([("monthly", "2024-01-31 00:00:00")], "c string, t string")
     assert str(d.select(monitoring.next_check(F.col("t").cast("timestamp_ntz"), F.col("c")).alias("n")).first().n) == "2024-02-29 00:00:00"
+
+
+def test_stream_of_both_kinds_of_events(spark, tmp_path):
+    queue, folder = t.EventQueue(spark, str(tmp_path / "in")), str(tmp_path / "out")
+    said = lambda i, date, name: t.monitored(i, "m", date, input={"a": 1}, output={"class_name": name, "probability": 0.7})
+    true = lambda i, date, v: t.monitored(i, "m", date, true_value=v)
+
+    def run():
+        lines = spark.readStream.schema("value string").text(str(tmp_path / "in"))
+        track.track_events(source.parse_events(lines), folder).awaitTermination()
+        return {(r.hour, r.prediction, r.label): r.n for r in track.hourly_counts(spark, folder, "confusion").collect()}
+
+    for e in (said("1", "2024-01-01T10:10:00", "x"), said("2", "2024-01-01T10:20:00", "y"), true("1", "2024-01-02T00:00:00", "x"), true("3", "2024-01-02T00:00:00", "x")):
+        queue.enqueue(e)
+    queue.held.append("not an event")
+    queue.flush()
+    first = run()
+    for e in (said("3", "2024-01-01T10:50:00", "y"), true("2", "2024-01-03T00:00:00", "x"), true("1", "2024-01-03T00:00:00", "z"), said("2", "2024-01-04T10:20:00", "x")):
+        queue.enqueue(e)
+    queue.flush()
+    second = run()
+    (ten,) = {h for h, _, _ in second}
+    assert first == {(ten, "x", "x"): 1} and second == {(ten, "x", "x"): 1, (ten, "y", "x"): 2}
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    assert read("bad").first().line == "not an event" and {(r.identifier, r.kind) for r in read("rejected").collect()} == {("1", "true_value"), ("2", "prediction")}
+    assert {(r["class_name"], r.n) for r in track.hourly_counts(spark, folder, "classes").collect()} == {("x", 1), ("y", 2)}
+    p = read("predictions").collect()
+    assert {(r.model_id, str(r.day)) for r in p} == {("m", "2024-01-01")} and {r.probability for r in p} == {0.7} and all(r.input for r in p)
+
+
+def test_merged_quartiles_are_exact(spark):
+    d = spark.createDataFrame([("m", f"2024-01-01 {i % 24:02d}:00:00", float(i * i % 101)) for i in range(200)], "model_id string, date string, value double").withColumn("date", F.col("date").cast("timestamp_ntz"))
+    got = {r["at"]: r["quantile"] for r in monitoring.merged_quantiles(monitoring.hourly_value_counts(d, ["model_id"], "date", "value"), ["model_id"]).collect()}
+    import numpy as np
+
+    assert got == {q: np.quantile([i * i % 101 for i in range(200)], q) for q in (0.25, 0.5, 0.75)}
