@@ -16,8 +16,8 @@ as the sets that share a rare shingle, and pivots divide those:
    all members that may be that near are replicated to the pivot's region as its boundary; only pairs
    with a member that isn't boundary are compared there.  The others stay in the region they are in.
 4. *Recursion.*  Pivots, which have met every member, go; regions whose members are all in one
-   component are done; the others get new pivots, all outside the largest component at once in small
-   regions, about sqrt(size) a round in larger ones.
+   component are done; the others get new pivots.  In regions of up to WORK comparisons all members
+   outside the largest component are pivots at once, which ends them; only larger ones are divided.
 
 Only connections matter, so pairs already connected are not compared; no link between different
 components is skipped.  Equal sets are one class from the start.
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import U64, column, cut, forget, joined, mix, slices, table, texts_of, windows, word_hashes, words
 from .components import components
 
-SHINGLE, PERCENT, WORK = 5, 75, 1 << 14
+SHINGLE, PERCENT, WORK = 5, 75, 1 << 20
 BLOCK_BYTES, BLOCK_SETS, BUCKET_BYTES = 8 << 20, 0x7FFF, 16 << 20
 MANY = 0x8000
 SKETCH_BITS = 512
@@ -261,11 +261,14 @@ def _within(percent: int, times: int = 1):
 
 
 def _still_open(m: DataFrame) -> DataFrame:
-    """The regions whose members aren't all in one component c yet; main: their largest component."""
+    """The regions whose members aren't all in one component c yet; main: their largest component.  One in `every`
+    member outside it is to be a pivot: all of them if that takes up to WORK comparisons, else about WORK / size or
+    sqrt(size), whichever is more."""
     each = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     left = each.groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("size"))
     left = left.where("most.k < size").select("key", "size", F.col("most.c").alias("main"), F.expr("size - most.k").alias("others"))
-    return m.join(left, "key")
+    every = f"greatest(1L, cast(ceil(others / greatest(sqrt(size), {WORK} / size)) as long))"
+    return m.join(left.withColumn("every", F.expr(every)), "key")
 
 
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
@@ -290,30 +293,32 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
     forget(member, links)
     kept = ("fp", "n", "at", "c", "own", "sketch", "boundary")
     while not opened.isEmpty():
-        # Pivots are members outside the largest component: all of them if that takes up to `work` comparisons, else
-        # about work / size or sqrt(size), whichever is more, by a hash of the set and the round.  First rounds connect
-        # most members with few comparisons; the rest need one with each other member, so later rounds do more.
-        work, turn = WORK * 4 ** min(turn, 6), turn + 1
-        is_pivot = f"c <> main and pmod(xxhash64(fp, {turn}), greatest(1, cast(ceil(others / greatest(sqrt(size), {work} / size)) as long))) = 0"
-        x = opened.where(is_pivot).select("key", *(F.col(c).alias(f"{c}1") for c in kept))
+        turn += 1
+        is_pivot = f"c <> main and pmod(xxhash64(fp, {turn}), every) = 0"
+        x = opened.where(is_pivot).select("key", "every", *(F.col(c).alias(f"{c}1") for c in kept))
         y = opened.select(F.col("key").alias("k2"), *(F.col(c).alias(f"{c}2") for c in kept))
         near = _within(percent) & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent) & (F.col("c1") != F.col("c2")) & ~(F.col("boundary1") & F.col("boundary2"))
-        met = x.join(y, (F.col("key") == F.col("k2")) & (F.col("fp1") != F.col("fp2")) & _within(percent, 2))
-        met = cut(met.select("key", "fp1", "fp2", "c1", "c2", "boundary2", near.alias("near")))
+        met = x.join(y, (F.col("key") == F.col("k2")) & (F.col("fp1") != F.col("fp2")) & (near | (F.col("every") > 1) & _within(percent, 2)))
+        met = cut(met.select("key", "every", "fp1", "fp2", "c1", "c2", "boundary2", near.alias("near")))
         up = F.col("fp1") < F.col("fp2")
         ends = met.where("near").select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b"), F.when(up, F.col("c1")).otherwise(F.col("c2")).alias("ca"), F.when(up, F.col("c2")).otherwise(F.col("c1")).alias("cb"))
         # the two components of a pair are the same wherever the pair is met
         links = cut(measure(ends.distinct(), sets).where(is_link))
         steps.append(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-        d = links.select("a", "b", (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
+        # Regions all of whose members outside the largest component were pivots are done.
+        rest = opened.where("every > 1").where(f"not ({is_pivot})").drop("size", "main", "others", "every")
+        if rest.isEmpty():
+            forget(opened, met, links)
+            break
         # Members within r of pivots go to the nearest one's region, and all that may be within 2 r of it are its boundary.
         # Boundary members stay where they are: their partners that leave take them along as boundary.
-        paired = met.where("near and not boundary2").select("key", "fp1", "fp2", F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).join(d, ["a", "b"])
+        d = links.select("a", "b", (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
+        some = met.where("every > 1")
+        paired = some.where("near and not boundary2").select("key", "fp1", "fp2", F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).join(d, ["a", "b"])
         nearest = cut(paired.groupBy("key", F.col("fp2").alias("fp")).agg(F.min_by("fp1", F.struct("d", "fp1")).alias("to")))
         region = F.xxhash64("key", F.col("to"))
-        rest = opened.where(f"not ({is_pivot})").drop("size", "main", "others")
         stay = rest.join(nearest, ["key", "fp"], "left_anti")
-        inside = met.join(nearest.groupBy("key", F.col("to").alias("fp1")).agg(F.count(F.lit(1)).alias("ball")), ["key", "fp1"]).select("key", F.col("fp1").alias("to"), F.col("fp2").alias("fp"))
+        inside = some.join(nearest.groupBy("key", F.col("to").alias("fp1")).agg(F.count(F.lit(1)).alias("ball")), ["key", "fp1"]).select("key", F.col("fp1").alias("to"), F.col("fp2").alias("fp"))
         moved = rest.join(inside, ["key", "fp"]).join(nearest.withColumn("own_region", F.lit(True)), ["key", "fp", "to"], "left")
         moved = moved.select(region.alias("key"), "fp", "n", "at", "c", "own", "sketch", F.col("own_region").isNull().alias("boundary"))
         renamed = steps[-1].select(F.col("id").alias("c"), F.col("component").alias("now"))
