@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions.numbers import EPSILON
 from loomstat.operators.ranks import quantiles
+from loomstat.sources.tables import written
 
 MAX_BINS = 255
 
@@ -24,6 +25,7 @@ def midpoints(counts: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def bin_thresholds(counts: DataFrame, by: list[str], value: str, max_bins: int = MAX_BINS) -> DataFrame:
     """(by, threshold): midpoints if a column has fewer than max_bins values, else max_bins - 1 quantiles, without repeats."""
+    counts = written(counts, "counts")  # read several times
     few = counts.groupBy(*by).agg((F.count(F.lit(1)) < max_bins).alias("few"))
     c = counts.join(F.broadcast(few), by)  # one row per column
     steps = tuple(k / max_bins for k in range(1, max_bins))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomstat.functions.text import idf, row_ngrams, tokens
 from loomstat.operators.ranks import quantiles, value_counts
 from loomstat.schema import ColumnType
+from loomstat.sources.tables import written
 
 KEPT_DISTINCT = 100
 TOP_NGRAMS = 20_000
@@ -42,18 +43,18 @@ def number_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Columns without a valid value have null statistics and 0 distinct values.
     """
-    long = melt(df, columns)
-    counts = value_counts(long, ["column_name"], "value")
-    v = F.col("value")
-    moments = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("row_count"), F.count(v).alias("valid_count"), F.count_if(v.isNull()).alias("invalid_count"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("std"),
-    )
-    unique = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+    # written once, since all that follows reads it; under null, how many are invalid
+    counts = written(melt(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "counts")
+    v, n = F.col("value"), F.col("n")
+    valid = F.sum(F.when(v.isNotNull(), n).otherwise(0))
+    first = counts.groupBy("column_name").agg(F.sum("n").alias("row_count"), valid.alias("valid_count"), F.count(v).alias("unique_count"), F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(F.sum(v * n), valid).alias("mean"))
+    spread = counts.join(F.broadcast(first.select("column_name", "mean")), "column_name").groupBy("column_name").agg(F.try_divide(F.sum(n * F.pow(v - F.col("mean"), 2)), valid).alias("variance"))
+    moments = first.join(F.broadcast(spread), "column_name").withColumn("invalid_count", F.col("row_count") - F.col("valid_count")).withColumn("std", F.sqrt("variance"))
+    counts = counts.where("value is not null")
     q = quantiles(counts, ["column_name"], "value", (0.25, 0.5, 0.75))
     flat = q.groupBy("column_name").agg(*(F.max(F.when(F.col("at") == a, F.col("quantile"))).alias(n) for a, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))))
-    out = moments.join(unique, "column_name", "left").join(flat, "column_name", "left")
-    return out.withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+    out = moments.join(F.broadcast(flat), "column_name", "left")
+    return out.select("column_name", "row_count", "valid_count", "invalid_count", "min", "max", "mean", "variance", "std", "unique_count", "p25", "p50", "p75")
 
 
 def table_stats(df: DataFrame, types: dict[str, ColumnType]) -> DataFrame:

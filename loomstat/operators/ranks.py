@@ -41,16 +41,47 @@ def value_counts(long: DataFrame, by: list[str], value: str) -> DataFrame:
     return long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Cells that one level of a quantile search divides a range of values into.
+CELLS = 4096
+
+
+def _celled(counts: DataFrame, within: list[str], value: str, cell: str) -> DataFrame:
+    """counts with `cell`: which of CELLS equal parts of its group's range a value lies in."""
+    ends = counts.groupBy(*within).agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
+    share = F.nanvl(F.try_divide(F.col(value).cast("double") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    return counts.join(F.broadcast(ends), within).withColumn(cell, F.least(F.floor(F.coalesce(share, F.lit(0.0)) * CELLS), F.lit(CELLS - 1)).cast("int")).drop("__lo", "__hi")
+
+
+def _found(wanted: DataFrame, celled: DataFrame, within: list[str], cell: str) -> DataFrame:
+    """wanted (within, rank, ...), each with the cell its rank lies in and its rank there."""
+    totals = celled.groupBy(*within, cell).agg(F.sum("n").alias("__t"))
+    upto = Window.partitionBy(*within).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)  # CELLS rows a group at most
+    totals = totals.withColumn("__upto", F.sum("__t").over(upto))
+    hit = totals.join(F.broadcast(wanted), within).where((F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("__t")))
+    return hit.withColumn("rank", F.col("rank") - F.col("__upto") + F.col("__t")).drop("__t", "__upto")
+
+
 def quantiles(counts: DataFrame, by: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
-    """(by, at, quantile) from value counts: exact, linear between the neighbours of rank (n - 1) * at."""
-    placed = running_totals(counts, by, value, ["n"])
-    total = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
+    """(by, at, quantile) from value counts: exact, linear between the neighbours of rank (n - 1) * at.
+
+    Ranks are searched by counts of cells of equal width, twice; only values in the cells that hold a rank
+    asked for are sorted.  `by` must tell few groups apart.
+    """
+    names = by or ["__all"]
+    c = counts if by else counts.withColumn("__all", F.lit(0))
     asked = F.explode(F.array(*(F.lit(float(q)) for q in at))).alias("at")
-    place = ((F.col("__total") - 1) * F.col("at")).alias("__place")
-    wanted = total.select(*by, "__total", asked).select(*by, "at", place)
-    covers = (F.floor("__place") < F.col("before_n") + F.col("n")) & (F.ceil("__place") >= F.col("before_n"))
-    hit = (placed.join(F.broadcast(wanted), by) if by else placed.crossJoin(F.broadcast(wanted))).where(covers)
-    ends = hit.groupBy(*by, "at", "__place").agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    wanted = c.groupBy(*names).agg(F.sum("n").alias("__total")).select(*names, "__total", asked).withColumn("__place", (F.col("__total") - 1) * F.col("at"))
+    wanted = wanted.select(*names, "at", "__place", F.explode(F.array_distinct(F.array(F.floor("__place"), F.ceil("__place")))).alias("rank"))
+    c = _celled(c, names, value, "__c1")
+    wanted = _found(wanted, c, names, "__c1")
+    names1 = [*names, "__c1"]
+    c = _celled(c.join(F.broadcast(wanted.select(*names1).distinct()), names1, "left_semi"), names1, value, "__c2")
+    wanted = _found(wanted, c, names1, "__c2")
+    names2 = [*names1, "__c2"]
+    upto = Window.partitionBy(*names2).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.join(F.broadcast(wanted.select(*names2).distinct()), names2, "left_semi").withColumn("__upto", F.sum("n").over(upto))
+    hit = c.join(F.broadcast(wanted), names2).where((F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("n")))
+    ends = hit.groupBy(*names, "at", "__place").agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
     low, high, part = F.col("__low"), F.col("__high"), F.col("__place") - F.floor("__place")
     return ends.select(*by, "at", (low + (high - low) * part).alias("quantile"))
 
