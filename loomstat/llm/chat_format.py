@@ -18,7 +18,9 @@ roles), so no mark can occur inside a text and the rendering can be read back ex
 
 Defined results: null text is empty, null role is an empty role, null conversation ids are one
 conversation of their own, a message without start event has an empty role, ties in order are
-broken by role and text (equal rows are all kept), an empty log gives an empty table.
+broken by role and text (equal rows are all kept), an empty log gives an empty table.  Columns besides
+those named are not read.  A conversation is one row of the result: its events meet in one task, as
+long as they may be.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Training takes at most ``MOST_ROWS`` labelled rows of each label, chosen by hash
 
 Defined results: null text is empty and is scored by its (zero) statistics; labels that are null
 or on no document teach nothing; without rows of both labels every score is 0.5; equal rows are
-scored each; an empty table gives an empty result.
+scored each; a text of any length is scored whole, by the task that holds its row; columns besides those
+asked for are not read, and may have any names but the score's; an empty table gives an empty result.
 """
 
 from __future__ import annotations

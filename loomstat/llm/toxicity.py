@@ -9,7 +9,9 @@ ones down.  Training rows are sparse: memory follows the labelled texts, not row
 Training takes at most ``MOST_ROWS`` labelled texts of each label, chosen by hash of the id.
 
 Defined results: null text is empty and gets the intercept's score; labels that are null or on no
-document teach nothing; without rows of both labels every score is 0; equal rows are scored each.
+document teach nothing; without rows of both labels every score is 0; equal rows are scored each; a text
+of any length is scored whole, by the task that holds its row, and if it teaches gives the driver its
+distinct buckets, 4 MB at most; columns besides those asked for are not read.
 """
 
 from __future__ import annotations

@@ -154,3 +154,10 @@ def test_embeddings_by_sql(spark, sf_dir, duck):
 def test_extra_columns_do_no_harm(spark):
     d = spark.createDataFrame([(1, "a b"), (2, "a b")], SCHEMA).withColumns({c: F.lit(0) for c in ("fp", "n", "component", "component_id", "key", "n_shingles")})
     assert [(r.doc_id, r.component_id) for r in jaccard_join.jaccard_classes(common.texts_of(d)).collect()] in ([(1, 1), (2, 1)], [(2, 1), (1, 1)])
+
+
+def test_vectors_beside_clashing_names_and_many_copies(spark):
+    rows = [(i, [1.0, 0.0, 0.5] if i < 1500 else [float(i), 1.0, 2.0], 1) for i in range(2600)]  # one vector held by most rows, others by one each
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(0) for c in ("e", "rep", "copies", "digest", "size", "ok", "n", "n_links")})
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_vectors(df).collect()}
+    assert len(got) == 2600 and all(got[i] == (1499, 0) for i in range(1500)) and got[2000][0] > 0

@@ -333,3 +333,34 @@ def test_word_hashes_agree_with_words():
     assert len(h) == len(flat) and all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(len(h)) for j in range(i))
     assert list(np.diff(first)) == [len(WORD.findall(t or "")) for t in texts]
     assert hashlib.sha256(b"").hexdigest() == sha("")
+
+
+def test_texts_longer_than_a_slice(spark, pieces):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["alpha", "beta", "γ", "delta9", "x\ny", "#"], k=900_000)), "q" * 200_000, "a b"]
+    assert len(texts[0].encode()) > piece_codec.RUN_BYTES > common.SLICE_BYTES
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in piece_codec.digest_texts(frame(spark, rows), P.path("piece_bpe_32k.model")).collect()}
+    for d, t in rows:
+        ids = pieces.encode(t, add_eos=True)
+        assert (got[d].n_tokens, got[d].ids_sha256, got[d].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(pieces.decode(ids)))
+    import tokenizers
+
+    lib = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    counted = {r.doc_id: r.n_tokens for r in token_count.count_tokens(frame(spark, rows[::2]), P.path("word_bpe_49k.json")).collect()}
+    assert counted == {d: len(lib.encode(t, add_special_tokens=False).ids) for d, t in rows[::2]}
+    docs = frame(spark, rows + [(i, f"good words {i} here") for i in range(10, 40)])
+    lab = spark.createDataFrame([(i, i % 2, i % 2) for i in [0, *range(10, 40)]], "doc_id long, quality int, toxic int")
+    for m in (quality_rank, toxicity):
+        assert m.score_texts(docs, m.train(docs, lab), ["doc_id"]).count() == 33
+    scored = {r.doc_id: r.n_tokens for r in lm_score.score_texts(docs.withColumn("train", F.lit(True))).collect()}
+    assert scored[0] == len(WORD.findall(texts[0])) + 1
+
+
+def test_clashing_names_do_no_harm(spark):
+    names = ("formatted", "loss_spans", "event", "position", "message", "seq", "kind", "turns")
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in names})
+    out = chat_format.render(chat_format.fold_events(chat_format.events_from_turns(turns)))
+    assert out.count() == 1
+    docs = common.texts_of(spark.createDataFrame([(1, "a " * 60)], SCHEMA).withColumns({c: F.lit(0) for c in ("n_words", "kept", "base_failed", "h", "rule")}))
+    assert [r.n_words for r in quality_rules.judge(docs, quality_rules.plan_order(docs)).collect()] == [60]
