@@ -63,15 +63,15 @@ class Classifier:
     intercept: float
 
     def margin(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), self.intercept)
+        out, last = np.full(len(texts), self.intercept), np.empty(1 << BITS, np.int32)
         for i, j in runs(texts):
-            keys = []
-            for size in SIZES:
-                g, owner = grams(texts[i:j], size)
-                hit = np.flatnonzero(self.weights[g] != 0)
-                keys.append((owner[hit].astype(np.int64) << BITS) | g[hit])
-            k = np.unique(np.concatenate(keys))  # each n-gram counts once a text
-            out[i:j] += np.bincount(k >> BITS, self.weights[k & ((1 << BITS) - 1)], j - i)
+            each = [grams(texts[i:j], size)[0] for size in SIZES]
+            ends = np.cumsum([len(t) + 4 for t in texts[i:j]]).tolist()
+            for k, (a, z) in enumerate(zip([0, *ends[:-1]], ends, strict=True), i):
+                g = np.concatenate([x[a:z] for x in each])
+                place = np.arange(len(g), dtype=np.int32)
+                last[g] = place  # each n-gram counts once a text, where it was last
+                out[k] += self.weights[g[last[g] == place]].sum(dtype=float)
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
