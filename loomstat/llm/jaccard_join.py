@@ -11,13 +11,13 @@ as the sets that share a rare shingle, and pivots divide those:
 2. *Pivots.*  Each region's first pivot is its smallest member, later ones are chosen among the
    members outside the region's largest component.  A pivot is compared with all members of its region
    that sketches, sizes and the place of the common anchor allow to be within r = 1 - t.
-3. *Voronoi regions and windows.*  A member within r of pivots goes from its region to that of the
-   nearest.  Whatever is within r of such a member is within 2 r of the pivot (triangle inequality), so
+3. *Voronoi regions and windows.*  A member within r of pivots that isn't in the region's largest
+   component by then goes from its region to that of the nearest.  Whatever is within r of such a member is within 2 r of the pivot (triangle inequality), so
    all members that may be that near are replicated to the pivot's region as its boundary; only pairs
    with a member that isn't boundary are compared there.  The others stay in the region they are in.
 4. *Recursion.*  Pivots, which have met every member, go; regions whose members are all in one
-   component are done; the others get new pivots.  In regions of up to WORK comparisons all members
-   outside the largest component are pivots at once, which ends them; only larger ones are divided.
+   component are done; the others get new pivots.  In regions of up to WORK comparisons (eight times as
+   many each round) all members outside the largest component are pivots at once, which ends them.
 
 Only connections matter, so pairs already connected are not compared; no link between different
 components is skipped.  Equal sets are one class from the start.
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import U64, column, cut, forget, joined, mix, slices, table, texts_of, windows, word_hashes, words
 from .components import components
 
-SHINGLE, PERCENT, WORK = 5, 75, 1 << 20
+SHINGLE, PERCENT, WORK = 5, 75, 1 << 14
 BLOCK_BYTES, BLOCK_SETS, BUCKET_BYTES = 8 << 20, 0x7FFF, 16 << 20
 MANY = 0x8000
 SKETCH_BITS = 512
@@ -260,14 +260,15 @@ def _within(percent: int, times: int = 1):
     return F.expr(f"{100 + percent if times == 1 else percent} * (own1 + own2 + {differ}) <= {100 - percent} * (n1 + n2)")
 
 
-def _still_open(m: DataFrame) -> DataFrame:
+def _still_open(m: DataFrame, turn: int) -> DataFrame:
     """The regions whose members aren't all in one component c yet; main: their largest component.  One in `every`
-    member outside it is to be a pivot: all of them if that takes up to WORK comparisons, else about WORK / size or
-    sqrt(size), whichever is more."""
+    member outside it is to be a pivot: all of them if that takes up to `work` comparisons, else about work / size or
+    sqrt(size), whichever is more.  First rounds connect most members with few comparisons; the rest need one with
+    each other member, so later rounds do more."""
     each = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     left = each.groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("size"))
     left = left.where("most.k < size").select("key", "size", F.col("most.c").alias("main"), F.expr("size - most.k").alias("others"))
-    every = f"greatest(1L, cast(ceil(others / greatest(sqrt(size), {WORK} / size)) as long))"
+    every = f"greatest(1L, cast(ceil(others / greatest(sqrt(size), {WORK * 8 ** min(turn, 4)} / size)) as long))"
     return m.join(left.withColumn("every", F.expr(every)), "key")
 
 
@@ -288,43 +289,46 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
     steps = [components(links)]
     m = member.select("key", "fp", "n", "at", F.col("p.fp").alias("pivot")).join(steps[0].select(F.col("id").alias("fp"), "component"), "fp", "left")
     m = cut(m.select("key", "fp", "n", "at", "pivot", F.coalesce("component", "fp").alias("c")))
-    m = _still_open(m).where("fp <> pivot").drop("pivot").join(sets.select("fp", "own", "sketch").hint("merge"), "fp")  # first pivots have met all members
+    m = _still_open(m, 0).where("fp <> pivot").drop("pivot").join(sets.select("fp", "own", "sketch").hint("merge"), "fp")  # first pivots have met all members
     opened, turn = cut(m.withColumn("boundary", F.lit(False))), 0
     forget(member, links)
     kept = ("fp", "n", "at", "c", "own", "sketch", "boundary")
     while not opened.isEmpty():
         turn += 1
         is_pivot = f"c <> main and pmod(xxhash64(fp, {turn}), every) = 0"
-        x = opened.where(is_pivot).select("key", "every", *(F.col(c).alias(f"{c}1") for c in kept))
-        y = opened.select(F.col("key").alias("k2"), *(F.col(c).alias(f"{c}2") for c in kept))
+        sides = lambda x, y: (x.select("key", *(F.col(c).alias(f"{c}1") for c in kept)), y.select(F.col("key").alias("k2"), *(F.col(c).alias(f"{c}2") for c in kept)))
+        x, y = sides(opened.where(is_pivot), opened)
         near = _within(percent) & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent) & (F.col("c1") != F.col("c2")) & ~(F.col("boundary1") & F.col("boundary2"))
-        met = x.join(y, (F.col("key") == F.col("k2")) & (F.col("fp1") != F.col("fp2")) & (near | (F.col("every") > 1) & _within(percent, 2)))
-        met = cut(met.select("key", "every", "fp1", "fp2", "c1", "c2", "boundary2", near.alias("near")))
+        met = cut(x.join(y, (F.col("key") == F.col("k2")) & near).select("key", "fp1", "fp2", "c1", "c2"))
         up = F.col("fp1") < F.col("fp2")
-        ends = met.where("near").select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b"), F.when(up, F.col("c1")).otherwise(F.col("c2")).alias("ca"), F.when(up, F.col("c2")).otherwise(F.col("c1")).alias("cb"))
+        ends = met.select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b"), F.when(up, F.col("c1")).otherwise(F.col("c2")).alias("ca"), F.when(up, F.col("c2")).otherwise(F.col("c1")).alias("cb"))
         # the two components of a pair are the same wherever the pair is met
         links = cut(measure(ends.distinct(), sets).where(is_link))
         steps.append(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-        # Regions all of whose members outside the largest component were pivots are done.
-        rest = opened.where("every > 1").where(f"not ({is_pivot})").drop("size", "main", "others", "every")
+        # regions all of whose members outside the largest component were pivots are done
+        rest = opened.where("every > 1").where(f"not ({is_pivot})")
         if rest.isEmpty():
             forget(opened, met, links)
             break
-        # Members within r of pivots go to the nearest one's region, and all that may be within 2 r of it are its boundary.
-        # Boundary members stay where they are: their partners that leave take them along as boundary.
+        now = steps[-1].select(F.col("id").alias("c"), F.col("component").alias("now"))
+        rest = rest.join(now, "c", "left").withColumn("c", F.coalesce("now", "c")).drop("now")
+        rest = cut(rest.join(now.select(F.col("c").alias("main"), F.col("now").alias("joined")), "main", "left").withColumn("main", F.coalesce("joined", "main")).drop("joined", "size", "others", "every"))
+        # Members within r of pivots, if still outside the largest component, go to the nearest one's region, and all that
+        # may be within 2 r of it are its boundary.  Boundary members stay: partners that leave take them along as boundary.
         d = links.select("a", "b", (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("d"))
-        some = met.where("every > 1")
-        paired = some.where("near and not boundary2").select("key", "fp1", "fp2", F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).join(d, ["a", "b"])
-        nearest = cut(paired.groupBy("key", F.col("fp2").alias("fp")).agg(F.min_by("fp1", F.struct("d", "fp1")).alias("to")))
-        region = F.xxhash64("key", F.col("to"))
-        stay = rest.join(nearest, ["key", "fp"], "left_anti")
-        inside = some.join(nearest.groupBy("key", F.col("to").alias("fp1")).agg(F.count(F.lit(1)).alias("ball")), ["key", "fp1"]).select("key", F.col("fp1").alias("to"), F.col("fp2").alias("fp"))
-        moved = rest.join(inside, ["key", "fp"]).join(nearest.withColumn("own_region", F.lit(True)), ["key", "fp", "to"], "left")
-        moved = moved.select(region.alias("key"), "fp", "n", "at", "c", "own", "sketch", F.col("own_region").isNull().alias("boundary"))
-        renamed = steps[-1].select(F.col("id").alias("c"), F.col("component").alias("now"))
-        after = cut(stay.unionByName(moved).join(renamed, "c", "left").withColumn("c", F.coalesce("now", "c")).drop("now"))
-        before, opened = opened, cut(_still_open(after))
-        forget(before, after, met, links, nearest)
+        paired = met.select("key", "fp1", F.col("fp2").alias("fp"), F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).join(d, ["a", "b"])
+        nearest = paired.join(rest.where("c <> main and not boundary").select("key", "fp"), ["key", "fp"], "left_semi").groupBy("key", "fp").agg(F.min_by("fp1", F.struct("d", "fp1")).alias("to"))
+        nearest = cut(nearest)
+        after = rest
+        if not nearest.isEmpty():
+            chosen = nearest.select("key", F.col("to").alias("fp")).distinct()
+            x, y = sides(opened.where(is_pivot).join(chosen, ["key", "fp"], "left_semi"), rest)
+            inside = x.join(y, (F.col("key") == F.col("k2")) & _within(percent, 2)).select("key", F.col("fp1").alias("to"), *(F.col(f"{c}2").alias(c) for c in kept if c != "boundary"))
+            inside = inside.join(nearest.withColumn("own_region", F.lit(True)), ["key", "fp", "to"], "left")
+            moved = inside.select(F.xxhash64("key", "to").alias("key"), *(c for c in kept if c != "boundary"), F.col("own_region").isNull().alias("boundary"))
+            after = cut(rest.drop("main").join(nearest, ["key", "fp"], "left_anti").unionByName(moved))
+        before, opened = opened, cut(_still_open(after.drop("main"), turn))
+        forget(before, met, links, nearest, rest)
     return steps
 
 
