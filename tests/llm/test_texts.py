@@ -337,7 +337,7 @@ def test_word_hashes_agree_with_words():
 
 def test_texts_longer_than_a_slice(spark, pieces):
     rng = random.Random(3)
-    texts = [" ".join(rng.choices(["alpha", "beta", "γ", "delta9", "x\ny", "#"], k=900_000)), "q" * 200_000, "a b"]
+    texts = [" ".join(rng.choices(["alpha", "beta", "γ", "delta9", "x\ny", "#"], k=1_000_000)), "q" * 50_000, "a b"]
     assert len(texts[0].encode()) > piece_codec.RUN_BYTES > common.SLICE_BYTES
     rows = list(enumerate(texts))
     got = {r.doc_id: r for r in piece_codec.digest_texts(frame(spark, rows), P.path("piece_bpe_32k.model")).collect()}
