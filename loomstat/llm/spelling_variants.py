@@ -1,18 +1,19 @@
 """Groups of spelling variants: words one edit apart, by a positional q-gram inverted index with a count filter.
 
 Words are runs of letters with their numbers of occurrences.  A word of length n has n - q + 1 q-grams with their
-positions; one edit destroys q of them at most and moves the others by one place at most.  So words one edit
-apart, the longer of m letters, have lengths that differ by one at most and share T = m - 2 q + 1 q-grams
-at positions that differ by one at most.
+positions; one edit destroys q of them at most; a replaced letter leaves the others where they are, and a deleted one moves those behind it a
+place down.  So words one edit apart, the longer of m letters, are of one length or of two that differ by one,
+and share T = m - 2 q + 1 q-grams at equal positions, or at the shorter word's one lower.
 
 * *Regions.*  With all q-grams in order from rare to frequent, two words that share T of them share one of the
   first n - q + 1 - T + 1 of each (n: its own length).  Each word goes to the regions of those q-grams, a region being
   a q-gram and the length m of the longer word, so near words meet in one.  Regions of more than ``REGION`` words are
   cut into blocks by hash, and each pair of blocks is a region: no task gets a hot one.
-* *Merging.*  In a region an inverted index maps (position, q-gram) to an ascending list of words.  Each word of m
-  letters, in turn, merges by a heap the lists of its q-grams at its positions and those beside them, keeps the words
-  that come up T times or more, verifies that they are one edit away, and then enters the index itself, so no pair
-  is merged twice.  Lists of the region's own q-gram, on which all its words stand, are as long as the region at most.
+* *Merging.*  In a region an inverted index maps (length, position, q-gram) to an ascending list of words.  Each word
+  of m letters, in turn, merges by a heap the lists of its q-grams at the positions allowed, keeps the words that come up
+  T times or more, verifies that they are one edit away, and then enters the index itself, so no pair is merged
+  twice.  The region's own q-gram, which all its words hold, has the longest lists: they are left out, and that
+  q-gram's places in the word from T, as long as T stays above 0.
 * *Once a pair.*  A pair that shares several regions counts in that of its first common q-gram only, so regions
   can send a row a word (the number of near words, and the best of them) and not a row a pair.
 
@@ -27,13 +28,12 @@ read; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import ne
 from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,10 +106,17 @@ def one_edit(a: str, b: str) -> bool:
     """Whether exactly one inserted, deleted or replaced letter makes one word the other."""
     if len(a) < len(b):
         a, b = b, a
-    if len(a) - len(b) > 1:
+    longer = len(a) - len(b)
+    if longer > 1 or a == b:
         return False
-    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
-    return a[i + 1 :] == b[i + (len(a) == len(b)) :] and a != b
+    if not longer and len(a) <= 64:
+        return sum(map(ne, a, b)) == 1
+    i = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        i += 1
+    return a[i + 1 :] == (b[i:] if longer else b[i + 1 :])
 
 
 def gram_ranks(words: DataFrame, q: int = Q) -> dict[str, int]:
@@ -164,35 +171,48 @@ def regions(words: DataFrame, rank: dict[str, int], q: int = Q, region: int = RE
     return few.unionAll(pairs)
 
 
-def _near(key: int, split: bool, rows: list[tuple[int, str, int]], rank: dict[str, int], q: int) -> Iterator[tuple[int, int]]:
-    """Pairs of places in rows (part, word, n), sorted by part, that are one edit apart and that this region is to count."""
+def counted(lists: list[list[int]], least: int) -> Iterator[int]:
+    """What is in `least` of the ascending lists or more, by merging them with a heap; for one, no count is needed."""
+    if least == 1 or len(lists) < least:
+        yield from set().union(*lists) if least == 1 else ()
+        return
+    last, times = -1, 0
+    for k in heapq.merge(*lists):
+        times = times + 1 if k == last else 1
+        last = k
+        if times == least:
+            yield k
+
+
+def _near(key: int, gram: str, split: bool, rows: list[tuple[int, str, int]], rank: dict[str, int], q: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places in rows (part, word, n) that are one edit apart and that this region, of `gram`, is to count."""
     longer, own = key >> 40, key & ((1 << 40) - 1)
-    prefix: dict[int, list[int]] = {}
+    held: dict[int, set[int]] = {}
 
-    def first_grams(i: int) -> list[int]:
-        if i not in prefix:
-            prefix[i] = ordered(rows[i][1], rank, q)
-        return prefix[i]
+    def first_grams(i: int) -> set[int]:
+        if i not in held:
+            held[i] = set(ordered(rows[i][1], rank, q))
+        return held[i]
 
     def merged(index: dict[int, dict[str, list[int]]], i: int) -> Iterator[int]:
         word = rows[i][1]
-        least = least_shared(len(word), q)
-        lists = [found for p, g in enumerate(grams(word, q)) for near in (p - 1, p, p + 1) if (found := index[near].get(g))]
-        if len(lists) < least:
-            return
-        last, times = -1, 0
-        for k in heapq.merge(*lists):
-            if k != last:
-                last, times = k, 0
-            times += 1
-            if times == least and one_edit(word, rows[k][1]):
-                a, b = first_grams(i), first_grams(k)
-                if min(set(a) & set(b)) == own:
-                    yield i, k
+        own_grams, least = grams(word, q), least_shared(len(word), q)
+        others = least - own_grams.count(gram)
+        if others > 0:  # all words here hold the region's own q-gram: its lists are the longest, and tell nothing
+            least, left = others, gram
+        else:
+            left = None
+        odd = len(word) & 1
+        places = ((2 * p + odd, 2 * p + 1 - odd, 2 * p - 1 - odd) for p in range(len(own_grams)))
+        lists = [found for near, g in zip(places, own_grams, strict=True) if g != left for at in near if (found := index[at].get(g))]
+        for k in counted(lists, least):
+            if one_edit(word, rows[k][1]) and min(first_grams(i) & first_grams(k)) == own:
+                yield i, k
 
     def enter(index: dict[int, dict[str, list[int]]], i: int) -> None:
+        odd = len(rows[i][1]) & 1  # tells words of one length from those one letter shorter
         for p, g in enumerate(grams(rows[i][1], q)):
-            index[p].setdefault(g, []).append(i)
+            index[2 * p + odd].setdefault(g, []).append(i)
 
     # words one letter short come first: they are found, but don't look for others
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i][1]), i))
@@ -211,13 +231,14 @@ NEAR = "word string, n_near long, near_n long, near string"
 def near_words(words: DataFrame, q: int = Q, region: int = REGION, rank: dict[str, int] | None = None) -> DataFrame:
     """(word, n_near, near_n, near): how many words are one edit away, and the one of them of most occurrences."""
     rank = gram_ranks(words, q) if rank is None else rank
+    gram_of = list(rank)  # in order of rank
 
     def run(batches):
         at, rows, out = None, [], []
 
         def finish():
             found: dict[int, list] = {}
-            for i, k in _near(at[0], at[1] != at[2], rows, rank, q):
+            for i, k in _near(at[0], gram_of[(at[0] & (1 << 40) - 1) >> 10], at[1] != at[2], rows, rank, q):
                 for x, y in ((i, k), (k, i)):
                     best = (-rows[y][2], rows[y][1])
                     if x in found:
