@@ -5,6 +5,8 @@ States per hour are mergeable columns, so that hours add up to days, months and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,24 +52,42 @@ def alert_message(absent: Column, invalid: Column, rows: Column) -> Column:
 
 
 def number_state(value: Column) -> list[Column]:
-    """The mergeable state of a number column."""
+    """The mergeable state of a number column; m2: squared distances from the mean, added up."""
     v = value.cast("double")
-    return [F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.sum(v * v).alias("sum_squares")]
+    return [F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), (F.var_pop(v) * F.count(v)).alias("m2")]
 
 
 def hourly_numbers(df: DataFrame, by: list[str], date: str, value: str) -> DataFrame:
     return df.groupBy(*by, hour_start(F.col(date)).alias("hour")).agg(F.count(F.lit(1)).alias("row_count"), *number_state(F.col(value)))
 
 
-def merge_numbers(states: DataFrame, by: list[str | Column]) -> DataFrame:
-    return states.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("row_count", "n")), F.min("min").alias("min"), F.max("max").alias("max"), *(F.sum(c).alias(c) for c in ("sum", "sum_squares")))
+def merge_states(states: DataFrame, by: list[str], *others: Column) -> DataFrame:
+    """Number states merged, beside other aggregates of the same groups.
+
+    The parts' squared distances are carried from their own means to the mean of all, which is joined first, so a
+    variance is as exact far from 0 as near it.
+    """
+    keys = [f"__by{i}" for i in range(len(by))]
+    mean = states.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True))).agg(F.try_divide(F.sum("sum"), F.sum("n")).alias("__mean"))
+    if by:
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)))
+        states = states.join(mean, same)
+    else:
+        states = states.crossJoin(F.broadcast(mean))  # one row
+    own = F.try_divide("sum", "n")
+    return states.groupBy(*by).agg(
+        *(F.sum(c).alias(c) for c in ("row_count", "n")), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"),
+        F.sum(F.col("m2") + F.col("n") * F.pow(own - F.col("__mean"), 2)).alias("m2"), *others,
+    )
+
+
+def merge_numbers(states: DataFrame, by: list[str]) -> DataFrame:
+    return merge_states(states, by)
 
 
 def finished_numbers(states: DataFrame) -> DataFrame:
     """mean and population variance from the state."""
-    mean = F.try_divide("sum", "n")
-    variance = F.when(F.col("n") > 0, F.greatest(F.try_divide("sum_squares", "n") - mean * mean, F.lit(0.0)))
-    return states.withColumn("mean", mean).withColumn("variance", variance).drop("sum", "sum_squares")
+    return states.withColumn("mean", F.try_divide("sum", "n")).withColumn("variance", F.try_divide("m2", "n")).drop("sum", "m2")
 
 
 def local_time(hour: Column, zone: str) -> Column:

@@ -3,6 +3,7 @@
 import pytest
 from conftest import same_rows
 
+import loomstat.plans.production  # noqa: F401 (adds its queries)
 from loomstat.plans.queries import ORACLE_SQL, QUERIES
 
 
