@@ -7,6 +7,7 @@ a text longer than that is a slice of its own.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +54,15 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Gives up the shuffle files of plans that nothing refers to any more.
+
+    Spark deletes them when the driver's JVM has collected those plans as garbage, which it may not do for an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A key that holds more than one in so many rows is hot.
 HOT = 1000
 

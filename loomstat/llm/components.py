@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 #: Rows that a task unites: as many tasks are made as they need, so a small graph needs one and no shuffle.
 ROWS_A_TASK = 1 << 18
@@ -59,9 +59,12 @@ def components(edges: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     tasks = math.ceil(stars.count() / rows_a_task)
     if tasks > 1:
         stars = stars.mapInArrow(_stars, STARS).select("id", "root")
+    before: tuple[DataFrame, ...] = ()
     while True:
         met = cut((stars.repartition("id") if tasks > 1 else stars).coalesce(max(1, tasks)).mapInArrow(_stars, STARS))
         torn = cut(met.where("torn").select(F.col("id").alias("old"), F.col("root").alias("new"))) if tasks > 1 else None
+        forget(*before)
         if torn is None or torn.isEmpty():
             return met.where("own" if tasks > 1 else "true").select("id", F.col("root").alias("component"))
+        before = (met, torn)
         stars = met.join(torn, met.root == torn.old, "left").select("id", F.coalesce("new", "root").alias("root"))

@@ -26,8 +26,8 @@ Rare-to-frequent order needs the number of sets that hold each shingle.  Blocks
 shingles (hash ranges, as packed arrays) to the tasks that own the ranges and get back those that
 others have too, with the power of two of their frequency.  A shingle that several texts of a block
 share is sent once, with its count, so frequent shingles cost a row a block.  Ranges are as many as
-the corpus needs for BUCKET_BYTES each.  On the way 32 bits and the range stand for a shingle, which may
-only make one look shared; sets are compared by all 64 bits of their shingles' hashes.
+the corpus needs for BUCKET_BYTES each.  Only shared shingles come back, so that of the others a block keeps
+no more than their number.  The files of these exchanges are given up before links are sought.
 
 Defined results: null text is empty; a text without words has no shingles, no links and is its own
 component; a text of fewer words than a shingle is one shingle; equal rows are linked; rows with
@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, column, cut, forget, joined, mix, slices, table, texts_of, windows, word_hashes, words
+from .common import U64, column, cut, forget, joined, mix, release, slices, table, texts_of, windows, word_hashes, words
 from .components import components
 
 SHINGLE, PERCENT, WORK = 5, 75, 1 << 14
@@ -77,7 +77,7 @@ def fingerprint(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s + U64(len(s))).sum(dtype=U64)]))[0].view(np.int64)) if len(s) else 0
 
 
-PARTS = "abcdefg"
+PARTS = "abcdef"
 PACKED = "block long, bucket long, " + ", ".join(f"{p} binary" for p in PARTS)
 
 
@@ -90,6 +90,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=["block", "bucket", *PARTS])
 
 
+def _planes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """What the range of `bits` doesn't tell of each key, all keys' first bytes, then all second ones: the high bytes
+    of ascending keys repeat, and so compress."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, : (64 - bits + 7) // 8].T)
+
+
+def _keys(planes, bucket: int, bits: int) -> np.ndarray:
+    raw = np.frombuffer(planes, np.uint8).reshape((64 - bits + 7) // 8, -1)
+    full = np.zeros((raw.shape[1], 8), np.uint8)
+    full[:, : len(raw)] = raw.T
+    return full.view(U64).ravel() & U64((1 << (64 - bits)) - 1) | U64(bucket << (64 - bits))
+
+
 def _block_rows(block: int, docs: list[tuple[int | None, int, int]], sets: dict[int, np.ndarray], bits: int) -> list[tuple]:
     """What a block of texts sends: its own row (bucket < 0), and its shingles by hash range."""
     ids = np.array([0 if d is None else d for d, _, _ in docs], np.int64)
@@ -106,12 +119,10 @@ def _block_rows(block: int, docs: list[tuple[int | None, int, int]], sets: dict[
     inside = np.repeat(many, count)
     full = full[first]
     value = np.where(many, MANY | np.minimum(count, MANY - 1), owner[first]).astype(np.uint16)
-    below = np.ascontiguousarray(full.view(np.uint8).reshape(-1, 8)[:, : (32 - bits + 7) // 8])  # what the range and 32 bits don't tell
-    home = _row(block, -1 - block, ids, rest, fps, sizes, below, count[many].astype(np.int32), owner[inside].astype(np.uint16))
+    home = _row(block, -1 - block, ids, rest, fps, sizes, count[many].astype(np.int32), owner[inside].astype(np.uint16))
     bucket = (full >> U64(64 - bits)).astype(np.int64)
-    keys = (full >> U64(32 - bits)).astype(np.uint32)
     cuts = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(full)]))
-    return [home] + [_row(block, int(bucket[i]), keys[i:j], value[i:j], np.array([i], np.int64)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [home] + [_row(block, int(bucket[i]), _planes(full[i:j], bits), value[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def shingle_blocks(docs: DataFrame, bits: int, size: int = SHINGLE) -> DataFrame:
@@ -138,28 +149,30 @@ def shingle_blocks(docs: DataFrame, bits: int, size: int = SHINGLE) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """Of one hash range: for each block its shingles that more than one set holds, with log2 of how many."""
-    if t["bucket"][0].as_py() < 0:
-        return t.select(["block", "bucket", *PARTS])
-    blocks, bucket = t["block"].to_pylist(), t["bucket"][0].as_py()
-    keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["a"]]
-    values = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in t["b"]])
-    row = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(k) for k in keys])
-    place = np.concatenate([np.arange(len(k)) + np.frombuffer(x.as_buffer(), np.int64)[0] for k, x in zip(keys, t["c"], strict=True)]).astype(np.uint32)
-    keys = np.concatenate(keys)
-    order = np.argsort(keys, kind="stable")
-    keys, values, row, place = keys[order], values[order], row[order], place[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    held = np.add.reduceat(np.where(values & MANY, values & (MANY - 1), 1).astype(np.int64), first)
-    total = np.repeat(held, np.diff(np.append(first, len(keys))))
-    keep = total > 1
-    keys, values, row, place = keys[keep], values[keep], row[keep], place[keep]
-    level = np.log2(total[keep]).astype(np.uint8)
-    order = np.argsort(row, kind="stable")
-    cuts = np.searchsorted(row[order], np.arange(len(blocks) + 1))
-    rows = [_row(b, bucket, keys[o], values[o], level[o], place[o]) for b, i, j in zip(blocks, cuts[:-1], cuts[1:], strict=True) if j > i and (o := order[i:j]) is not None]
-    return pa.Table.from_batches([_batch(rows)])
+def _shared(bits: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Of one hash range: for each block its shingles that more than one set holds, with log2 of how many."""
+        if t["bucket"][0].as_py() < 0:
+            return t.select(["block", "bucket", *PARTS])
+        blocks, bucket = t["block"].to_pylist(), t["bucket"][0].as_py()
+        keys = [_keys(x.as_buffer(), bucket, bits) for x in t["a"]]
+        values = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in t["b"]])
+        row = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(k) for k in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        keys, values, row = keys[order], values[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        held = np.add.reduceat(np.where(values & MANY, values & (MANY - 1), 1).astype(np.int64), first)
+        total = np.repeat(held, np.diff(np.append(first, len(keys))))
+        keep = total > 1
+        keys, values, row = keys[keep], values[keep], row[keep]
+        level = np.log2(total[keep]).astype(np.uint8)
+        order = np.argsort(row, kind="stable")
+        cuts = np.searchsorted(row[order], np.arange(len(blocks) + 1))
+        rows = [_row(b, bucket, _planes(keys[o], bits), values[o], level[o]) for b, i, j in zip(blocks, cuts[:-1], cuts[1:], strict=True) if j > i and (o := order[i:j]) is not None]
+        return pa.Table.from_batches([_batch(rows)])
+
+    return run
 
 
 SETS = "doc_id long, n_shingles long, fp long, own int, anchors array<long>, sketch array<long>, keys binary"
@@ -174,19 +187,14 @@ def _candidates(percent: int, bits: int):
         out = {"fp": [], "n_shingles": [], "own": [], "anchors": [], "sketch": [], "keys": []}
         back = [r for r in t.to_pylist() if r["bucket"] >= 0]
         if back:
-            fps, sizes, m_count, m_owner = (np.frombuffer(own[k], kind) for k, kind in (("c", np.int64), ("d", np.int64), ("f", np.int32), ("g", np.uint16)))
-            place = np.concatenate([np.frombuffer(r["d"], np.uint32) for r in back]).astype(np.int64)
-            keys = np.concatenate([np.frombuffer(r["a"], np.uint32).astype(U64) << U64(32 - bits) | (U64(r["bucket"]) << U64(64 - bits)) for r in back])
-            width = (32 - bits + 7) // 8
-            below = np.zeros((len(place), 8), np.uint8)
-            below[:, :width] = np.frombuffer(own["e"], np.uint8).reshape(-1, width)[place]
-            keys |= below.view(U64).ravel() & U64((1 << (32 - bits)) - 1)
+            fps, sizes, m_count, m_owner = (np.frombuffer(own[k], kind) for k, kind in (("c", np.int64), ("d", np.int64), ("e", np.int32), ("f", np.uint16)))
+            keys = np.concatenate([_keys(r["a"], r["bucket"], bits) for r in back])
             values = np.concatenate([np.frombuffer(r["b"], np.uint16) for r in back])
             level = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in back])
-            # a shingle of several sets of the block comes back to all of them; home has counted those by place
+            # a shingle of several sets of the block comes back to all of them; home has counted those in order of their hashes
             many = np.flatnonzero(values & MANY)
             spread = np.concatenate(([0], np.cumsum(m_count)))
-            rank = np.searchsorted(np.sort(place[many]), place[many])
+            rank = np.argsort(np.argsort(keys[many]))
             if len(many) != len(m_count):
                 raise RuntimeError("shared shingles of a block are missing")
             n = m_count[rank]
@@ -225,7 +233,7 @@ def texts_and_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     own, shingles that no other set holds; keys, all others, packed and sorted; sketch, their parities by hash."""
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, min(24, math.ceil(math.log2(text_bytes / BUCKET_BYTES + 1))))  # a shingle takes about as many bytes as its word
-    shared = shingle_blocks(docs, bits, size).groupBy("bucket").applyInArrow(_shared, PACKED)
+    shared = shingle_blocks(docs, bits, size).groupBy("bucket").applyInArrow(_shared(bits), PACKED)
     return shared.groupBy("block").applyInArrow(_candidates(percent, bits), SETS)
 
 
@@ -335,6 +343,7 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
     every = cut(texts_and_sets(docs, percent, size))
+    release(docs.sparkSession)
     of = every.where("keys is null").select("doc_id", "n_shingles", "fp")
     sets = cut(every.where("keys is not null").groupBy("fp").agg(F.first("n_shingles").cast("int").alias("n"), *(F.first(c).alias(c) for c in ("own", "anchors", "sketch", "keys"))))
     root = sets.select("fp", F.col("fp").alias("root"))
