@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomstat.functions.text import idf, row_ngrams, tokens
 from loomstat.operators.ranks import quantiles, value_counts
 from loomstat.schema import ColumnType
-from loomstat.sources.tables import written
+from loomstat.sources.tables import spread, written
 
 KEPT_DISTINCT = 100
 TOP_NGRAMS = 20_000
@@ -138,7 +138,7 @@ def ngram_counts(df: DataFrame, text: str, sizes: tuple[int, ...] = (1, 2)) -> D
                     yield counted()
         yield counted()
 
-    parts = df.select(tokens(text).alias("t")).mapInArrow(run, "ngram string, r long, o long")
+    parts = spread(df.select(text)).select(tokens(text).alias("t")).mapInArrow(run, "ngram string, r long, o long")
     return parts.groupBy("ngram").agg(F.sum("r").alias("row_count"), F.sum("o").alias("occurrence_count"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomstat.operators.binning import bin_thresholds, leaf_value
 from loomstat.operators.linear import EarlyStopping
 from loomstat.operators.ranks import value_counts
-from loomstat.sources.tables import dropped, written
+from loomstat.sources.tables import dropped, spread, written
 
 #: Scores are written anew after so many rounds; between, tasks apply the trees since.
 ROUNDS_A_TABLE = 10
@@ -174,7 +174,7 @@ class _Rows:
                 bins = model.binned(_matrix(b.column(0), width)).astype(kind)
                 yield pa.RecordBatch.from_arrays([_packed(bins), _packed(np.tile(start, (b.num_rows, 1))), b.column(1)], names=["bins", "score", "y"])
 
-        self.data = written(rows.mapInArrow(run, self.SCHEMA), "boosting")
+        self.data = written(spread(rows).mapInArrow(run, self.SCHEMA), "boosting")
 
     def advance(self, made: list[list[Node]]) -> None:
         self.read.since.append(made)

@@ -69,3 +69,13 @@ def dropped(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for a pass of Python over its rows: a table of less than one split a core is dealt to all cores, as a file
+    of one row group would be read by one task however many there are.  Larger tables are read as they are split."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
