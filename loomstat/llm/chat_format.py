@@ -109,8 +109,20 @@ def parse(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, in order.
+
+    Spans are looked up in the turns that hold them, turn by turn, so that no turn is walked for another one's span.
+    """
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, piece: Column) -> Column:
+        n, span = F.length(piece), F.get(spans, s["i"])
+        here = F.coalesce(span["start"] <= s["at"] + n, F.lit(False))
+        text = unescape(F.substr(piece, (span["start"] - s["at"] + 1).cast("int"), span["length"].cast("int")))
+        return F.struct((s["at"] + n + len(CLOSE)).alias("at"), (s["i"] + here.cast("int")).alias("i"), F.when(here, F.array_append(s["texts"], text)).otherwise(s["texts"]).alias("texts"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("i"), none.alias("texts"))
+    return F.array_join(F.aggregate(F.split(formatted, CLOSE), begin, step, lambda s: s["texts"]), "")
 
 
 def events_from_turns(turns: DataFrame, piece: int = 512) -> DataFrame:
@@ -120,8 +132,8 @@ def events_from_turns(turns: DataFrame, piece: int = 512) -> DataFrame:
     characters.  Equal rows stay messages of their own.
     """
     t = turns.select("conv_id", F.col("turn").alias("position"), F.monotonically_increasing_id().alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    count = F.ceil(F.length("text") / piece).cast("int")
-    deltas = F.transform(F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda k: F.struct(k.alias("seq"), F.lit("delta").alias("kind"), F.substr("text", (k - 1) * piece + 1, F.lit(piece)).alias("text")))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))  # one walk over the text
+    deltas = F.transform(pieces, lambda x, k: F.struct((k + 1).alias("seq"), F.lit("delta").alias("kind"), x.alias("text")))
     start = F.array(F.struct(F.lit(0).alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("text")))
     return t.select("conv_id", "position", "message", "role", F.explode(F.concat(start, deltas)).alias("e")).select("conv_id", "position", "message", F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 

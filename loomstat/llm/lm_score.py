@@ -254,7 +254,9 @@ def learn(m: Model, p: np.ndarray, square: np.ndarray, touched: np.ndarray, two:
     scaled by the size of gradients, so noise must not come in much larger portions than occurrences do.
     """
     w, size = WIDTH, min(RUN, len(target))
-    two, one, target = (x[: len(x) // size * size] for x in (two, one, target))  # a last run that isn't full is left to the next pass
+    if full := len(target) % size:  # a last run that isn't full is a batch of its own
+        learn(m, p, square, touched, two[-full:], one[-full:], target[-full:], rng)
+        two, one, target = two[:-full], one[:-full], target[:-full]
     qb = np.column_stack((p[two, :w] + p[one, w : 2 * w], np.ones(len(two), np.float32)))
     c, first_class = m.class_of[target], len(m.class_of)
     drawn = np.minimum(np.searchsorted(m.class_below, rng.random((len(target) // size, SAMPLED))), len(m.class_below) - 1)
@@ -366,7 +368,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             ids, counts = left["ids"][k].as_py(), np.asarray(left["counts"][k].values, np.int64)
             of, entries = np.frombuffer(left["tokens"][k].as_buffer(), np.uint32), np.frombuffer(left["entries"][k].as_buffer(), np.uint32).astype(np.int64)
             if len(total) != len(entries):
-                raise RuntimeError("the table changed between two reads")
+                raise RuntimeError("the table came in other partitions or another order at its second read; write it before")
             token, ends = _with_ends(entries[of], counts, m.end)
             two, one = _contexts(token, ends, m.end)
             base, _ = _with_ends((np.log10(total + 1) - log_all)[of], counts, math.log10(n_docs + 1) - log_all)

@@ -29,6 +29,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from loomstat.sources.tables import spread
+
 from .common import U64, buffers, column, slices, table, texts_of
 
 MARK = "▁"
@@ -335,4 +337,4 @@ def digest_texts(docs: DataFrame, model: str) -> DataFrame:
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digest_texts(texts_of(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
+    return digest_texts(spread(texts_of(table(spark, sf_dir, "documents"))), public_tokenizers.path("piece_bpe_32k.model"))

@@ -6,8 +6,8 @@ feature differences of pairs, P(a over b) = sigmoid(w (x_a - x_b)).  Scores are
 quantile of the training scores: the one with the best balanced accuracy.  The returned score is
 the sigmoid of the distance from that cut, so 0.5 is the cut.
 
-Training takes at most ``MOST_ROWS`` labelled rows of each label, chosen by hash of the id, and
-``MOST_PAIRS`` pairs; only their statistics reach the driver.
+Training takes at most ``MOST_ROWS`` labelled rows of each label, chosen by hash of the id, and where
+ids are repeated of the row, and ``MOST_PAIRS`` pairs; only their statistics reach the driver.
 
 Defined results: null text is empty and is scored by its (zero) statistics; labels that are null
 or on no document teach nothing; without rows of both labels every score is 0.5; equal rows are
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, fold_of, slices, table, texts_of
@@ -100,9 +100,18 @@ def bounded_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
     return one(1).unionAll(one(0))
 
 
+def bounded_rows(rows: DataFrame, what: str, most: int) -> DataFrame:
+    """At most `most` rows of each label, by hash of id and `what`: as ids may be repeated, their bound isn't one of rows.
+
+    Tasks keep no more than that before rows of a label meet.
+    """
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", what), "doc_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= most)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ranker:
     some = docs.join(F.broadcast(bounded_labels(labels, label, MOST_ROWS)), "doc_id")  # at most 2 * MOST_ROWS ids
-    rows = feature_rows(some, ["doc_id", "label"]).toPandas().sort_values(["doc_id", "label"])
+    rows = bounded_rows(feature_rows(some, ["doc_id", "label"]), "x", MOST_ROWS).toPandas().sort_values(["doc_id", "label", "place"])
     x = np.array(rows["x"].tolist(), np.float64) if len(rows) else np.zeros((0, features(Texts(np.zeros(0, np.uint8), np.zeros(2, np.int64))).shape[1]))
     return fit_pairs(x, rows["label"].to_numpy())
 

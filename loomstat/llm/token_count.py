@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstat.sources.tables import spread
+
 from .common import column, table, texts_of
 
 #: Unicode white space, and what the pre-tokeniser of the vocabulary file splits on.
@@ -233,8 +235,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 1 << 16, fa
     def maps(batches):
         counts = counter(tokenizer)
         for b in batches:
-            head, body, tail = zip(*map(counts.state_map, column(b, "part").to_pylist()), strict=True) if b.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names[:4]), pa.array(head, pa.string()), pa.array(body, pa.int64()), pa.array(tail, pa.string())], names=names)
+            for row, doc_id, n_bytes, text in zip(*(column(b, c) for c in ("row", "doc_id", "n_bytes", "text")), strict=True):
+                text = text.as_py()
+                parts = [counts.state_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
+                head, body, tail = zip(*parts, strict=True)
+                same = [pa.repeat(x, len(parts)) for x in (row, doc_id, n_bytes)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(parts)), pa.int64()), pa.array(head, pa.string()), pa.array(body, pa.int64()), pa.array(tail, pa.string())], names=names)
 
     def compose(t):
         counts, t = counter(tokenizer), t.sort_by("chunk")
@@ -249,9 +255,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 1 << 16, fa
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     counted = "doc_id long, n_bytes long, n_tokens long"
-    cuts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1), lambda k: F.substr("text", (k * chunk_chars + 1).cast("int"), F.lit(chunk_chars)))
-    m = d.where("n_chunks > 1").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "n_bytes", F.posexplode(cuts).alias("chunk", "part"))
-    m = m.withColumn("chunk", F.col("chunk").cast("long")).mapInArrow(maps, kinds)
+    m = d.where("n_chunks > 1").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "n_bytes", "text").mapInArrow(maps, kinds)
     most = math.ceil((1 << 31) / chunk_chars)  # no text is longer
     while most > 1:
         m, most = m.groupBy("row", F.floor(F.col("chunk") / fan)).applyInArrow(compose, kinds), math.ceil(most / fan)
@@ -261,5 +265,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 1 << 16, fa
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    t = count_tokens(texts_of(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
+    t = count_tokens(spread(texts_of(table(spark, sf_dir, "documents"))), public_tokenizers.path("word_bpe_49k.json"))
     return t.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))

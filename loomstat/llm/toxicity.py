@@ -6,7 +6,8 @@ r = ln(p / q) of its smoothed shares in toxic and clean texts; a logistic regres
 trained on features scaled by r.  All n-grams of the labelled texts count; the L2 penalty holds weak
 ones down.  Training rows are sparse: memory follows the labelled texts, not rows times n-grams.
 
-Training takes at most ``MOST_ROWS`` labelled texts of each label, chosen by hash of the id.
+Training takes at most ``MOST_ROWS`` labelled texts of each label, chosen by hash of the id, and where
+ids are repeated of the text.
 
 Defined results: null text is empty and gets the intercept's score; labels that are null or on no
 document teach nothing; without rows of both labels every score is 0; equal rows are scored each; a text
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, fold_of, table, texts_of
-from .quality_rank import bounded_labels
+from .quality_rank import bounded_labels, bounded_rows
 
 MOST_ROWS, BITS, SIZES = 1500, 20, (4, 5)
 SLICE_CHARS, STEPS, RATE = 1 << 18, 80, 0.02
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Classifie
             found = [np.unique(np.concatenate([grams([t], s)[0] for s in SIZES])).astype(np.uint32).tobytes() for t in column(b, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "label"), pa.array(found, pa.binary())], names=["doc_id", "label", "f"])
 
-    rows = some.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, f binary").toPandas().sort_values(["doc_id", "label"])
+    rows = bounded_rows(some.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, f binary"), "f", MOST_ROWS).toPandas().sort_values(["doc_id", "label", "place"])
     lab = labels.where((fold_of("doc_id", 3) != 1) & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
     return fit([np.frombuffer(f, np.uint32) for f in rows["f"]], rows["label"].to_numpy(), lab or 0.0)
 
