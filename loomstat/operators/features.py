@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from loomstat.functions.text import ngrams, row_ngrams, tokens
 from loomstat.operators.profile import TOP_NGRAMS, merge_counts, ngram_counts, top_ngrams
+from loomstat.operators.sparse import TYPE as SPARSE
+from loomstat.operators.sparse import Rows, column_of
 from loomstat.schema import ColumnType
-
+from loomstat.sources.tables import spread
 
 #: Bytes of dense features that a task makes at a time.
 BATCH_BYTES = 32 << 20
@@ -144,14 +146,14 @@ def _values(g: Group, place: dict[str, int], grams: list[str], weight: np.ndarra
     return at, v
 
 
-def with_features(df: DataFrame, groups: list[Group], name: str = "features") -> DataFrame:
-    """df with the groups' features, in their order, as an array of doubles.
+def with_features(df: DataFrame, groups: list[Group], name: str = "features", sparse: bool = False) -> DataFrame:
+    """df with the groups' features, in their order, as an array of doubles, or as the places and values of those that aren't 0.
 
     Numbers and enums are column expressions.  Texts are cut to n-grams once each, and one pass over the
-    rows looks those up in the vocabularies, whatever their size, BATCH_BYTES of features at a time.
+    rows looks those up in the vocabularies, whatever their size; dense, BATCH_BYTES of features at a time.
     """
     words = [g for g in groups if g.kind in ("bag_of_words", "bag_of_words_cosine", "word_embedding")]
-    if not words:
+    if not words and not sparse:
         return df.withColumn(name, F.concat(*(dense(g) for g in groups)) if groups else F.array().cast("array<double>"))
     texts: dict[str, Column] = {}
     for g in words:
@@ -160,39 +162,60 @@ def with_features(df: DataFrame, groups: list[Group], name: str = "features") ->
             texts[key] = tokens(F.col(f"`{c}`")) if g.kind == "word_embedding" else ngrams(F.col(f"`{c}`"), g.sizes)
     of = {g: [list(texts).index(f"__text_{c}_{g.kind == 'word_embedding'}_{g.sizes}") for c in filter(None, (g.column, g.other))] for g in words}
     plain = [g for g in groups if g not in words]
-    packed = df.select("*", F.array(*texts.values()).alias("__texts"), (F.concat(*(dense(g) for g in plain)) if plain else F.array().cast("array<double>")).alias("__plain"))
+    packed = spread(df).select("*", F.array(*texts.values()).cast("array<array<string>>").alias("__texts"), (F.concat(*(dense(g) for g in plain)) if plain else F.array().cast("array<double>")).alias("__plain"))
     n, width = len(df.columns), sum(len(g.names) for g in groups)
     first, starts, i = {}, [], 0
     for k, g in enumerate(groups):
         first[k] = i
         starts += list(range(i, i + len(g.names))) if g in plain else []
         i += len(g.names)
-    out_schema = df.withColumn(name, F.lit(None).cast("array<double>")).schema
+    out_schema = df.withColumn(name, F.lit(None).cast(SPARSE if sparse else "array<double>")).schema
 
     def run(batches):
         place = {k: {w: j for j, (w, _) in enumerate(g.vocabulary)} for k, g in enumerate(groups) if g in words}
         weight = {k: np.array([x for _, x in g.vocabulary]) for k, g in enumerate(groups) if g in words}
         vectors = {k: {w: np.array(v) for w, v in g.vectors} for k, g in enumerate(groups) if g.kind == "word_embedding"}
         step = max(1, BATCH_BYTES // (8 * max(width, 1)))
+
+        def of_text(t, k, g):
+            """Places within the group, and values, of one row's texts."""
+            if g.kind == "bag_of_words":
+                return _values(g, place[k], t[of[g][0]], weight[k])
+            if g.kind == "bag_of_words_cosine":
+                (a, va), (c, vc) = (_values(g, place[k], t[j], weight[k]) for j in of[g])
+                both, ia, ic = np.intersect1d(a, c, assume_unique=True, return_indices=True)
+                return np.zeros(1, np.int64), np.array([va[ia] @ vc[ic] if len(both) else 0.0])
+            found = [vectors[k][w] for w in t[of[g][0]] if w in vectors[k]]
+            return (np.arange(len(g.names)), np.mean(found, axis=0)) if found else (np.zeros(0, np.int64), np.zeros(0))
+
+        def entries(b):
+            plain_part = np.asarray(b.column(n + 1).flatten(), float).reshape(b.num_rows, len(starts))
+            at = np.array(starts, np.int64)
+            lengths, index, value = [], [], []
+            for row, t in enumerate(b.column(n).to_pylist()):
+                parts = [(at, plain_part[row])] + [(first[k] + i, v) for k, g in enumerate(groups) if g in words for i, v in [of_text(t, k, g)]]
+                i, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+                lengths.append(np.count_nonzero(v))
+                index.append(i[v != 0])
+                value.append(v[v != 0])
+            none = np.zeros(0)
+            return Rows(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), np.concatenate([none.astype(np.int64), *index]), np.concatenate([none, *value]), width)
+
         for whole in batches:
-            for i in range(0, whole.num_rows, step):
-                b = whole.slice(i, step)
-                x = np.zeros((b.num_rows, width))
-                x[:, starts] = np.asarray(b.column(n + 1).flatten(), float).reshape(b.num_rows, len(starts))
-                for row, t in enumerate(b.column(n).to_pylist()):
-                    for k, g in enumerate(groups):
-                        if g.kind == "bag_of_words":
-                            at, v = _values(g, place[k], t[of[g][0]], weight[k])
-                            x[row, first[k] + at] = v
-                        elif g.kind == "bag_of_words_cosine":
-                            (a, va), (c, vc) = (_values(g, place[k], t[j], weight[k]) for j in of[g])
-                            both, ia, ic = np.intersect1d(a, c, assume_unique=True, return_indices=True)
-                            x[row, first[k]] = va[ia] @ vc[ic] if len(both) else 0.0
-                        elif g.kind == "word_embedding":
-                            found = [vectors[k][w] for w in t[of[g][0]] if w in vectors[k]]
-                            if found:
-                                x[row, first[k] : first[k] + len(g.names)] = np.mean(found, axis=0)
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(list(x), pa.list_(pa.float64()))], names=[*b.schema.names[:n], name])
+            for i in range(0, whole.num_rows, whole.num_rows if sparse else step):
+                b = whole if sparse else whole.slice(i, step)
+                if sparse:
+                    made = column_of(entries(b))
+                else:
+                    x = np.zeros((b.num_rows, width))
+                    x[:, starts] = np.asarray(b.column(n + 1).flatten(), float).reshape(b.num_rows, len(starts))
+                    for row, t in enumerate(b.column(n).to_pylist()):
+                        for k, g in enumerate(groups):
+                            if g in words:
+                                at, v = of_text(t, k, g)
+                                x[row, first[k] + at] = v
+                    made = pa.array(list(x), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], made], names=[*b.schema.names[:n], name])
 
     return packed.mapInArrow(run, out_schema)
 
@@ -221,7 +244,7 @@ def bag_of_words(df: DataFrame, row_id: str, text: str, vocabulary: DataFrame, s
             ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), lengths)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["row_id", "ngram", "value"])
 
-    rows = df.select(F.col(row_id).alias("row_id"), tokens(text).alias("t"))
+    rows = spread(df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))).select("row_id", tokens("text").alias("t"))
     return rows.mapInArrow(run, f"row_id {dict(rows.dtypes)['row_id']}, ngram string, value double")
 
 

@@ -2,7 +2,9 @@
 
 An epoch is one Spark job: every partition runs mini-batch gradient steps from the shared weights
 on its own rows (numpy), and the weights are averaged by rows.  Results depend on the data's
-partitioning only, not on timing.  Features come as an array column.
+partitioning only, not on timing.  Features come as an array column, or as sparse rows (see sparse):
+then a step touches only the weights of what its rows hold, and predictions are one pass over the rows
+with the weights beside it, so that neither memory nor plans grow with the number of features.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.numbers import dot, sigmoid, softmax
+from loomstat.operators.sparse import Rows, is_sparse, rows_of
+
+#: Weights that one row of sums holds.
+CHUNK = 4096
 
 
 @dataclass
@@ -81,21 +87,26 @@ def _loss(kind: str, p: np.ndarray, y: np.ndarray) -> float:
 
 def train_linear(
     df: DataFrame, features: str, label: str, kind: str, n_classes: int = 1, learning_rate: float = 0.1, epochs: int = 100, batch: int = 32, l2: float = 0.0, stopping: EarlyStopping | None = None, watch: DataFrame | None = None, deadline: float | None = None,
+    width: int | None = None,
 ) -> LinearModel:
     """label: a number, 0/1, or a class index from 0.  watch: rows whose loss decides on stopping; deadline: a
-    time of time.monotonic() after which no further epoch begins."""
+    time of time.monotonic() after which no further epoch begins; width: how many features sparse rows have."""
     outputs = n_classes if kind == "multiclass" else 1
     data = df.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y")).persist()
+    wide = is_sparse(data, "x")
     if watch is not None:
         watch = watch.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y")).persist()
     try:
-        head = data.select(F.size("x").alias("k")).first()
-        if head is None:
-            raise ValueError("no rows to train on")
-        k = head["k"]
-        means = data.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("m")).collect()  # one row per feature
-        mean = np.zeros(k)
-        mean[[r.pos for r in means]] = [r.m for r in means]
+        if wide:
+            k, mean = _sparse_means(data, width)
+        else:
+            head = data.select(F.size("x").alias("k")).first()
+            if head is None:
+                raise ValueError("no rows to train on")
+            k = head["k"]
+            means = data.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("m")).collect()  # one row per feature
+            mean = np.zeros(k)
+            mean[[r.pos for r in means]] = [r.m for r in means]
         w = np.zeros((outputs, k + 1))
         losses = []
         for _ in range(epochs):
@@ -106,24 +117,34 @@ def train_linear(
             def epoch(batches, now=now):
                 v, n, loss = now.copy(), 0, 0.0
                 for b in batches:
-                    x, y = _matrix(b, k)
-                    loss += _loss(kind, _link(kind, x @ now.T), y)
+                    x, y = _features(b, k, wide)
+                    loss += _loss(kind, _link(kind, _scores(x, now)), y)
                     for i in range(0, len(y), batch):
-                        xs, ys = x[i : i + batch], y[i : i + batch]
-                        p = _link(kind, xs @ v.T)
+                        xs, ys = x.slice(i, i + batch) if wide else x[i : i + batch], y[i : i + batch]
                         target = np.eye(outputs)[ys.astype(int)] if kind == "multiclass" else ys[:, None]
-                        step = (p - target).T @ xs / len(ys)
-                        step[:, :-1] += l2 * v[:, :-1]
-                        v -= learning_rate * step
+                        off = (_link(kind, _scores(xs, v)) - target) / len(ys)
+                        if wide:
+                            _sparse_step(v, xs, off, learning_rate, l2)
+                        else:
+                            step = off.T @ xs
+                            step[:, :-1] += l2 * v[:, :-1]
+                            v -= learning_rate * step
                     n += len(y)
                 if n:
-                    yield pa.RecordBatch.from_pydict({"i": np.arange(v.size), "wv": v.ravel() * n, "n": np.full(v.size, n), "loss": np.full(v.size, loss)})
+                    flat = v.ravel() * n
+                    for c in range(0, len(flat), CHUNK):
+                        yield pa.RecordBatch.from_pydict({"chunk": [c], "n": [n], "loss": [loss], "sums": pa.array([flat[c : c + CHUNK].tobytes()], pa.binary())})
+
+            def add(t: pa.Table) -> pa.Table:
+                s = np.sum([np.frombuffer(x.as_buffer()) for x in t["sums"]], axis=0)
+                return pa.table({"chunk": t["chunk"].slice(0, 1), "n": [sum(t["n"].to_pylist())], "loss": [sum(t["loss"].to_pylist())], "sums": pa.array([s.tobytes()], pa.binary())})
 
-            sums = data.mapInArrow(epoch, "i long, wv double, n long, loss double").groupBy("i").agg(F.sum("wv").alias("wv"), F.sum("n").alias("n"), F.sum("loss").alias("loss")).collect()
+            schema = "chunk long, n long, loss double, sums binary"
+            sums = data.mapInArrow(epoch, schema).groupBy("chunk").applyInArrow(add, schema).collect()  # the weights
             for r in sums:
-                w.ravel()[r.i] = r.wv / r.n
+                w.ravel()[r.chunk : r.chunk + CHUNK] = np.frombuffer(r["sums"]) / r.n
             losses.append(sums[0].loss / sums[0].n)
-            if stopping and stopping.stop(_watched(watch, kind, w, k) if watch is not None else losses[-1]):
+            if stopping and stopping.stop(_watched(watch, kind, w, k, wide) if watch is not None else losses[-1]):
                 break
     finally:
         data.unpersist()
@@ -132,16 +153,74 @@ def train_linear(
     return LinearModel(kind, w[:, :-1].tolist(), w[:, -1].tolist(), mean.tolist(), losses)
 
 
+def _sparse_means(data: DataFrame, width: int | None) -> tuple[int, np.ndarray]:
+    """The number of features and their means, from one pass that adds up what is stored."""
+    k = width if width is not None else (data.select(F.max(F.array_max("x.i")).alias("m")).first().m or 0) + 1
+
+    def run(batches):
+        total, n = np.zeros(k), 0
+        for b in batches:
+            x = rows_of(b.column(0), k)
+            total += np.bincount(x.index, x.value, k)
+            n += len(x)
+        for c in range(0, k if n else 0, CHUNK):
+            yield pa.RecordBatch.from_pydict({"chunk": [c], "n": [n], "sums": pa.array([total[c : c + CHUNK].tobytes()], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        s = np.sum([np.frombuffer(x.as_buffer()) for x in t["sums"]], axis=0)
+        return pa.table({"chunk": t["chunk"].slice(0, 1), "n": [sum(t["n"].to_pylist())], "sums": pa.array([s.tobytes()], pa.binary())})
+
+    schema, mean = "chunk long, n long, sums binary", np.zeros(k)
+    rows = data.mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).collect()  # k numbers
+    if not rows and k:
+        raise ValueError("no rows to train on")
+    for r in rows:
+        mean[r.chunk : r.chunk + CHUNK] = np.frombuffer(r["sums"]) / r.n
+    return k, mean
+
+
+def _sparse_step(v: np.ndarray, x: Rows, off: np.ndarray, learning_rate: float, l2: float) -> None:
+    """A gradient step on v (outputs x (features + bias)), touching what the rows hold and, with l2, all weights."""
+    if l2:
+        v[:, :-1] *= 1 - learning_rate * l2
+    columns, at = np.unique(x.index, return_inverse=True)
+    row = x.row
+    for o in range(len(v)):
+        v[o, columns] -= learning_rate * np.bincount(at, off[row, o] * x.value, len(columns))
+    v[:, -1] -= learning_rate * off.sum(axis=0)
+
+
+def _scores(x: np.ndarray | Rows, w: np.ndarray) -> np.ndarray:
+    return x.dot(w[:, :-1]) + w[:, -1] if isinstance(x, Rows) else x @ w.T
+
+
+def _features(b: pa.RecordBatch, k: int, wide: bool) -> tuple[np.ndarray | Rows, np.ndarray]:
+    return (rows_of(b.column(0), k), np.asarray(b.column(1), float)) if wide else _matrix(b, k)
+
+
+def with_linear_scores(df: DataFrame, model: LinearModel, features: str, name: str = "score") -> DataFrame:
+    """df with the score of each output before any link function, of sparse rows, by one pass."""
+    n, at = len(df.columns), df.columns.index(features)
+    w = np.hstack((np.array(model.weights), np.array(model.biases)[:, None]))
+
+    def run(batches):
+        for b in batches:
+            s = _scores(rows_of(b.column(at), w.shape[1] - 1), w)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(list(s), pa.list_(pa.float64()))], names=[*b.schema.names[:n], name])
+
+    return df.mapInArrow(run, df.withColumn(name, F.lit(None).cast("array<double>")).schema)
+
+
 def _matrix(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.asarray(b.column(0).flatten(), float).reshape(-1, k)
     return np.hstack((x, np.ones((len(x), 1)))), np.asarray(b.column(1), float)
 
 
-def _watched(watch: DataFrame, kind: str, w: np.ndarray, k: int) -> float:
+def _watched(watch: DataFrame, kind: str, w: np.ndarray, k: int, wide: bool) -> float:
     def run(batches):
         for b in batches:
-            x, y = _matrix(b, k)
-            yield pa.RecordBatch.from_pydict({"loss": [_loss(kind, _link(kind, x @ w.T), y)], "n": [len(y)]})
+            x, y = _features(b, k, wide)
+            yield pa.RecordBatch.from_pydict({"loss": [_loss(kind, _link(kind, _scores(x, w)), y)], "n": [len(y)]})
 
     r = watch.mapInArrow(run, "loss double, n long").agg(F.sum("loss").alias("a"), F.sum("n").alias("n")).first()
     return r.a / r.n if r.n else 0.0

@@ -5,6 +5,9 @@ from one pass: tasks walk their rows through the trees since the scores were wri
 far (numpy), add up a dense array by node and bin of each feature, and send it in rows of CHUNK bins;
 those are added up by node and chunk.  Only the smaller child of each split is summed: the larger one is its
 parent less that.  Split search over the sums (nodes * features * bins numbers) is numpy on the driver.
+Of sparse rows (see sparse) only bins that aren't a feature's default bin, that of 0, are stored and summed; the
+default bin has what the node has in all less the others.  Features that no split of min_rows could divide
+are left out before training.
 Trees grow best first.  The sums of all children that could be popped next come from one job, and pops
 are then replayed in order of gain, so trees equal those grown one split at a time.
 """
@@ -13,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from loomstat.operators.binning import bin_thresholds, leaf_value
 from loomstat.operators.linear import EarlyStopping
 from loomstat.operators.ranks import value_counts
+from loomstat.operators.sparse import SparseBins, bins_of, is_sparse, pack, rows_of, unpack
 from loomstat.sources.tables import dropped, spread, written
 
 #: Scores are written anew after so many rounds; between, tasks apply the trees since.
@@ -80,6 +84,19 @@ class Trees:
             out[:, i] = np.nan_to_num(v, nan=0.0) if i in self.enums else np.where(np.isnan(v), 0, 1 + np.searchsorted(t, v))
         return out
 
+    @property
+    def defaults(self) -> np.ndarray:
+        """The bin of 0 of each feature."""
+        enums = set(self.enums)
+        return np.array([0 if i in enums else 1 + int(np.searchsorted(t, 0.0)) for i, t in enumerate(self.thresholds)], np.int64)
+
+    def bins(self, col: pa.Array) -> np.ndarray | SparseBins:
+        """Bins of a batch's column of features, arrays or sparse rows."""
+        width = len(self.thresholds)
+        if pa.types.is_struct(col.type):
+            return bins_of(rows_of(col, width), self.thresholds, set(self.enums), self.defaults)
+        return self.binned(_matrix(col, width))
+
     @property
     def importances(self) -> list[float]:
         """Shares of splits by feature."""
@@ -92,13 +109,17 @@ class Trees:
         return list(n / n.sum()) if n.sum() else list(n)
 
 
-def walk(nodes: list[Node], bins: np.ndarray) -> np.ndarray:
+def _column(bins: np.ndarray | SparseBins, feature: int) -> np.ndarray:
+    return bins[:, feature] if isinstance(bins, np.ndarray) else bins.column(feature)
+
+
+def walk(nodes: list[Node], bins: np.ndarray | SparseBins) -> np.ndarray:
     """The index of the leaf that each row of bins ends in."""
     at = np.zeros(len(bins), np.int64)
     for i, x in enumerate(nodes):  # children come after their parents
         if x.feature >= 0:
             here = np.flatnonzero(at == i)
-            b = bins[here, x.feature]
+            b = _column(bins, x.feature)[here]
             left = np.isin(b, x.left_bins) if x.left_bins is not None else b <= x.bin
             at[here] = np.where(left, *x.children)
     return at
@@ -138,13 +159,15 @@ class _Reader:
     kind: str
     width: int
     bin_type: str
+    default: np.ndarray | None = None  # of sparse rows
     since: list = field(default_factory=list)
 
     def __call__(self, batches):
         """(bins, scores, labels) of each batch that has rows."""
         for b in batches:
             if b.num_rows:
-                bins = np.frombuffer(b"".join(b.column(0).to_pylist()), self.bin_type).reshape(b.num_rows, self.width)
+                packed = b.column(0).to_pylist()
+                bins = np.frombuffer(b"".join(packed), self.bin_type).reshape(b.num_rows, self.width) if self.default is None else unpack(packed, self.default)
                 s = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(b.num_rows, -1).copy()
                 for made in self.since:
                     for k, nodes in enumerate(made):
@@ -164,15 +187,22 @@ class _Rows:
 
     SCHEMA = "bins binary, score binary, y double"
 
-    def __init__(self, rows: DataFrame, model: Trees):
-        width, start = len(model.thresholds), np.array(model.biases)
-        self.read = _Reader(model.kind, width, "uint16" if model.enums or max(map(len, model.thresholds), default=0) > 253 else "uint8")
-        kind = self.read.bin_type
+    def __init__(self, rows: DataFrame, model: Trees, kept: list[int]):
+        """model: of all features, without trees yet; kept: those that trees may split on, in order."""
+        start, wide = np.array(model.biases), is_sparse(rows, "x")
+        longest = max((len(model.thresholds[f]) for f in kept), default=0)
+        self.read = _Reader(model.kind, len(kept), "uint16" if model.enums or longest > 253 else "uint8", model.defaults[kept] if wide else None)
+        kind, default, width = self.read.bin_type, self.read.default, len(model.thresholds)
+        place = np.full(width, -1)
+        place[kept] = np.arange(len(kept))
 
         def run(batches):
             for b in batches:
-                bins = model.binned(_matrix(b.column(0), width)).astype(kind)
-                yield pa.RecordBatch.from_arrays([_packed(bins), _packed(np.tile(start, (b.num_rows, 1))), b.column(1)], names=["bins", "score", "y"])
+                if wide:
+                    packed = pa.array(pack(bins_of(rows_of(b.column(0), width), model.thresholds, set(model.enums), default, place)), pa.binary())
+                else:
+                    packed = _packed(model.binned(_matrix(b.column(0), width))[:, kept].astype(kind))
+                yield pa.RecordBatch.from_arrays([packed, _packed(np.tile(start, (b.num_rows, 1))), b.column(1)], names=["bins", "score", "y"])
 
         self.data = written(spread(rows).mapInArrow(run, self.SCHEMA), "boosting")
 
@@ -183,10 +213,11 @@ class _Rows:
 
             def run(batches):
                 for bins, s, y in read(batches):
-                    yield pa.RecordBatch.from_arrays([_packed(bins), _packed(s), pa.array(y)], names=["bins", "score", "y"])
+                    packed = _packed(bins) if read.default is None else pa.array(pack(bins), pa.binary())
+                    yield pa.RecordBatch.from_arrays([packed, _packed(s), pa.array(y)], names=["bins", "score", "y"])
 
             before, self.data = self.data, written(self.data.mapInArrow(run, self.SCHEMA), "boosting")
-            self.read = _Reader(read.kind, read.width, read.bin_type)
+            self.read = _Reader(read.kind, read.width, read.bin_type, read.default)
             dropped(before)
 
     def loss(self) -> float:
@@ -215,23 +246,30 @@ class _Rows:
     def _sums(self, k: int, nodes: list[Node], wanted: list[int], virtual: dict[int, tuple], first: np.ndarray) -> dict[int, np.ndarray]:
         read, width, n_bins = self.read, self.read.width, int(first[-1])
 
+        size = n_bins + (read.default is not None)  # of sparse rows, what a node has in all comes last
+
         def run(batches):
-            total = np.zeros((3, len(wanted), n_bins))
+            total = np.zeros((3, len(wanted), size))
             for bins, s, y in read(batches):
                 g, h = _gradients(read.kind, s, y, k)
                 at, slot = walk(nodes, bins), np.full(len(y), -1)
                 for leaf, (x, left, right) in virtual.items():
                     here = np.flatnonzero(at == leaf)
-                    v = bins[here, x["feature"]]
+                    v = _column(bins, x["feature"])[here]
                     at[here] = np.where(np.isin(v, x["left"]) if x["left"] is not None else v <= x["bin"], left, right)
                 for i, node in enumerate(wanted):
                     slot[at == node] = i
                 here = np.flatnonzero(slot >= 0)
-                flat = (slot[here, None] * n_bins + first[:-1] + bins[here]).ravel()
-                for part, v in zip(total, (g[here], h[here], None), strict=True):
-                    part += np.bincount(flat, None if v is None else np.repeat(v, width), part.size).reshape(part.shape)
+                if read.default is None:
+                    flat, row = (slot[here, None] * size + first[:-1] + bins[here]).ravel(), np.repeat(here, width)
+                else:
+                    e = np.flatnonzero(slot[bins.row] >= 0)
+                    row = np.concatenate((bins.row[e], here))
+                    flat = np.concatenate((slot[bins.row[e]] * size + first[bins.index[e]] + bins.bins[e], slot[here] * size + n_bins))
+                for part, v in zip(total, (g[row], h[row], None), strict=True):
+                    part += np.bincount(flat, v, part.size).reshape(part.shape)
             for i in np.flatnonzero(total[2].any(axis=1)):
-                for c in range(0, n_bins, CHUNK):
+                for c in range(0, size, CHUNK):
                     yield pa.RecordBatch.from_arrays([pa.array([wanted[i]]), pa.array([c]), pa.array([total[:, i, c : c + CHUNK].tobytes()], pa.binary())], names=["node", "chunk", "sums"])
 
         def add(t: pa.Table) -> pa.Table:
@@ -241,7 +279,13 @@ class _Rows:
         kind = "node long, chunk long, sums binary"
         out: dict[int, np.ndarray] = {}
         for r in self.data.mapInArrow(run, kind).groupBy("node", "chunk").applyInArrow(add, kind).collect():  # SUM_BYTES at most
-            out.setdefault(r["node"], np.zeros((3, n_bins)))[:, r["chunk"] : r["chunk"] + CHUNK] = np.frombuffer(r["sums"]).reshape(3, -1)
+            out.setdefault(r["node"], np.zeros((3, size)))[:, r["chunk"] : r["chunk"] + CHUNK] = np.frombuffer(r["sums"]).reshape(3, -1)
+        if read.default is not None:
+            for node, s in out.items():
+                out[node] = s[:, :n_bins]
+                rest = s[:, n_bins:] - np.add.reduceat(out[node], first[:-1], axis=1)
+                rest[:, rest[2] == 0] = 0.0  # no rows there: what is left is rounding
+                out[node][:, first[:-1] + read.default] += rest
         return out
 
 
@@ -251,27 +295,39 @@ def best_split_of(sums: np.ndarray, first: np.ndarray, enums: list[int], o: Tree
     Numbers split after a bin.  Enum bins are put in the order of g / (h + smoothing), and those of a prefix go left.
     """
     best = None
-    for f in range(len(first) - 1):
+
+    def gains(left: np.ndarray, l2: float) -> np.ndarray:
+        """Of sums of what goes left, along the last axis; -inf where a split isn't allowed."""
+        right = left[..., -1:] - left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left[0] ** 2 / (left[1] + l2) + right[0] ** 2 / (right[1] + l2) - left[0, ..., -1:] ** 2 / (left[1, ..., -1:] + l2)
+        allowed = (np.minimum(left[2], right[2]) >= max(o.min_rows, 1)) & (np.minimum(left[1], right[1]) >= o.min_hessian) & np.isfinite(gain)
+        return np.where(allowed, gain, -np.inf)
+
+    def take(f: int, bin_: int, gain: float, left: np.ndarray, whole: np.ndarray, left_bins: list[int] | None) -> None:
+        nonlocal best
+        if np.isfinite(gain) and (best is None or (gain, -f) > (best["gain"], -best["feature"])):
+            best = {"feature": f, "bin": int(bin_), "left": left_bins, "gain": float(gain), **{f"{side}{c}": float(v[j]) for side, v in (("l", left), ("r", whole - left)) for j, c in enumerate("ghn")}}
+
+    size = np.diff(first)
+    numbers = np.setdiff1d(np.arange(len(size)), enums)
+    for n_bins in np.unique(size[numbers]):  # features of as many bins are searched at once
+        fs = numbers[size[numbers] == n_bins]
+        own = sums[:, first[fs][:, None] + np.arange(n_bins)]
+        left = np.cumsum(own, axis=2)
+        gain = np.where(own[2] > 0, gains(left, o.l2_number), -np.inf)
+        i, j = np.unravel_index(np.argmax(gain), gain.shape)
+        take(int(fs[i]), j, gain[i, j], left[:, i, j], left[:, i, -1], None)
+    for f in enums:
         own = sums[:, first[f] : first[f + 1]]
         g, h, n = own
         bins = np.flatnonzero(n)
-        l2 = o.l2_number
-        if f in enums:
-            bins, l2 = bins[np.lexsort((bins, g[bins] / (h[bins] + o.smoothing)))], o.l2_enum
-        if len(bins) < 2:
-            continue
-        left = np.cumsum(own[:, bins], axis=1)
-        right = left[:, -1:] - left
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left[0] ** 2 / (left[1] + l2) + right[0] ** 2 / (right[1] + l2) - left[0, -1] ** 2 / (left[1, -1] + l2)
-        allowed = (np.minimum(left[2], right[2]) >= max(o.min_rows, 1)) & (np.minimum(left[1], right[1]) >= o.min_hessian) & np.isfinite(gain)
-        if not allowed.any():
-            continue
-        gain = np.where(allowed, gain, -np.inf)
-        i = min(np.flatnonzero(gain == gain.max()), key=lambda j: bins[j])
-        if best is None or gain[i] > best["gain"]:
-            enum = f in enums
-            best = {"feature": f, "bin": int(bins[i]), "left": sorted(bins[: i + 1].tolist()) if enum else None, "gain": float(gain[i]), **{f"{side}{c}": float(v[j, i]) for side, v in (("l", left), ("r", right)) for j, c in enumerate("ghn")}}
+        bins = bins[np.lexsort((bins, g[bins] / (h[bins] + o.smoothing)))]
+        if len(bins) >= 2:
+            left = np.cumsum(own[:, bins], axis=1)
+            gain = gains(left, o.l2_enum)
+            i = min(np.flatnonzero(gain == gain.max()), key=lambda j: bins[j])
+            take(f, bins[i], gain[i], left[:, i], left[:, -1], sorted(bins[: i + 1].tolist()))
     return best
 
 
@@ -321,25 +377,45 @@ def grow(rows: _Rows, k: int, enums: list[int], thresholds: list[list[float]], o
 
 def train_trees(
     df: DataFrame, features: str, label: str, kind: str, n_classes: int = 1, enums: list[int] | None = None, options: TreeOptions | None = None, stopping: EarlyStopping | None = None, watch: DataFrame | None = None, deadline: float | None = None,
+    width: int | None = None,
 ) -> Trees:
     """features: array column; label: a number, 0/1, or a class index from 0; enums: features that hold codes.
 
     watch: rows whose loss decides on stopping, those of df if there are none; deadline: a time of
-    time.monotonic() after which no further round begins.
+    time.monotonic() after which no further round begins; width: how many features sparse rows have.
     """
     o, enums = options or TreeOptions(), enums or []
     outputs = n_classes if kind == "multiclass" else 1
     src = df.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y")).where("y is not null")
-    first = src.first()
-    if first is None:
+    wide = is_sparse(src, "x")
+    n_rows = src.count()
+    if not n_rows:
         raise ValueError("no rows to train on")
-    n_features = len(first["x"])
-    long = src.select(F.posexplode("x").alias("feature", "value"))
+    if wide:
+        n_features = width if width is not None else (src.select(F.max(F.array_max("x.i")).alias("m")).first()["m"] or 0) + 1
+        long = src.select(F.inline(F.arrays_zip("x.i", "x.v"))).toDF("feature", "value")
+    else:
+        n_features = len(src.first()["x"])
+        long = src.select(F.posexplode("x").alias("feature", "value"))
     codes = {r["feature"]: r["top"] for r in long.where(F.col("feature").isin(*enums)).groupBy("feature").agg(F.max(F.when(~F.isnan("value"), F.col("value"))).cast("int").alias("top")).collect()} if enums else {}  # a row an enum
-    counts = value_counts(long.where(~F.col("feature").isin(*enums) if enums else F.lit(True)).withColumn("value", F.when(~F.isnan("value"), F.col("value"))), ["feature"], "value")
+    long = long.where(~F.col("feature").isin(*enums) if enums else F.lit(True)).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    if wide:
+        stored = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        zeros = long.groupBy("feature").agg((F.lit(n_rows) - F.count(F.lit(1))).alias("n")).where("n > 0").select("feature", F.lit(0.0).alias("value"), "n")
+        counts = stored.where("value is not null").unionByName(zeros)
+    else:
+        counts = value_counts(long, ["feature"], "value")
+    counts = written(counts, "counts")
+    # a split needs min_rows on either side of what most rows have, be it a value or none
+    most = F.greatest(F.max("n"), F.lit(n_rows) - F.sum("n"))
+    useful = counts.groupBy("feature").agg((F.lit(n_rows) - most).alias("others")).where(F.col("others") >= max(o.min_rows, 1)).select("feature")
+    useful = written(useful, "useful")
     thresholds: list[list[float]] = [[] for _ in range(n_features)]
-    for r in bin_thresholds(counts, ["feature"], "value", o.max_bins).orderBy("feature", "threshold").collect():  # max_bins a feature
+    for r in bin_thresholds(counts.join(useful, "feature"), ["feature"], "value", o.max_bins).orderBy("feature", "threshold").collect():  # max_bins a feature
         thresholds[r["feature"]].append(r["threshold"])
+    kept = sorted({r["feature"] for r in useful.collect()} | set(enums))  # a row a feature
+    dropped(counts)
+    dropped(useful)
     model = Trees(kind, [0.0] * outputs, thresholds, enums)
     if kind == "multiclass":
         share = {int(r["y"]): r["n"] for r in src.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per class
@@ -349,16 +425,17 @@ def train_trees(
         mean = src.agg(F.avg("y").alias("m")).first()["m"]
         mean = min(max(mean, 1e-7), 1 - 1e-7) if kind == "binary" else mean
         model.biases = [float(np.log(mean / (1 - mean))) if kind == "binary" else float(mean)]
-    bins_first = np.cumsum([0, *(int(codes.get(f) or 0) + 1 if f in enums else len(t) + 2 for f, t in enumerate(thresholds))])
-    rows = _Rows(src, model)
-    watched = _Rows(watch.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y")).where("y is not null"), model) if watch is not None else rows
-    for _ in range(o.rounds if n_features else 0):
+    bins_first = np.cumsum([0, *(int(codes.get(f) or 0) + 1 if f in enums else len(thresholds[f]) + 2 for f in kept)])
+    own_enums, own_thresholds = [kept.index(f) for f in enums], [thresholds[f] for f in kept]
+    rows = _Rows(src, model, kept)
+    watched = _Rows(watch.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y")).where("y is not null"), model, kept) if watch is not None else rows
+    for _ in range(o.rounds if kept else 0):
         if deadline is not None and time.monotonic() > deadline:
             break
-        made = [grow(rows, k, enums, thresholds, o, bins_first) for k in range(outputs)]
+        made = [grow(rows, k, own_enums, own_thresholds, o, bins_first) for k in range(outputs)]
         if all(len(nodes) == 1 for nodes in made):
             break
-        model.trees.append(made)
+        model.trees.append([[replace(x, feature=kept[x.feature]) if x.feature >= 0 else x for x in nodes] for nodes in made])
         rows.advance(made)
         if watched is not rows:
             watched.advance(made)
@@ -379,7 +456,7 @@ def with_scores(df: DataFrame, model: Trees, features: str, name: str = "score")
 
     def run(batches):
         for b in batches:
-            s = scores(model, model.binned(_matrix(b.column(at), len(model.thresholds))))
+            s = scores(model, model.bins(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(list(s), pa.list_(pa.float64()))], names=[*b.schema.names[:n], name])
 
     return df.mapInArrow(run, schema)
@@ -426,7 +503,7 @@ def tree_contributions(nodes: list[Node], bins: np.ndarray, out: np.ndarray) ->
                 for j, w in zip(names, path_weights([path[f][0] for f in names], [path[f][1] for f in names]), strict=True):
                     out[:, j] += x.value * w
             continue
-        b = bins[:, x.feature]
+        b = _column(bins, x.feature)
         left = (np.isin(b, x.left_bins) if x.left_bins is not None else b <= x.bin).astype(float)
         for child, meets in zip(x.children, (left, 1 - left), strict=True):
             one, zero = path.get(x.feature, (np.ones(len(bins)), 1.0))
@@ -441,7 +518,7 @@ def with_contributions(df: DataFrame, model: Trees, features: str, output: int =
 
     def run(batches):
         for b in batches:
-            bins = model.binned(_matrix(b.column(at), len(model.thresholds)))
+            bins = model.bins(b.column(at))
             out, base = np.zeros((b.num_rows, len(model.thresholds))), model.biases[output]
             for r in model.trees if b.num_rows else []:
                 base += tree_contributions(r[output], bins, out)

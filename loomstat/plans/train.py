@@ -8,14 +8,18 @@ import math
 import time
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstat.functions.numbers import sigmoid, softmax
 from loomstat.operators import features as feat
 from loomstat.operators import metrics, profile
-from loomstat.operators.linear import EarlyStopping, LinearModel, train_linear
+from loomstat.operators.linear import EarlyStopping, LinearModel, train_linear, with_linear_scores
+from loomstat.operators.sparse import rows_of
 from loomstat.operators.split import drop_invalid_target, early_stopping_split, split
-from loomstat.operators.trees import Node, TreeOptions, Trees, train_trees, with_contributions, with_scores
+from loomstat.operators.trees import Node, TreeOptions, Trees, train_trees, tree_contributions, with_contributions, with_scores
 from loomstat.schema import ColumnType, types_of
 from loomstat.sources.tables import written
 
@@ -23,6 +27,8 @@ REVISION = 1
 FEW_ROWS = {"train": 35, "comparison": 5, "test": 10}
 COMPARISONS = {"regression": ("rmse", "mae", "mse", "r2"), "binary": ("auc", "accuracy", "f1"), "multiclass": ("accuracy",)}
 HIGHER_IS_BETTER = {"r2", "auc", "accuracy", "f1"}
+#: Models of more features than this learn and predict from sparse rows.
+WIDE = 512
 
 
 @dataclass(frozen=True)
@@ -87,22 +93,28 @@ class Model:
     def feature_names(self) -> list[str]:
         return [n for g in self.groups for n in g.names]
 
+    @property
+    def wide(self) -> bool:
+        return is_wide(self.groups)
+
     def outputs(self, df: DataFrame, name: str = "__output") -> DataFrame:
         """df with the value, or the array of class probabilities."""
-        d = feat.with_features(df, self.groups, "__features")
-        if self.kind == "linear":
+        d = feat.with_features(df, self.groups, "__features", sparse=self.wide)
+        if self.kind == "linear" and not self.wide:
             out = self.model.output(F.col("__features"))
         else:
-            d = with_scores(d, self.model, "__features", "__score")
+            d = (with_linear_scores if self.kind == "linear" else with_scores)(d, self.model, "__features", "__score")
             s = F.col("__score")
-            from loomstat.functions.numbers import sigmoid, softmax
-
             out = softmax(s) if self.task == "multiclass" else sigmoid(s[0]) if self.task == "binary" else s[0]
         if self.task == "binary":
             out = F.array(1 - out, out)
         return d.withColumn(name, out).drop("__score")
 
 
+def is_wide(groups: list[feat.Group]) -> bool:
+    return sum(len(g.names) for g in groups) > WIDE
+
+
 def task_of(t: ColumnType) -> str:
     if t.kind == "number":
         return "regression"
@@ -169,19 +181,20 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
         if kind not in groups:
             asked = (feat.plan(types, target, kind == "linear", c.exclude_columns) if c.auto else []) + feat.included(list(c.include))
             groups[kind] = feat.fit(part["train"], asked, types, c.max_vocabulary)
-            featured = feat.with_features(part["train"], groups[kind], "__features").withColumn("__label", label.cast("double"))
+            featured = feat.with_features(part["train"], groups[kind], "__features", sparse=is_wide(groups[kind])).withColumn("__label", label.cast("double"))
             sets[kind] = early_stopping_split(written(featured.select("__features", "__label", "row_number"), "features"), c.stopping_fraction, last=kind == "linear")
         learn, watch = sets[kind]
         if watch.isEmpty():
             watch = None
+        n_features = sum(len(x.names) for x in groups[kind])
         if kind == "linear":
-            m = train_linear(learn, "__features", "__label", task, len(classes), stopping=EarlyStopping(), watch=watch, deadline=deadline, **g)
+            m = train_linear(learn, "__features", "__label", task, len(classes), stopping=EarlyStopping(), watch=watch, deadline=deadline, width=n_features, **g)
         else:
             enums, i = [], 0
             for group in groups[kind]:
                 enums += [i] if group.kind == "identity" and types[group.column].kind == "enum" else []
                 i += len(group.names)
-            m = train_trees(learn, "__features", "__label", task, len(classes), enums, TreeOptions(**g), EarlyStopping(), watch, deadline)
+            m = train_trees(learn, "__features", "__label", task, len(classes), enums, TreeOptions(**g), EarlyStopping(), watch, deadline, n_features)
         model = Model(task, target, classes, groups[kind], kind, m)
         got = evaluate(model, part["comparison"] if sizes.get("comparison") else part["train"])[metric]
         tried.append({"model": kind, **g, metric: got})
@@ -218,7 +231,10 @@ def predict(df: DataFrame, model: Model, threshold: float = 0.5, contributions:
         else:
             k = F.array_position(p, F.array_max(p)).cast("int")
         d = d.withColumn("prediction", F.struct(F.element_at(names, k).alias("class_name"), F.element_at(p, k).alias("probability"), F.map_from_arrays(names, p).alias("probabilities")))
-    if contributions:
+    if contributions and model.wide:
+        at = F.array_position(F.array(*(F.lit(c) for c in model.classes)), F.col("prediction.class_name")).cast("int") - 1 if model.task == "multiclass" else F.lit(0)
+        d = explained(d.withColumn("__class", at), model, "__features", "__class").drop("__class")
+    elif contributions:
         names = F.array(*(F.lit(n) for n in model.feature_names))
         outputs = len(model.classes) if model.task == "multiclass" else 1
         if model.kind == "linear":
@@ -235,6 +251,40 @@ def predict(df: DataFrame, model: Model, threshold: float = 0.5, contributions:
     return d.drop("__output", "__features", *(f"__{x}{k}" for x in "cb" for k in range(len(model.classes) + 1)))
 
 
+def explained(df: DataFrame, model: Model, features: str, output: str) -> DataFrame:
+    """df with `contributions` and `baseline` of one output of each row (its number in the column `output`), of sparse rows.
+
+    One pass, a bounded number of rows at a time; names and weights travel beside the plan, not in it.
+    """
+    n, at, of = len(df.columns), df.columns.index(features), df.columns.index(output)
+    kind = "array<struct<feature:string,feature_value:double,value:double>>"
+    schema = df.withColumn("contributions", F.lit(None).cast(kind)).withColumn("baseline", F.lit(None).cast("double")).schema
+    names, m, width = model.feature_names, model.model, len(model.feature_names)
+
+    def run(batches):
+        text = pa.array(names, pa.string())
+        step = max(1, feat.BATCH_BYTES // (64 * width))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                x, k = rows_of(b.column(at), width).dense(), np.asarray(b.column(of))
+                out, base = np.zeros(x.shape), np.zeros(len(x))
+                for c in np.unique(k):
+                    rows = np.flatnonzero(k == c)
+                    if model.kind == "linear":
+                        out[rows], base[rows] = (x[rows] - np.array(m.means)) * np.array(m.weights[c]), m.baseline(int(c))
+                    else:
+                        bins, part, expected = m.bins(b.column(at).take(pa.array(rows))), np.zeros((len(rows), width)), m.biases[c]
+                        for r in m.trees:
+                            expected += tree_contributions(r[c], bins, part)
+                        out[rows], base[rows] = part, expected
+                entries = pa.StructArray.from_arrays([text.take(pa.array(np.tile(np.arange(width), len(x)))), pa.array(x.ravel()), pa.array(out.ravel())], ["feature", "feature_value", "value"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), entries)
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], lists, pa.array(base)], names=[*b.schema.names[:n], "contributions", "baseline"])
+
+    return df.mapInArrow(run, schema)
+
+
 def save(spark: SparkSession, model: Model, path: str) -> None:
     """As JSON text with a revision, through Spark, so that any store it reaches will do."""
     doc = {"revision": REVISION, **asdict(model)}
