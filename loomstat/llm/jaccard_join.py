@@ -20,7 +20,8 @@ as the sets that share a rare shingle, and pivots divide those:
    many each round) all members outside the largest component are pivots at once, which ends them.
 
 Only connections matter, so pairs already connected are not compared; no link between different
-components is skipped.  Equal sets are one class from the start.
+components is skipped.  Near copies share many regions: a pair is compared in the first one a round where either is a
+pivot.  Equal sets are one class from the start.
 
 Rare-to-frequent order needs the number of sets that hold each shingle.  Blocks of texts send their
 shingles (hash ranges, as packed arrays) to the tasks that own the ranges and get back those that
@@ -52,6 +53,8 @@ SHINGLE, PERCENT, WORK = 5, 75, 1 << 14
 BLOCK_BYTES, BLOCK_SETS, BUCKET_BYTES = 8 << 20, 0x7FFF, 16 << 20
 MANY = 0x8000
 SKETCH_BITS = 512
+#: Regions of a set, in order, by which it is seen that a pair meets elsewhere too.
+KEYS = 64
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -304,10 +307,17 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
     while not opened.isEmpty():
         turn += 1
         is_pivot = f"c <> main and pmod(xxhash64(fp, {turn}), every) = 0"
-        sides = lambda x, y: (x.select("key", *(F.col(c).alias(f"{c}1") for c in kept)), y.select(F.col("key").alias("k2"), *(F.col(c).alias(f"{c}2") for c in kept)))
-        x, y = sides(opened.where(is_pivot), opened)
+        sides = lambda x, y, more=(): (x.select("key", *(F.col(c).alias(f"{c}1") for c in (*kept, *more))), y.select(F.col("key").alias("k2"), *(F.col(c).alias(f"{c}2") for c in (*kept, *more))))
+        # a pair that shares several regions is compared in the first where one of the two is a pivot, by the smaller if both are
+        inside = F.expr(is_pivot)
+        first_keys = lambda when: F.slice(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("at", "key")))), lambda s: s["key"]), 1, KEYS)
+        of_set = opened.where("not boundary").groupBy("fp").agg(first_keys(F.lit(True)).alias("member_in"), first_keys(inside).alias("pivot_in"))
+        placed = opened.withColumn("pivot", inside).join(of_set, "fp", "left")
+        x, y = sides(placed.where("pivot"), placed, ("member_in", "pivot_in", "pivot"))
+        shared = F.get(F.array_intersect("pivot_in1", "member_in2"), F.lit(0))
+        once = F.col("boundary1") | F.col("boundary2") | ((~F.col("pivot2") | (F.col("fp1") < F.col("fp2"))) & F.coalesce(shared == F.col("key"), F.lit(True)))
         near = _within(percent) & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent) & (F.col("c1") != F.col("c2")) & ~(F.col("boundary1") & F.col("boundary2"))
-        met = cut(x.join(y, (F.col("key") == F.col("k2")) & near).select("key", "fp1", "fp2", "c1", "c2"))
+        met = cut(x.join(y, (F.col("key") == F.col("k2")) & near & once).select("key", "fp1", "fp2", "c1", "c2"))
         up = F.col("fp1") < F.col("fp2")
         ends = met.select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b"), F.when(up, F.col("c1")).otherwise(F.col("c2")).alias("ca"), F.when(up, F.col("c2")).otherwise(F.col("c1")).alias("cb"))
         # the two components of a pair are the same wherever the pair is met
@@ -337,6 +347,7 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
             after = cut(rest.drop("main").join(nearest, ["key", "fp"], "left_anti").unionByName(moved))
         before, opened = opened, cut(_still_open(after.drop("main"), turn))
         forget(before, met, links, nearest, rest)
+        release(sets.sparkSession)
     return steps
 
 
@@ -344,8 +355,10 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
     every = cut(texts_and_sets(docs, percent, size))
     release(docs.sparkSession)
-    of = every.where("keys is null").select("doc_id", "n_shingles", "fp")
+    of = cut(every.where("keys is null").select("doc_id", "n_shingles", "fp"))
     sets = cut(every.where("keys is not null").groupBy("fp").agg(F.first("n_shingles").cast("int").alias("n"), *(F.first(c).alias(c) for c in ("own", "anchors", "sketch", "keys"))))
+    forget(every)
+    release(docs.sparkSession)
     root = sets.select("fp", F.col("fp").alias("root"))
     for step in link_classes(sets, percent):
         root = root.join(step.select(F.col("id").alias("root"), "component"), "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
