@@ -132,6 +132,35 @@ def rolled_up_metrics(hourly: DataFrame, start: str, end: str, unit: str, zone:
     return out.select("*", *rates()[:4])
 
 
+def levels(states: DataFrame, start: str, end: str, unit: str, zone: str = "UTC") -> DataFrame:
+    """Hourly states of a window, each under its interval and under null, the whole window: what is grouped by
+    interval_start then has both levels from one pass."""
+    s = states.withColumn("interval_start", interval_start(F.col("hour"), unit, zone))
+    s = s.where(F.col("interval_start").between(F.expr(f"timestamp_ntz'{start}'"), F.expr(f"timestamp_ntz'{end}' - interval 1 second")))
+    return s.withColumn("interval_start", F.explode(F.array("interval_start", F.lit(None).cast("timestamp_ntz"))))
+
+
+def number_levels(states: DataFrame, training: DataFrame, start: str, end: str, unit: str, zone: str = "UTC") -> DataFrame:
+    """Moments of predicted numbers in each interval and (under null) in the whole window, beside the one row of training."""
+    merged = merge_states(levels(states, start, end, unit, zone), ["interval_start"])
+    every = calendar(states, start, end, unit).unionByName(states.sparkSession.range(1).select(F.lit(None).cast("timestamp_ntz").alias("interval_start")))
+    out = every.alias("e").join(merged.alias("m"), F.expr("e.interval_start <=> m.interval_start"), "left").select("e.interval_start", *(F.col(f"m.{c}") for c in ("row_count", "n", "min", "max", "sum", "m2")))
+    return finished_numbers(out.na.fill(0, ["row_count", "n"])).crossJoin(F.broadcast(training))  # one row
+
+
+def class_levels(hourly: DataFrame, training: DataFrame, start: str, end: str, unit: str, zone: str = "UTC") -> DataFrame:
+    """(interval_start, class, n, fraction, training_n, training_fraction) of hourly counts (hour, class, n) beside training
+    counts (class, n): classes of training, in each interval and (under null) in the whole window."""
+    merged = levels(hourly, start, end, unit, zone).join(F.broadcast(training.select("class")), "class").groupBy("interval_start", "class").agg(F.sum("n").alias("n"))
+    share = lambda n, by: F.try_divide(n, F.sum(n).over(Window.partitionBy(*by)))  # noqa: E731  (a row a class)
+    t = training.select("class", F.col("n").alias("training_n")).withColumn("training_fraction", share(F.col("training_n"), []))
+    every = calendar(hourly, start, end, unit).unionByName(hourly.sparkSession.range(1).select(F.lit(None).cast("timestamp_ntz").alias("interval_start")))
+    grid = every.crossJoin(F.broadcast(t))  # intervals of a window by classes
+    out = grid.alias("g").join(merged.alias("m"), F.expr("g.interval_start <=> m.interval_start and g.class = m.class"), "left")
+    out = out.select("g.interval_start", "g.class", F.coalesce("m.n", F.lit(0)).alias("n"), "training_n", "training_fraction")
+    return out.withColumn("fraction", share(F.col("n"), ["interval_start"]))
+
+
 def hourly_value_counts(df: DataFrame, by: list[str], date: str, value: str) -> DataFrame:
     """(by, hour, value, n): a state of a number column whose merged quantiles are exact."""
     v = F.col(value).cast("double")
@@ -254,15 +283,22 @@ def check_monitors(monitors: DataFrame, current: DataFrame, training: DataFrame,
     """Monitors whose metric differs from training's beyond a bound.
 
     monitors (monitor_id, model_id, mode, lower, upper), current (model_id, metric, hours), training
-    (model_id, training_metric); bounds may be null.  A model needs `min_hours` hours of metrics.
+    (model_id, training_metric); bounds may be null.  A model needs `min_hours` hours of metrics.  Monitors with a
+    metric_name watch the metrics of that name in the other two tables (see named_metrics).
     """
-    j = monitors.join(current.where(F.col("hours") >= min_hours), "model_id").join(training, "model_id")
+    by = ["model_id", *(["metric_name"] if "metric_name" in monitors.columns else [])]
+    j = monitors.join(current.where(F.col("hours") >= min_hours), by).join(training, by)
     diff = F.when(F.col("mode") == "absolute", difference(F.col("metric"), F.col("training_metric"), "absolute")).otherwise(difference(F.col("metric"), F.col("training_metric"), "percentage"))
     j = j.withColumn("difference", diff)
     high, low = F.coalesce(F.col("difference") > F.col("upper"), F.lit(False)), F.coalesce(F.col("difference") < -F.col("lower"), F.lit(False))
     return j.withColumn("alert", high | low)
 
 
+def named_metrics(df: DataFrame, by: list[str], names: list[str], value: str = "metric") -> DataFrame:
+    """(by, metric_name, value): a row for each of the metrics that df has as columns."""
+    return df.select(*by, F.inline(F.array(*(F.struct(F.lit(n).alias("metric_name"), F.col(n).cast("double").alias(value)) for n in names))))
+
+
 def next_check(last: Column, cadence: Column) -> Column:
     """When a monitor is due again: an hour, day, week or month after its last check."""
     return (

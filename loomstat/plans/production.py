@@ -130,3 +130,69 @@ def streaming_joined_true_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = keyed.joined_with_true_values(e, e.where("event_id % 2 = 0"), "7 days").where("hour is not null")
     j.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("model_id", "hour", "prediction", F.col("true_value").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_REQUEST = """CASE event_id % 9 WHEN 0 THEN '{}' WHEN 1 THEN '{"a number": null, "e": null, "t": null}' WHEN 2 THEN '{"a number": " 7.5", "e": "VIEW", "t": 12}' WHEN 3 THEN '{"a number": "inf", "e": true, "t": true}'
+WHEN 4 THEN '{"a number": true, "e": 1, "t": ["x"]}' WHEN 5 THEN concat('{"a number": "', event_id, '.5", "e": "', event_type, '", "t": "It''s ', event_type, '"}') WHEN 6 THEN 'not json' WHEN 7 THEN '{"a number": {"x": 1}, "e": ["view"], "t": {}}'
+ELSE concat('{"a number": ', event_id, '.25, "e": "', event_type, '", "t": "\u00e9", "more": 1}') END"""
+
+
+@query("""SELECT event_id, CASE event_id % 9 WHEN 5 THEN event_id + 0.5 WHEN 8 THEN event_id + 0.25 END::DOUBLE AS a, CASE WHEN event_id % 9 IN (5, 8) THEN list_position(['click', 'view'], event_type) ELSE 0 END::INTEGER AS e,
+CASE event_id % 9 WHEN 5 THEN 'It''s ' || event_type WHEN 8 THEN 'é' ELSE '' END AS t, event_id % 9 = 99 AS other FROM events""".replace("list_position(['click', 'view'], event_type)", "coalesce(list_position(['click', 'view'], event_type), 0)"))
+def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON objects of mixed values as the typed rows that predictions take."""
+    from loomstat.schema import ColumnType
+    from loomstat.sources.events import request_rows as rows
+
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_REQUEST).alias("input"))
+    d = rows(e, "input", {"a number": ColumnType("number"), "e": ColumnType("enum", ("click", "view")), "t": ColumnType("text"), "u": ColumnType("unknown")})
+    return d.select("event_id", F.col("`a number`").cast("double").alias("a"), "e", "t", F.col("u").isNotNull().alias("other"))
+
+
+_WINDOW = ("2024-01-05 00:00:00", "2024-01-12 00:00:00", "day")
+
+
+@query("""WITH i AS (SELECT i FROM range(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12', INTERVAL 1 day) r(i)),
+l AS (SELECT date_trunc('day', ts) AS i, value FROM events WHERE user_id % 3 = 0 AND ts >= '2024-01-05' AND ts < '2024-01-12'),
+g AS (SELECT i, grouping(i) AS o, count(value) AS n, round(avg(value), 4) AS mean, round(var_pop(value), 3) AS variance FROM l GROUP BY GROUPING SETS ((i), ()))
+SELECT strftime(i.i, '%Y-%m-%d') AS interval_start, coalesce(n, 0) AS n, mean, variance, t.* FROM i LEFT JOIN g ON g.i = i.i, (SELECT round(avg(value), 4) AS training_mean, max(value) AS training_max FROM events WHERE user_id % 3 = 1) t
+UNION ALL SELECT NULL, n, mean, variance, t.* FROM g, (SELECT round(avg(value), 4), max(value) FROM events WHERE user_id % 3 = 1) t WHERE o = 1""")
+def production_numbers_both_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted numbers by day and in the whole window, from one pass over hourly states, beside training's."""
+    p = _predictions(spark, sf_dir)
+    training = p.where("model_id = 'm1'").agg(F.avg("value").alias("training_mean"), F.max("value").alias("training_max"))
+    h = monitoring.hourly_numbers(p.where("model_id = 'm0'"), [], "date", "value")
+    out = monitoring.number_levels(h, training, *_WINDOW)
+    return out.select(F.date_format("interval_start", "yyyy-MM-dd").alias("interval_start"), "n", r("mean", 4), r("variance", 3), r("training_mean", 4), "training_max")
+
+
+@query("""WITH i AS (SELECT i FROM range(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12', INTERVAL 1 day) r(i) UNION ALL SELECT NULL),
+t AS (SELECT event_type AS class, count(*) AS training_n FROM events WHERE user_id % 3 = 1 AND event_type <> 'error' GROUP BY 1),
+l AS (SELECT date_trunc('day', ts) AS i, event_type AS class FROM events WHERE user_id % 3 = 0 AND event_type <> 'error' AND ts >= '2024-01-05' AND ts < '2024-01-12'),
+g AS (SELECT i, class, count(*) AS n FROM l GROUP BY GROUPING SETS ((i, class), (class))),
+e AS (SELECT i.i, t.class, coalesce(n, 0) AS n, training_n FROM i CROSS JOIN t LEFT JOIN g ON g.i IS NOT DISTINCT FROM i.i AND g.class = t.class)
+SELECT strftime(i, '%Y-%m-%d') AS interval_start, class, n, round(n / nullif(sum(n) OVER (PARTITION BY i), 0), 6) AS fraction, training_n, round(training_n / sum(training_n) OVER (PARTITION BY i), 6) AS training_fraction FROM e""")
+def production_classes_both_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted classes by day and in the whole window, beside training's; the class error is unknown to training."""
+    p = _predictions(spark, sf_dir).withColumnRenamed("event_type", "class")
+    training = p.where("model_id = 'm1' and class <> 'error'").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    h = p.where("model_id = 'm0'").groupBy(monitoring.hour_start(F.col("date")).alias("hour"), "class").agg(F.count(F.lit(1)).alias("n"))
+    out = monitoring.class_levels(h, training, *_WINDOW)
+    return out.select(F.date_format("interval_start", "yyyy-MM-dd").alias("interval_start"), "class", "n", r("fraction"), "training_n", r("training_fraction"))
+
+
+@query(_JOINED + """, c AS (SELECT model_id, hour, count_if(prediction = 'view' AND true_value = 'view') AS tp, count_if(prediction = 'view' AND true_value <> 'view') AS fp, count_if(prediction <> 'view' AND true_value = 'view') AS fn, count_if(prediction <> 'view' AND true_value <> 'view') AS tn FROM j GROUP BY ALL),
+l AS (SELECT model_id, (tp + tn) / (tp + fp + tn + fn) AS accuracy, tp / nullif(tp + fn, 0) AS recall, count(*) OVER (PARTITION BY model_id) AS hours FROM c QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY hour DESC) = 1)
+SELECT model_id, metric_name, round(metric, 6) AS metric, round(metric - 0.5, 6) AS difference, coalesce(abs(metric - 0.5) > bound, false) AS alert
+FROM (SELECT model_id, hours, 'accuracy' AS metric_name, accuracy AS metric, 0.1 AS bound FROM l UNION ALL SELECT model_id, hours, 'recall', recall, 0.4 FROM l) WHERE hours >= 10""")
+def monitors_of_several_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monitors that watch the latest hour of a metric each."""
+    m = monitoring.matched_true_values(_predictions(spark, sf_dir), table(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model_id"), F.col("event_id").cast("string").alias("identifier"), F.col("event_type").alias("true_value")))
+    hours = monitoring.binary_production(m, ["model_id", "hour"], "view")
+    last = hours.groupBy("model_id").agg(F.max_by(F.struct("accuracy", "recall"), "hour").alias("l"), F.count(F.lit(1)).alias("hours")).select("model_id", "l.*", "hours")
+    current = monitoring.named_metrics(last, ["model_id", "hours"], ["accuracy", "recall"])
+    models = last.select("model_id", F.lit(0.5).alias("accuracy"), F.lit(0.5).alias("recall"))
+    monitors = spark.createDataFrame([("accuracy", 0.1), ("recall", 0.4)], "metric_name string, bound double").crossJoin(F.broadcast(models.select("model_id")))
+    monitors = monitors.select(F.concat("model_id", "metric_name").alias("monitor_id"), "model_id", "metric_name", F.lit("absolute").alias("mode"), F.col("bound").alias("lower"), F.col("bound").alias("upper"))
+    out = monitoring.check_monitors(monitors, current, monitoring.named_metrics(models, ["model_id"], ["accuracy", "recall"], "training_metric"), 10)
+    return out.select("model_id", "metric_name", r("metric"), r("difference"), "alert")

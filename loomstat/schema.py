@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,21 +71,21 @@ def infer_types(df: DataFrame, max_variants: int = MAX_VARIANTS, invalid_values:
     return {c: known[c] for c in df.columns if c in known}
 
 
+def typed(value: Column, name: str, t: ColumnType) -> Column:
+    """A column of a loaded table: numbers as they are, and of strings the codes of variants or texts."""
+    if t.kind == "enum":
+        value = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in t.variants)).cast("array<string>"), value), F.lit(0)).cast("int")
+    elif t.kind == "text":
+        value = F.coalesce(value, F.lit(""))
+    elif t.kind != "number":
+        value = F.lit(None).cast("string")
+    return value.alias(name, metadata={"ltype": t.kind, "variants": list(t.variants)})
+
+
 def typed_load(df: DataFrame, types: dict[str, ColumnType]) -> DataFrame:
     """Columns of strings as columns of their types."""
-    out = []
-    for name, t in types.items():
-        c = F.col(f"`{name}`").cast("string")
-        if t.kind == "number":
-            v = parse_float(c)
-        elif t.kind == "enum":
-            v = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in t.variants)).cast("array<string>"), c), F.lit(0)).cast("int")
-        elif t.kind == "text":
-            v = F.coalesce(c, F.lit(""))
-        else:
-            v = F.lit(None).cast("string")
-        out.append(v.alias(name, metadata={"ltype": t.kind, "variants": list(t.variants)}))
-    return df.select(*out)
+    text = lambda name: F.col(f"`{name}`").cast("string")
+    return df.select(*(typed(parse_float(text(name)) if t.kind == "number" else text(name), name, t) for name, t in types.items()))
 
 
 def types_of(df: DataFrame) -> dict[str, ColumnType]:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstat.functions.numbers import parse_float
+from loomstat.schema import ColumnType, typed
+
 #: A line holds either kind of event; fields of the other kind are null.  Outputs are told apart by the field that is there.
 EVENT = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("model_id", T.StringType()), T.StructField("date", T.StringType()), T.StructField("identifier", T.StringType()),
@@ -43,3 +46,25 @@ def json_kind(json: Column, field: str) -> Column:
 
 def json_text(json: Column, field: str) -> Column:
     return F.get_json_object(json, f"$.{field}")
+
+
+def request_rows(df: DataFrame, json: str, columns: dict[str, ColumnType]) -> DataFrame:
+    """df's JSON objects of named values as a typed table, as predictions take it; its other columns stay before.
+
+    Numbers are numbers, or strings that spell finite ones; enums and texts are strings.  All other values, and
+    missing ones, are null numbers, the code 0 and empty texts.  The JSON is parsed once.
+    """
+    rows = df.withColumn("__request", F.try_parse_json(F.col(json)))
+    out = []
+    for name, t in columns.items():
+        quote = '"' if "'" in name else "'"
+        path = f"$[{quote}{name}{quote}]"
+        kind = F.schema_of_variant(F.try_variant_get("__request", path, "variant"))
+        text = F.when(kind == "STRING", F.try_variant_get("__request", path, "string"))
+        if t.kind == "number":
+            number = F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get("__request", path, "double").try_cast("float"))
+            value = F.coalesce(F.when(F.abs(number) < float("inf"), number), parse_float(text))
+        else:
+            value = text
+        out.append(typed(value, name, t))
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns if c != json), *out)
