@@ -373,3 +373,16 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(texts_of(table(spark, sf_dir, "documents")))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT row, array_to_string(CASE WHEN len(w) >= 5 THEN w[i:i + 4] ELSE w END, ' ') AS shingle FROM d, unnest(range(1, greatest(len(w) - 3, 2))) u(i) WHERE len(w) > 0),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+p AS (SELECT a.row AS a, b.row AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.row < b.row GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT row AS id, row AS at FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.at = e.a),
+c AS (SELECT id, min(doc_id) AS component_id FROM r JOIN d ON d.row = r.at GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN c ON id = d.row LEFT JOIN n ON n.row = d.row
+"""

@@ -137,3 +137,19 @@ def judge(docs: DataFrame, order: list[str], rules: tuple[Rule, ...] = RULES) ->
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts_of(table(spark, sf_dir, "documents"))
     return judge(docs, plan_order(docs))
+
+
+#: The verdict doesn't depend on the order of the rules.
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM documents),
+g AS (SELECT row, i, w[i:i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) u(i)),
+q AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+c AS (SELECT row, count(DISTINCT i + k) AS n FROM q, unnest([0, 1, 2]) v(k) GROUP BY row),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len([x FOR x IN w IF regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')]) AS n_lettered, length(t) - length(translate(t, '0123456789', '')) AS n_digits FROM d LEFT JOIN c USING (row))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 100 * n_lettered < 70 * n_words OR 100 * n_digits > 30 * word_chars) AS kept FROM m
+"""

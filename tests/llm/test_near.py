@@ -161,3 +161,11 @@ def test_vectors_beside_clashing_names_and_many_copies(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(0) for c in ("e", "rep", "copies", "digest", "size", "ok", "n", "n_links")})
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_vectors(df).collect()}
     assert len(got) == 2600 and all(got[i] == (1499, 0) for i in range(1500)) and got[2000][0] > 0
+
+
+def test_op6_jaccard_join_by_sql(spark, sf_dir, duck):
+    from conftest import same_rows
+
+    from loomstat.llm import jaccard_join
+
+    same_rows(jaccard_join.op6_jaccard_join(spark, sf_dir), duck.sql(jaccard_join.OP6_SQL))

@@ -364,3 +364,11 @@ def test_clashing_names_do_no_harm(spark):
     assert out.count() == 1
     docs = common.texts_of(spark.createDataFrame([(1, "a " * 60)], SCHEMA).withColumns({c: F.lit(0) for c in ("n_words", "kept", "base_failed", "h", "rule")}))
     assert [r.n_words for r in quality_rules.judge(docs, quality_rules.plan_order(docs)).collect()] == [60]
+
+
+def test_op7_quality_rules_by_sql(spark, sf_dir, duck):
+    from conftest import same_rows
+
+    from loomstat.llm import quality_rules
+
+    same_rows(quality_rules.op7_quality_rules(spark, sf_dir), duck.sql(quality_rules.OP7_SQL))
