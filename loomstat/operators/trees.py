@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import time
+from collections.abc import Generator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -233,44 +234,51 @@ class _Rows:
         r = self.data.mapInArrow(run, "loss double, n long").agg(F.sum("loss").alias("a"), F.sum("n").alias("n")).first()
         return r.a / r.n if r.n else 0.0
 
-    def sums(self, k: int, nodes: list[Node], wanted: list[int], virtual: dict[int, tuple], first: np.ndarray) -> dict[int, np.ndarray]:
-        """Bin sums [g, h, n; bin] of the wanted nodes, all features' bins end to end, first[f] being the first of feature f.
+    def sums(self, requests: list[tuple], first: np.ndarray) -> list[dict[int, np.ndarray]]:
+        """For each request (output, nodes, wanted, virtual) the bin sums [g, h, n; bin] of its wanted nodes, all features'
+        bins end to end, first[f] being the first of feature f.  All requests are served by the same pass.
 
         virtual: splits tried on leaves (leaf: (split, left id, right id)).
         """
-        room, out = max(1, SUM_BYTES // (24 * int(first[-1]))), {}
-        for i in range(0, len(wanted), room):
-            out |= self._sums(k, nodes, wanted[i : i + room], virtual, first)
+        every = [(r, node) for r, (_, _, wanted, _) in enumerate(requests) for node in wanted]
+        room, out = max(1, SUM_BYTES // (24 * int(first[-1]))), [{} for _ in requests]
+        for i in range(0, len(every), room):
+            for (r, node), found in self._sums(requests, every[i : i + room], first).items():
+                out[r][node] = found
         return out
 
-    def _sums(self, k: int, nodes: list[Node], wanted: list[int], virtual: dict[int, tuple], first: np.ndarray) -> dict[int, np.ndarray]:
+    def _sums(self, requests: list[tuple], wanted: list[tuple[int, int]], first: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         read, width, n_bins = self.read, self.read.width, int(first[-1])
-
+        places: dict[int, list[tuple[int, int]]] = {}
+        for i, (r, node) in enumerate(wanted):
+            places.setdefault(r, []).append((i, node))
         size = n_bins + (read.default is not None)  # of sparse rows, what a node has in all comes last
 
         def run(batches):
             total = np.zeros((3, len(wanted), size))
             for bins, s, y in read(batches):
-                g, h = _gradients(read.kind, s, y, k)
-                at, slot = walk(nodes, bins), np.full(len(y), -1)
-                for leaf, (x, left, right) in virtual.items():
-                    here = np.flatnonzero(at == leaf)
-                    v = _column(bins, x["feature"])[here]
-                    at[here] = np.where(np.isin(v, x["left"]) if x["left"] is not None else v <= x["bin"], left, right)
-                for i, node in enumerate(wanted):
-                    slot[at == node] = i
-                here = np.flatnonzero(slot >= 0)
-                if read.default is None:
-                    flat, row = (slot[here, None] * size + first[:-1] + bins[here]).ravel(), np.repeat(here, width)
-                else:
-                    e = np.flatnonzero(slot[bins.row] >= 0)
-                    row = np.concatenate((bins.row[e], here))
-                    flat = np.concatenate((slot[bins.row[e]] * size + first[bins.index[e]] + bins.bins[e], slot[here] * size + n_bins))
-                for part, v in zip(total, (g[row], h[row], None), strict=True):
-                    part += np.bincount(flat, v, part.size).reshape(part.shape)
+                for r, own in places.items():
+                    k, nodes, _, virtual = requests[r]
+                    g, h = _gradients(read.kind, s, y, k)
+                    at, slot = walk(nodes, bins), np.full(len(y), -1)
+                    for leaf, (x, left, right) in virtual.items():
+                        here = np.flatnonzero(at == leaf)
+                        v = _column(bins, x["feature"])[here]
+                        at[here] = np.where(np.isin(v, x["left"]) if x["left"] is not None else v <= x["bin"], left, right)
+                    for i, node in own:
+                        slot[at == node] = i
+                    here = np.flatnonzero(slot >= 0)
+                    if read.default is None:
+                        flat, row = (slot[here, None] * size + first[:-1] + bins[here]).ravel(), np.repeat(here, width)
+                    else:
+                        e = np.flatnonzero(slot[bins.row] >= 0)
+                        row = np.concatenate((bins.row[e], here))
+                        flat = np.concatenate((slot[bins.row[e]] * size + first[bins.index[e]] + bins.bins[e], slot[here] * size + n_bins))
+                    for part, v in zip(total, (g[row], h[row], None), strict=True):
+                        part += np.bincount(flat, v, part.size).reshape(part.shape)
             for i in np.flatnonzero(total[2].any(axis=1)):
                 for c in range(0, size, CHUNK):
-                    yield pa.RecordBatch.from_arrays([pa.array([wanted[i]]), pa.array([c]), pa.array([total[:, i, c : c + CHUNK].tobytes()], pa.binary())], names=["node", "chunk", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([c]), pa.array([total[:, i, c : c + CHUNK].tobytes()], pa.binary())], names=["node", "chunk", "sums"])
 
         def add(t: pa.Table) -> pa.Table:
             s = np.sum([np.frombuffer(x.as_buffer()) for x in t["sums"]], axis=0)
@@ -286,7 +294,7 @@ class _Rows:
                 rest = s[:, n_bins:] - np.add.reduceat(out[node], first[:-1], axis=1)
                 rest[:, rest[2] == 0] = 0.0  # no rows there: what is left is rounding
                 out[node][:, first[:-1] + read.default] += rest
-        return out
+        return {wanted[i]: found for i, found in out.items()}
 
 
 def best_split_of(sums: np.ndarray, first: np.ndarray, enums: list[int], o: TreeOptions) -> dict | None:
@@ -331,10 +339,10 @@ def best_split_of(sums: np.ndarray, first: np.ndarray, enums: list[int], o: Tree
     return best
 
 
-def grow(rows: _Rows, k: int, enums: list[int], thresholds: list[list[float]], o: TreeOptions, first: np.ndarray) -> list[Node]:
-    """One tree."""
+def grow(enums: list[int], thresholds: list[list[float]], o: TreeOptions, first: np.ndarray) -> Generator[tuple, dict[int, np.ndarray], list[Node]]:
+    """One tree, as a generator that asks for bin sums (nodes, wanted, virtual) and is sent them."""
     found: dict[int, dict] = {}
-    sums = rows.sums(k, [Node(0.0, 1.0)], [0], {}, first)  # of leaves whose children aren't known yet
+    sums = yield [Node(0.0, 1.0)], [0], {}  # of leaves whose children aren't known yet
     g, h, _ = sums[0][:, : first[1]].sum(axis=1)
     nodes, depth = [Node(leaf_value(g, h, o.learning_rate, o.l2_number), 1.0)], {0: 0}
     heap: list[tuple] = []
@@ -354,7 +362,7 @@ def grow(rows: _Rows, k: int, enums: list[int], thresholds: list[list[float]], o
             next_up = [i for _, i in heapq.nsmallest(o.max_leaves - leaves - 1, heap) if i not in ahead]
             ids = {i: (-2 * j - 1, -2 * j - 2) for j, i in enumerate(next_up)}
             small = {i: ids[i][0] if found[i]["ln"] <= found[i]["rn"] else ids[i][1] for i in next_up}
-            got = rows.sums(k, nodes, list(small.values()), {i: (found[i], *p) for i, p in ids.items()}, first)
+            got = yield nodes, list(small.values()), {i: (found[i], *p) for i, p in ids.items()}
             for i in next_up:
                 less = got[small[i]]
                 ahead[i] = (less, sums[i] - less) if small[i] == ids[i][0] else (sums[i] - less, less)
@@ -375,6 +383,22 @@ def grow(rows: _Rows, k: int, enums: list[int], thresholds: list[list[float]], o
     return nodes
 
 
+def grow_together(rows: _Rows, outputs: int, enums: list[int], thresholds: list[list[float]], o: TreeOptions, first: np.ndarray) -> list[list[Node]]:
+    """A tree for each output.  What all of them ask for next comes from one pass over the rows, so a round takes as
+    many passes as the tree that needs most, however many classes there are."""
+    growing = {k: grow(enums, thresholds, o, first) for k in range(outputs)}
+    asked, done = {k: next(g) for k, g in growing.items()}, {}
+    while asked:
+        got = rows.sums([(k, *request) for k, request in asked.items()], first)
+        before, asked = asked, {}
+        for k, found in zip(before, got, strict=True):
+            try:
+                asked[k] = growing[k].send(found)
+            except StopIteration as e:
+                done[k] = e.value
+    return [done[k] for k in range(outputs)]
+
+
 def train_trees(
     df: DataFrame, features: str, label: str, kind: str, n_classes: int = 1, enums: list[int] | None = None, options: TreeOptions | None = None, stopping: EarlyStopping | None = None, watch: DataFrame | None = None, deadline: float | None = None,
     width: int | None = None,
@@ -432,7 +456,7 @@ def train_trees(
     for _ in range(o.rounds if kept else 0):
         if deadline is not None and time.monotonic() > deadline:
             break
-        made = [grow(rows, k, own_enums, own_thresholds, o, bins_first) for k in range(outputs)]
+        made = grow_together(rows, outputs, own_enums, own_thresholds, o, bins_first)
         if all(len(nodes) == 1 for nodes in made):
             break
         model.trees.append([[replace(x, feature=kept[x.feature]) if x.feature >= 0 else x for x in nodes] for nodes in made])
@@ -462,52 +486,56 @@ def with_scores(df: DataFrame, model: Trees, features: str, name: str = "score")
     return df.mapInArrow(run, schema)
 
 
-def path_weights(one: list[np.ndarray], zero: list[float]) -> list[np.ndarray]:
-    """Shapley weights of one leaf: for each feature of its path, the share of the leaf's value it is owed.
+def _longer(weights: np.ndarray, zero: float, one: np.ndarray) -> np.ndarray:
+    """The subset weights of a path (by size of subset, of each row) with one more feature on it.
 
-    one[j]: 1 where a row meets the path's tests on feature j; zero[j]: the share of training rows that
-    do.  Sums over subsets of the other features are kept by subset size.
+    zero: the share of training rows that take this path whatever the feature is; one: 1 for rows that meet its tests.
     """
-    m, rows = len(zero), len(one[0])
-    factor = [1.0 / (m * _choose(m - 1, s)) for s in range(m)]
-    out = []
-    for j in range(m):
-        by_size = np.zeros((m, rows))
-        by_size[0] = 1.0
-        for i in range(m):
-            if i != j:
-                by_size[1:] = by_size[1:] * zero[i] + by_size[:-1] * one[i]
-                by_size[0] *= zero[i]
-        out.append((one[j] - zero[j]) * (np.array(factor)[:, None] * by_size).sum(axis=0))
+    n = len(weights)
+    k = np.arange(1, n + 1)[:, None]
+    out = np.zeros((n + 1, weights.shape[1]))
+    out[1:] = one * weights * k / (n + 1)
+    out[:-1] += zero * weights * (n + 1 - k) / (n + 1)
     return out
 
 
-def _choose(n: int, k: int) -> int:
-    out = 1
-    for i in range(k):
-        out = out * (n - i) // (i + 1)
+def _shorter(weights: np.ndarray, zero: float, one: np.ndarray) -> np.ndarray:
+    """The weights without a feature that is on the path: what `_longer` did, undone from the largest subset down."""
+    n = len(weights)
+    met, rest, out = one != 0, weights[-1], np.empty((n - 1, weights.shape[1]))
+    for j in range(n - 2, -1, -1):
+        out[j] = np.where(met, rest * n / (j + 1), weights[j] * n / (zero * (n - 1 - j)))
+        rest = weights[j] - out[j] * zero * (n - 1 - j) / n
     return out
 
 
-def tree_contributions(nodes: list[Node], bins: np.ndarray, out: np.ndarray) -> float:
-    """Adds each feature's contribution to out (rows, features); returns the tree's expected value."""
-    expected = 0.0
-    stack = [(0, {})]
+def tree_contributions(nodes: list[Node], bins: np.ndarray | SparseBins, out: np.ndarray) -> float:
+    """Adds each feature's contribution to out (rows, features); returns the tree's expected value.
+
+    Path-dependent Shapley values (Lundberg et al., 2018), of all rows at once: going down, a path keeps the
+    weights of all subsets of its features by size, and a leaf owes each feature what is left without it.
+    A leaf costs the square of the number of features on its path.
+    """
+    rows, expected = len(bins), 0.0
+    stack = [(0, (), np.ones((1, rows)))]
     while stack:
-        i, path = stack.pop()
+        i, path, weights = stack.pop()
         x = nodes[i]
         if x.feature < 0:
             expected += x.value * x.share
-            if path:
-                names = list(path)
-                for j, w in zip(names, path_weights([path[f][0] for f in names], [path[f][1] for f in names]), strict=True):
-                    out[:, j] += x.value * w
+            for feature, zero, one in path:
+                out[:, feature] += x.value * (one - zero) * _shorter(weights, zero, one).sum(axis=0)
             continue
         b = _column(bins, x.feature)
         left = (np.isin(b, x.left_bins) if x.left_bins is not None else b <= x.bin).astype(float)
+        zero, one = 1.0, np.ones(rows)
+        for k, (feature, z, o) in enumerate(path):
+            if feature == x.feature:  # a feature that is met again counts once
+                zero, one, weights, path = z, o, _shorter(weights, z, o), path[:k] + path[k + 1 :]
+                break
         for child, meets in zip(x.children, (left, 1 - left), strict=True):
-            one, zero = path.get(x.feature, (np.ones(len(bins)), 1.0))
-            stack.append((child, path | {x.feature: (one * meets, zero * nodes[child].share / x.share)}))
+            share = nodes[child].share / x.share
+            stack.append((child, (*path, (x.feature, zero * share, one * meets)), _longer(weights, zero * share, one * meets)))
     return expected
 
 

@@ -864,13 +864,44 @@ def tree_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("l_orderkey", "l_partkey", "l_linenumber", r(F.col("score")[0], 4, "value"), r(c[0] + 0.0, 4, "quantity"), r(c[1] + 0.0, 4, "discount"), r("baseline", 4))
 
 
-@query()
+def _level(name: str, source: str) -> str:
+    """The best split of each node of a table (node, l_quantity, l_discount, e), as CTE {name}."""
+    return f"""{name}v AS (SELECT node, 0 AS f, l_quantity AS x, sum(e) AS s, count(*) AS n FROM {source} GROUP BY ALL UNION ALL SELECT node, 1, l_discount, sum(e), count(*) FROM {source} GROUP BY ALL),
+{name}c AS (SELECT node, f, x, sum(s) OVER u AS ls, sum(n) OVER u AS ln, sum(s) OVER (PARTITION BY node, f) AS s, sum(n) OVER (PARTITION BY node, f) AS n FROM {name}v WINDOW u AS (PARTITION BY node, f ORDER BY x)),
+{name} AS (SELECT *, ls * ls / ln + (s - ls) * (s - ls) / (n - ln) - s * s / n AS gain FROM {name}c WHERE least(ln, n - ln) >= 20 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, x) = 1)"""
+
+
+def _round(k: int, source: str) -> str:
+    """One tree of three leaves on the table `source`, whose residuals and scores it moves: CTE r{k}."""
+    keys, goes = "l_orderkey, l_partkey, l_linenumber, l_quantity, l_discount", "(CASE f WHEN 0 THEN l_quantity ELSE l_discount END) <= x"
+    return f"""a{k} AS (SELECT {keys}, e, score, 0 AS node FROM {source}),
+{_level(f"s{k}", f"a{k}")},
+b{k} AS (SELECT {keys}, e, score, CASE WHEN {goes} THEN 1 ELSE 2 END AS node FROM a{k}, (SELECT f, x FROM s{k})),
+{_level(f"t{k}", f"b{k}")},
+c{k} AS (SELECT {keys}, e, score, CASE WHEN node <> wide THEN node WHEN {goes} THEN 3 ELSE 4 END AS leaf FROM b{k}, (SELECT node AS wide, f, x FROM t{k} ORDER BY gain DESC LIMIT 1)),
+r{k} AS (SELECT {keys}, e - 0.1 * avg(e) OVER w AS e, score + 0.1 * avg(e) OVER w AS score FROM c{k} WINDOW w AS (PARTITION BY leaf))"""
+
+
+@query(f"""WITH r0 AS MATERIALIZED (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_discount, l_extendedprice - avg(l_extendedprice) OVER () AS e, avg(l_extendedprice) OVER () AS score FROM lineitem),
+{_round(1, "r0")}, {_round(2, "r1")} SELECT l_orderkey, l_partkey, l_linenumber, round(score, 3) AS value FROM r2""")
+def tree_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of two boosted trees grown best first to three leaves, which SQL can find by itself."""
+    from loomstat.operators.trees import TreeOptions, train_trees, with_scores
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_extendedprice").alias("y"), F.array("l_quantity", "l_discount").alias("features"))
+    m = train_trees(li, "features", "y", "regression", options=TreeOptions(rounds=2, max_leaves=3))
+    return with_scores(li, m, "features").select("l_orderkey", "l_partkey", "l_linenumber", r(F.col("score")[0], 3, "value"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, true AS adds_up FROM lineitem")
 def tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributions of each feature; with the baseline they add up to the value."""
-    from loomstat.operators.trees import with_contributions
+    """Whether the contributions of all features and the baseline add up to the value of each row."""
+    from loomstat.operators.trees import with_contributions, with_scores
 
     li, m = _trees(spark, sf_dir)
-    return with_contributions(li, m, "features").select("l_orderkey", "l_partkey", "l_linenumber", "contributions", "baseline")
+    d = with_contributions(with_scores(li, m, "features"), m, "features")
+    sum_ = F.aggregate("contributions", F.col("baseline"), lambda a, b: a + b)
+    return d.select("l_orderkey", "l_partkey", "l_linenumber", (F.abs(sum_ - F.col("score")[0]) < 1e-6 * (1 + F.abs(F.col("score")[0]))).alias("adds_up"))
 
 
 @query(f"SELECT 'm' || (user_id % 3) AS model_id, {_HOUR} AS hour, count(*) AS n, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2")

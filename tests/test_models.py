@@ -145,6 +145,74 @@ def test_shapley_by_brute_force():
     assert math.isclose(base, value(0, bins[0], set()))
 
 
+def random_tree(rng, features, leaves):
+    """A tree in which features come again on a path, with shares as rows would give them."""
+    nodes, open_ = [Node(0.0, 1.0)], [0]
+    while len(open_) < leaves:
+        i = open_.pop(rng.integers(len(open_)))
+        a, part = len(nodes), rng.uniform(0.1, 0.9)
+        nodes[i] = Node(0.0, nodes[i].share, int(rng.integers(features)), bin=int(rng.integers(1, 9)), children=(a, a + 1))
+        nodes += [Node(float(rng.normal()), nodes[i].share * part), Node(float(rng.normal()), nodes[i].share * (1 - part))]
+        open_ += [a, a + 1]
+    return nodes
+
+
+def test_shapley_of_deep_trees_by_all_subsets():
+    import itertools
+
+    rng = np.random.default_rng(6)
+    for _ in range(4):
+        nodes, bins, out = random_tree(rng, 5, 14), rng.integers(0, 10, (6, 5)), np.zeros((6, 5))
+        base = tree_contributions(nodes, bins, out)
+
+        def value(i, row, known):
+            x = nodes[i]
+            if x.feature < 0:
+                return x.value
+            a, b = x.children
+            if x.feature in known:
+                return value(a if row[x.feature] <= x.bin else b, row, known)
+            return sum(nodes[c].share / x.share * value(c, row, known) for c in (a, b))
+
+        for r, row in enumerate(bins):
+            for f in range(5):
+                rest, want = [x for x in range(5) if x != f], 0.0
+                for n in range(5):
+                    for some in itertools.combinations(rest, n):
+                        want += math.factorial(n) * math.factorial(4 - n) / math.factorial(5) * (value(0, row, {*some, f}) - value(0, row, set(some)))
+                assert math.isclose(out[r, f], want, abs_tol=1e-9)
+            assert math.isclose(base + out[r].sum(), value(0, row, set(range(5))), abs_tol=1e-9)
+
+
+def test_contributions_of_many_leaves_take_seconds():
+    import time
+
+    rng = np.random.default_rng(2)
+    nodes, bins = random_tree(rng, 12, 512), rng.integers(0, 10, (2000, 12))
+    out, began = np.zeros((2000, 12)), time.perf_counter()
+    base = tree_contributions(nodes, bins, out)
+    assert time.perf_counter() - began < 30
+    from loomstat.operators.trees import walk
+
+    assert np.allclose(base + out.sum(axis=1), np.array([n.value for n in nodes])[walk(nodes, bins)])
+
+
+def test_passes_of_a_round_do_not_depend_on_classes(spark, monkeypatch):
+    from loomstat.operators import trees as module
+
+    x = np.random.default_rng(4).integers(0, 9, (300, 3)).astype(float)
+    passes = {}
+    for classes in (3, 6):
+        d = spark.createDataFrame([(v.tolist(), float(int(v.sum()) % classes)) for v in x], "x array<double>, y double")
+        seen, real = [], module._Rows._sums
+        monkeypatch.setattr(module._Rows, "_sums", lambda self, requests, wanted, first, seen=seen, real=real: seen.append(len(requests)) or real(self, requests, wanted, first))
+        m = train_trees(d, "x", "y", "multiclass", classes, options=TreeOptions(rounds=1, max_leaves=4, min_rows=5))
+        monkeypatch.setattr(module._Rows, "_sums", real)
+        assert len(m.trees[0]) == classes and seen[0] == classes
+        passes[classes] = len(seen)
+    assert passes[6] <= 4 and passes[3] <= 4
+
+
 def test_multiclass_and_binary_trees(spark):
     d = rows_for_trees(spark).withColumn("k", (F.col("x")[2] - 1).cast("int"))
     m = train_trees(d, "x", "k", "multiclass", 3, enums=[2], options=TreeOptions(learning_rate=0.5, rounds=2, max_leaves=3))
