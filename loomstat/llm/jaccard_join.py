@@ -232,12 +232,16 @@ def _candidates(percent: int, bits: int):
 
 
 def texts_and_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """Columns SETS.  A row of each text: doc_id, n_shingles and fp.  And rows with keys, of sets that may have links:
+    """A table of columns SETS.  A row of each text: doc_id, n_shingles and fp.  And rows with keys, of sets that may have links:
     own, shingles that no other set holds; keys, all others, packed and sorted; sketch, their parities by hash."""
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, min(24, math.ceil(math.log2(text_bytes / BUCKET_BYTES + 1))))  # a shingle takes about as many bytes as its word
-    shared = shingle_blocks(docs, bits, size).groupBy("bucket").applyInArrow(_shared(bits), PACKED)
-    return shared.groupBy("block").applyInArrow(_candidates(percent, bits), SETS)
+    shared = cut(shingle_blocks(docs, bits, size).groupBy("bucket").applyInArrow(_shared(bits), PACKED))
+    release(docs.sparkSession)  # all that blocks have sent, before what came back moves on
+    every = cut(shared.groupBy("block").applyInArrow(_candidates(percent, bits), SETS))
+    forget(shared)
+    release(docs.sparkSession)
+    return every
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -353,8 +357,7 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
-    every = cut(texts_and_sets(docs, percent, size))
-    release(docs.sparkSession)
+    every = texts_and_sets(docs, percent, size)
     of = cut(every.where("keys is null").select("doc_id", "n_shingles", "fp"))
     sets = cut(every.where("keys is not null").groupBy("fp").agg(F.first("n_shingles").cast("int").alias("n"), *(F.first(c).alias(c) for c in ("own", "anchors", "sketch", "keys"))))
     forget(every)
