@@ -260,11 +260,15 @@ def drift_enum(training: DataFrame, production: DataFrame, column: str) -> DataF
     return side(training, "training").join(side(production, "production"), "variant", "left").na.fill(0)
 
 
-def drift_text(training: DataFrame, production: DataFrame, most: int = 100) -> DataFrame:
-    """(ngram, training_rows, production_rows) of the n-grams most frequent in production; both are n-gram counts."""
-    p = production.select("ngram", F.col("row_count").alias("production_rows"))
-    t = training.select("ngram", F.col("row_count").alias("training_rows"))
-    return p.join(t, "ngram", "inner").orderBy(F.desc("production_rows"), "ngram").limit(most).select("ngram", "training_rows", "production_rows")
+def drift_text(training: DataFrame, production: DataFrame, most: int = 100, by: str = "row_count") -> DataFrame:
+    """(ngram, training_rows, production_rows) of the n-grams most frequent in production; both are n-gram counts.
+
+    by: "occurrence_count" takes and orders by how often n-grams occur (training_occurrences, production_occurrences).
+    """
+    what = {"row_count": "rows", "occurrence_count": "occurrences"}[by]
+    p = production.select("ngram", F.col(by).alias(f"production_{what}"))
+    t = training.select("ngram", F.col(by).alias(f"training_{what}"))
+    return p.join(t, "ngram", "inner").orderBy(F.desc(f"production_{what}"), "ngram").limit(most).select("ngram", f"training_{what}", f"production_{what}")
 
 
 def tracked_ngrams(df: DataFrame, text: str, vocabulary: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:

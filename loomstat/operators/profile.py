@@ -43,8 +43,13 @@ def number_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Columns without a valid value have null statistics and 0 distinct values.
     """
+    return melted_stats(melt(df, columns))
+
+
+def melted_stats(rows: DataFrame) -> DataFrame:
+    """number_stats of rows (column_name, value): columns may be parts of one, told apart by their names."""
     # written once, since all that follows reads it; under null, how many are invalid
-    counts = written(melt(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = written(rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "counts")
     v, n = F.col("value"), F.col("n")
     valid = F.sum(F.when(v.isNotNull(), n).otherwise(0))
     first = counts.groupBy("column_name").agg(F.sum("n").alias("row_count"), valid.alias("valid_count"), F.count(v).alias("unique_count"), F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(F.sum(v * n), valid).alias("mean"))
@@ -71,6 +76,33 @@ def table_stats(df: DataFrame, types: dict[str, ColumnType]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(rows))
 
 
+def table_profile(df: DataFrame, types: dict[str, ColumnType], most: int = KEPT_DISTINCT, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """One row for each column of any kind: table_stats, the moments and quartiles of numbers (else null), and `items`,
+    its values with their counts: of enums every variant seen, of numbers with few values each, of texts the most frequent
+    n-grams with the rows that hold them; most frequent first, ties by item, and `most` of them."""
+    numbers = [n for n, t in types.items() if t.kind == "number"]
+    out = table_stats(df, types)
+    stats = ["unique_count", "min", "max", "mean", "variance", "p25", "p50", "p75"]
+    if numbers:
+        out = out.join(F.broadcast(number_stats(df, numbers).select("column_name", *stats)), "column_name", "left")
+    else:
+        out = out.select("*", *(F.lit(None).cast("long" if c == "unique_count" else "double").alias(c) for c in stats))
+    counts = [kept_histogram(df, numbers).select("column_name", F.col("value").cast("string").alias("item"), "n")] if numbers else []
+    for name, t in types.items():
+        if t.kind == "enum":
+            code = F.col(f"`{name}`")
+            item = F.get(F.array(*(F.lit(v) for v in t.variants)).cast("array<string>"), code - 1)
+            counts.append(df.where(code > 0).groupBy(F.lit(name).alias("column_name"), item.alias("item")).agg(F.count(F.lit(1)).alias("n")))
+        elif t.kind == "text":
+            top = ngram_counts(df, name, sizes).orderBy(F.desc("row_count"), "ngram").limit(most)
+            counts.append(top.select(F.lit(name).alias("column_name"), F.col("ngram").alias("item"), F.col("row_count").alias("n")))
+    if not counts:
+        return out.withColumn("items", F.array().cast("array<struct<item:string,n:bigint>>"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "item")))  # `most` values of a column, or its variants
+    items = reduce(DataFrame.unionByName, counts).groupBy("column_name").agg(F.transform(F.slice(ordered, 1, most), lambda x: F.struct(x["item"].alias("item"), (-x["m"]).alias("n"))).alias("items"))
+    return out.join(F.broadcast(items), "column_name", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<item:string,n:bigint>>")))
+
+
 def kept_histogram(df: DataFrame, columns: list[str], most: int = KEPT_DISTINCT) -> DataFrame:
     """number_histogram of the columns with at most `most` distinct values."""
     h = number_histogram(df, columns)

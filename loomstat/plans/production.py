@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.operators import monitoring, states
-from loomstat.plans.queries import _GUESS, _HOUR, _JOINED, _predictions, query, r
+from loomstat.operators import monitoring, profile, states
+from loomstat.plans.queries import _GRAMS, _GUESS, _HOUR, _JOINED, _predictions, query, r
 from loomstat.sources.tables import shared_folder, table
 from loomstat.streaming import keyed
 
@@ -196,3 +196,32 @@ def monitors_of_several_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     monitors = monitors.select(F.concat("model_id", "metric_name").alias("monitor_id"), "model_id", "metric_name", F.lit("absolute").alias("mode"), F.col("bound").alias("lower"), F.col("bound").alias("upper"))
     out = monitoring.check_monitors(monitors, current, monitoring.named_metrics(models, ["model_id"], ["accuracy", "recall"], "training_metric"), 10)
     return out.select("model_id", "metric_name", r("metric"), r("difference"), "alert")
+
+
+@query(_GRAMS + """, s AS (SELECT ngram, count(*) AS training_occurrences FROM u WHERE doc_id % 2 = 0 GROUP BY 1), p AS (SELECT ngram, count(*) AS production_occurrences FROM u WHERE doc_id % 2 = 1 GROUP BY 1)
+SELECT ngram, training_occurrences, production_occurrences FROM p JOIN s USING (ngram) ORDER BY production_occurrences DESC, ngram LIMIT 100""")
+def drift_text_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return monitoring.drift_text(*(profile.ngram_counts(d.where(f"doc_id % 2 = {k}"), "text", (1,)) for k in (0, 1)), by="occurrence_count")
+
+
+_PROFILE = """SELECT '{c}' AS column_name, 'number' AS kind, count(*) AS row_count, count({c}) AS valid_count, count(*) - count({c}) AS invalid_count, count(DISTINCT {c}) AS unique_count,
+min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, CASE WHEN count(DISTINCT {c}) > 100 THEN 0 ELSE count(DISTINCT {c}) END AS n_items, NULL AS top FROM part"""
+_NONE = "NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"
+
+
+@query(_PROFILE.format(c="p_size") + " UNION ALL " + _PROFILE.format(c="p_retailprice") + f""" UNION ALL SELECT 'p_type', 'enum', count(*), count_if(p_type IN ('ECONOMY', 'SMALL')), count_if(p_type NOT IN ('ECONOMY', 'SMALL')), {_NONE}, count(DISTINCT p_type) FILTER (p_type IN ('ECONOMY', 'SMALL')),
+(SELECT p_type || ' ' || count(*) FROM part WHERE p_type IN ('ECONOMY', 'SMALL') GROUP BY p_type ORDER BY count(*) DESC, p_type LIMIT 1) FROM part
+UNION ALL SELECT 'p_name', 'text', count(*), count(*), 0, {_NONE}, (SELECT least(100, count(DISTINCT w)) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part)),
+(SELECT w || ' ' || count(DISTINCT p_partkey) FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) GROUP BY w ORDER BY count(DISTINCT p_partkey) DESC, w LIMIT 1) FROM part
+UNION ALL SELECT 'p_brand', 'unknown', count(*), 0, count(*), {_NONE}, 0, NULL FROM part""")
+def table_profile_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile of columns of all kinds: counts, moments, quartiles, and values or n-grams with their counts."""
+    from loomstat.schema import ColumnType, typed_load
+
+    types = {"p_size": ColumnType("number"), "p_retailprice": ColumnType("number"), "p_type": ColumnType("enum", ("ECONOMY", "SMALL")), "p_name": ColumnType("text"), "p_brand": ColumnType("unknown")}
+    raw = table(spark, sf_dir, "part")
+    d = typed_load(raw, types)
+    top = F.when(F.col("kind").isin("enum", "text"), F.concat(F.get("items", F.lit(0))["item"], F.lit(" "), F.get("items", F.lit(0))["n"].cast("string")))
+    out = profile.table_profile(d, types, sizes=(1,))
+    return out.select("column_name", "kind", "row_count", "valid_count", "invalid_count", "unique_count", "min", "max", r("mean", 4), r("p25", 4), r("p50", 4), r("p75", 4), F.size("items").cast("long").alias("n_items"), top.alias("top"))

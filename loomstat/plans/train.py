@@ -211,12 +211,30 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
         best.baseline["thresholds"] = metrics.threshold_baseline(share, n["p"], n["n"])
     order = sorted(zip(best.feature_names, best.model.importances, strict=True), key=lambda x: (-x[1], x[0]))
     best.importances = [{"feature": f, "importance": float(v)} for f, v in order]
-    numbers = [n for n, t in types.items() if t.kind == "number" and n != target]
-    if numbers:
-        best.stats = [r.asDict() for r in profile.number_stats(part["train"], numbers).collect()]  # a row per column
+    best.stats = part_stats(rows.where(F.col("part").isin("train", "test")), types)
     return best
 
 
+def part_stats(rows: DataFrame, types: dict[str, ColumnType]) -> list[dict]:
+    """Statistics of the number columns and histograms of the enum columns of each part, from a pass of each kind."""
+    out = []
+    numbers, enums = ([n for n, t in types.items() if t.kind == kind] for kind in ("number", "enum"))
+    if numbers:
+        value = lambda n: F.when(~F.isnan(v := F.col(f"`{n}`").cast("double")) & (F.abs(v) < float("inf")), v)
+        cells = F.array(*(F.struct(F.concat("part", F.lit(f":{n}")).alias("column_name"), value(n).alias("value")) for n in numbers))
+        for r in profile.melted_stats(rows.select(F.inline(cells))).collect():  # a row a part and column
+            part, _, name = r["column_name"].partition(":")
+            out.append({**r.asDict(), "part": part, "column_name": name})
+    if enums:
+        cells = F.array(*(F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("int").alias("code")) for n in enums))
+        counts = rows.select("part", F.inline(cells)).groupBy("part", "column_name", "code").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a variant
+        for part in ("train", "test"):
+            for name in enums:
+                n = {r["code"] or 0: r["n"] for r in counts if (r["part"], r["column_name"]) == (part, name)}
+                out.append({"part": part, "column_name": name, "row_count": sum(n.values()), "invalid_count": n.get(0, 0), "histogram": {v: n.get(i + 1, 0) for i, v in enumerate(types[name].variants)}})
+    return out
+
+
 def predict(df: DataFrame, model: Model, threshold: float = 0.5, contributions: bool = False) -> DataFrame:
     """df with `prediction`: a value, or (class_name, probability, probabilities); and with
     `contributions` (feature, feature_value, value) and `baseline` of the value, or of the predicted class's score."""

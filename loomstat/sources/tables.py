@@ -8,6 +8,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstat.schema import ColumnType, infer_types, typed_load
@@ -17,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, types: dict[str, ColumnType] | None = None, multi_line: bool = True, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, types: dict[str, ColumnType] | None = None, multi_line: bool | None = None, **options) -> DataFrame:
     """A CSV file with a header as a typed table; columns without a configured type are inferred.
 
-    All columns are read as strings and typed by `infer_types`, never by the reader.  multi_line: quoted
-    values may hold line breaks; Spark then reads a file in one piece, so give large data as many files,
-    or say False where no value holds one.
+    All columns are read as strings and typed by `infer_types`, never by the reader.  multi_line: whether
+    quoted values hold line breaks; a file of such is read in one piece, others are split.  Where nothing is said, a
+    pass over the lines finds out: if none has an odd number of quotes, no value spans lines.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     return typed_load(raw, infer_types(raw, configured=types, **options))
 

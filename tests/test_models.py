@@ -1,6 +1,7 @@
 """Splits, linear models, trees and their explanations, training end to end."""
 
 import csv
+import json
 import math
 import random
 
@@ -356,3 +357,39 @@ def test_scores_are_written_anew_between_rounds(spark, monkeypatch):
         monkeypatch.setattr(trees, "ROUNDS_A_TABLE", k)
         often.append([[(n.feature, n.bin, round(n.value, 9)) for n in r[0]] for r in train_trees(d, "x", "y", "regression", enums=[2], options=o).trees])
     assert often[0] == often[1] == often[2]
+
+
+def test_csv_from_standard_input(spark, tmp_path, monkeypatch):
+    import io
+    import sys
+
+    from loomstat.__main__ import main
+
+    lines = ["a,b,y"] + [f'{i},"t, {i % 3}",{"yes" if i % 2 else "no"}' for i in range(80)]
+    monkeypatch.setattr(sys, "stdin", io.StringIO("\n".join(lines)))
+    (tmp_path / "c.json").write_text(json.dumps({"train": {"grid": [{"model": "linear", "epochs": 2}]}}))
+    main(["train", "--file", "-", "--target", "y", "--output", str(tmp_path / "m"), "--config", str(tmp_path / "c.json")])
+    m = t.load(spark, str(tmp_path / "m"))
+    parts = {(r["part"], r["column_name"]) for r in m.stats}
+    assert {("train", "a"), ("test", "a"), ("train", "y"), ("test", "y")} <= parts
+    of = {r["part"]: r for r in m.stats if r["column_name"] == "y"}
+    assert sum(of["train"]["histogram"].values()) == of["train"]["row_count"] and set(of["test"]["histogram"]) == {"yes", "no"}
+    monkeypatch.setattr(sys, "stdin", io.StringIO("\n".join(x.rsplit(",", 1)[0] for x in lines)))
+    main(["predict", "--file", "-", "--model", str(tmp_path / "m"), "--output", str(tmp_path / "out")])
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 80
+
+
+def test_line_breaks_in_quotes_are_found(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('a,b\n1,"x, ""y"""\n2,z\n')
+    (tmp_path / "broken.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    types = {"a": ColumnType("number"), "b": ColumnType("text")}
+    plain, broken = (read_csv(spark, str(tmp_path / f"{n}.csv"), types) for n in ("plain", "broken"))
+    assert sorted(r.b for r in plain.collect()) == ['x, "y"', "z"] and sorted(r.b for r in broken.collect()) == ["x\ny", "z"]
+
+
+def test_yaml_configuration(spark, tmp_path):
+    from loomstat.sources.tables import read_config
+
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("train:\n  grid:\n  - model: linear\n    epochs: 2\n")
+    assert t.Config.of(read_config(spark, str(tmp_path / "c.yaml"))).grid == ({"model": "linear", "epochs": 2},)
