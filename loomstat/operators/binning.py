@@ -29,7 +29,7 @@ def bin_thresholds(counts: DataFrame, by: list[str], value: str, max_bins: int =
     few = counts.groupBy(*by).agg((F.count(F.lit(1)) < max_bins).alias("few"))
     c = counts.join(F.broadcast(few), by)  # one row per column
     steps = tuple(k / max_bins for k in range(1, max_bins))
-    q = quantiles(c.where("not few").drop("few"), by, value, steps).select(*by, F.col("quantile").alias("threshold")).distinct()
+    q = quantiles(c.where("not few").drop("few"), by, value, steps, counts.count()).select(*by, F.col("quantile").alias("threshold")).distinct()
     return midpoints(c.where("few").drop("few"), by, value).unionByName(q)
 
 

@@ -56,7 +56,7 @@ def melted_stats(rows: DataFrame) -> DataFrame:
     spread = counts.join(F.broadcast(first.select("column_name", "mean")), "column_name").groupBy("column_name").agg(F.try_divide(F.sum(n * F.pow(v - F.col("mean"), 2)), valid).alias("variance"))
     moments = first.join(F.broadcast(spread), "column_name").withColumn("invalid_count", F.col("row_count") - F.col("valid_count")).withColumn("std", F.sqrt("variance"))
     counts = counts.where("value is not null")
-    q = quantiles(counts, ["column_name"], "value", (0.25, 0.5, 0.75))
+    q = quantiles(counts, ["column_name"], "value", (0.25, 0.5, 0.75), counts.count())
     flat = q.groupBy("column_name").agg(*(F.max(F.when(F.col("at") == a, F.col("quantile"))).alias(n) for a, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))))
     out = moments.join(F.broadcast(flat), "column_name", "left")
     return out.select("column_name", "row_count", "valid_count", "invalid_count", "min", "max", "mean", "variance", "std", "unique_count", "p25", "p50", "p75")

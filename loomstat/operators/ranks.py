@@ -61,14 +61,17 @@ def _found(wanted: DataFrame, celled: DataFrame, within: list[str], cell: str) -
     return hit.withColumn("rank", F.col("rank") - F.col("__upto") + F.col("__t")).drop("__t", "__upto")
 
 
-def quantiles(counts: DataFrame, by: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+def quantiles(counts: DataFrame, by: list[str], value: str, at: tuple[float, ...], rows: int | None = None) -> DataFrame:
     """(by, at, quantile) from value counts: exact, linear between the neighbours of rank (n - 1) * at.
 
     Ranks are searched by counts of cells of equal width, twice; only values in the cells that hold a rank
-    asked for are sorted.  `by` must tell few groups apart.
+    asked for are sorted.  Counts that are known to be of few `rows` are sorted as they are, in one job.  `by` must tell
+    few groups apart.
     """
     names = by or ["__all"]
     c = counts if by else counts.withColumn("__all", F.lit(0))
+    if rows is not None and rows <= SORTED_ROWS:
+        return _sorted_quantiles(c, names, value, at).select(*by, "at", "quantile")
     asked = F.explode(F.array(*(F.lit(float(q)) for q in at))).alias("at")
     wanted = c.groupBy(*names).agg(F.sum("n").alias("__total")).select(*names, "__total", asked).withColumn("__place", (F.col("__total") - 1) * F.col("at"))
     wanted = wanted.select(*names, "at", "__place", F.explode(F.array_distinct(F.array(F.floor("__place"), F.ceil("__place")))).alias("rank"))
@@ -86,6 +89,23 @@ def quantiles(counts: DataFrame, by: list[str], value: str, at: tuple[float, ...
     return ends.select(*by, "at", (low + (high - low) * part).alias("quantile"))
 
 
+#: Distinct values, of all groups, that a window may sort without being divided.
+SORTED_ROWS = 1 << 20
+
+
+def _sorted_quantiles(counts: DataFrame, names: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    w = Window.partitionBy(*names)
+    c = counts.select(*names, F.col(value).alias("__v"), F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"), F.sum("n").over(w).alias("__total"), "n")
+    asked = F.explode(F.array(*(F.lit(float(q)) for q in at))).alias("at")
+    wanted = c.groupBy(*names).agg(F.first("__total").alias("__total")).select(*names, asked, (F.col("__total") - 1).alias("__last")).withColumn("__place", F.col("__last") * F.col("at"))
+    j = c.join(F.broadcast(wanted), names)
+    holds = lambda rank: (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("n"))
+    low, high = F.floor("__place"), F.ceil("__place")
+    ends = j.where(holds(low) | holds(high)).groupBy(*names, "at", "__place").agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    part = F.col("__place") - F.floor("__place")
+    return ends.select(*names, "at", (F.col("__low") + (F.col("__high") - F.col("__low")) * part).alias("quantile"))
+
+
 def numbered(df: DataFrame, key: Column, number: str = "row_number") -> DataFrame:
     """df with exact row numbers from 0 in the order of a 64-bit hash (ties in any order), by 4096 ranges of it."""
     k = df.withColumn("__key", key).withColumn("__range", F.shiftrightunsigned("__key", 52)).withColumn("__key", F.shiftleft("__key", 12))

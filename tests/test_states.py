@@ -149,3 +149,15 @@ def test_joined_streams_show_true_values_without_a_prediction(spark, tmp_path):
         add("p", k, [say(f"p{k}", f"2024-01-{18 + 3 * k}T10:00:00Z", "x")])
         out = go()
     assert ("9", None, "x", True) in out and [x for x in out if x[3]][0][0] == "9"
+
+
+def test_quantiles_of_few_values_are_the_same_in_one_job(spark):
+    from loomstat.operators import ranks
+
+    rows = [(g, float(v), n) for g in ("a", "b", None) for v, n in ((-3, 2), (0.5, 1), (7, 4), (7.25, 1))] + [("c", 1.0, 1)]
+    c = spark.createDataFrame(rows, "g string, value double, n long").where("g is not null")
+    at = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    one, two = ({(r.g, r["at"]): r.quantile for r in ranks.quantiles(c, ["g"], "value", at, k).collect()} for k in (None, 9))
+    assert one == two and len(one) == 18 and one["a", 0.5] == np.quantile([-3, -3, 0.5, 7, 7, 7, 7, 7.25], 0.5)
+    every = [ranks.quantiles(c, [], "value", at, k).orderBy("at").collect() for k in (None, 9)]
+    assert every[0] == every[1] and len(every[0]) == 6
