@@ -21,7 +21,7 @@ from loomstat.operators.sparse import rows_of
 from loomstat.operators.split import drop_invalid_target, early_stopping_split, split
 from loomstat.operators.trees import Node, TreeOptions, Trees, train_trees, tree_contributions, with_contributions, with_scores
 from loomstat.schema import ColumnType, types_of
-from loomstat.sources.tables import written
+from loomstat.sources.tables import dropped, written
 
 REVISION = 1
 FEW_ROWS = {"train": 35, "comparison": 5, "test": 10}
@@ -160,6 +160,7 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
     if metric not in COMPARISONS[task]:
         raise ValueError(f"{metric} doesn't compare models of {task}; use one of {COMPARISONS[task]}")
     rows = written(split(drop_invalid_target(df, target), c.comparison_fraction, c.test_fraction, c.seed if c.shuffle else None), "dataset")
+    tables = [rows]  # go when the model is tested
     part = {p: rows.where(F.col("part") == p) for p in FEW_ROWS}
     sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # three rows
     if not sizes.get("train"):
@@ -182,7 +183,8 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
             asked = (feat.plan(types, target, kind == "linear", c.exclude_columns) if c.auto else []) + feat.included(list(c.include))
             groups[kind] = feat.fit(part["train"], asked, types, c.max_vocabulary)
             featured = feat.with_features(part["train"], groups[kind], "__features", sparse=is_wide(groups[kind])).withColumn("__label", label.cast("double"))
-            sets[kind] = early_stopping_split(written(featured.select("__features", "__label", "row_number"), "features"), c.stopping_fraction, last=kind == "linear")
+            tables.append(written(featured.select("__features", "__label", "row_number"), "features"))
+            sets[kind] = early_stopping_split(tables[-1], c.stopping_fraction, last=kind == "linear")
         learn, watch = sets[kind]
         if watch.isEmpty():
             watch = None
@@ -212,6 +214,8 @@ def train(df: DataFrame, target: str, config: Config | None = None) -> Model:
     order = sorted(zip(best.feature_names, best.model.importances, strict=True), key=lambda x: (-x[1], x[0]))
     best.importances = [{"feature": f, "importance": float(v)} for f, v in order]
     best.stats = part_stats(rows.where(F.col("part").isin("train", "test")), types)
+    for x in tables:
+        dropped(x)
     return best
 
 
