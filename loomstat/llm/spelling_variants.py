@@ -27,10 +27,11 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop
 from operator import ne
 from zlib import crc32
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import column, cut, forget, table
 
 Q, MIN_CHARS, MIN_COUNT, TIMES, EVERY = 3, 6, 5, 5, 199
-REGION, HELD, STRETCH = 2048, 200_000, 1 << 20
+REGION, TASK, HELD, STRETCH = 2048, 50_000, 200_000, 1 << 20
 RUN = re.compile("[a-zÀ-ÿ]+")
 OTHER = re.compile("[^a-zÀ-ÿ]")
 
@@ -148,7 +149,8 @@ def least_shared(longer: int, q: int = Q) -> int:
 
 
 def regions(words: DataFrame, rank: dict[str, int], q: int = Q, region: int = REGION) -> DataFrame:
-    """(region, part, word, n): words by region.  part: 0, or in a pair of different blocks which of them."""
+    """(key, i, j, part, word, n): words by region, a key and a pair of its blocks.  part: in a pair of different blocks,
+    which of them.  A region's rows lie together, in partitions of about TASK rows."""
 
     def run(batches):
         for b in batches:
@@ -168,7 +170,7 @@ def regions(words: DataFrame, rank: dict[str, int], q: int = Q, region: int = RE
     large = size.where(f"k > {region}").withColumn("blocks", F.ceil(2 * F.col("k") / region).cast("int"))
     block = each.join(large, "key").withColumn("own", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = block.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"), "word", "n")
-    return few.unionAll(pairs)
+    return few.unionAll(pairs).repartition(math.ceil(each.count() / TASK) + 1, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def counted(lists: list[list[int]], least: int) -> Iterator[int]:
@@ -176,8 +178,11 @@ def counted(lists: list[list[int]], least: int) -> Iterator[int]:
     if least == 1 or len(lists) < least:
         yield from set().union(*lists) if least == 1 else ()
         return
+    heap = [k for found in lists for k in found]
+    heapify(heap)
     last, times = -1, 0
-    for k in heapq.merge(*lists):
+    while heap:
+        k = heappop(heap)
         times = times + 1 if k == last else 1
         last = k
         if times == least:
@@ -268,8 +273,7 @@ def near_words(words: DataFrame, q: int = Q, region: int = REGION, rank: dict[st
         if out:
             yield batch()
 
-    met = regions(words, rank, q, region).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    sent = met.select("key", "i", "j", "part", "word", "n").mapInArrow(run, NEAR)
+    sent = regions(words, rank, q, region).select("key", "i", "j", "part", "word", "n").mapInArrow(run, NEAR)
     best = F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("w")))
     return sent.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", (-F.col("best.m")).alias("near_n"), F.col("best.w").alias("near"))
 
