@@ -41,6 +41,7 @@ SPACE_RUN = re.compile(f"[{SPACES}]+")
 #: str.split() also splits at these, the tokenizer does not.
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 END = "\0end"
+NO_MOVES: dict = {}
 
 
 def byte_symbols() -> list[str]:
@@ -58,13 +59,14 @@ def byte_symbols() -> list[str]:
 class Transducer:
     """Deterministic token-count transducer of a byte-pair vocabulary with word-end marks."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, word_end: str = "</w>", most_states: int = 300_000):
+    def __init__(self, vocab: dict[str, int], merges: list, word_end: str = "</w>", most_states: int = 200_000):
         split = lambda s: (*(s[: -len(word_end)] if word_end and s.endswith(word_end) else s), *([END] if word_end and s.endswith(word_end) else []))
         pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in merges]
         self.rank = {(split(a), split(b)): k for k, (a, b) in enumerate(pairs)}
         self.word_end, self.most_states = word_end, most_states
-        self.tokens = {t for t in map(split, vocab) if self._merge(t) == [t]}
-        self.prefixes = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
+        # each stands for itself, so that states share one copy of equal parts
+        self.tokens = {t: t for t in map(split, vocab) if self._merge(t) == [t]}
+        self.prefixes = {t[:k]: t[:k] for t in self.tokens for k in range(len(t) + 1)}
         self.fits: dict[tuple, bool] = {}
         self._reset()
 
@@ -73,7 +75,8 @@ class Transducer:
         first = ((), (None,), (0,))
         self.number = {first: 0}
         self.states = [first]
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        self.parts: dict[tuple, tuple] = {}
+        self.moves: dict[str, dict[int, tuple[int, int]]] = {}
         if len(self.fits) > self.most_states:
             self.fits.clear()
 
@@ -115,7 +118,7 @@ class Transducer:
             suffix = suffix[1:]
         for k in range(len(text)):  # the one token that may end here
             token = text[k:]
-            if token in self.tokens and (k < len(last)) and last[k] is not False and self._fit(last[k], token):
+            if token in self.tokens and (k < len(last)) and last[k] is not False and self._fit(last[k], token := self.tokens[token]):
                 emitted = count[k] + 1
                 break
         else:  # no encoding ends between a character and its word end
@@ -123,13 +126,13 @@ class Transducer:
         keep = len(suffix)
         lasts = (*last, token)[len(text) - keep :]
         counts = tuple(c - emitted for c in (*count, emitted)[len(text) - keep :])
-        to = (suffix, lasts, counts)
+        same = self.parts
+        to = (self.prefixes[suffix], same.setdefault(lasts, lasts), same.setdefault(counts, counts))
         if (k := self.number.get(to)) is None:
             k = self.number[to] = len(self.states)
             self.states.append(to)
-            self.moves.append({})
-        self.moves[state][symbol] = (k, emitted)
-        return k, emitted
+        self.moves.setdefault(symbol, {})[state] = found = (k, emitted)
+        return found
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token, given as byte symbols."""
@@ -137,15 +140,15 @@ class Transducer:
             self._reset()
         state, total, moves = 0, 0, self.moves
         for c in (*word, END) if self.word_end else word:
-            state, emitted = moves[state].get(c) or self._compile(state, c)
+            state, emitted = moves.get(c, NO_MOVES).get(state) or self._compile(state, c)
             total += emitted
         return total
 
 
 class SegmentCounts(dict):
-    """Token count of each run of text without white space; compiled on demand, bounded."""
+    """Token count of each run of text without white space; compiled on demand, bounded: about 300 MB a worker."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -242,24 +245,25 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk_chars: int = 1 << 16, fa
                 same = [pa.repeat(x, len(parts)) for x in (row, doc_id, n_bytes)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(parts)), pa.int64()), pa.array(head, pa.string()), pa.array(body, pa.int64()), pa.array(tail, pa.string())], names=names)
 
+    def composed(t):
+        t = t.sort_by("chunk")
+        return t.slice(0, 1), reduce(counter(tokenizer).compose, zip(*(t[c].to_pylist() for c in ("head", "body", "tail")), strict=True))
+
     def compose(t):
-        counts, t = counter(tokenizer), t.sort_by("chunk")
-        m = reduce(counts.compose, zip(*(t[c].to_pylist() for c in ("head", "body", "tail")), strict=True))
-        first = t.slice(0, 1).select(names[:3])
-        return pa.table([*first.columns, pa.array([t["chunk"][0].as_py() // fan]), pa.array(m[:1], pa.string()), pa.array(m[1:2], pa.int64()), pa.array(m[2:], pa.string())], names=names)
+        first, m = composed(t)
+        return pa.table([*first.select(names[:3]).columns, pa.array([first["chunk"][0].as_py() // fan]), pa.array(m[:1], pa.string()), pa.array(m[1:2], pa.int64()), pa.array(m[2:], pa.string())], names=names)
 
-    def totals(batches):
-        counts = counter(tokenizer)
-        for b in batches:
-            n = [counts.total(m) for m in zip(*(column(b, c).to_pylist() for c in ("head", "body", "tail")), strict=True)]
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+    def total(t):
+        """The last level, which counts too: a task that ran another pass for that would need a second Python worker."""
+        first, m = composed(t)
+        return pa.table([*first.select(["doc_id", "n_bytes"]).columns, pa.array([counter(tokenizer).total(m)], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     counted = "doc_id long, n_bytes long, n_tokens long"
     m = d.where("n_chunks > 1").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "n_bytes", "text").mapInArrow(maps, kinds)
     most = math.ceil((1 << 31) / chunk_chars)  # no text is longer
-    while most > 1:
+    while most > fan:
         m, most = m.groupBy("row", F.floor(F.col("chunk") / fan)).applyInArrow(compose, kinds), math.ceil(most / fan)
-    return d.where("n_chunks <= 1").mapInArrow(whole, counted).unionAll(m.mapInArrow(totals, counted))
+    return d.where("n_chunks <= 1").mapInArrow(whole, counted).unionAll(m.groupBy("row").applyInArrow(total, counted))
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
