@@ -5,21 +5,19 @@ All states merge: histograms and n-gram counts by adding counts per key, moments
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.functions.text import idf, row_ngrams, tokens
+from loomstat.functions.text import idf, tokens
+from loomstat.operators.grams import counted, pieces
 from loomstat.operators.ranks import quantiles, value_counts
 from loomstat.schema import ColumnType
 from loomstat.sources.tables import spread, written
 
 KEPT_DISTINCT = 100
 TOP_NGRAMS = 20_000
-KEPT_NGRAMS = 200_000
 
 
 def _finite(c: Column) -> Column:
@@ -148,27 +146,16 @@ def mode(df: DataFrame, column: str) -> DataFrame:
 def ngram_counts(df: DataFrame, text: str, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(ngram, row_count, occurrence_count), in one pass over the rows.
 
-    Texts are cut to tokens by column expressions.  Tasks count their n-grams in tables of up to KEPT_NGRAMS
-    entries, sent on when full, so that what is shuffled is an n-gram a task and not one an occurrence.
+    Texts are cut to tokens by column expressions.  Tasks count the n-grams of MOST_TOKENS tokens at a time, and
+    Spark adds those counts up before and after the shuffle, so that what is shuffled is an n-gram a task and not
+    one an occurrence, and Python holds the same whatever the table's size.
     """
 
     def run(batches):
-        rows, occurrences = Counter(), Counter()
-
-        def counted():
-            out = pa.RecordBatch.from_arrays([pa.array(occurrences.keys(), pa.string()), pa.array([rows[k] for k in occurrences], pa.int64()), pa.array(occurrences.values(), pa.int64())], names=["ngram", "r", "o"])
-            rows.clear()
-            occurrences.clear()
-            return out
-
         for b in batches:
-            for t in b.column(0).to_pylist():
-                grams = row_ngrams(t, sizes)
-                occurrences.update(grams)
-                rows.update(set(grams))
-                if len(occurrences) >= KEPT_NGRAMS:
-                    yield counted()
-        yield counted()
+            for part in pieces(b, [0]):
+                for size in sizes:
+                    yield counted(part.column(0), size)
 
     parts = spread(df.select(text)).select(tokens(text).alias("t")).mapInArrow(run, "ngram string, r long, o long")
     return parts.groupBy("ngram").agg(F.sum("r").alias("row_count"), F.sum("o").alias("occurrence_count"))
