@@ -1,11 +1,14 @@
 """Streaming with keyed state: what is known of an identifier lives in Spark's state store, not in logs.
 
-`match_events` keeps, for each (model, identifier), whether its prediction and its true value have come, and
+`track` keeps, for each (model, identifier), whether its prediction and its true value have come, and
 the part of each that the other needs.  A micro-batch reads its own events and their keys' state; how long the
 stream has run makes no difference.  Late events of any age are accepted, as state is kept until `ttl` if
 one is given, else for good.  The store is RocksDB's: state is on the executors' disks, its changes in the
 checkpoint folder, so a restarted stream or a lost executor goes on where it was.
 
+State that is kept for good is a streaming aggregate (`met`, `found`), all of it DataFrame functions.  Only state that
+expires needs a processor of its own (`match_events`), which asks the store from Python, key by key.
+
 `joined_with_true_values` is the same match as a join of two streams, for true values that come within a known
 delay: state older than that is dropped by watermarks, and true values without a prediction come out, with
 nulls, when the delay has passed.
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -26,6 +29,7 @@ from loomstat.operators.states import hourly_quantiles
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: kind: prediction, true_value (each once an identifier), rejected (later ones), matched (in the prediction's hour).
 FOUND = "kind string, model_id string, identifier string, micros long, prediction string, value double, true_value string, line string"
+TURN = ("micros", "start", "hash")
 FOUND_ROW = Row(*(c.split()[0] for c in FOUND.split(", ")))
 
 
@@ -40,9 +44,9 @@ class Matcher(StatefulProcessor):
         self.true = handle.getValueState("true_value", "true_value string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        said, true = (s.get() if s.exists() else None for s in (self.said, self.true))
+        said, true = self.said.get(), self.true.get()
         had = said is not None, true is not None
-        for r in sorted(rows, key=lambda r: (r.micros, r.line or "")):
+        for r in sorted(rows, key=lambda r: (r.micros, r.start, r.hash)):
             known = said if r.kind == "prediction" else true
             yield FOUND_ROW("rejected" if known is not None else r.kind, *key, r.micros, r.prediction, r.value, r.true_value, r.line)
             if known is None and r.kind == "prediction":
@@ -60,16 +64,51 @@ class Matcher(StatefulProcessor):
         pass
 
 
+def _rows(events: DataFrame) -> DataFrame:
+    """Parsed events (kind, model_id, identifier, date, class_name, value, true_value, line) as columns FOUND, and
+    those in which order an identifier's count: by date, then by line (a start of it and its hash, as state holds them)."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("date").cast("timestamp_ntz"))
+    prediction = F.coalesce("class_name", F.col("value").cast("string"))
+    rows = events.where("kind is not null").select("kind", "model_id", "identifier", micros.alias("micros"), F.when(F.col("kind") == "prediction", prediction).alias("prediction"), "value", "true_value", "line")
+    line = F.coalesce("line", F.lit(""))
+    return rows.withColumns({"start": F.left(line, F.lit(64)), "hash": F.xxhash64(line)})
+
+
 def match_events(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Columns FOUND of a stream of parsed events (kind, model_id, identifier, date, class_name, value, true_value, line).
+    """Columns FOUND of a stream of parsed events.
 
     One identifier's events of a micro-batch meet in one call, however many; other identifiers of its model elsewhere.
     The session that starts the stream is to name RocksDB's state store, as `track` does.
     """
-    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("date").cast("timestamp_ntz"))
-    prediction = F.coalesce("class_name", F.col("value").cast("string"))
-    rows = events.where("kind is not null").select("kind", "model_id", "identifier", micros.alias("micros"), F.when(F.col("kind") == "prediction", prediction).alias("prediction"), "value", "true_value", "line")
-    return rows.groupBy("model_id", "identifier").transformWithState(Matcher(ttl_ms), FOUND, "Append", "ProcessingTime" if ttl_ms else "None")
+    return _rows(events).groupBy("model_id", "identifier").transformWithState(Matcher(ttl_ms), FOUND, "Append", "ProcessingTime" if ttl_ms else "None")
+
+
+def met(events: DataFrame) -> DataFrame:
+    """A stream, for output mode update, of a micro-batch's events and, of kind `known`, a row for each of their identifiers:
+    how many predictions and true values have come since the stream began, and the first of each.
+
+    The first is that of the earliest batch, by the batches' time stamps, so the clock of the driver is not to be set back.
+    """
+    rows = _rows(events)
+    first = lambda kind, value: F.min(F.when(F.col("kind") == kind, F.struct("batch", *TURN, value)))
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    known = rows.withColumn("batch", F.current_timestamp()).groupBy("model_id", "identifier").agg(
+        count("prediction").alias("predictions"), first("prediction", "prediction").alias("said"), count("true_value").alias("true_values"), first("true_value", "true_value").alias("truth"),
+    )
+    return rows.unionByName(known.withColumn("kind", F.lit("known")), allowMissingColumns=True)
+
+
+def found(batch: DataFrame) -> DataFrame:
+    """Columns FOUND of a micro-batch of `met`, after one shuffle of its rows by identifier."""
+    of = Window.partitionBy("model_id", "identifier")
+    place = F.row_number().over(Window.partitionBy("model_id", "identifier", "kind").orderBy(*TURN, "prediction", "true_value"))
+    new = lambda kind, total: F.count_if(F.col("kind") == kind).over(of) == F.max(total).over(of)
+    rows = batch.withColumn("place", place).withColumns({"new_prediction": new("prediction", "predictions"), "new_true_value": new("true_value", "true_values")})
+    rows = rows.where("kind <> 'known' or (said is not null and truth is not null and (new_prediction or new_true_value))")
+    first = F.expr("place = 1 and if(kind = 'prediction', new_prediction, new_true_value)")
+    known = lambda there, other: F.when(F.col("kind") == "known", F.col(there)).otherwise(F.col(other)).alias(other)
+    kind = F.when(F.col("kind") == "known", "matched").when(first, F.col("kind")).otherwise("rejected").alias("kind")
+    return rows.select(kind, "model_id", "identifier", known("said.micros", "micros"), known("said.prediction", "prediction"), "value", known("truth.true_value", "true_value"), "line")
 
 
 def _date() -> F.Column:
@@ -81,28 +120,30 @@ def states_of(folder: str):
     of numbers, `confusion` of matched pairs.  A batch that is run again overwrites what it wrote."""
 
     def run(df: DataFrame, batch: int) -> None:
-        df = df.persist()
         put = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}/batch={batch}")
-        try:
-            put(df, "found", "kind")
-            numbers = df.where("kind = 'prediction' and value is not null").select("model_id", "value", _date().alias("date"))
-            put(hourly_numbers(numbers, ["model_id"], "date", "value"), "hourly")
-            put(hourly_quantiles(numbers, ["model_id"], "date", "value"), "quantiles")
-            pairs = df.where("kind = 'matched'").groupBy("model_id", hour_start(_date()).alias("hour"), "prediction", F.col("true_value").alias("label"))
-            put(pairs.agg(F.count(F.lit(1)).alias("n")), "confusion")
-        finally:
-            df.unpersist()
+        put(df, "found", "kind")
+        df = df.sparkSession.read.schema(FOUND).parquet(f"{folder}/found/batch={batch}")  # the stream's state is read once
+        numbers = df.where("kind = 'prediction' and value is not null").select("model_id", "value", _date().alias("date"))
+        put(hourly_numbers(numbers, ["model_id"], "date", "value"), "hourly")
+        put(hourly_quantiles(numbers, ["model_id"], "date", "value"), "quantiles")
+        pairs = df.where("kind = 'matched'").groupBy("model_id", hour_start(_date()).alias("hour"), "prediction", F.col("true_value").alias("label"))
+        put(pairs.agg(F.count(F.lit(1)).alias("n")), "confusion")
 
     return run
 
 
 def track(events: DataFrame, folder: str, ttl_ms: int | None = None) -> StreamingQuery:
-    """Matches what is there now and ends; state and progress are kept in the folder, so the next call goes on."""
+    """Matches what is there now and ends; state and progress are kept in the folder, so the next call goes on.
+
+    A folder's state has the form it began with: it goes on only with a ttl if it had one, and without if it had none.
+    """
     conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
+    before, run = conf.get(name), states_of(folder)
+    stream = match_events(events, ttl_ms).writeStream.outputMode("append") if ttl_ms else met(events).writeStream.outputMode("update")
+    each = run if ttl_ms else lambda df, batch: run(found(df), batch)
     conf.set(name, ROCKSDB)  # read when the query starts
     try:
-        return match_events(events, ttl_ms).writeStream.foreachBatch(states_of(folder)).outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        return stream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     finally:
         conf.set(name, before)
 

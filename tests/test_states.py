@@ -122,6 +122,53 @@ def test_keyed_stream_of_numbers(spark, tmp_path):
     assert {r["at"]: r.quantile for r in states.quantile_rows(q, ["model_id"]).collect()} == {0.25: 1.0, 0.5: 2.0, 0.75: 4.0}
 
 
+def test_keyed_stream_is_an_aggregate_that_finds_what_the_processor_finds(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    out = {}
+    batches = [
+        [(said if rng.random() < 0.5 else true)(str(rng.integers(40)), f"2024-01-01T{rng.integers(3) + 10}:00:00", "xyz"[rng.integers(3)], "mn"[rng.integers(2)]) for _ in range(120)]
+        for _ in range(3)
+    ]
+    for lines in batches:  # dates come again, and earlier ones in later batches
+        lines += lines[:5]  # the same lines twice
+
+    def processed(e, folder):  # as state that expires would be, but without end
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.ROCKSDB)
+        try:
+            return keyed.match_events(e).writeStream.foreachBatch(keyed.states_of(folder)).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        finally:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+    for name, track in (("kept", keyed.track), ("processed", processed)):
+        folder = tmp_path / name
+        (folder / "in").mkdir(parents=True)
+        e = source.parse_events(spark.readStream.schema("value string").text(str(folder / "in")))
+        for i, lines in enumerate(batches):
+            (folder / "in" / f"{i}.jsonl").write_text("\n".join([*lines, "no event"]) + "\n")
+            q = track(e, str(folder / "out"))
+            assert q.awaitTermination(120)
+        out[name] = sorted((tuple(r) for r in spark.read.parquet(str(folder / "out" / "found")).select("batch", *keyed.FOUND_ROW).collect()), key=str)
+        names = [o.operatorName for o in q.lastProgress.stateOperators]
+        assert name == "processed" or names == ["stateStoreSave"]  # no state that Python asks for key by key
+    assert out["kept"] == out["processed"] and {r[0] for r in out["kept"]} == {0, 1, 2}
+    kinds = [r[1] for r in out["kept"]]
+    assert len(kinds) - kinds.count("matched") == 375 and min(kinds.count(k) for k in ("prediction", "true_value", "rejected", "matched")) > 30
+
+
+def test_keyed_stream_runs_a_failed_batch_again(spark, tmp_path, monkeypatch):
+    import pytest
+
+    lines = [said("1", "2024-01-01T10:10:00", "x"), true("1", "2024-01-02T00:00:00", "x"), said("2", "2024-01-01T10:10:00", "y")]
+    first = run(spark, tmp_path, lines)
+    with monkeypatch.context() as m:
+        m.setattr(keyed, "hourly_quantiles", lambda *a: 1 / 0)  # after what was found is written
+        with pytest.raises(Exception, match="division by zero"):
+            run(spark, tmp_path, [said("1", "2020-01-01T10:10:00", "z"), true("2", "2024-01-02T00:00:00", "x")])
+    second = run(spark, tmp_path, [true("2", "2020-01-02T00:00:00", "y")])
+    assert first == [("matched", "m", "1", "x", "x")]
+    assert second == sorted([*first, ("rejected", "m", "1", "z", None), ("matched", "m", "2", "y", "x"), ("rejected", "m", "2", None, "y")], key=str)
+
+
 def test_joined_streams_show_true_values_without_a_prediction(spark, tmp_path):
     for name in ("p", "t"):
         (tmp_path / name).mkdir()
